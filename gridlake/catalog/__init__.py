@@ -3,8 +3,8 @@ from gridlake.catalog.base import Catalog
 
 
 def build() -> Catalog:
-    from gridlake.catalog import acquisition, primitives
+    from gridlake.catalog import acquisition, primitives, water
     catalog = Catalog()
-    for module in (primitives, acquisition):
+    for module in (primitives, acquisition, water):
         module.register(catalog)
     return catalog
