@@ -3,8 +3,8 @@ from gridlake.catalog.base import Catalog
 
 
 def build() -> Catalog:
-    from gridlake.catalog import acquisition, primitives, water
+    from gridlake.catalog import acquisition, coast, primitives, water
     catalog = Catalog()
-    for module in (primitives, acquisition, water):
+    for module in (primitives, acquisition, water, coast):
         module.register(catalog)
     return catalog

@@ -105,3 +105,14 @@ def snap_year(year: Column, epochs) -> Column:
 
 def snap_int(year: int, epochs) -> int:
     return min(sorted(epochs), key=lambda e: abs(e - year))
+
+
+def calendar_years(df: DataFrame, first: int | None = None, last: int | None = None, t: str = "t") -> DataFrame:
+    """Rows of whole-year windows [y-01-01, y-12-31): the end is exclusive, so 31 December
+    is outside. Adds yr; the optional range is a date predicate for the scan."""
+    if first is not None:
+        df = df.filter(F.col(t) >= F.lit(date(first, 1, 1)))
+    if last is not None:
+        df = df.filter(F.col(t) < F.lit(date(last, 12, 31)))
+    return (df.filter(~((F.month(t) == 12) & (F.dayofmonth(t) == 31)))
+            .withColumn("yr", F.year(t)))
