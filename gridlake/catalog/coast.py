@@ -125,13 +125,13 @@ def register(q):
     q.add("Y04_mangrove_conversion", lambda t: ponds.mangrove_conversion(pond_cells(t), t.cells, 20), "cells obs",
           POND_SQL + """ SELECT yr, CAST(sum(p.area_m2) AS DOUBLE)/1e6 AS conversion_km2 FROM pond p JOIN cells USING (cell_id)
           WHERE (treecover>30 OR (lossyear>0 AND lossyear<=20)) AND elevation BETWEEN 0 AND 10 GROUP BY 1""")
-    zp = ZONE_CELLS + "," + POND_SQL + ", zp AS (SELECT z.zone, coalesce(CAST(sum(area_m2) AS DOUBLE)/1e6,0) AS pond_km2 FROM zones z LEFT JOIN (SELECT zone, area_m2 FROM pond JOIN zc USING (cell_id)) p ON p.zone=z.zone GROUP BY 1)"
-    q.add("Y05_pond_by_zone", lambda t: ponds.area_by_zone(pond_cells(t), t.zone_cells, t.zones), "cells zones obs", zp + " SELECT * FROM zp")
+    zp = ZONE_CELLS + "," + POND_SQL + ", zp AS (SELECT z.zone, coalesce(CAST(sum(area_m2) AS DOUBLE)/1e6,0) AS pond_km2 FROM zones z LEFT JOIN (SELECT zone, area_m2 FROM pond JOIN zc USING (cell_id) WHERE yr=1998) p ON p.zone=z.zone GROUP BY 1)"
+    q.add("Y05_pond_by_zone", lambda t: ponds.area_by_zone(pond_cells(t).filter(c("yr") == 1998), t.zone_cells, t.zones), "cells zones obs", zp + " SELECT * FROM zp")
 
     def truth(t):
         return (t.cells.filter(c("occurrence") >= 50).join(t.zone_cells.select("cell_id", "zone"), "cell_id").groupBy("zone")
                 .agg((F.sum("area_m2") / F.lit(1e6)).alias("census_km2")))
-    q.add("Y06_accuracy", lambda t: round_all(ponds.accuracy(ponds.area_by_zone(pond_cells(t), t.zone_cells, t.zones), truth(t), "zone", "pond_km2", "census_km2"),
+    q.add("Y06_accuracy", lambda t: round_all(ponds.accuracy(ponds.area_by_zone(pond_cells(t).filter(c("yr") == 1998), t.zone_cells, t.zones), truth(t), "zone", "pond_km2", "census_km2"),
                                               "r_squared", "rmse", "mae", digits=8), "cells zones obs",
           zp + """, tr AS (SELECT zone, CAST(count(*)*900 AS DOUBLE)/1e6 AS census_km2 FROM cells JOIN zc USING (cell_id) WHERE occurrence>=50 GROUP BY 1),
           j AS (SELECT pond_km2-census_km2 AS e, census_km2 FROM zp JOIN tr USING (zone))

@@ -56,7 +56,7 @@ def mangrove_conversion(ponds: DataFrame, cells: DataFrame, years_since_2000: in
 
 
 def area_by_zone(ponds: DataFrame, zone_cells: DataFrame, zones: DataFrame, key: str = "zone") -> DataFrame:
-    """km2 per (zone, year) in columns kept long; zones without ponds give one row with 0."""
+    """km2 per zone for the ponds of one year; zones without ponds give 0."""
     area = (ponds.join(zone_cells.select(key, "cell_id"), "cell_id").groupBy(key)
             .agg((F.sum("area_m2") / F.lit(1e6)).alias("_k")))
     return zones.select(key).join(area, key, "left").select(key, F.coalesce("_k", F.lit(0.0)).alias("pond_km2"))
