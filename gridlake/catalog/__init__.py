@@ -3,8 +3,8 @@ from gridlake.catalog.base import Catalog
 
 
 def build() -> Catalog:
-    from gridlake.catalog import acquisition, coast, crops, land, primitives, water
+    from gridlake.catalog import acquisition, coast, crops, land, lights, primitives, water
     catalog = Catalog()
-    for module in (primitives, acquisition, water, coast, crops, land):
+    for module in (primitives, acquisition, water, coast, crops, land, lights):
         module.register(catalog)
     return catalog
