@@ -3,8 +3,8 @@ from gridlake.catalog.base import Catalog
 
 
 def build() -> Catalog:
-    from gridlake.catalog import acquisition, climate, coast, crops, land, lights, primitives, water
+    from gridlake.catalog import acquisition, alerts, climate, coast, composite, crops, land, lights, primitives, water
     catalog = Catalog()
-    for module in (primitives, acquisition, water, coast, crops, land, lights, climate):
+    for module in (primitives, acquisition, water, coast, crops, land, lights, climate, composite, alerts):
         module.register(catalog)
     return catalog

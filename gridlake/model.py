@@ -56,7 +56,7 @@ POLLUTION_SEASON = Season("pollution", 0, (11, 1), 1, (3, 31))
 KILN_THERMAL = Season("kiln_lst", -1, (10, 1), 0, (5, 31))
 KILN_SPECTRAL = Season("kiln", -1, (11, 1), 0, (4, 30))
 NDVI_FRAME = Season("frame", 0, (1, 1), 0, (3, 31))
-WATER_FRAME = Season("frame", 0, (8, 1), 0, (9, 1))
+WATER_FRAME = Season("frame", 0, (8, 1), 0, (8, 31))
 
 # --- Fixed values: sensors --------------------------------------------------
 # name, original bands of (blue green red nir swir1 swir2 qa), scale, offset, cloud bits

@@ -134,11 +134,13 @@ def _disc_sum(block: np.ndarray, radius: int) -> np.ndarray:
 def disc_kernel(df: DataFrame, value: str, radius: int, keys=(), sum_out="disc_sum", count_out="disc_count",
                 tile: int | None = None) -> DataFrame:
     """Sum and count of unmasked cells within ``radius`` cells of every cell. Integer
-    inputs stay exact; the mean is sum / count."""
+    inputs stay exact; the mean is sum / count. The block is shifted by a whole number
+    near its mean, which keeps the prefix sums of real values small and precise."""
     def kernel(block):
         seen = ~np.isnan(block)
-        return {sum_out: _disc_sum(np.where(seen, block, 0.0), radius),
-                count_out: _disc_sum(seen.astype(float), radius)}
+        shift = float(np.rint(block[seen].mean())) if seen.any() else 0.0
+        count = _disc_sum(seen.astype(float), radius)
+        return {sum_out: _disc_sum(np.where(seen, block - shift, 0.0), radius) + shift * count, count_out: count}
     return apply_tiled(df, value, radius, [sum_out, count_out], kernel, keys, tile)
 
 
