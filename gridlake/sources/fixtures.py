@@ -168,7 +168,9 @@ class Tables:
 
     @cached_property
     def fwf(self) -> DataFrame:
-        return self._view("fwf", "orders")
+        # explode keeps the long text expression from being copied into every field slice,
+        # as if the lines came from a file
+        return self._view("fwf", "orders").select(F.explode(F.array("value")).alias("value"))
 
     @cached_property
     def zone_cells(self) -> DataFrame:
