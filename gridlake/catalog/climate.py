@@ -52,6 +52,11 @@ DRYC_SQL = f"dz AS ({seasonal('obs', DRY)}), dc0 AS (SELECT cell_id, CAST(sy AS
 PROXY = f"sqrt((blue*1e-4)*(red*1e-4))*(1e0-{clamp(nd('nir','red'), 0, 1)})"
 
 
+EROSION = f"({norm('rain_mm', 500, 4000)}*0.3e0+({norm('clay', 0, 80)}+(1e0-{norm('soc', 0, 30)}))/2e0*0.2e0+{norm('slope', 0, 30)}*0.25e0+(1e0-{clamp('ndvi', 0, 0.8)}/0.8e0)*0.25e0)"
+SUITABLE = f"(({norm('soc', 0, 20)}+{clamp('(1e0-greatest(abs(ph-6.5e0)-1e0,0e0)/2e0)', 0, 1)})/2e0*0.4e0+(1e0-{norm('slope', 0, 15)})*0.3e0+least({norm('rain_mm', 800, 1500)},{norm('rain_mm', 3000, 2000)})*0.3e0)"
+SALT_RISK = f"({norm('p', 0, 0.3)}*CAST(elevation>=0 AND elevation<5 AS INT))"
+
+
 def salinity(t):
     comp = acq.seasonal_composite(t.obs, (DRY,), bands=("blue", "red", "nir"))
     return comp.select("cell_id", "yr", soil.salinity_proxy().alias("salinity_proxy"))
@@ -96,11 +101,11 @@ def register(q):
     q.add("K05_lst_series", lambda t: round_all(climate.lst_series(t.signals), "day_c", "night_c"), "signals",
           LST_SQL + f" SELECT yr, {r('avg(lst_day)')} AS day_c, {r('avg(lst_night)')} AS night_c FROM ls GROUP BY 1")
     q.add("K06_heat_island", lambda t: round_all(climate.heat_island(climate.annual_lst(t.signals), t.cells, t.discs, c("r"), c("r") + 2, c("r") + 6),
-                                                 "urban_c", "rural_c", "uhi_c"), "cells discs signals",
+                                                 "urban_c", "rural_c", "uhi_c", digits=8), "cells discs signals",
           LST_SQL + """, zz AS (SELECT disc, cell_id, 1 AS u FROM cells c JOIN discs d ON (c.x-cx)*(c.x-cx)+(c.y-cy)*(c.y-cy)<=r*r UNION ALL
           SELECT disc, cell_id, 0 FROM cells c JOIN discs d ON (c.x-cx)*(c.x-cx)+(c.y-cy)*(c.y-cy)>(r+2)*(r+2) AND (c.x-cx)*(c.x-cx)+(c.y-cy)*(c.y-cy)<=(r+6)*(r+6) WHERE worldcover IN (10,20,40)),
           g AS (SELECT disc, yr, avg(lst_day) FILTER (u=1) AS a, avg(lst_day) FILTER (u=0) AS b FROM ls JOIN zz USING (cell_id) GROUP BY 1,2)
-          SELECT disc, yr, round(a,6)+0e0 AS urban_c, round(b,6)+0e0 AS rural_c, round(a-b,6)+0e0 AS uhi_c FROM g""")
+          SELECT disc, yr, round(a,8)+0e0 AS urban_c, round(b,8)+0e0 AS rural_c, round(a-b,8)+0e0 AS uhi_c FROM g""")
     q.add("K07_seasonal_temperature", lambda t: round_all(climate.seasonal_temperature(t.signals), *[f"{n}_c" for n in names]), "signals",
           f"s AS ({seasonal('signals', AIR_SEASONS)}), pc AS (SELECT cell_id, sy, season, avg(lst_day_dn) FILTER ((qc_day&3)=0) AS v FROM s GROUP BY 1,2,3) SELECT CAST(sy AS INT) AS yr, "
           + ", ".join(f"round(avg(v) FILTER (season='{n}')*0.02e0+(-273.15e0),6)+0e0 AS {n}_c" for n in names) + " FROM pc GROUP BY 1")
@@ -144,14 +149,14 @@ def register(q):
     q.add("S03_slope", lambda t: round_all(soil.slope(t.cells.select("cell_id", "x", "y", "elevation")).select("cell_id", "slope"), "slope"), "cells",
           SLOPE_SQL + f" SELECT c.cell_id, {r('slope')} AS slope FROM cells c LEFT JOIN sp USING (cell_id)")
     q.add("S04_erosion_risk", lambda t: round_all(soil.erosion_risk(land_factors(t)).select("cell_id", "yr", "erosion_risk"), "erosion_risk", digits=9), "cells signals",
-          FACTORS_SQL + f" SELECT cell_id, yr, round({norm('rain_mm', 500, 4000)}*0.3e0+({norm('clay', 0, 80)}+(1e0-{norm('soc', 0, 30)}))/2e0*0.2e0+{norm('slope', 0, 30)}*0.25e0+(1e0-{clamp('ndvi', 0, 0.8)}/0.8e0)*0.25e0,9)+0e0 AS erosion_risk FROM fa")
+          FACTORS_SQL + f" SELECT cell_id, yr, round({EROSION},9)+0e0 AS erosion_risk FROM fa")
     q.add("S05_salinity_proxy", lambda t: round_all(salinity(t), "salinity_proxy", digits=9), "obs",
           DRYC_SQL + f" SELECT cell_id, yr, round({PROXY},9)+0e0 AS salinity_proxy FROM dc0")
     q.add("S06_salinity_risk", lambda t: round_all(salinity(t).join(t.cells.select("cell_id", "elevation"), "cell_id").select(
         "cell_id", "yr", soil.salinity_risk().alias("salinity_risk")), "salinity_risk", digits=9), "cells obs",
-        DRYC_SQL + f", pr AS (SELECT cell_id, yr, {PROXY} AS p FROM dc0) SELECT cell_id, yr, round({norm('p', 0, 0.3)}*CAST(elevation>=0 AND elevation<5 AS INT),9)+0e0 AS salinity_risk FROM pr JOIN cells USING (cell_id)")
+        DRYC_SQL + f", pr AS (SELECT cell_id, yr, {PROXY} AS p FROM dc0) SELECT cell_id, yr, round({SALT_RISK},9)+0e0 AS salinity_risk FROM pr JOIN cells USING (cell_id)")
     q.add("S07_suitability", lambda t: round_all(soil.suitability(land_factors(t)).select("cell_id", "yr", "suitability"), "suitability", digits=9), "cells signals",
-          FACTORS_SQL + f" SELECT cell_id, yr, round(({norm('soc', 0, 20)}+{clamp('(1e0-greatest(abs(ph-6.5e0)-1e0,0e0)/2e0)', 0, 1)})/2e0*0.4e0+(1e0-{norm('slope', 0, 15)})*0.3e0+least({norm('rain_mm', 800, 1500)},{norm('rain_mm', 3000, 2000)})*0.3e0,9)+0e0 AS suitability FROM fa")
+          FACTORS_SQL + f" SELECT cell_id, yr, round({SUITABLE},9)+0e0 AS suitability FROM fa")
 
     irr = f"ir AS (SELECT cell_id, yr, avg(solar_mj)*1e6/2.628e6 AS irradiance FROM signals WHERE {CALENDAR} GROUP BY 1,2)"
     q.add("E01_solar_stats", lambda t: round_all(energy.solar_stats(energy.solar_irradiance(t.signals)), "mean_wm2", "max_wm2"), "signals",
