@@ -1,7 +1,7 @@
 """Alerts (AL-*). Baselines are shortened to fit the seven years of the test series."""
 from pyspark.sql import functions as F
 
-from gridlake.catalog.base import km2
+from gridlake.catalog.base import km2, r
 from gridlake.catalog.coast import CALENDAR, round_all
 from gridlake.plans import alerts
 from gridlake.sources.fixtures import GRID
@@ -60,18 +60,18 @@ def al5(t):
     return alerts.no2_spike(t.signals, GRID.area(), **FIT)
 
 
-def _rounded(names, table, *digits_of):
-    return "SELECT " + ", ".join(names) + "".join(f", round({n},{d})+0e0 AS {n}" for n, d in digits_of) + f" FROM {table}"
+def _rounded(names, table, *measures):
+    return "SELECT " + ", ".join(names) + "".join(f", {r(n)} AS {n}" for n in measures) + f" FROM {table}"
 
 
 def register(q):
     base = ("yr", "alert", "triggered", "severity", "area_km2")
     q.add("AL1_forest_loss", al1, "cells", LOSS_SQL + " SELECT * FROM al1")
-    q.add("AL2_flood_anomaly", lambda t: round_all(al2(t), "baseline_mean", "z", digits=8), "signals", FLOOD_SQL + " " + _rounded(base, "al2", ("baseline_mean", 8), ("z", 8)))
-    q.add("AL3_construction_surge", lambda t: round_all(al3(t), "growth_pct", digits=8), "classes", BUILT_SQL + " " + _rounded(base, "al3", ("growth_pct", 8)))
-    q.add("AL4_ndvi_anomaly", lambda t: round_all(al4(t), "ndvi", "baseline_mean", "z", digits=7), "signals", NDVI_SQL + " " + _rounded(base, "al4", ("ndvi", 7), ("baseline_mean", 7), ("z", 7)))
-    q.add("AL5_no2_spike", lambda t: round_all(al5(t), "no2", "baseline_mean", "change_pct", digits=7), "signals",
-          NO2_SQL + " " + _rounded(base, "al5", ("no2", 7), ("baseline_mean", 7), ("change_pct", 7)))
+    q.add("AL2_flood_anomaly", lambda t: round_all(al2(t), "baseline_mean", "z"), "signals", FLOOD_SQL + " " + _rounded(base, "al2", "baseline_mean", "z"))
+    q.add("AL3_construction_surge", lambda t: round_all(al3(t), "growth_pct"), "classes", BUILT_SQL + " " + _rounded(base, "al3", "growth_pct"))
+    q.add("AL4_ndvi_anomaly", lambda t: round_all(al4(t), "ndvi", "baseline_mean", "z"), "signals", NDVI_SQL + " " + _rounded(base, "al4", "ndvi", "baseline_mean", "z"))
+    q.add("AL5_no2_spike", lambda t: round_all(al5(t), "no2", "baseline_mean", "change_pct"), "signals",
+          NO2_SQL + " " + _rounded(base, "al5", "no2", "baseline_mean", "change_pct"))
     q.add("AL6_alert_report", lambda t: alerts.report(al1(t), al2(t), al3(t), al4(t), al5(t)), "cells classes signals",
           ",".join((LOSS_SQL, FLOOD_SQL, BUILT_SQL, NDVI_SQL, NO2_SQL)) + " " + " UNION ALL ".join(
               f"SELECT {', '.join(base)}, replace(alert,'_',' ') || ' ' || CAST(yr AS VARCHAR) || ': ' || severity AS description FROM al{i}" for i in range(1, 6)))

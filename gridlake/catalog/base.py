@@ -49,8 +49,9 @@ def norm(x: str, lo, hi) -> str:
     return clamp(f"(({x}-CAST({lo} AS DOUBLE))/CAST({float(hi) - float(lo)!r} AS DOUBLE))", 0, 1)
 
 
-def r(x: str, digits: int = 6) -> str:
-    return f"round({x},{digits})+0e0"
+def r(x: str) -> str:
+    """Seven significant digits, as ``algebra.rounded``."""
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)+0e0"
 
 
 BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")

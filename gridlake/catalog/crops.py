@@ -41,13 +41,13 @@ def register(q):
     q.add("V02_annual_max", lambda t: vegetation.annual_max(t.signals), "signals",
           f"""SELECT cell_id, yr, max(ndvi_dn) FILTER (summary_qa<=1)*1e-4 AS ndvi, max(evi_dn) FILTER (summary_qa<=1)*1e-4 AS evi
           FROM signals WHERE {CALENDAR} GROUP BY 1,2""")
-    q.add("V03_ndvi_series", lambda t: round_all(vegetation.ndvi_series(t.signals), "mean_ndvi", "max_ndvi", digits=8), "signals",
+    q.add("V03_ndvi_series", lambda t: round_all(vegetation.ndvi_series(t.signals), "mean_ndvi", "max_ndvi"), "signals",
           f"""pc AS (SELECT cell_id, yr, avg(ndvi_dn) AS a, max(ndvi_dn) AS m FROM signals WHERE {CALENDAR} AND summary_qa<=1 GROUP BY 1,2)
-          SELECT yr, round(avg(a)*1e-4,8)+0e0 AS mean_ndvi, round(avg(m)*1e-4,8)+0e0 AS max_ndvi FROM pc GROUP BY 1""")
+          SELECT yr, CAST(CAST(avg(a)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi, CAST(CAST(avg(m)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS max_ndvi FROM pc GROUP BY 1""")
     names = [s.name for s in NDVI_SEASONS]
-    q.add("V04_seasonal_ndvi", lambda t: round_all(vegetation.seasonal_ndvi(t.signals), *[f"{n}_ndvi" for n in names], digits=8), "signals",
+    q.add("V04_seasonal_ndvi", lambda t: round_all(vegetation.seasonal_ndvi(t.signals), *[f"{n}_ndvi" for n in names]), "signals",
           f"s AS ({seasonal('signals', NDVI_SEASONS)}), pc AS (SELECT cell_id, sy, season, avg(ndvi_dn) FILTER (summary_qa<=1) AS v FROM s GROUP BY 1,2,3) SELECT CAST(sy AS INT) AS yr, "
-          + ", ".join(f"round(avg(v) FILTER (season='{n}')*1e-4,8)+0e0 AS {n}_ndvi" for n in names) + " FROM pc GROUP BY 1")
+          + ", ".join(f"CAST(CAST(avg(v) FILTER (season='{n}')*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS {n}_ndvi" for n in names) + " FROM pc GROUP BY 1")
     q.add("V05_forest_layers", lambda t: vegetation.forest_layers(t.cells), "cells",
           "SELECT cell_id, treecover, CAST(lossyear>0 AS INT) AS loss, gain, lossyear FROM cells")
     q.add("V06_forest_stats", lambda t: vegetation.forest_stats(t.cells), "cells",
@@ -56,10 +56,10 @@ def register(q):
           "y AS (SELECT CAST(unnest(range(1,24)) AS INT) AS k) SELECT k+2000 AS yr, coalesce((SELECT CAST(sum(area_m2) AS DOUBLE)/1e6 FROM cells WHERE lossyear=k AND treecover>=30),0) AS loss_km2 FROM y")
     q.add("V08_cropland", lambda t: vegetation.cropland_area(t.cells), "cells", f"SELECT {km2('worldcover=40')} AS cropland_km2 FROM cells")
     q.add("V09_crop_health", lambda t: round_all(vegetation.crop_health(
-        acq.yearly_composite(t.obs, bands=("nir", "red")), t.signals, 1995, 2000).select("cell_id", "yr", "ndvi_anomaly"), "ndvi_anomaly", digits=10), "obs signals",
+        acq.yearly_composite(t.obs, bands=("nir", "red")), t.signals, 1995, 2000).select("cell_id", "yr", "ndvi_anomaly"), "ndvi_anomaly"), "obs signals",
         f"""comp AS (SELECT cell_id, yr, {MEDIANS} FROM obs WHERE (qa&24)=0 GROUP BY 1,2),
         b AS (SELECT cell_id, avg(ndvi_dn)*1e-4 AS base FROM signals WHERE t>=DATE '1995-01-01' AND t<DATE '2000-12-31' GROUP BY 1)
-        SELECT cell_id, yr, {r(nd('nir','red') + '-base', 10)} AS ndvi_anomaly FROM comp JOIN b USING (cell_id)""")
+        SELECT cell_id, yr, {r(nd('nir','red') + '-base')} AS ndvi_anomaly FROM comp JOIN b USING (cell_id)""")
 
     q.add("O01_rice_detection", lambda t: crops.rice_masks(t.obs).join(
         crops.flood_phase_scenes(t.obs, "aman").select("yr", c("scenes").alias("aman_scenes"), c("unreliable").alias("aman_unreliable")), "yr", "left"), "obs",
@@ -70,16 +70,16 @@ def register(q):
     q.add("O03_crop_types", types, "obs classes", TYPES_SQL + " SELECT * FROM ct")
     q.add("O04_crop_areas", lambda t: crops.crop_areas(types(t), GRID.area()), "obs classes", TYPES_SQL + " " + " UNION ALL ".join(
         f"SELECT yr, {i} AS class, '{n}' AS class_name, {km2(f'crop_type={i}')} AS area_km2 FROM ct GROUP BY 1" for i, n in enumerate(CROP_TYPES)))
-    q.add("O05_monthly_profile", lambda t: round_all(crops.monthly_profile(t.signals, t.cells, (1996, 1998)), "mean_ndvi", digits=8), "cells signals",
+    q.add("O05_monthly_profile", lambda t: round_all(crops.monthly_profile(t.signals, t.cells, (1996, 1998)), "mean_ndvi"), "cells signals",
           """pc AS (SELECT cell_id, yr, mo, avg(ndvi_dn) AS v FROM signals JOIN cells USING (cell_id) WHERE worldcover=40 GROUP BY 1,2,3),
           cal AS (SELECT yr, CAST(unnest(range(1,13)) AS INT) AS mo FROM (SELECT CAST(unnest([1996,1997,1998]) AS INT) AS yr)),
-          pm AS (SELECT yr, mo, round(avg(v)*1e-4,8)+0e0 AS mean_ndvi FROM pc GROUP BY 1,2) SELECT yr, mo, mean_ndvi FROM cal LEFT JOIN pm USING (yr, mo)""")
-    q.add("O06_yield_proxy", lambda t: round_all(crops.yield_proxy(t.signals), "mean_integral", "max_integral", digits=8), "signals",
+          pm AS (SELECT yr, mo, CAST(CAST(avg(v)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi FROM pc GROUP BY 1,2) SELECT yr, mo, mean_ndvi FROM cal LEFT JOIN pm USING (yr, mo)""")
+    q.add("O06_yield_proxy", lambda t: round_all(crops.yield_proxy(t.signals), "mean_integral", "max_integral"), "signals",
           f"""s AS ({seasonal('signals', list(YIELD_WINDOWS.values()))}), pc AS (SELECT season, sy, cell_id, CAST(sum(ndvi_dn) AS BIGINT) AS v FROM s GROUP BY 1,2,3)
-          SELECT season, CAST(sy AS INT) AS yr, round(avg(v)*1e-4,8)+0e0 AS mean_integral, round(max(v)*1e-4,8)+0e0 AS max_integral FROM pc GROUP BY 1,2""")
-    q.add("O07_crop_stress", lambda t: round_all(crops.crop_stress(t.signals, 1995, 2000), "crop_stress", digits=10), "signals",
+          SELECT season, CAST(sy AS INT) AS yr, CAST(CAST(avg(v)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS mean_integral, CAST(CAST(max(v)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS max_integral FROM pc GROUP BY 1,2""")
+    q.add("O07_crop_stress", lambda t: round_all(crops.crop_stress(t.signals, 1995, 2000), "crop_stress"), "signals",
           f"""s AS ({seasonal('signals', CROP_STRESS)}), y AS (SELECT cell_id, sy AS yr, avg(ndvi_dn) AS v FROM s GROUP BY 1,2)
-          SELECT a.cell_id, CAST(a.yr AS INT) AS yr, {r('(any_value(a.v)-avg(b.v))*1e-4', 10)} AS crop_stress FROM y a LEFT JOIN y b ON b.cell_id=a.cell_id AND b.yr<>a.yr AND b.yr BETWEEN 1995 AND 2000 GROUP BY 1,2""")
+          SELECT a.cell_id, CAST(a.yr AS INT) AS yr, {r('(any_value(a.v)-avg(b.v))*1e-4')} AS crop_stress FROM y a LEFT JOIN y b ON b.cell_id=a.cell_id AND b.yr<>a.yr AND b.yr BETWEEN 1995 AND 2000 GROUP BY 1,2""")
     q.add("O08_cropping_intensity", lambda t: crops.cropping_intensity(t.signals, t.cells), "cells signals",
           """m AS (SELECT cell_id, yr, mo, avg(ndvi_dn) AS v FROM signals GROUP BY 1,2,3), k AS (SELECT cell_id, yr, sum(CAST(v*1e-4>0.4e0 AS INT)) AS m FROM m GROUP BY 1,2)
           SELECT cell_id, yr, CASE WHEN worldcover<>40 THEN 0 WHEN m>=9 THEN 3 WHEN m>=6 THEN 2 WHEN m>=3 THEN 1 ELSE 0 END AS intensity FROM k JOIN cells USING (cell_id)""")

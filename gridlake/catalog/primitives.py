@@ -91,7 +91,7 @@ def register(q):
           FROM signals GROUP BY 1,2),
           f AS (SELECT cell_id, light_dn, row_number() OVER (PARTITION BY cell_id ORDER BY t, light_dn) AS rn FROM signals)
           SELECT s.cell_id, avg(ndvi_dn) AS mean, quantile_cont(ndvi_dn,0.5) AS median, min(ndvi_dn) AS min, max(ndvi_dn) AS max,
-          CAST(sum(ndvi_dn) AS BIGINT) AS sum, count(ndvi_dn) AS count, round(stddev_pop(ndvi_dn),6)+0e0 AS std,
+          CAST(sum(ndvi_dn) AS BIGINT) AS sum, count(ndvi_dn) AS count, CAST(CAST(stddev_pop(ndvi_dn) AS FLOAT) AS DOUBLE)+0e0 AS std,
           any_value(m.water_month) AS water_month, any_value(f.light_dn) AS light_dn
           FROM signals s JOIN m ON m.cell_id=s.cell_id AND m.rn=1 JOIN f ON f.cell_id=s.cell_id AND f.rn=1 GROUP BY 1""")
 

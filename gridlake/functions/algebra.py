@@ -104,6 +104,8 @@ def km2_where(condition: Column, area_m2: Column) -> Column:
     return F.sum(F.when(condition, area_m2).otherwise(F.lit(0))) / F.lit(1e6)
 
 
-def rounded(x: Column, digits: int = 6) -> Column:
-    """Round once, at the end; adding zero turns -0.0 into 0.0."""
-    return F.round(x, digits) + F.lit(0.0)
+def rounded(x: Column) -> Column:
+    """Seven significant digits, once, at the end: a floating sum then does not depend on the
+    order of its terms. Binary rounding is used because averages of integers often fall
+    exactly between two decimal neighbours. Adding zero turns -0.0 into 0.0."""
+    return x.cast("float").cast("double") + F.lit(0.0)
