@@ -30,28 +30,34 @@ def _column(keys, reach):
     return Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-reach, reach)
 
 
-def _cross(df: DataFrame, value: str, keys, agg, pick, out: str, row_first: bool) -> DataFrame:
+def _cross(df: DataFrame, outs: dict[str, str], keys, agg, pick, row_first: bool) -> DataFrame:
+    """outs maps an output name to its value column; all values share each window pass."""
     first, second = (_row, _column) if row_first else (_column, _row)
-    df = df.withColumn("_p", agg(value).over(first(keys, 1)))
-    both = pick(F.col("_p"), agg(value).over(second(keys, 1)))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), both)).drop("_p")
+    df = df.withColumns({f"_p_{o}": agg(v).over(first(keys, 1)) for o, v in outs.items()})
+    df = df.withColumns({f"_q_{o}": agg(v).over(second(keys, 1)) for o, v in outs.items()})
+    both = {o: F.when(F.col(v).isNotNull(), pick(F.col(f"_p_{o}"), F.col(f"_q_{o}"))) for o, v in outs.items()}
+    return df.withColumns(both).drop(*[f"_{k}_{o}" for o in outs for k in "pq"])
 
 
 def focal_min(df: DataFrame, value: str, keys=(), out: str = "eroded") -> DataFrame:
     """Minimum over the cell and its four neighbours; masked neighbours are ignored."""
-    return _cross(df, value, keys, F.min, F.least, out, row_first=True)
+    return _cross(df, {out: value}, keys, F.min, F.least, row_first=True)
 
 
 def focal_max(df: DataFrame, value: str, keys=(), out: str = "dilated", row_first: bool = True) -> DataFrame:
     """Maximum over the cell and its four neighbours; masked neighbours are ignored."""
-    return _cross(df, value, keys, F.max, F.greatest, out, row_first=row_first)
+    return _cross(df, {out: value}, keys, F.max, F.greatest, row_first=row_first)
+
+
+def openings(df: DataFrame, outs: dict[str, str], keys=()) -> DataFrame:
+    """Erosion then dilation of several masks at once: {output: value}. Three shuffles in all,
+    whatever the number of masks; the dilation starts along columns, where the erosion ended."""
+    eroded = _cross(df, {f"_e_{o}": v for o, v in outs.items()}, keys, F.min, F.least, row_first=True)
+    return _cross(eroded, {o: f"_e_{o}" for o in outs}, keys, F.max, F.greatest, row_first=False).drop(*[f"_e_{o}" for o in outs])
 
 
 def opening(df: DataFrame, value: str, keys=(), out: str = "opened") -> DataFrame:
-    """Erosion then dilation. The dilation starts along columns, where the erosion
-    ended, so that step needs no new shuffle."""
-    eroded = focal_min(df, value, keys, "_e")
-    return focal_max(eroded, "_e", keys, out, row_first=False).drop("_e")
+    return openings(df, {out: value}, keys)
 
 
 def neighbour(value: str, dx: int = 0, dy: int = 0, keys=()) -> Column:
@@ -90,8 +96,9 @@ def apply_tiled(df: DataFrame, value: str, radius: int, outputs, kernel: Callabl
     """Run ``kernel(array) -> {output: array}`` on tiles with a halo.
 
     ``array`` is the (tile + 2 radius)^2 block with NaN for missing cells; outputs are
-    tile x tile. Result: the input rows plus one DOUBLE column per output."""
-    tile = tile or max(64, 2 * radius)
+    tile x tile. Result: the input rows plus one DOUBLE column per output. A block is bounded by
+    its side, not by the data; beyond a radius of some 500 cells use ``coarsen`` first."""
+    tile = tile or max(64, min(2 * radius, 1024))
     fields = df.schema.fields
     names = [f.name for f in fields]
     schema = T.StructType(fields + [T.StructField(o, T.DoubleType()) for o in outputs])

@@ -23,11 +23,6 @@ def by_zone(values: DataFrame, zone_cells: DataFrame, keys, *aggs) -> DataFrame:
     return values.join(zone_cells, "cell_id").groupBy(*keys).agg(*aggs)
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint for frames whose row count is bounded by construction (one row per zone or year)."""
-    return F.broadcast(df)
-
-
 def area_by_class(df: DataFrame, class_col: str, area: Column, classes: dict, keys=()) -> DataFrame:
     """km2 of every listed class; an absent class gives 0.
 

@@ -80,19 +80,22 @@ def in_corridors(cells: DataFrame, segs: DataFrame, key, buffer: Column, tile: i
     return cand.filter(near).select(*keys, "cell_id", "x", "y").distinct()
 
 
-def in_polygons(cells: DataFrame, edges: DataFrame, key: str = "zone_id", tile: int = TILE) -> DataFrame:
-    """Even-odd rule. edges(key, ax, ay, bx, by): a cell is inside when an odd number of
-    edges of the zone cross the ray from it toward growing x. Edges are binned by the rows
-    they span, cells join on the row, and parity is one grouped count."""
+def in_polygons(cells: DataFrame, edges: DataFrame, key: str = "zone_id") -> DataFrame:
+    """Even-odd rule by scan lines. edges(key, ax, ay, bx, by): every edge yields its crossing
+    with each raster row it spans; sorted crossings of a (zone, row) pair up into inside
+    intervals, which are expanded to cells and joined on (x, y). The work follows the number
+    of inside cells, not cells times edges; a window holds the crossings of one row."""
+    from pyspark.sql import Window
     c = F.col
-    rows = edges.filter(c("ay") != c("by")).withColumn(
-        "_y", F.explode(F.sequence(F.ceil(F.least("ay", "by")).cast("int"),
-                                   F.floor(F.greatest("ay", "by")).cast("int"))))
-    hit = cells.join(rows, cells["y"] == rows["_y"]).filter(
-        (F.least("ay", "by") <= c("y")) & (c("y") < F.greatest("ay", "by"))
-        & (c("x") < c("ax") + (c("y") - c("ay")) * (c("bx") - c("ax")) / (c("by") - c("ay"))))
-    return (hit.groupBy(key, "cell_id", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(c("_n") % 2 == 1).drop("_n"))
+    rows = (edges.filter(c("ay") != c("by"))
+            .withColumn("y", F.explode(F.sequence(F.ceil(F.least("ay", "by")).cast("int"), F.floor(F.greatest("ay", "by")).cast("int"))))
+            .filter((F.least("ay", "by") <= c("y")) & (c("y") < F.greatest("ay", "by"))))
+    cross = rows.select(key, "y", (c("ax") + (c("y") - c("ay")) * (c("bx") - c("ax")) / (c("by") - c("ay"))).alias("_c"))
+    w = Window.partitionBy(key, "y").orderBy("_c")
+    spans = cross.withColumns({"_n": F.row_number().over(w), "_d": F.lead("_c").over(w)}).filter(c("_n") % 2 == 1)
+    spans = spans.withColumns({"_a": F.ceil("_c").cast("int"), "_b": (F.ceil("_d") - 1).cast("int")}).filter(c("_a") <= c("_b"))
+    inside = spans.select(key, "y", F.explode(F.sequence("_a", "_b")).alias("x"))
+    return cells.join(inside, ["x", "y"]).select(key, "cell_id", "x", "y")
 
 
 def lookup(zones: DataFrame, level: str | None = None, names=None) -> DataFrame:

@@ -36,9 +36,7 @@ def annual_extents(obs: DataFrame, grid: Grid, years=None) -> DataFrame:
 
     The monsoon area is raised to the dry area when smaller (clamped = 1); seasonal_km2
     is their difference, seasonal_mask_km2 the area of the flood mask itself."""
-    opened = grid.attach(seasonal_masks(obs, years))
-    for name in ("dry", "monsoon", "flood"):
-        opened = focal.opening(opened, name, ["yr"], f"_{name}")
+    opened = focal.openings(grid.attach(seasonal_masks(obs, years)), {f"_{n}": n for n in ("dry", "monsoon", "flood")}, ["yr"])
     areas = opened.groupBy("yr").agg(*[A.km2(F.col(f"_{n}"), F.col("area_m2")).alias(f"_{n}_km2")
                                        for n in ("dry", "monsoon", "flood")])
     dry, monsoon = F.col("_dry_km2"), F.col("_monsoon_km2")

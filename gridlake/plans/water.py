@@ -21,15 +21,15 @@ def classify(composite: DataFrame, keys=(), method: str = "fixed", thresholds=(0
         return composite.withColumn(out, I.water_vote(*thresholds))
     if method != "otsu":
         raise ValueError(f"unknown water method: {method}")
-    indexed = I.with_water_indices(composite)
-    k = list(keys)
-    limits = None
-    for name, default in zip(("ndwi", "mndwi", "awei"), thresholds):
-        one = otsu_or_default(indexed, name, k, default, f"{name}_t")
-        limits = one if limits is None else limits.join(one, k)
-    return (composite.join(limits, k)
-            .withColumn(out, I.water_vote(F.col("ndwi_t"), F.col("mndwi_t"), F.col("awei_t")))
-            .drop("ndwi_t", "mndwi_t", "awei_t"))
+    k, names = list(keys), ("ndwi", "mndwi", "awei")
+    rows = F.array(*[F.struct(F.lit(n).alias("_i"), F.col(n).alias("_v")) for n in names])
+    stacked = I.with_water_indices(composite).select(*k, F.inline(rows))
+    found = histogram.otsu(stacked, "_v", k + ["_i"], out="_t")
+    limits = found.groupBy(*k).agg(*[F.max(F.when(F.col("_i") == n, F.col("_t"))).alias(f"_{n}_t") for n in names])
+    bounds = [F.coalesce(F.col(f"_{n}_t"), F.lit(float(d))) for n, d in zip(names, thresholds)]
+    joined = composite.join(limits, k, "left") if k else composite.withColumns(
+        {f"_{n}_t": limits.select(f"_{n}_t").scalar() for n in names})
+    return joined.withColumn(out, I.water_vote(*bounds)).drop(*[f"_{n}_t" for n in names])
 
 
 def otsu_or_default(df: DataFrame, value: str, keys, default: float = 0.0, out: str = "threshold") -> DataFrame:

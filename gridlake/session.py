@@ -14,7 +14,7 @@ def local_session(cores: int = 8, name: str = "gridlake") -> SparkSession:
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.driver.memory", os.environ.get("GRIDLAKE_DRIVER_MEMORY", "8g"))
              .config("spark.ui.enabled", "false")
-             .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
+             .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
