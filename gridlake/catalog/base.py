@@ -51,7 +51,7 @@ def norm(x: str, lo, hi) -> str:
 
 def r(x: str) -> str:
     """Seven significant digits, as ``algebra.rounded``."""
-    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)+0e0"
+    return f"CAST(CAST(round({x},10) AS FLOAT) AS DOUBLE)+0e0"
 
 
 BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")

@@ -79,14 +79,14 @@ def register(q):
         f"SELECT {y} AS yr, {km2('worldcover=95' if y >= 2020 else 'treecover>30 AND elevation<10')} AS mangrove_km2 FROM cells"
         for y in (2000, 2015, 2020, 2021)))
     q.add("C05_mangrove_health", lambda t: round_all(coast.mangrove_health(t.signals, t.cells), "mean_ndvi", "std_ndvi"), "cells signals",
-          HEALTH_SQL + """ SELECT yr, CAST(CAST(avg(v)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi, CAST(CAST(stddev_pop(v)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS std_ndvi FROM pc JOIN cells USING (cell_id)
+          HEALTH_SQL + """ SELECT yr, CAST(CAST(round(avg(v)*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi, CAST(CAST(round(stddev_pop(v)*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS std_ndvi FROM pc JOIN cells USING (cell_id)
           WHERE treecover>30 AND elevation<10 GROUP BY 1""")
     q.add("C06_mangrove_loss", lambda t: coast.mangrove_loss(t.cells, 2003, 2015), "cells",
           f"SELECT {km2('lossyear>0 AND lossyear BETWEEN 3 AND 15 AND treecover>30 AND elevation<10')} AS mangrove_loss_km2 FROM cells")
     q.add("C07_cyclone_ndvi_drop", lambda t: round_all(cyclones.ndvi_drop(t.signals, t.disc_cells), "mean_drop", "max_drop"), "cells discs signals",
           DISC_CELLS + """, pc AS (SELECT disc, dc.cell_id, (avg(ndvi_dn) FILTER (t<event_date)-avg(ndvi_dn) FILTER (t>=event_date))*1e-4 AS d
           FROM dc JOIN signals s ON s.cell_id=dc.cell_id AND t>=event_date - INTERVAL 3 MONTH AND t<event_date + INTERVAL 3 MONTH GROUP BY 1,2)
-          SELECT disc, CAST(CAST(avg(d) AS FLOAT) AS DOUBLE)+0e0 AS mean_drop, CAST(CAST(max(d) AS FLOAT) AS DOUBLE)+0e0 AS max_drop FROM pc GROUP BY 1""")
+          SELECT disc, CAST(CAST(round(avg(d),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_drop, CAST(CAST(round(max(d),10) AS FLOAT) AS DOUBLE)+0e0 AS max_drop FROM pc GROUP BY 1""")
     q.add("C08_new_land", lambda t: coast.new_land(land_wide(t), 1996, 2000).select("cell_id", "new_land"), "cells obs",
           LAND_SQL + " SELECT cell_id, w_1996*(1-w_2000) AS new_land FROM lw")
     q.add("C09_accretion_series", lambda t: coast.accretion_series(land_wide(t), LAND_YEARS, t.zone_cells), "cells zones obs",
@@ -101,7 +101,7 @@ def register(q):
     q.add("C11_vulnerability", lambda t: round_all(coast.vulnerability(coast.new_land(land_wide(t), 1996, 2000).join(
         t.cells.select("cell_id", "occurrence"), "cell_id")), "mean_occurrence"), "cells obs",
         LAND_SQL + f""" SELECT {km2('w_1996*(1-w_2000)=1 AND occurrence>=25', 'lw.area_m2')} AS vulnerable_km2,
-        CAST(CAST(coalesce(avg(occurrence) FILTER (w_1996*(1-w_2000)=1),0) AS FLOAT) AS DOUBLE)+0e0 AS mean_occurrence FROM lw JOIN cells USING (cell_id)""")
+        CAST(CAST(round(coalesce(avg(occurrence) FILTER (w_1996*(1-w_2000)=1),0),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_occurrence FROM lw JOIN cells USING (cell_id)""")
 
     q.add("D01_window_composites", lambda t: cyclones.window_composites(t.obs, t.disc_cells), "cells discs obs", WINDOWS_SQL + " SELECT * FROM wc")
     stats = ("mean_drop", "max_drop", "p25_drop", "p75_drop", "mean_pre", "mean_post")
@@ -135,5 +135,5 @@ def register(q):
                                               "r_squared", "rmse", "mae"), "cells zones obs",
           zp + """, tr AS (SELECT zone, CAST(count(*)*900 AS DOUBLE)/1e6 AS census_km2 FROM cells JOIN zc USING (cell_id) WHERE occurrence>=50 GROUP BY 1),
           j AS (SELECT pond_km2-census_km2 AS e, census_km2 FROM zp JOIN tr USING (zone))
-          SELECT count(*) AS n, CAST(CAST(1e0-sum(e*e)/nullif(var_pop(census_km2)*count(*),0) AS FLOAT) AS DOUBLE)+0e0 AS r_squared, CAST(CAST(sqrt(avg(e*e)) AS FLOAT) AS DOUBLE)+0e0 AS rmse,
-          CAST(CAST(avg(abs(e)) AS FLOAT) AS DOUBLE)+0e0 AS mae FROM j""")
+          SELECT count(*) AS n, CAST(CAST(round(1e0-sum(e*e)/nullif(var_pop(census_km2)*count(*),0),10) AS FLOAT) AS DOUBLE)+0e0 AS r_squared, CAST(CAST(round(sqrt(avg(e*e)),10) AS FLOAT) AS DOUBLE)+0e0 AS rmse,
+          CAST(CAST(round(avg(abs(e)),10) AS FLOAT) AS DOUBLE)+0e0 AS mae FROM j""")

@@ -115,16 +115,16 @@ def register(q):
         ON b.x BETWEEN a.x-5 AND a.x+5 AND b.y BETWEEN a.y-5 AND a.y+5 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=25 GROUP BY 1)
         SELECT inp.cell_id, yr, light, {clamp('(built/10000e0)', 0, 1)} AS built_fraction, ndvi, cropland_fraction FROM inp JOIN cf USING (cell_id)""")
     q.add("X02_deprivation_index", lambda t: round_all(deprivation(t).select("cell_id", "yr", "deprivation"), "deprivation"), "settlement signals",
-          DEP_SQL + " SELECT cell_id, yr, CAST(CAST(d AS FLOAT) AS DOUBLE)+0e0 AS deprivation FROM dep")
+          DEP_SQL + " SELECT cell_id, yr, CAST(CAST(round(d,10) AS FLOAT) AS DOUBLE)+0e0 AS deprivation FROM dep")
     q.add("X03_deprivation_levels", lambda t: deprivation(t).select("cell_id", "yr", composite.deprivation_level(F.round("deprivation", 10)).alias("level")), "settlement signals",
           DEP_SQL + " SELECT cell_id, yr, CASE WHEN d IS NULL THEN NULL WHEN round(d,10)<0.25 THEN 1 WHEN round(d,10)<0.5 THEN 2 WHEN round(d,10)<0.75 THEN 3 ELSE 4 END AS level FROM dep")
     q.add("X04_division_stats", lambda t: round_all(composite.stats_by_zone(deprivation(t), "deprivation", t.zone_cells, "division"), "mean", "median"), "cells zones settlement signals",
-          ZONE_CELLS + "," + DEP_SQL + " SELECT division, yr, CAST(CAST(avg(d) AS FLOAT) AS DOUBLE)+0e0 AS mean, CAST(CAST(quantile_cont(d,0.5) AS FLOAT) AS DOUBLE)+0e0 AS median FROM dep JOIN zc USING (cell_id) GROUP BY 1,2")
+          ZONE_CELLS + "," + DEP_SQL + " SELECT division, yr, CAST(CAST(round(avg(d),10) AS FLOAT) AS DOUBLE)+0e0 AS mean, CAST(CAST(round(quantile_cont(d,0.5),10) AS FLOAT) AS DOUBLE)+0e0 AS median FROM dep JOIN zc USING (cell_id) GROUP BY 1,2")
     q.add("X05_index_change", lambda t: round_all(composite.index_change(deprivation(t), "deprivation", 1996, 2000), "change"), "settlement signals",
-          DEP_SQL + " SELECT cell_id, CAST(CAST(max(d) FILTER (yr=2000)-max(d) FILTER (yr=1996) AS FLOAT) AS DOUBLE)+0e0 AS change FROM dep WHERE yr IN (1996,2000) GROUP BY 1")
+          DEP_SQL + " SELECT cell_id, CAST(CAST(round(max(d) FILTER (yr=2000)-max(d) FILTER (yr=1996),10) AS FLOAT) AS DOUBLE)+0e0 AS change FROM dep WHERE yr IN (1996,2000) GROUP BY 1")
     q.add("X06_zone_ranking", lambda t: round_all(composite.zone_ranking(deprivation(t), "deprivation", t.zone_cells, "zone"), "mean"), "cells zones settlement signals",
           ZONE_CELLS + "," + DEP_SQL + """, zm AS (SELECT zone, yr, avg(d) AS m FROM dep JOIN zc USING (cell_id) GROUP BY 1,2)
-          SELECT zone, yr, CAST(CAST(m AS FLOAT) AS DOUBLE)+0e0 AS mean, CAST(row_number() OVER (PARTITION BY yr ORDER BY round(m,9) DESC, zone) AS INT) AS rank FROM zm""")
+          SELECT zone, yr, CAST(CAST(round(m,10) AS FLOAT) AS DOUBLE)+0e0 AS mean, CAST(row_number() OVER (PARTITION BY yr ORDER BY round(m,9) DESC, zone) AS INT) AS rank FROM zm""")
     q.add("X08_building_density", lambda t: composite.building_density(t.settlement, 5), "settlement", DENSITY_SQL + " SELECT epoch, cell_id, building_density FROM bd")
     q.add("X09_vegetation_deficit", lambda t: vegetation.annual_max(t.signals).select("cell_id", "yr", composite.vegetation_deficit(c("ndvi")).alias("veg_deficit")), "signals",
           NDVI_SQL + f" SELECT cell_id, yr, {VDEF} AS veg_deficit FROM nv")
@@ -138,7 +138,7 @@ def register(q):
           f"SELECT cell_id, epoch, {CROWD} AS overcrowding FROM settlement")
     q.add("X13_light_deficit", lambda t: inputs(t).select("cell_id", "yr", composite.light_deficit(composite.L.light_norm(c("light"), c("yr"), LAST_A), c("built")).alias("light_deficit")), "settlement signals",
           INPUT_SQL + f" SELECT cell_id, yr, {LDEF} AS light_deficit FROM inp")
-    q.add("X14_settlement_index", lambda t: round_all(slum(t), "slum_index"), "settlement signals", SLUM_SQL + " SELECT cell_id, yr, CAST(CAST(v AS FLOAT) AS DOUBLE)+0e0 AS slum_index FROM sl")
+    q.add("X14_settlement_index", lambda t: round_all(slum(t), "slum_index"), "settlement signals", SLUM_SQL + " SELECT cell_id, yr, CAST(CAST(round(v,10) AS FLOAT) AS DOUBLE)+0e0 AS slum_index FROM sl")
     q.add("X15_risk_classes", lambda t: slum(t).select("cell_id", "yr", composite.risk_class(F.round("slum_index", 10)).alias("risk")), "settlement signals",
           SLUM_SQL + ", rr AS (SELECT cell_id, yr, round(v,10) AS v FROM sl) SELECT cell_id, yr, CASE WHEN v IS NULL THEN 0 WHEN v<0.3 THEN 1 WHEN v<0.5 THEN 2 WHEN v<0.7 THEN 3 ELSE 4 END AS risk FROM rr")
     q.add("X16_index_area", lambda t: composite.index_area(slum(t), GRID.area(), 0.5), "settlement signals",
@@ -147,7 +147,7 @@ def register(q):
           SLUM_SQL + """, w AS (SELECT cell_id, CAST(max(v) FILTER (yr=1996)>0.5 AS INT) AS s1, CAST(max(v) FILTER (yr=2000)>0.5 AS INT) AS s2 FROM sl WHERE yr IN (1996,2000) GROUP BY 1)
           SELECT CAST(sum(s2*(1-s1)*900) AS DOUBLE)/1e6 AS new_slum_km2, CAST(sum(s1*(1-s2)*900) AS DOUBLE)/1e6 AS cleared_slum_km2 FROM w""")
     q.add("X17_known_areas", lambda t: round_all(composite.known_areas(slum(t), t.disc_cells, "disc"), "mean_index", "max_index"), "cells discs settlement signals",
-          DISC_CELLS + "," + SLUM_SQL + " SELECT disc, yr, CAST(CAST(avg(v) AS FLOAT) AS DOUBLE)+0e0 AS mean_index, CAST(CAST(max(v) AS FLOAT) AS DOUBLE)+0e0 AS max_index FROM sl JOIN dc USING (cell_id) GROUP BY 1,2")
+          DISC_CELLS + "," + SLUM_SQL + " SELECT disc, yr, CAST(CAST(round(avg(v),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_index, CAST(CAST(round(max(v),10) AS FLOAT) AS DOUBLE)+0e0 AS max_index FROM sl JOIN dc USING (cell_id) GROUP BY 1,2")
     q.add("X18_waterlogging", waterlog, "obs", SEASON_W + " SELECT s.cell_id, s.yr, fl.w AS waterlog FROM (SELECT DISTINCT cell_id, yr FROM sw) s LEFT JOIN fl ON fl.cell_id=s.cell_id AND fl.yr=s.yr")
     q.add("X19_heat_stress", lambda t: composite.heat_count(t.signals), "signals", HEAT_SQL + " SELECT * FROM ht")
 
@@ -158,13 +158,13 @@ def register(q):
     q.add("X20_water_habitat", x20, "obs classes", f"""mz AS ({seasonal('obs', MONSOON)}), mc AS (SELECT cell_id, CAST(sy AS INT) AS yr, {MEDIANS} FROM mz WHERE (qa&24)=0 GROUP BY 1,2),
         cz AS ({seasonal('classes', MONSOON)}), cm AS (SELECT cell_id, sy, label FROM (SELECT cell_id, sy, label, row_number() OVER (PARTITION BY cell_id, sy ORDER BY count(*) DESC, label) AS rn FROM cz GROUP BY 1,2,3) WHERE rn=1)
         SELECT mc.cell_id, mc.yr, CAST(CAST({nd('nir','swir1')}>0 AS INT)+CAST(label=3 AS INT)>0 AS INT) AS habitat FROM mc JOIN cm ON cm.cell_id=mc.cell_id AND cm.sy=mc.yr""")
-    q.add("X21_pollution_risk", lambda t: round_all(pollution(t), "pollution_risk"), "signals", POLLUTION_SQL + " SELECT cell_id, yr, CAST(CAST(pollution_risk AS FLOAT) AS DOUBLE)+0e0 AS pollution_risk FROM po")
+    q.add("X21_pollution_risk", lambda t: round_all(pollution(t), "pollution_risk"), "signals", POLLUTION_SQL + " SELECT cell_id, yr, CAST(CAST(round(pollution_risk,10) AS FLOAT) AS DOUBLE)+0e0 AS pollution_risk FROM po")
     q.add("X22_hazard_map", lambda t: composite.hazard_map(t.cells, t.disc_cells), "cells discs",
           DISC_CELLS + " SELECT cell_id, CAST(cell_id IN (SELECT cell_id FROM dc) AS INT) AS hazard FROM cells")
     q.add("X23_health_index", lambda t: round_all(health(t).select("cell_id", "yr", "health_risk"), "health_risk"), "obs settlement signals",
-          HEALTH_SQL + f" SELECT cell_id, yr, CAST(CAST({weighted_sql(HEALTH_PARTS)} AS FLOAT) AS DOUBLE)+0e0 AS health_risk FROM hi")
+          HEALTH_SQL + f" SELECT cell_id, yr, CAST(CAST(round({weighted_sql(HEALTH_PARTS)},10) AS FLOAT) AS DOUBLE)+0e0 AS health_risk FROM hi")
     q.add("X23b_health_series", lambda t: round_all(health(t, ("pollution",)).groupBy("yr").agg(F.avg("health_risk").alias("mean_risk")), "mean_risk"), "obs settlement signals",
-          HEALTH_SQL + f" SELECT yr, CAST(CAST(avg({weighted_sql(HEALTH_PARTS[:3] + HEALTH_PARTS[4:])}) AS FLOAT) AS DOUBLE)+0e0 AS mean_risk FROM hi GROUP BY 1")
+          HEALTH_SQL + f" SELECT yr, CAST(CAST(round(avg({weighted_sql(HEALTH_PARTS[:3] + HEALTH_PARTS[4:])}),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_risk FROM hi GROUP BY 1")
 
     q.add("B01_dry_season_lst", lambda t: kilns.dry_lst(t.signals), "signals", KLST_SQL + " SELECT cell_id, yr, lst_c FROM kl")
     q.add("B02_season_composite", lambda t: kiln_composite(t), "cells discs obs", DISC_CELLS + "," + KSPEC_SQL + " SELECT cell_id, yr, blue, red, nir, swir1 FROM kc")
@@ -173,7 +173,7 @@ def register(q):
     q.add("B04_spectral_mask", lambda t: kilns.candidate_areas(kiln_mask(t), GRID.area()), "cells discs obs",
           DISC_CELLS + "," + KSPEC_SQL + " SELECT yr, CAST(sum(kiln*900) AS DOUBLE)/1e6 AS candidate_km2 FROM km GROUP BY 1")
     q.add("B05_zone_density", lambda t: round_all(kilns.density_by_zone(hot(t), t.zone_cells, "zone"), "hotspot_share"), "cells zones signals",
-          ZONE_CELLS + "," + KLST_SQL + " SELECT zone, yr, CAST(sum(hotspot) AS BIGINT) AS hotspot_cells, CAST(CAST(avg(hotspot) AS FLOAT) AS DOUBLE)+0e0 AS hotspot_share FROM kh JOIN zc USING (cell_id) GROUP BY 1,2")
+          ZONE_CELLS + "," + KLST_SQL + " SELECT zone, yr, CAST(sum(hotspot) AS BIGINT) AS hotspot_cells, CAST(CAST(round(avg(hotspot),10) AS FLOAT) AS DOUBLE)+0e0 AS hotspot_share FROM kh JOIN zc USING (cell_id) GROUP BY 1,2")
     ser = DISC_CELLS + "," + KLST_SQL + "," + KSPEC_SQL + """, ka AS (SELECT yr, CAST(sum(hotspot*900) AS DOUBLE)/1e6 AS hotspot_km2 FROM kh GROUP BY 1),
         kk AS (SELECT yr, CAST(sum(kiln*900) AS DOUBLE)/1e6 AS candidate_km2 FROM km GROUP BY 1), kse AS (SELECT yr, hotspot_km2, candidate_km2 FROM ka FULL JOIN kk USING (yr))"""
 

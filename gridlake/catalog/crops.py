@@ -43,11 +43,11 @@ def register(q):
           FROM signals WHERE {CALENDAR} GROUP BY 1,2""")
     q.add("V03_ndvi_series", lambda t: round_all(vegetation.ndvi_series(t.signals), "mean_ndvi", "max_ndvi"), "signals",
           f"""pc AS (SELECT cell_id, yr, avg(ndvi_dn) AS a, max(ndvi_dn) AS m FROM signals WHERE {CALENDAR} AND summary_qa<=1 GROUP BY 1,2)
-          SELECT yr, CAST(CAST(avg(a)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi, CAST(CAST(avg(m)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS max_ndvi FROM pc GROUP BY 1""")
+          SELECT yr, CAST(CAST(round(avg(a)*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi, CAST(CAST(round(avg(m)*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS max_ndvi FROM pc GROUP BY 1""")
     names = [s.name for s in NDVI_SEASONS]
     q.add("V04_seasonal_ndvi", lambda t: round_all(vegetation.seasonal_ndvi(t.signals), *[f"{n}_ndvi" for n in names]), "signals",
           f"s AS ({seasonal('signals', NDVI_SEASONS)}), pc AS (SELECT cell_id, sy, season, avg(ndvi_dn) FILTER (summary_qa<=1) AS v FROM s GROUP BY 1,2,3) SELECT CAST(sy AS INT) AS yr, "
-          + ", ".join(f"CAST(CAST(avg(v) FILTER (season='{n}')*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS {n}_ndvi" for n in names) + " FROM pc GROUP BY 1")
+          + ", ".join(f"CAST(CAST(round(avg(v) FILTER (season='{n}')*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS {n}_ndvi" for n in names) + " FROM pc GROUP BY 1")
     q.add("V05_forest_layers", lambda t: vegetation.forest_layers(t.cells), "cells",
           "SELECT cell_id, treecover, CAST(lossyear>0 AS INT) AS loss, gain, lossyear FROM cells")
     q.add("V06_forest_stats", lambda t: vegetation.forest_stats(t.cells), "cells",
@@ -73,10 +73,10 @@ def register(q):
     q.add("O05_monthly_profile", lambda t: round_all(crops.monthly_profile(t.signals, t.cells, (1996, 1998)), "mean_ndvi"), "cells signals",
           """pc AS (SELECT cell_id, yr, mo, avg(ndvi_dn) AS v FROM signals JOIN cells USING (cell_id) WHERE worldcover=40 GROUP BY 1,2,3),
           cal AS (SELECT yr, CAST(unnest(range(1,13)) AS INT) AS mo FROM (SELECT CAST(unnest([1996,1997,1998]) AS INT) AS yr)),
-          pm AS (SELECT yr, mo, CAST(CAST(avg(v)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi FROM pc GROUP BY 1,2) SELECT yr, mo, mean_ndvi FROM cal LEFT JOIN pm USING (yr, mo)""")
+          pm AS (SELECT yr, mo, CAST(CAST(round(avg(v)*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi FROM pc GROUP BY 1,2) SELECT yr, mo, mean_ndvi FROM cal LEFT JOIN pm USING (yr, mo)""")
     q.add("O06_yield_proxy", lambda t: round_all(crops.yield_proxy(t.signals), "mean_integral", "max_integral"), "signals",
           f"""s AS ({seasonal('signals', list(YIELD_WINDOWS.values()))}), pc AS (SELECT season, sy, cell_id, CAST(sum(ndvi_dn) AS BIGINT) AS v FROM s GROUP BY 1,2,3)
-          SELECT season, CAST(sy AS INT) AS yr, CAST(CAST(avg(v)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS mean_integral, CAST(CAST(max(v)*1e-4 AS FLOAT) AS DOUBLE)+0e0 AS max_integral FROM pc GROUP BY 1,2""")
+          SELECT season, CAST(sy AS INT) AS yr, CAST(CAST(round(avg(v)*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS mean_integral, CAST(CAST(round(max(v)*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS max_integral FROM pc GROUP BY 1,2""")
     q.add("O07_crop_stress", lambda t: round_all(crops.crop_stress(t.signals, 1995, 2000), "crop_stress"), "signals",
           f"""s AS ({seasonal('signals', CROP_STRESS)}), y AS (SELECT cell_id, sy AS yr, avg(ndvi_dn) AS v FROM s GROUP BY 1,2)
           SELECT a.cell_id, CAST(a.yr AS INT) AS yr, {r('(any_value(a.v)-avg(b.v))*1e-4')} AS crop_stress FROM y a LEFT JOIN y b ON b.cell_id=a.cell_id AND b.yr<>a.yr AND b.yr BETWEEN 1995 AND 2000 GROUP BY 1,2""")

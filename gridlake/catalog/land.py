@@ -52,7 +52,7 @@ def register(q):
     q.add("L06b_transition_areas", lambda t: landcover.transition_areas(landcover.transitions(t.classes, 1996, 2000), GRID.area()), "classes",
           TRANS_SQL + " SELECT c1, c2, CAST(count(*)*900 AS DOUBLE)/1e6 AS area_km2 FROM tr WHERE c1<>c2 GROUP BY 1,2")
     q.add("L07_proportion_series", lambda t: round_all(landcover.proportion_series(t.classes), *DW_CLASSES), "classes",
-          f"pr AS (SELECT cell_id, yr, {PROB} FROM classes WHERE {CALENDAR} GROUP BY 1,2) SELECT yr, " + ", ".join(f"CAST(CAST(avg({n}) AS FLOAT) AS DOUBLE)+0e0 AS {n}" for n in DW_CLASSES)
+          f"pr AS (SELECT cell_id, yr, {PROB} FROM classes WHERE {CALENDAR} GROUP BY 1,2) SELECT yr, " + ", ".join(f"CAST(CAST(round(avg({n}),10) AS FLOAT) AS DOUBLE)+0e0 AS {n}" for n in DW_CLASSES)
           + " FROM pr GROUP BY 1")
     q.add("L08_area_series", lambda t: landcover.area_series(landcover.yearly_mode(t.classes), GRID.area()), "classes",
           MODE_SQL + " SELECT yr, " + ", ".join(f"{km2(f'label={i}')} AS {n}" for i, n in enumerate(IGBP_CLASSES)) + " FROM md GROUP BY 1")

@@ -92,7 +92,7 @@ def register(q):
     q.add("J05_connectivity", lambda t: round_all(transport.connectivity(raster(t), F.lit(2000), (), 1000.0, 9500.0).select(
         "cell_id", "connectivity"), "connectivity"), "settlement signals",
         RASTER_SQL + ", m AS (SELECT cell_id, x, y, CAST(built>9500 AS INT) AS w FROM ra), "
-        f"dd AS (SELECT a.cell_id, {nearest_sql('m')} AS d FROM m a) SELECT cell_id, CAST(CAST({clamp('((1-' + norm('d*1000e0', 0, 50000) + ')*(' + norm('light', 0, 63) + '+0.1e0))', 0, 1)} AS FLOAT) AS DOUBLE)+0e0 AS connectivity FROM ra JOIN dd USING (cell_id)")
+        f"dd AS (SELECT a.cell_id, {nearest_sql('m', '1e9')} AS d FROM m a) SELECT cell_id, CAST(CAST(round({clamp('((1-' + norm('d*1000e0', 0, 50000) + ')*(' + norm('light', 0, 63) + '+0.1e0))', 0, 1)},10) AS FLOAT) AS DOUBLE)+0e0 AS connectivity FROM ra JOIN dd USING (cell_id)")
     q.add("J06_construction_hotspots", lambda t: settlement.hotspots(
         GRID.attach(settlement.construction_between(modes(t), 1996, 2000)), 6), "classes",
         MODE_SQL + """, co AS (SELECT p.cell_id, CAST(p.cell_id%64 AS INT) AS x, CAST(floor(p.cell_id/64) AS INT) AS y, CAST(p.c1<>6 AS INT)*CAST(p.c2=6 AS INT) AS w FROM
@@ -106,22 +106,22 @@ def register(q):
           f"SELECT epoch, {km2('smod>=22')} AS urban_km2, {km2('smod=21')} AS peri_urban_km2, {km2('smod=13')} AS rural_cluster_km2, {km2('smod IN (11,12)')} AS low_density_km2 FROM settlement GROUP BY 1")
     q.add("T02_accessibility", lambda t: round_all(transport.accessibility(raster(t)).select("cell_id", "accessibility"), "accessibility"),
           "settlement signals", RASTER_SQL + ", m AS (SELECT cell_id, x, y, CAST(smod>=22 AS INT) AS w FROM ra), "
-          f"dd AS (SELECT a.cell_id, {nearest_sql('m')} AS d FROM m a) SELECT cell_id, CAST(CAST({clamp('(' + norm('light', 0, 50) + '*0.4e0+' + norm('population', 0, 5000) + '*0.4e0+(1-' + norm('d*1000e0', 0, 100000) + ')*0.2e0)', 0, 1)} AS FLOAT) AS DOUBLE)+0e0 AS accessibility FROM ra JOIN dd USING (cell_id)")
+          f"dd AS (SELECT a.cell_id, {nearest_sql('m', '1e9')} AS d FROM m a) SELECT cell_id, CAST(CAST(round({clamp('(' + norm('light', 0, 50) + '*0.4e0+' + norm('population', 0, 5000) + '*0.4e0+(1-' + norm('d*1000e0', 0, 100000) + ')*0.2e0)', 0, 1)},10) AS FLOAT) AS DOUBLE)+0e0 AS accessibility FROM ra JOIN dd USING (cell_id)")
     under = RASTER_SQL + f", un AS (SELECT *, {clamp('(' + norm('population', 0, 5000) + '*(1-' + norm('light', 0, 50) + '))', 0, 1)} AS ui FROM ra)"
     q.add("T03_underserved", lambda t: transport.underserved_population(transport.underserved(raster(t))), "settlement signals",
           under + """, th AS (SELECT epoch, round(quantile_cont(ui,0.6),9) AS threshold FROM un GROUP BY 1)
           SELECT epoch, threshold, count(*) AS cells, CAST(sum(population) AS BIGINT) AS population_at_risk FROM un JOIN th USING (epoch) WHERE ui>=threshold GROUP BY 1,2""")
     q.add("T04_connectivity_gap", lambda t: round_all(transport.gap_by_zone(transport.underserved(raster(t)), t.zone_cells), "mean_gap", "p75_gap"),
           "cells zones settlement signals", ZONE_CELLS + "," + under
-          + " SELECT division, CAST(CAST(avg(ui) AS FLOAT) AS DOUBLE)+0e0 AS mean_gap, CAST(CAST(quantile_cont(ui,0.75) AS FLOAT) AS DOUBLE)+0e0 AS p75_gap FROM un JOIN zc USING (cell_id) GROUP BY 1")
+          + " SELECT division, CAST(CAST(round(avg(ui),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_gap, CAST(CAST(round(quantile_cont(ui,0.75),10) AS FLOAT) AS DOUBLE)+0e0 AS p75_gap FROM un JOIN zc USING (cell_id) GROUP BY 1")
     q.add("T05_market_access", lambda t: round_all(transport.market_access(raster(t), bright=50.0).select("cell_id", "light_gradient", "market_access"),
                                                    "light_gradient", "market_access"), "settlement signals",
-          RASTER_SQL + f""", m AS (SELECT cell_id, x, y, CAST(light>50 AS INT) AS w FROM ra), dd AS (SELECT a.cell_id, {nearest_sql('m')} AS d FROM m a),
+          RASTER_SQL + f""", m AS (SELECT cell_id, x, y, CAST(light>50 AS INT) AS w FROM ra), dd AS (SELECT a.cell_id, {nearest_sql('m', '1e9')} AS d FROM m a),
           g AS (SELECT a.cell_id, a.x, a.y, sum(b.light*exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/4.5e0))/
             sum(exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/4.5e0)) AS s FROM ra a JOIN ra b ON b.light IS NOT NULL AND b.x BETWEEN a.x-3 AND a.x+3 AND b.y BETWEEN a.y-3 AND a.y+3 GROUP BY 1,2,3),
           sb AS (SELECT a.cell_id, count(*) AS n, sum(b.s*(b.x-a.x)*(2-abs(b.y-a.y))) AS gx, sum(b.s*(a.y-b.y)*(2-abs(b.x-a.x))) AS gy FROM g a
             JOIN g b ON b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 GROUP BY 1)
-          SELECT ra.cell_id, CASE WHEN n=9 THEN CAST(CAST(sqrt(gx*gx+gy*gy) AS FLOAT) AS DOUBLE)+0e0 END AS light_gradient, CAST(CAST(1-{norm('d*1000e0', 0, 80000)} AS FLOAT) AS DOUBLE)+0e0 AS market_access
+          SELECT ra.cell_id, CASE WHEN n=9 THEN CAST(CAST(round(sqrt(gx*gx+gy*gy),10) AS FLOAT) AS DOUBLE)+0e0 END AS light_gradient, CAST(CAST(round(1-{norm('d*1000e0', 0, 80000)},10) AS FLOAT) AS DOUBLE)+0e0 AS market_access
           FROM ra JOIN dd USING (cell_id) LEFT JOIN sb USING (cell_id)""")
     q.add("T06_clamped_inputs", lambda t: transport.annual_light(t.signals, t.spark.range(1993, 2004).select(c("id").cast("int").alias("yr")), 1996, 2000).groupBy("yr").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("light").alias("light")), "signals",

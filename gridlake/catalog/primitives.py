@@ -26,9 +26,10 @@ def wet_cells(t):
 WET = "wet AS (SELECT cell_id, x, y, area_m2, CAST(occurrence>=50 AS INT) AS w FROM cells)"
 
 
-def nearest_sql(mask, keys="", cap=None):
-    """Brute-force distance to the nearest set cell."""
-    return (f"(SELECT sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) FROM {mask} b WHERE b.w=1{keys})")
+def nearest_sql(mask, far=None):
+    """Brute-force distance to the nearest set cell; ``far`` stands for "no set cell anywhere"."""
+    found = f"(SELECT sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) FROM {mask} b WHERE b.w=1)"
+    return found if far is None else f"coalesce({found},{far})"
 
 
 PATCH_SQL = """
@@ -91,7 +92,7 @@ def register(q):
           FROM signals GROUP BY 1,2),
           f AS (SELECT cell_id, light_dn, row_number() OVER (PARTITION BY cell_id ORDER BY t, light_dn) AS rn FROM signals)
           SELECT s.cell_id, avg(ndvi_dn) AS mean, quantile_cont(ndvi_dn,0.5) AS median, min(ndvi_dn) AS min, max(ndvi_dn) AS max,
-          CAST(sum(ndvi_dn) AS BIGINT) AS sum, count(ndvi_dn) AS count, CAST(CAST(stddev_pop(ndvi_dn) AS FLOAT) AS DOUBLE)+0e0 AS std,
+          CAST(sum(ndvi_dn) AS BIGINT) AS sum, count(ndvi_dn) AS count, CAST(CAST(round(stddev_pop(ndvi_dn),10) AS FLOAT) AS DOUBLE)+0e0 AS std,
           any_value(m.water_month) AS water_month, any_value(f.light_dn) AS light_dn
           FROM signals s JOIN m ON m.cell_id=s.cell_id AND m.rn=1 JOIN f ON f.cell_id=s.cell_id AND f.rn=1 GROUP BY 1""")
 
@@ -196,7 +197,7 @@ def register(q):
         SELECT yr, CAST(least(floor((ndvi_dn-lo)/(hi-lo)*255),254) AS INT) AS bucket, count(*) AS n, avg(ndvi_dn) AS mean
         FROM signals JOIN b USING (yr) GROUP BY 1,2""")
 
-    q.add("P25_correlation", lambda t: t.cells.agg(A.rounded(F.corr("clay", "occurrence")).alias("pearson_r")), "cells",
+    q.add("P25_correlation", lambda t: t.cells.agg(A.rounded(A.correlation("clay", "occurrence")).alias("pearson_r")), "cells",
           f"SELECT {r('corr(clay, occurrence)')} AS pearson_r FROM cells")
 
     def months():

@@ -38,7 +38,7 @@ def stack_sql(parts) -> str:
         key = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")" if keys else "''"
         def value(m):
             v = f"CAST({m} AS DOUBLE)"
-            return f"CAST(CAST({v} AS FLOAT) AS DOUBLE)+0e0" if rounds else v
+            return f"CAST(CAST(round({v},10) AS FLOAT) AS DOUBLE)+0e0" if rounds else v
         selects += [f"SELECT '{name}' AS part, {key} AS key, '{m}' AS measure, {value(m)} AS value FROM p{i}" for m in measures]
     ctes = ",\n".join(f"p{i} AS ({sql})" for i, (_, sql, *_rest) in enumerate(parts))
     return f"WITH {ctes}\n" + "\nUNION ALL ".join(selects)
@@ -53,7 +53,7 @@ def register(q):
 
     def summary(inner, value, keys=("yr",)):
         """SQL of raster_summary over another query's SQL, before that query's final rounding."""
-        inner = inner.replace("CAST(CAST(", "((").replace(" AS FLOAT) AS DOUBLE)+0e0", "))")
+        inner = inner.replace("CAST(CAST(round(", "(((").replace(",10) AS FLOAT) AS DOUBLE)+0e0", ")))")
         k = ", ".join(keys) + ", " if keys else ""
         return f"SELECT {k}avg({value}) AS mean, min({value}) AS min, max({value}) AS max FROM ({inner})" + (f" GROUP BY {', '.join(keys)}" if keys else "")
 

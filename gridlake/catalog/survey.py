@@ -127,7 +127,7 @@ def register(q):
     cols = [f"{m}_dep" if m != "mpi" else m for m in means]
     q.add("M08_district_deprivation", lambda t: round_all(survey.district_deprivation(survey.household_deprivation(t.persons)), *cols), "persons",
           HOUSE_SQL + " SELECT year, geolev2, max(geolev1) AS geolev1, count(*) AS households, CAST(sum(hhwt) AS BIGINT) AS total_weight, "
-          + ", ".join(f"CAST(CAST(sum({m}*hhwt)/sum(hhwt) AS FLOAT) AS DOUBLE)+0e0 AS {n}" for m, n in zip(means, cols)) + f", {p(s('urban=2', 'hhwt'), 'sum(hhwt)')} AS urban_pct FROM ho GROUP BY 1,2")
+          + ", ".join(f"CAST(CAST(round(sum({m}*hhwt)/sum(hhwt),10) AS FLOAT) AS DOUBLE)+0e0 AS {n}" for m, n in zip(means, cols)) + f", {p(s('urban=2', 'hhwt'), 'sum(hhwt)')} AS urban_pct FROM ho GROUP BY 1,2")
     q.add("M09_district_demographics", lambda t: survey.district_demographics(t.persons), "persons",
           "SELECT year, max(geolev1) AS geolev1, geolev2, CAST(sum(perwt) AS BIGINT) AS population, " + ", ".join(f"{e} AS {n}" for n, e in DEMO) + " FROM persons GROUP BY year, geolev2")
     q.add("M10_age_pyramid", lambda t: survey.age_pyramid(t.persons), "persons",
@@ -144,17 +144,17 @@ def register(q):
 
     q.add("Z01_calibration_inputs", lambda t: round_all(cal_inputs(t)[0].join(cal_inputs(t)[4], "name").join(
         calibrate.head_count(cal_inputs(t)[1], 2000), "division"), "sat_mean"), "cells zones signals settlement",
-        CAL_SQL + " SELECT division, upper(division) AS name, CAST(CAST(sat_mean AS FLOAT) AS DOUBLE)+0e0 AS sat_mean, sat_median, hcr AS hcr_upl FROM cal")
+        CAL_SQL + " SELECT division, upper(division) AS name, CAST(CAST(round(sat_mean,10) AS FLOAT) AS DOUBLE)+0e0 AS sat_mean, sat_median, hcr AS hcr_upl FROM cal")
     q.add("Z02_calibration_join", lambda t: cal_rows(t), "cells zones signals settlement", CAL_SQL + " SELECT * FROM cal")
     q.add("Z03_pearson", lambda t: round_all(calibrate.correlations(cal_rows(t)), "r_sat_mean", "r_income", "r_internet"), "cells zones signals settlement",
-          CAL_SQL + " SELECT " + ", ".join(f"CAST(CAST(coalesce(corr({k},hcr),0) AS FLOAT) AS DOUBLE)+0e0 AS r_{k}" for k in ("sat_mean", "income", "internet")) + " FROM cal")
+          CAL_SQL + " SELECT " + ", ".join(f"CAST(CAST(round(coalesce(corr({k},hcr),0),10) AS FLOAT) AS DOUBLE)+0e0 AS r_{k}" for k in ("sat_mean", "income", "internet")) + " FROM cal")
     q.add("Z04_least_squares", lambda t: round_all(calibrate.fit(cal_rows(t)), "slope", "intercept"), "cells zones signals settlement",
-          FIT_SQL + " SELECT n, CAST(CAST(slope AS FLOAT) AS DOUBLE)+0e0 AS slope, CAST(CAST(intercept AS FLOAT) AS DOUBLE)+0e0 AS intercept FROM ft")
+          FIT_SQL + " SELECT n, CAST(CAST(round(slope,10) AS FLOAT) AS DOUBLE)+0e0 AS slope, CAST(CAST(round(intercept,10) AS FLOAT) AS DOUBLE)+0e0 AS intercept FROM ft")
     q.add("Z05_calibrated", lambda t: round_all(calibrate.calibrated(cal_rows(t)).select("division", "calibrated", "error"), "calibrated", "error"), "cells zones signals settlement",
-          FIT_SQL + " SELECT division, CAST(CAST(slope*sat_mean+intercept AS FLOAT) AS DOUBLE)+0e0 AS calibrated, CAST(CAST(slope*sat_mean+intercept-hcr AS FLOAT) AS DOUBLE)+0e0 AS error FROM cal, ft WHERE n>=3")
+          FIT_SQL + " SELECT division, CAST(CAST(round(slope*sat_mean+intercept,10) AS FLOAT) AS DOUBLE)+0e0 AS calibrated, CAST(CAST(round(slope*sat_mean+intercept-hcr,10) AS FLOAT) AS DOUBLE)+0e0 AS error FROM cal, ft WHERE n>=3")
     q.add("Z05b_calibration_summary", lambda t: round_all(calibrate.summary(calibrate.calibrated(cal_rows(t))), "mae", "index_spread", "rate_spread"), "cells zones signals settlement",
-          FIT_SQL + """ SELECT count(*) AS n, CAST(CAST(avg(abs(slope*sat_mean+intercept-hcr)) AS FLOAT) AS DOUBLE)+0e0 AS mae, CAST(CAST(max(sat_mean)-min(sat_mean) AS FLOAT) AS DOUBLE)+0e0 AS index_spread,
-          CAST(CAST(max(hcr)-min(hcr) AS FLOAT) AS DOUBLE)+0e0 AS rate_spread, CAST(max(sat_mean)-min(sat_mean)<0.02 AS INT) AS narrow_index FROM cal, ft""")
+          FIT_SQL + """ SELECT count(*) AS n, CAST(CAST(round(avg(abs(slope*sat_mean+intercept-hcr)),10) AS FLOAT) AS DOUBLE)+0e0 AS mae, CAST(CAST(round(max(sat_mean)-min(sat_mean),10) AS FLOAT) AS DOUBLE)+0e0 AS index_spread,
+          CAST(CAST(round(max(hcr)-min(hcr),10) AS FLOAT) AS DOUBLE)+0e0 AS rate_spread, CAST(max(sat_mean)-min(sat_mean)<0.02 AS INT) AS narrow_index FROM cal, ft""")
 
     q.add("OUT1_zone_table", lambda t: t.zones.select("zone_id", "zone", "division").join(t.zone_cells.groupBy("zone_id").agg(F.count(F.lit(1)).alias("cells")), "zone_id", "left").select(
         "zone_id", "zone", "division", F.coalesce("cells", F.lit(0)).alias("cells")).orderBy("zone_id"), "cells zones",

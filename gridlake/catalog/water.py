@@ -179,7 +179,7 @@ def register(q):
         {n: A.rounded(c(n)) for n in ("reference_km2", "anomaly_km2")}), "obs",
           EXTENTS + """, rf AS (SELECT a.yr, a.monsoon_km2, coalesce(avg(b.monsoon_km2),0) AS reference_km2 FROM ex a LEFT JOIN ex b
           ON b.yr BETWEEN a.yr-5 AND a.yr+5 AND b.yr NOT IN (1987,1988,1998,2004,2007,2017,2020,2022) GROUP BY 1,2)
-          SELECT yr, monsoon_km2, CAST(CAST(reference_km2 AS FLOAT) AS DOUBLE)+0e0 AS reference_km2, CAST(CAST(monsoon_km2-reference_km2 AS FLOAT) AS DOUBLE)+0e0 AS anomaly_km2 FROM rf""")
+          SELECT yr, monsoon_km2, CAST(CAST(round(reference_km2,10) AS FLOAT) AS DOUBLE)+0e0 AS reference_km2, CAST(CAST(round(monsoon_km2-reference_km2,10) AS FLOAT) AS DOUBLE)+0e0 AS anomaly_km2 FROM rf""")
     zshare = ("zt AS (SELECT zone, count(*)*900/1e6 AS zone_km2 FROM zc GROUP BY 1), "
               "zw AS (SELECT zone, yr, CAST(sum(w*900) AS DOUBLE)/1e6 AS water_km2 FROM mon JOIN zc USING (cell_id) GROUP BY 1,2) "
               "SELECT zone, yr, water_km2, zone_km2, water_km2/nullif(zone_km2,0)*100e0 AS water_pct FROM zw JOIN zt USING (zone)")
@@ -239,13 +239,13 @@ def register(q):
         return wetlands.monthly_cycle(t.obs, t.discs, t.disc_cells, GRID, "disc", (1996, 1998))
     q.add("H04_monthly_cycle", cycle, "cells discs obs", cyc + " SELECT * FROM cyc")
     q.add("H05_average_cycle", lambda t: wetlands.average_cycle(cycle(t), "disc").withColumn("mean_km2", A.rounded(c("mean_km2"))), "cells discs obs",
-          cyc + " SELECT disc, mo, CAST(CAST(avg(area_km2) AS FLOAT) AS DOUBLE)+0e0 AS mean_km2, count(area_km2) AS years FROM cyc GROUP BY 1,2")
+          cyc + " SELECT disc, mo, CAST(CAST(round(avg(area_km2),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_km2, count(area_km2) AS years FROM cyc GROUP BY 1,2")
     q.add("H06_period_comparison", lambda t: wetlands.compare_periods(t.discs, series(t), "disc", (1995, 1997), (1998, 2001)).select(
         "disc", *[A.rounded(c(n)).alias(n) for n in ("period1_km2", "period2_km2", "change_km2", "change_pct")]), "cells discs obs",
         ser + """, p AS (SELECT d.disc, avg(area_km2) FILTER (yr BETWEEN 1995 AND 1997) AS p1, avg(area_km2) FILTER (yr BETWEEN 1998 AND 2001) AS p2
-        FROM discs d LEFT JOIN ser ON ser.disc=d.disc GROUP BY 1) SELECT disc, CAST(CAST(coalesce(p1,0) AS FLOAT) AS DOUBLE)+0e0 AS period1_km2, CAST(CAST(coalesce(p2,0) AS FLOAT) AS DOUBLE)+0e0 AS period2_km2,
-        CAST(CAST(coalesce(p2,0)-coalesce(p1,0) AS FLOAT) AS DOUBLE)+0e0 AS change_km2, CAST(CAST(CASE WHEN p1 IS NULL THEN NULL WHEN abs(p1)>0.01
-        THEN (coalesce(p2,0)-p1)/p1*100e0 ELSE 0 END AS FLOAT) AS DOUBLE)+0e0 AS change_pct FROM p""")
+        FROM discs d LEFT JOIN ser ON ser.disc=d.disc GROUP BY 1) SELECT disc, CAST(CAST(round(coalesce(p1,0),10) AS FLOAT) AS DOUBLE)+0e0 AS period1_km2, CAST(CAST(round(coalesce(p2,0),10) AS FLOAT) AS DOUBLE)+0e0 AS period2_km2,
+        CAST(CAST(round(coalesce(p2,0)-coalesce(p1,0),10) AS FLOAT) AS DOUBLE)+0e0 AS change_km2, CAST(CAST(round(CASE WHEN p1 IS NULL THEN NULL WHEN abs(p1)>0.01
+        THEN (coalesce(p2,0)-p1)/p1*100e0 ELSE 0 END,10) AS FLOAT) AS DOUBLE)+0e0 AS change_pct FROM p""")
     q.add("H07_plausibility", lambda t: wetlands.plausible(series(t), t.discs, "disc", c("r") * F.lit(30.0)).select("disc", "yr", "area_km2"),
           "cells discs obs", ser + """ SELECT ser.disc, yr, area_km2 FROM ser JOIN discs USING (disc)
           WHERE area_km2 >= 0.01e0*pi()*(r*30e0/1000e0)*(r*30e0/1000e0)""")

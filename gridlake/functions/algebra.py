@@ -95,6 +95,11 @@ def expression(text: str, **bands: str) -> Column:
     return F.expr(re.sub(pattern, lambda m: bands[m.group(1)], text))
 
 
+def correlation(x, y) -> Column:
+    """Aggregate: Pearson r, NULL for a constant column (``corr`` raises there in ANSI mode)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def km2(mask: Column, area_m2: Column) -> Column:
     """Aggregate: area of a mask in square kilometres, summed in whole square metres."""
     return F.sum(mask * area_m2) / F.lit(1e6)
@@ -105,7 +110,8 @@ def km2_where(condition: Column, area_m2: Column) -> Column:
 
 
 def rounded(x: Column) -> Column:
-    """Seven significant digits, once, at the end: a floating sum then does not depend on the
-    order of its terms. Binary rounding is used because averages of integers often fall
-    exactly between two decimal neighbours. Adding zero turns -0.0 into 0.0."""
-    return x.cast("float").cast("double") + F.lit(0.0)
+    """Seven significant digits and ten decimals, once, at the end: a floating sum then does not
+    depend on the order of its terms. The significant digits are cut in binary because averages
+    of integers often fall exactly between two decimal neighbours; the decimals turn the noise of
+    a difference of equals into 0. Adding zero turns -0.0 into 0.0."""
+    return F.round(x, 10).cast("float").cast("double") + F.lit(0.0)

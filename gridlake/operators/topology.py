@@ -92,8 +92,8 @@ def distance_to_set(df: DataFrame, mask: str, keys=(), out: str = "distance", ca
 
     Pass 1 finds the nearest set row per column with ordered windows; rows are first
     filled between the outermost columns so that gaps of a sparse grid do not hide a
-    column. Pass 2 is independent per raster row and exact. Without any set cell, or
-    beyond ``cap`` (a clamp distance in cells), the result is ``cap`` or NULL."""
+    column. Pass 2 is independent per raster row and exact. ``cap`` is a clamp distance in
+    cells and also stands for "no set cell"; without a cap that case is NULL."""
     k = list(keys)
     span = df.groupBy(*k).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"))
     rows = df.select(*k, "y").distinct()

@@ -2,6 +2,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.functions import algebra as A
+
 
 def head_count(rates: DataFrame, year: int = 2022) -> DataFrame:
     return rates.filter(F.col("year") == year).select("division", "hcr_upl")
@@ -18,7 +20,7 @@ def calibration_rows(index: DataFrame, rates: DataFrame, income: DataFrame, faci
 def pearson(x: str, y: str) -> Column:
     """0 for fewer than two rows or a constant column."""
     usable = (F.count(F.lit(1)) >= 2) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
-    return F.when(usable, F.corr(x, y)).otherwise(F.lit(0.0))
+    return F.when(usable, A.correlation(x, y)).otherwise(F.lit(0.0))
 
 
 def ols(x: str, y: str) -> tuple[Column, Column]:

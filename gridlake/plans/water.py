@@ -119,7 +119,7 @@ def conversion(early: Column, late: Column, water_min: float = 0.5, land_max: fl
 
 
 def reference_correlation(own: DataFrame, value: str, reference: str = "occurrence") -> DataFrame:
-    return own.agg(F.corr(F.col(value), F.col(reference) / F.lit(100.0)).alias("pearson_r"))
+    return own.agg(A.correlation(F.col(value), F.col(reference) / F.lit(100.0)).alias("pearson_r"))
 
 
 def area_by_persistence(df: DataFrame, share: str, area: str = "area_m2") -> DataFrame:
