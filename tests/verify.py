@@ -5,6 +5,7 @@ usage: python tests/verify.py [sf] [name prefix ...]
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -58,8 +59,11 @@ def main():
     from gridlake.session import local_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = tuple(sys.argv[2:])
+    shuffle = os.environ.get("SHUFFLE_PARTITIONS")
     path = f"/root/testdata/sf{sf}"
     spark = local_session()
+    if shuffle:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet')")
