@@ -37,8 +37,50 @@ def otsu(df: DataFrame, value: str, keys=(), buckets: int = 255, out: str = "thr
     return h.groupBy(*k).agg(F.max_by("mean", F.struct(F.col("_bss"), -F.col("bucket"))).alias(out))
 
 
+def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated percentiles of a real-valued column per key, {output: p}.
+
+    The built-in exact percentile keeps every distinct value of a group in one task, which fits
+    the few stored integers of a cell but not the cells of a country. Here a bounded sketch
+    brackets each percentile (its rank error is at most n / accuracy; groups up to
+    ``accuracy`` rows take their whole range), rows below the bracket are only counted, and
+    the exact rank is found among the distinct values inside it: a few n / accuracy rows per key."""
+    k = list(keys) or ["_all"]
+    base = df if keys else df.withColumn("_all", F.lit(0))
+    base = base.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    margin = 4.0 / accuracy
+    edges = [q for p in points.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = base.groupBy(*k).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("_v").alias("_n"),
+                                  F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    small = F.col("_n") <= accuracy
+    low = [F.when(small, F.col("_lo")).otherwise(F.col("_b")[2 * i]) for i in range(len(points))]
+    high = [F.when(small, F.col("_hi")).otherwise(F.col("_b")[2 * i + 1]) for i in range(len(points))]
+    distinct = base.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c")).join(sketch, k)
+    below = distinct.groupBy(*k).agg(*[F.sum(F.when(F.col("_v") < low[i], F.col("_c")).otherwise(0)).alias(f"_below{i}")
+                                       for i in range(len(points))])
+    inside = [F.when(F.col("_v").between(low[i], high[i]), F.struct(F.lit(i).alias("_i"), F.col("_v").alias("_x"), F.col("_c").alias("_m")))
+              for i in range(len(points))]
+    found = distinct.select(*k, "_n", F.inline(F.array_compact(F.array(*inside)))).join(below, k)
+    first = F.when(F.col("_i") == 0, F.col("_below0"))
+    for i in range(1, len(points)):
+        first = first.when(F.col("_i") == i, F.col(f"_below{i}"))
+    w = Window.partitionBy(*k, "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_rank", first + F.sum("_m").over(w))      # rows up to and including the value
+    aggs = []
+    for i, (name, p) in enumerate(points.items()):
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        here = F.col("_i") == i
+        lower = F.min(F.when(here & (F.col("_rank") >= F.floor(at) + 1), F.col("_x")))
+        upper = F.min(F.when(here & (F.col("_rank") >= F.ceil(at) + 1), F.col("_x")))
+        share = F.max(at - F.floor(at))
+        aggs.append((lower + (upper - lower) * share).alias(name))
+    out = found.groupBy(*k).agg(*aggs)
+    return out if keys else out.drop("_all")
+
+
 def percentile_threshold(df: DataFrame, value: str, p: float, keys=(), out: str = "threshold",
                          digits: int = 9) -> DataFrame:
     """Exact percentile per key, rounded so that an interpolated value equal to a data value
     compares equal to it."""
-    return df.groupBy(*keys).agg(F.round(F.percentile(value, F.lit(p)), digits).alias(out))
+    found = percentiles(df, value, {out: p}, keys)
+    return found.withColumn(out, F.round(out, digits))

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 
 def stats(df: DataFrame, value, keys=(), which=("mean",), prefix: str | None = None) -> DataFrame:
-    """Combined reducers in one pass. which: mean, sum, min, max, std, median, count, pNN."""
+    """Combined reducers in one pass. which: mean, sum, min, max, std, median, count, pNN.
+
+    Median and pNN suit stored integers; for real values over many cells use
+    ``histogram.percentiles``."""
     c = F.col(value) if isinstance(value, str) else value
     base = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_pop, "count": F.count,
             "median": lambda v: F.percentile(v, F.lit(0.5))}

@@ -34,8 +34,8 @@ def yearly(df: DataFrame, qa: Column, pollutants=tuple(COLUMNS), first: int | No
 
 
 def stats(cells: DataFrame, pollutant: str, keys=("yr",)) -> DataFrame:
-    return cells.groupBy(*keys).agg(F.avg(pollutant).alias("mean"), F.max(pollutant).alias("max"),
-                                    F.percentile(pollutant, F.lit(0.5)).alias("median"))
+    means = cells.groupBy(*keys).agg(F.avg(pollutant).alias("mean"), F.max(pollutant).alias("max"))
+    return means.join(histogram.percentiles(cells, pollutant, {"median": 0.5}, keys), list(keys), "left")
 
 
 def seasonal(df: DataFrame, qa: Column, pollutant: str, years=None) -> DataFrame:

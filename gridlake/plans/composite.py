@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import algebra as A
 from gridlake.functions import indices as I
-from gridlake.operators import focal
+from gridlake.operators import focal, histogram
 from gridlake.plans import lights as L
 
 ONE = 1.0
@@ -37,8 +37,13 @@ def deprivation_level(index: Column) -> Column:
 
 
 def stats_by_zone(index: DataFrame, value: str, zone_cells: DataFrame, key: str) -> DataFrame:
-    return (index.join(zone_cells.select(key, "cell_id"), "cell_id").groupBy(key, "yr")
-            .agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median")))
+    zoned = index.select("cell_id", "yr", value).join(zone_cells.select(key, "cell_id"), "cell_id")
+    return mean_median(zoned, value, (key, "yr"))
+
+
+def mean_median(df: DataFrame, value: str, keys) -> DataFrame:
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(
+        histogram.percentiles(df, value, {"median": 0.5}, keys), list(keys), "left")
 
 
 def index_change(index: DataFrame, value: str, year1: int, year2: int) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import algebra as A
 from gridlake.functions import indices as I
 from gridlake.functions.indices import BANDS
-from gridlake.operators import temporal
+from gridlake.operators import histogram, temporal
 
 # Window bounds in days from landfall, ends exclusive
 PRE_DAYS = (-48, 12)
@@ -44,12 +44,9 @@ def with_damage(composites: DataFrame) -> DataFrame:
 
 
 def vegetation_damage(damage: DataFrame) -> DataFrame:
-    c = F.col
-    quart = F.percentile("ndvi_drop", F.array(F.lit(0.25), F.lit(0.75)))
-    return (damage.groupBy("disc").agg(
-        F.avg("ndvi_drop").alias("mean_drop"), F.max("ndvi_drop").alias("max_drop"), quart.alias("_q"),
-        F.avg("ndvi_pre").alias("mean_pre"), F.avg("ndvi_post").alias("mean_post"))
-        .withColumns({"p25_drop": c("_q")[0], "p75_drop": c("_q")[1]}).drop("_q"))
+    means = damage.groupBy("disc").agg(F.avg("ndvi_drop").alias("mean_drop"), F.max("ndvi_drop").alias("max_drop"),
+                                       F.avg("ndvi_pre").alias("mean_pre"), F.avg("ndvi_post").alias("mean_post"))
+    return means.join(histogram.percentiles(damage, "ndvi_drop", {"p25_drop": 0.25, "p75_drop": 0.75}, ("disc",)), "disc", "left")
 
 
 def flood_extent(damage: DataFrame, area: Column) -> DataFrame:

@@ -127,7 +127,7 @@ def soil_report(properties: DataFrame, factors: DataFrame, salinity: DataFrame,
 
 def deprivation_report(index: DataFrame, zone_cells: DataFrame, pair, uncertainty: float = 25.0) -> dict[str, DataFrame]:
     """Zone statistics, change, and the yearly mean and median with the constant uncertainty in percent."""
-    series = index.groupBy("yr").agg(F.avg("deprivation").alias("mean"), F.percentile("deprivation", F.lit(0.5)).alias("median"))
+    series = composite.mean_median(index, "deprivation", ("yr",))
     return {"divisions": composite.stats_by_zone(index, "deprivation", zone_cells, "division"),
             "change": raster_summary(composite.index_change(index, "deprivation", *pair), "change", ()),
             "series": series.withColumn("uncertainty_pct", F.lit(uncertainty))}

@@ -149,6 +149,23 @@ def test_otsu_separates_two_groups_and_constant_band(spark):
     assert 3 < t[1] <= 50.5 and t[2] == 4.0
 
 
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_percentiles_are_exact_with_ties_and_outliers(spark, accuracy):
+    rng = random.Random(3)
+    data = {1: [rng.gauss(0, 1) for _ in range(3000)] + [0.25] * 1500 + [1e9], 2: [5.0] * 400, 3: [1.0, 2.0, 4.0], 4: [7.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [(1, None), (5, None)], "k int, v double").repartition(7)
+    points = {"p25": 0.25, "p50": 0.5, "p90": 0.9, "top": 1.0}
+    rows = {r.k: r for r in histogram.percentiles(df, "v", points, ["k"], accuracy).collect()}
+    assert set(rows) == {1, 2, 3, 4}
+    for k, vs in data.items():
+        vs = sorted(vs)
+        for name, p in points.items():
+            at = p * (len(vs) - 1)
+            lo, hi = vs[math.floor(at)], vs[math.ceil(at)]
+            assert rows[k][name] == pytest.approx(lo + (hi - lo) * (at - math.floor(at)), rel=1e-12)
+    assert histogram.percentiles(df.filter("k = 3"), "v", {"m": 0.5}).first().m == 2.0
+
+
 def test_areas_and_coarsening(grid):
     total = grid.agg(F.sum("area_m2")).first()[0] / 1e6
     classes = zonal.area_by_class(grid.withColumn("c", F.col("v") % 3), "c", F.col("area_m2"), {0: "a", 1: "b", 2: "c", 9: "none"})
