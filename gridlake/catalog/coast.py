@@ -25,7 +25,7 @@ def land_wide(t):
 
 
 LAND_SQL = win_sql(rivers.windows(LAND_YEARS, reach=1, last_day=(2, 28)), "lw")
-DRY_YEARS = (1996, 1997, 1998, 1999, 2000)
+DRY_YEARS = (1995, 1996, 1997, 1998, 1999, 2000, 2001)
 DRY_SQL = (f"ds AS ({seasonal('obs', DRY)}), dm AS (SELECT cell_id, sy, {vote()} AS w FROM (SELECT cell_id, sy, {MEDIANS} FROM ds "
            "WHERE (qa&24)=0 GROUP BY 1,2))")
 HEALTH_SQL = f"pc AS (SELECT cell_id, yr, avg(ndvi_dn) AS v FROM signals WHERE {CALENDAR} GROUP BY 1,2)"
@@ -48,8 +48,8 @@ def tier(cond):
 TIER_SQL = (f"ta AS (SELECT disc, {tier('d>=0.2')} AS severe_km2, {tier('d>=0.1 AND d<0.2')} AS moderate_km2, {tier('d>=0.05 AND d<0.1')} AS mild_km2, "
             f"{tier('d>=0.05')} AS damaged_km2, CAST(sum(flooded*900) AS DOUBLE)/1e6 AS flood_km2 FROM dg GROUP BY 1)")
 POND_RULES = dict(occurrence=(20, 95), ndwi_min=-0.2, turbidity_min=-0.3, limit=20)
-POND_YEARS = (1995, 2000)
-POND_SQL = (f"ps AS ({seasonal('obs', LOW_WATER)}), pc0 AS (SELECT cell_id, sy AS yr, {MEDIANS} FROM ps WHERE (qa&24)=0 AND sy BETWEEN 1995 AND 2000 GROUP BY 1,2), "
+POND_YEARS = (1994, 2001)
+POND_SQL = (f"ps AS ({seasonal('obs', LOW_WATER)}), pc0 AS (SELECT cell_id, sy AS yr, {MEDIANS} FROM ps WHERE (qa&24)=0 AND sy BETWEEN 1994 AND 2001 GROUP BY 1,2), "
             f"pd AS (SELECT p.cell_id, yr, c.x, c.y, c.area_m2, 1 AS w FROM pc0 p JOIN cells c USING (cell_id) WHERE {nd('green','nir')}>-0.2 AND {nd('green','swir1')}>-0.2 "
             "AND (green*1e-4-nir*1e-4)/(green*1e-4+nir*1e-4+1e-6)>-0.3 AND occurrence BETWEEN 20 AND 95 AND elevation BETWEEN 0 AND 20),"
             + patches_sql("pd", NEAR8, "yr") + ", sz AS (SELECT yr, label, count(*) AS patch_cells FROM lab GROUP BY 1,2 HAVING count(*) BETWEEN 3 AND 5000), "
@@ -120,8 +120,8 @@ def register(q):
           "SELECT cell_id, CAST(elevation>=0 AND elevation<=10 AS INT) AS coastal FROM cells")
     q.add("Y02_pond_detection", lambda t: pond_cells(t).select("yr", "cell_id", "label", "patch_cells"), "cells obs",
           POND_SQL + " SELECT yr, cell_id, label, patch_cells FROM pond")
-    q.add("Y03_pond_series", lambda t: ponds.area_series(pond_cells(t), 1995, 2000, 1), "cells obs", POND_SQL
-          + ", ys AS (SELECT CAST(unnest(range(1995,2001)) AS INT) AS yr) SELECT yr, coalesce((SELECT CAST(sum(area_m2) AS DOUBLE)/1e6 FROM pond WHERE pond.yr=ys.yr),0) AS pond_km2 FROM ys")
+    q.add("Y03_pond_series", lambda t: ponds.area_series(pond_cells(t), *POND_YEARS, 1), "cells obs", POND_SQL
+          + ", ys AS (SELECT CAST(unnest(range(1994,2002)) AS INT) AS yr) SELECT yr, coalesce((SELECT CAST(sum(area_m2) AS DOUBLE)/1e6 FROM pond WHERE pond.yr=ys.yr),0) AS pond_km2 FROM ys")
     q.add("Y04_mangrove_conversion", lambda t: ponds.mangrove_conversion(pond_cells(t), t.cells, 20), "cells obs",
           POND_SQL + """ SELECT yr, CAST(sum(p.area_m2) AS DOUBLE)/1e6 AS conversion_km2 FROM pond p JOIN cells USING (cell_id)
           WHERE (treecover>30 OR (lossyear>0 AND lossyear<=20)) AND elevation BETWEEN 0 AND 10 GROUP BY 1""")

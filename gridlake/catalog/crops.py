@@ -70,9 +70,9 @@ def register(q):
     q.add("O03_crop_types", types, "obs classes", TYPES_SQL + " SELECT * FROM ct")
     q.add("O04_crop_areas", lambda t: crops.crop_areas(types(t), GRID.area()), "obs classes", TYPES_SQL + " " + " UNION ALL ".join(
         f"SELECT yr, {i} AS class, '{n}' AS class_name, {km2(f'crop_type={i}')} AS area_km2 FROM ct GROUP BY 1" for i, n in enumerate(CROP_TYPES)))
-    q.add("O05_monthly_profile", lambda t: round_all(crops.monthly_profile(t.signals, t.cells, (1996, 1998)), "mean_ndvi"), "cells signals",
+    q.add("O05_monthly_profile", lambda t: round_all(crops.monthly_profile(t.signals, t.cells, (1995, 2001)), "mean_ndvi"), "cells signals",
           """pc AS (SELECT cell_id, yr, mo, avg(ndvi_dn) AS v FROM signals JOIN cells USING (cell_id) WHERE worldcover=40 GROUP BY 1,2,3),
-          cal AS (SELECT yr, CAST(unnest(range(1,13)) AS INT) AS mo FROM (SELECT CAST(unnest([1996,1997,1998]) AS INT) AS yr)),
+          cal AS (SELECT yr, CAST(unnest(range(1,13)) AS INT) AS mo FROM (SELECT CAST(unnest(range(1995,2002)) AS INT) AS yr)),
           pm AS (SELECT yr, mo, CAST(CAST(round(avg(v)*1e-4,10) AS FLOAT) AS DOUBLE)+0e0 AS mean_ndvi FROM pc GROUP BY 1,2) SELECT yr, mo, mean_ndvi FROM cal LEFT JOIN pm USING (yr, mo)""")
     q.add("O06_yield_proxy", lambda t: round_all(crops.yield_proxy(t.signals), "mean_integral", "max_integral"), "signals",
           f"""s AS ({seasonal('signals', list(YIELD_WINDOWS.values()))}), pc AS (SELECT season, sy, cell_id, CAST(sum(ndvi_dn) AS BIGINT) AS v FROM s GROUP BY 1,2,3)

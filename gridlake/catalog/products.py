@@ -86,7 +86,7 @@ def register(q):
         ("conversion", zp(""" SELECT division, yr, CAST(sum(pond.area_m2) AS DOUBLE)/1e6 AS conversion_km2 FROM pond JOIN zc USING (cell_id) JOIN cells USING (cell_id)
             WHERE (treecover>30 OR (lossyear>0 AND lossyear<=20)) AND elevation BETWEEN 0 AND 10 GROUP BY 1,2"""), ["division", "yr"], ["conversion_km2"], None)])
 
-    add("O09_crop_product", lambda t: products.crop_report(t.obs, t.classes, t.signals, t.cells, GRID.area(), (1996, 1998), (1995, 2000)), [
+    add("O09_crop_product", lambda t: products.crop_report(t.obs, t.classes, t.signals, t.cells, GRID.area(), (1995, 2001), (1995, 2000)), [
         ("rice", sql["O02_rice_area"], ["yr", "season"], ["rice_km2"], None), ("types", sql["O04_crop_areas"], ["yr", "class_name"], ["area_km2"], None),
         ("profile", sql["O05_monthly_profile"], ["yr", "mo"], ["mean_ndvi"], True), ("yield", sql["O06_yield_proxy"], ["season", "yr"], ["mean_integral", "max_integral"], True),
         ("stress", summary(sql["O07_crop_stress"], "crop_stress"), ["yr"], MMM, True),
@@ -107,7 +107,7 @@ def register(q):
 
     connect = dict(year=2000, cell_m=1000.0, built_min=9500.0)
     add("J07_infrastructure_product", lambda t: products.infrastructure_report(
-        cl.modes(t), t.settlement, cl.raster(t), t.disc_cells.filter(c("r") >= 5), "disc", GRID, (1996, 2000), 10, 6, connect | {"year": F.lit(2000)}), [
+        cl.modes(t), t.settlement, cl.raster(t), t.disc_cells, "disc", GRID, (1996, 2000), 10, 6, connect | {"year": F.lit(2000)}), [
         ("between", with_views("classes", cl.MODE_SQL + """ SELECT CAST(sum(CAST(c1<>6 AS INT)*CAST(c2=6 AS INT)*900) AS DOUBLE)/1e6 AS new_construction_km2, CAST(sum(CAST(c1=6 AS INT)*CAST(c2<>6 AS INT)*900) AS DOUBLE)/1e6 AS demolished_km2
             FROM (SELECT max(label) FILTER (yr=1996) AS c1, max(label) FILTER (yr=2000) AS c2 FROM md WHERE yr IN (1996,2000) GROUP BY cell_id)"""), [], ["new_construction_km2", "demolished_km2"], None),
         ("series", sql["J01_construction_series"], ["year1", "year2"], ["new_construction_km2", "demolished_km2"], None),

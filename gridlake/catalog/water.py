@@ -229,14 +229,14 @@ def register(q):
     def series(t):
         return wetlands.area_series(t.obs, t.disc_cells, GRID, "disc")
     q.add("H03_area_series", series, "cells discs obs", ser + " SELECT * FROM ser")
-    cyc = (DISC_CELLS + f""", mc AS (SELECT cell_id, yr, mo, {MEDIANS} FROM obs WHERE (qa&24)=0 AND yr BETWEEN 1996 AND 1998 GROUP BY 1,2,3),
+    cyc = (DISC_CELLS + f""", mc AS (SELECT cell_id, yr, mo, {MEDIANS} FROM obs WHERE (qa&24)=0 GROUP BY 1,2,3),
         m0 AS (SELECT cell_id, yr, mo, {XY}, {vote()} AS w FROM mc), m1 AS (SELECT * FROM m0 WHERE w IS NOT NULL),"""
            + opening_sql("m1", "w", "yr, mo") + """, ar AS (SELECT disc, yr, mo, CAST(sum(w*900) AS DOUBLE)/1e6 AS area_km2 FROM dc JOIN op USING (cell_id) GROUP BY 1,2,3),
-        cal AS (SELECT disc, CAST(unnest([1996,1997,1998]) AS INT) AS yr FROM discs), cal2 AS (SELECT disc, yr, CAST(unnest(range(1,13)) AS INT) AS mo FROM cal),
+        cal AS (SELECT disc, CAST(unnest(range(1995,2002)) AS INT) AS yr FROM discs), cal2 AS (SELECT disc, yr, CAST(unnest(range(1,13)) AS INT) AS mo FROM cal),
         cyc AS (SELECT disc, yr, mo, area_km2 FROM cal2 LEFT JOIN ar USING (disc, yr, mo))""")
 
     def cycle(t):
-        return wetlands.monthly_cycle(t.obs, t.discs, t.disc_cells, GRID, "disc", (1996, 1998))
+        return wetlands.monthly_cycle(t.obs, t.discs, t.disc_cells, GRID, "disc", SPAN)
     q.add("H04_monthly_cycle", cycle, "cells discs obs", cyc + " SELECT * FROM cyc")
     q.add("H05_average_cycle", lambda t: wetlands.average_cycle(cycle(t), "disc").withColumn("mean_km2", A.rounded(c("mean_km2"))), "cells discs obs",
           cyc + " SELECT disc, mo, CAST(CAST(round(avg(area_km2),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_km2, count(area_km2) AS years FROM cyc GROUP BY 1,2")
