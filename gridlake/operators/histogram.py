@@ -3,17 +3,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
+    """Statistics beside the rows: an equi join on the keys, or scalar subqueries without keys
+    (a join on a constant would become a nested-loop join)."""
+    k = list(keys)
+    return df.join(stats, k) if k else df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
+
+
 def histogram(df: DataFrame, value: str, keys=(), buckets: int = 255) -> DataFrame:
     """Equal-width histogram between the minimum and maximum per key: bucket, n, mean."""
     k = list(keys)
     values = df.select(*k, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    if not k:
-        values, k = values.withColumn("_all", F.lit(0)), ["_all"]
     bounds = values.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     position = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * F.lit(buckets))
-    binned = values.join(bounds, k).withColumn(
+    binned = attach(values, bounds, k).withColumn(
         "bucket", F.least(F.coalesce(position, F.lit(0)), F.lit(buckets - 1)).cast("int"))
-    return binned.groupBy(*k, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean")).drop("_all")
+    return binned.groupBy(*k, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
 
 
 def otsu(df: DataFrame, value: str, keys=(), buckets: int = 255, out: str = "threshold") -> DataFrame:
@@ -45,9 +50,8 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), ac
     brackets each percentile (its rank error is at most n / accuracy; groups up to
     ``accuracy`` rows take their whole range), rows below the bracket are only counted, and
     the exact rank is found among the distinct values inside it: a few n / accuracy rows per key."""
-    k = list(keys) or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    base = base.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    k = list(keys)
+    base = df.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     margin = 4.0 / accuracy
     edges = [q for p in points.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = base.groupBy(*k).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("_v").alias("_n"),
@@ -55,12 +59,13 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), ac
     small = F.col("_n") <= accuracy
     low = [F.when(small, F.col("_lo")).otherwise(F.col("_b")[2 * i]) for i in range(len(points))]
     high = [F.when(small, F.col("_hi")).otherwise(F.col("_b")[2 * i + 1]) for i in range(len(points))]
-    distinct = base.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c")).join(sketch, k)
+    distinct = base.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    distinct = attach(distinct, sketch, k)
     below = distinct.groupBy(*k).agg(*[F.sum(F.when(F.col("_v") < low[i], F.col("_c")).otherwise(0)).alias(f"_below{i}")
                                        for i in range(len(points))])
     inside = [F.when(F.col("_v").between(low[i], high[i]), F.struct(F.lit(i).alias("_i"), F.col("_v").alias("_x"), F.col("_c").alias("_m")))
               for i in range(len(points))]
-    found = distinct.select(*k, "_n", F.inline(F.array_compact(F.array(*inside)))).join(below, k)
+    found = attach(distinct.select(*k, "_n", F.inline(F.array_compact(F.array(*inside)))), below, k)
     first = F.when(F.col("_i") == 0, F.col("_below0"))
     for i in range(1, len(points)):
         first = first.when(F.col("_i") == i, F.col(f"_below{i}"))
@@ -74,8 +79,7 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), ac
         upper = F.min(F.when(here & (F.col("_rank") >= F.ceil(at) + 1), F.col("_x")))
         share = F.max(at - F.floor(at))
         aggs.append((lower + (upper - lower) * share).alias(name))
-    out = found.groupBy(*k).agg(*aggs)
-    return out if keys else out.drop("_all")
+    return found.groupBy(*k).agg(*aggs)
 
 
 def percentile_threshold(df: DataFrame, value: str, p: float, keys=(), out: str = "threshold",

@@ -55,7 +55,7 @@ def hotspots(cells: DataFrame, pollutant: str, p: float = 0.9, keys=("yr",)) ->
     k = list(keys)
     value = cells.withColumn("_v", F.round(pollutant, 9))
     bound = histogram.percentile_threshold(value, "_v", p, k)
-    return (value.join(F.broadcast(bound), k)
+    return (histogram.attach(value, bound, k)
             .withColumn("hotspot", A.flag(F.col("_v") >= F.col("threshold"))).drop("_v"))
 
 

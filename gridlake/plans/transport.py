@@ -47,7 +47,7 @@ def underserved_population(index: DataFrame, p: float = 0.6, keys=("epoch",)) ->
     """Threshold (exact percentile per key), number of cells and population at or above it."""
     k = list(keys)
     bound = histogram.percentile_threshold(index, "underserved_index", p, k)
-    hit = index.join(F.broadcast(bound), k).filter(F.col("underserved_index") >= F.col("threshold"))
+    hit = histogram.attach(index, bound, k).filter(F.col("underserved_index") >= F.col("threshold"))
     return hit.groupBy(*k, "threshold").agg(F.count(F.lit(1)).alias("cells"), F.sum("population").alias("population_at_risk"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlake.model import CITIES, RECTANGLES, RIVERS, Grid, zone_table
 from gridlake.operators import focal, histogram, topology, zonal, zones
+from gridlake.plans import water
 
 RNG = random.Random(7)
 # a sparse 23 x 17 grid: gaps, a missing row and a ragged end
@@ -147,6 +148,16 @@ def test_otsu_separates_two_groups_and_constant_band(spark):
     df = spark.createDataFrame([(1, float(v)) for v in [1, 2, 2, 3] * 5 + [50, 51, 52] * 5] + [(2, 4.0)] * 3, "k int, v double")
     t = {r.k: r.threshold for r in histogram.otsu(df, "v", ["k"]).collect()}
     assert 3 < t[1] <= 50.5 and t[2] == 4.0
+    assert histogram.otsu(df.filter("k = 1"), "v").first().threshold == t[1]
+
+
+def test_otsu_vote_with_and_without_keys(spark):
+    rows = [(1, float(g), float(100 - g), 50.0, 20.0) for g in range(100)]
+    comp = spark.createDataFrame(rows, "yr int, green double, nir double, swir1 double, swir2 double")
+    keyed = water.classify(comp, ["yr"], "otsu").agg(F.sum("water")).first()[0]
+    assert 0 < keyed < 100 and keyed == water.classify(comp, [], "otsu").agg(F.sum("water")).first()[0]
+    with pytest.raises(ValueError):
+        water.classify(comp, [], "other")
 
 
 @pytest.mark.parametrize("accuracy", [20, 100, 10_000])
