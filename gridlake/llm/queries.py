@@ -14,7 +14,25 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_cascade,)}
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from gridlake.llm.bpe import decoded, encoded
+    rows = decoded(encoded(_read(spark, sf_dir, "documents")))
+    return rows.select(F.col("id").alias("doc_id"), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from gridlake.llm.shared import shared_path
+    from gridlake.llm.warc import read_archives, write_archives
+    path = shared_path(spark, "archives")
+    write_archives(_read(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path, with_payload=False).filter("kind = 'record'").select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op5_quality_cascade, op6_bpe_round_trip, op10_warc_salvage)}
 
 _WORDS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -39,4 +57,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * len(list_filter(ws, lambda v: regexp_matches(v, '\p{L}'))) < 7 * n_words
             OR (n_words >= 200 AND 20 * len(list_distinct(ws)) < n_words)) AS kept
 FROM f""",
+    "op10_warc_salvage": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x, h) AS first FROM p),
+b AS (SELECT page_id, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+        (CAST('0x' || substr(x, CAST(10 * (i // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS d FROM p)
+SELECT f.page_id, strlen(h) AS payload_bytes, d AS payload_digest,
+       CASE WHEN f.page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.page_id <> first THEN first END AS refers_to
+FROM f JOIN b USING (page_id)""",
 }
