@@ -8,6 +8,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.packing import packed
+    return packed(_read(spark, sf_dir, "documents")).drop("ids")
+
+
 def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.fingerprints import fingerprints
     return fingerprints(_read(spark, sf_dir, "documents"))
@@ -44,7 +49,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op8_vector_sharding, op10_warc_salvage)}
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op8_vector_sharding, op10_warc_salvage)}
 
 _WORDS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
