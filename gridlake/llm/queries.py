@@ -13,6 +13,13 @@ def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_read(spark, sf_dir, "documents")).drop("ids")
 
 
+def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.langid import held_out, identified, train
+    docs = _read(spark, sf_dir, "documents")
+    model = train(docs.filter(~held_out()))
+    return identified(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.fingerprints import fingerprints
     return fingerprints(_read(spark, sf_dir, "documents"))
@@ -49,7 +56,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lexical_packing, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op8_vector_sharding, op10_warc_salvage)}
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op8_vector_sharding, op10_warc_salvage)}
 
 _WORDS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
