@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gridlake.llm.shared import text_or_empty
+from gridlake.llm.shared import small_batches, text_or_empty
 
 #: Texts with more characters than this are cut; a leaf has at most half as many.
 LEAF = 1 << 15
 #: Words kept with their ids per Python worker before the older half is forgotten.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 80_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -180,6 +180,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
     leaves long are encoded where they are read. Longer ones become one row per leaf, dealt
     over all tasks; only their leaves are shuffled, and a task joins one text at a time."""
     path = path or vocabulary()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty().alias("t"))
 
     def short(batches):
@@ -200,7 +201,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
 
     def leaves(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
             made = [enc.placed(t) for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array([m[c].astype("<i4").tobytes() for m in made], pa.binary()) for c in range(3))],

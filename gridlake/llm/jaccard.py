@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.graph import components
-from gridlake.llm.shared import joined_words, lower_ascii, mixed, stored
+from gridlake.llm.shared import joined_words, lower_ascii, mixed, small_batches, stored
 
 WORDS, PERCENT = 5, 80
 #: Tokens in more prefixes than this are of the frequent class.
@@ -171,6 +171,7 @@ def indexed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequen
 
     Three passes over the texts: token counts in hash order find the frequent class, counts in
     the final order find the rare tokens that two documents share, the last makes signatures."""
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     hot = context.broadcast(_filter(_prefix_tokens(docs, words, percent).filter(F.col("n") > frequent), FREQUENT_BITS))
     known = context.broadcast(_filter(_prefix_tokens(docs, words, percent, hot).filter(F.col("n") > 1), SHARED_BITS))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.llm.shared import small_batches
+
 #: Code point ranges of scripts (first, last, name); letters elsewhere are script 0.
 SCRIPT_RANGES = (
     (0x0041, 0x024F, "Latin"), (0x0370, 0x03FF, "Greek"), (0x0400, 0x052F, "Cyrillic"), (0x0530, 0x058F, "Armenian"),
@@ -110,6 +112,7 @@ def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS) -> Model:
     Of a language with more than `max_docs` documents a hash of doc_id takes about that
     many: the documented bound of the training sample. Tasks add up n-gram counts per
     language; what reaches the driver is bounded by buckets times languages."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
@@ -207,6 +210,7 @@ def identified(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -
     order), score is its share of them. A null text or one without a letter is `und` with score
     0 and no spans, as is every text if nothing was learned. Columns of `docs` with these names
     are replaced. Whole texts are read, in batches of bounded size or alone."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "spans")
     packed = pickle.dumps(model)
     names = docs.columns

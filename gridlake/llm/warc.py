@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import stored
+from gridlake.llm.shared import small_batches, stored
 
 VERSION = b"WARC/1.1\r\n"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -57,6 +57,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
     Null html is an empty payload, a null url an empty one. Records are written where the
     pages are read. The list of revisits is stored first: Spark broadcasts it only if its
     measured size is below the session's limit and otherwise shuffles both sides."""
+    small_batches(pages.sparkSession)
     revisits = stored(first_copies(pages, min_bytes), "revisits")
 
     def run(batches):
