@@ -13,6 +13,14 @@ def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_read(spark, sf_dir, "documents")).drop("ids")
 
 
+def op2_suffix_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from gridlake.llm.suffix_dedup import deduplicated
+    rows = deduplicated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.langid import held_out, identified, train
     docs = _read(spark, sf_dir, "documents")
@@ -61,7 +69,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lexical_packing, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op10_warc_salvage)}
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op10_warc_salvage)}
 
 _WORDS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
