@@ -59,6 +59,12 @@ def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from gridlake.llm.pitman_yor import scored
+    return scored(_read(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0)
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     from gridlake.llm.shared import shared_path
@@ -69,7 +75,12 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op10_warc_salvage)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op9_pitman_yor_scores, op10_warc_salvage, pipeline)}
 
 _WORDS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
