@@ -107,10 +107,11 @@ def with_next(df: DataFrame, columns: dict[str, str], id_column: str = "doc_id",
     here = F.struct(F.col("_own").alias("bucket"), F.lit(0).alias("ghost"))
     there = F.struct(F.get(before_of, F.col("_own")).alias("bucket"), F.lit(1).alias("ghost"))
     rows = rows.withColumn("_at", F.explode(F.when(F.get(first_of, F.col("_own")) == F.col("_key"), F.array(here, there)).otherwise(F.array(here))))
-    window = Window.partitionBy("_at.bucket").orderBy("_at.ghost", "_key", *columns)
-    for old, new in columns.items():
-        rows = rows.withColumn(new, F.lead(old).over(window))
-    return rows.filter("_at.ghost = 0").drop("_key", "_own", "_at")
+    # columns of their own, so that all leads share one window and one exchange
+    rows = rows.withColumn("_bucket", F.col("_at.bucket")).withColumn("_ghost", F.col("_at.ghost")).drop("_at", "_own")
+    window = Window.partitionBy("_bucket").orderBy("_ghost", "_key", *columns)
+    rows = rows.select("*", *(F.lead(old).over(window).alias(new) for old, new in columns.items()))
+    return rows.filter("_ghost = 0").drop("_key", "_bucket", "_ghost")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
