@@ -28,7 +28,7 @@ def register(q):
 
     def a02(t):
         out = None
-        for scope in ("national", "district:FRANCE", "Europe", "rectangle"):
+        for scope in ("national", "district:FRANCE", "Europe", "rectangle", "somewhere"):
             area = zones.study_area(t.zones, scope, (10, 40, 5, 25))
             cells = zones.in_rectangles(t.cells.select("cell_id", "x", "y"), area).select("cell_id").distinct()
             df = t.obs.join(cells, "cell_id", "left_semi").groupBy("yr").agg(F.count(F.lit(1)).alias("n")).withColumn(
@@ -39,7 +39,7 @@ def register(q):
     q.add("A02_study_area", a02, "cells zones obs", ZONE_CELLS + " " + " UNION ALL ".join([
         sel.format("national", "zc"), sel.format("district:FRANCE", "zc WHERE zone='FRANCE'"),
         sel.format("Europe", "zc WHERE division='EUROPE'"),
-        sel.format("rectangle", "cells WHERE x BETWEEN 10 AND 40 AND y BETWEEN 5 AND 25")]))
+        *[sel.format(scope, "cells WHERE x BETWEEN 10 AND 40 AND y BETWEEN 5 AND 25") for scope in ("rectangle", "somewhere")]]))
 
     q.add("A03_cloud_mask", lambda t: acq.mask_clouds(t.obs, "L5").groupBy("cell_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count("red").alias("clear"), F.sum("red").alias("red")).join(

@@ -12,7 +12,7 @@ from gridlake.sources.fixtures import EPOCHS, GRID
 
 c = F.col
 VALID = {"no2": "no2_dn) FILTER (qa_pct>=75", "so2": "so2_dn) FILTER (qa_pct>=50", "co": "co_dn) FILTER (qa_pct>=50",
-         "aerosol": "aai_dn) FILTER (qa_pct>50 AND aai_dn>0"}
+         "aerosol": "aai_dn) FILTER (qa_pct>50 AND aai_dn>0", "hcho": "hcho_dn) FILTER (qa_pct>=50"}
 POLL = ", ".join(f"avg({v}) AS {p}" for p, v in VALID.items())
 YEARLY_AIR = f"ya AS (SELECT cell_id, yr, {POLL} FROM signals WHERE {CALENDAR} GROUP BY 1,2)"
 RAIN_SQL = f"ra AS (SELECT cell_id, yr, CAST(sum(precip_dmm) AS DOUBLE)/10e0 AS rain_mm FROM signals WHERE {CALENDAR} GROUP BY 1,2)"
@@ -28,7 +28,7 @@ def qa():
 
 
 def yearly_air(t):
-    return air.yearly(t.signals, qa())
+    return air.yearly(t.signals, qa(), reliable=None)
 
 
 def soil_long(t):
@@ -79,11 +79,11 @@ def register(q):
           + ", ".join(f"CAST(CAST(round(avg(v) FILTER (season='{n}'),10) AS FLOAT) AS DOUBLE)+0e0 AS {n}" for n in names) + " FROM pc GROUP BY 1")
     q.add("AQ04_city_pollution", lambda t: round_all(air.by_zone(yearly_air(t), t.disc_cells, "disc", "no2"), "mean", "max", "median"), "cells discs signals",
           DISC_CELLS + "," + YEARLY_AIR + f" SELECT disc, yr, {r('avg(no2)')} AS mean, {r('max(no2)')} AS max, {r('quantile_cont(no2,0.5)')} AS median FROM ya JOIN dc USING (cell_id) GROUP BY 1,2")
-    q.add("AQ05_pollution_hotspots", lambda t: air.hotspots(yearly_air(t).select("cell_id", "yr", "no2"), "no2").select("cell_id", "yr", "threshold", "hotspot"), "signals",
-          YEARLY_AIR + """, th AS (SELECT yr, round(quantile_cont(round(no2,9),0.9),9) AS threshold FROM ya GROUP BY 1)
-          SELECT cell_id, yr, threshold, CAST(round(no2,9)>=threshold AS INT) AS hotspot FROM ya JOIN th USING (yr)""")
-    q.add("AQ06_pollutant_stack", lambda t: air.stack(t.signals, qa(), "1998-01-01", "2000-01-01"), "signals",
-          f"SELECT cell_id, {POLL} FROM signals WHERE t>=DATE '1998-01-01' AND t<DATE '2000-01-01' GROUP BY 1")
+    q.add("AQ05_pollution_hotspots", lambda t: round_all(air.hotspots(yearly_air(t).select("cell_id", "yr", "no2"), "no2").select("cell_id", "yr", "threshold", "hotspot"), "threshold"), "signals",
+          YEARLY_AIR + f""", th AS (SELECT yr, quantile_cont(no2,0.9) AS threshold FROM ya GROUP BY 1)
+          SELECT cell_id, yr, {r('threshold')} AS threshold, CAST(no2>=threshold AS INT) AS hotspot FROM ya JOIN th USING (yr)""")
+    q.add("AQ06_pollutant_stack", lambda t: air.stack(t.signals, qa(), "1990-01-01", "2010-01-01", "1996-05-01", ("cell_id", "yr")), "signals",
+          f"SELECT cell_id, yr, {POLL} FROM signals WHERE t>=DATE '1996-05-01' AND t<DATE '2010-01-01' GROUP BY 1,2")
 
     q.add("K01_lst_quality", lambda t: t.signals.groupBy("cell_id").agg(
         F.count(climate.quality_lst("day")).alias("day"), F.count(climate.quality_lst("night")).alias("night"), F.sum(climate.quality_lst("day")).alias("dn")), "signals",

@@ -98,7 +98,7 @@ def register(q):
           (SELECT cell_id, max(label) FILTER (yr=1996) AS c1, max(label) FILTER (yr=2000) AS c2 FROM md WHERE yr IN (1996,2000) GROUP BY 1) p),
         de AS (SELECT a.cell_id, CAST(coalesce(sum(b.w),0) AS DOUBLE) AS density FROM co a JOIN co b ON b.x BETWEEN a.x-6 AND a.x+6 AND b.y BETWEEN a.y-6 AND a.y+6
           AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=36 GROUP BY 1),
-        th AS (SELECT round(quantile_cont(density,0.75),9) AS threshold FROM de WHERE density>0)
+        th AS (SELECT quantile_cont(density,0.75) AS threshold FROM de WHERE density>0)
         SELECT cell_id, density, threshold, CAST(density>=threshold AS INT) AS hotspot FROM de, th""")
 
     q.add("T01_settlement_masks", lambda t: transport.settlement_areas(t.settlement, c("area_m2")), "settlement",
@@ -107,9 +107,9 @@ def register(q):
           "settlement signals", RASTER_SQL + ", m AS (SELECT cell_id, x, y, CAST(smod>=22 AS INT) AS w FROM ra), "
           f"dd AS (SELECT a.cell_id, {nearest_sql('m', '1e9')} AS d FROM m a) SELECT cell_id, CAST(CAST(round({clamp('(' + norm('light', 0, 50) + '*0.4e0+' + norm('population', 0, 5000) + '*0.4e0+(1-' + norm('d*1000e0', 0, 100000) + ')*0.2e0)', 0, 1)},10) AS FLOAT) AS DOUBLE)+0e0 AS accessibility FROM ra JOIN dd USING (cell_id)")
     under = RASTER_SQL + f", un AS (SELECT *, {clamp('(' + norm('population', 0, 5000) + '*(1-' + norm('light', 0, 50) + '))', 0, 1)} AS ui FROM ra)"
-    q.add("T03_underserved", lambda t: transport.underserved_population(transport.underserved(raster(t))), "settlement signals",
-          under + """, th AS (SELECT epoch, round(quantile_cont(ui,0.6),9) AS threshold FROM un GROUP BY 1)
-          SELECT epoch, threshold, count(*) AS cells, CAST(sum(population) AS BIGINT) AS population_at_risk FROM un JOIN th USING (epoch) WHERE ui>=threshold GROUP BY 1,2""")
+    q.add("T03_underserved", lambda t: round_all(transport.underserved_population(transport.underserved(raster(t))), "threshold"), "settlement signals",
+          under + """, th AS (SELECT epoch, quantile_cont(ui,0.6) AS threshold FROM un GROUP BY 1), hit AS (SELECT * FROM un JOIN th USING (epoch) WHERE ui>=threshold)
+          SELECT epoch, CAST(CAST(round(max(threshold),10) AS FLOAT) AS DOUBLE)+0e0 AS threshold, count(*) AS cells, CAST(sum(population) AS BIGINT) AS population_at_risk FROM hit GROUP BY epoch""")
     q.add("T04_connectivity_gap", lambda t: round_all(transport.gap_by_zone(transport.underserved(raster(t)), t.zone_cells), "mean_gap", "p75_gap"),
           "cells zones settlement signals", ZONE_CELLS + "," + under
           + " SELECT division, CAST(CAST(round(avg(ui),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_gap, CAST(CAST(round(quantile_cont(ui,0.75),10) AS FLOAT) AS DOUBLE)+0e0 AS p75_gap FROM un JOIN zc USING (cell_id) GROUP BY 1")

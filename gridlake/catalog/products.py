@@ -128,7 +128,7 @@ def register(q):
     def seasonal_sql(p):
         return with_views("signals", f"s AS ({cc.seasonal('signals', cc.AIR_SEASONS)}), pc AS (SELECT cell_id, sy, season, avg({cc.VALID[p]}) AS v FROM s GROUP BY 1,2,3) SELECT CAST(sy AS INT) AS yr, "
                           + ", ".join(f"avg(v) FILTER (season='{n}') AS {n}" for n in seasons) + " FROM pc GROUP BY 1")
-    add("AQ07_air_product", lambda t: products.air_report(t.signals, cc.qa(), t.disc_cells, "disc", ("1998-01-01", "2000-01-01")),
+    add("AQ07_air_product", lambda t: products.air_report(t.signals, cc.qa(), t.disc_cells, "disc", ("1996-05-01", "2010-01-01"), reliable=None),
         [(f"series_{p}", ya(f" SELECT yr, avg({p}) AS mean, max({p}) AS max, quantile_cont({p},0.5) AS median FROM ya GROUP BY 1"), ["yr"], stats, True) for p in air.COLUMNS]
         + [(f"seasons_{p}", seasonal_sql(p), ["yr"], seasons, True) for p in ("no2", "so2")]
         + [(f"cities_{p}", ya(f" SELECT disc, yr, avg({p}) AS mean, max({p}) AS max, quantile_cont({p},0.5) AS median FROM ya JOIN dc USING (cell_id) GROUP BY 1,2"), ["disc", "yr"], stats, True) for p in ("no2", "so2")]

@@ -45,11 +45,23 @@ SEASON_W = (f"sz AS ({seasonal('obs', DRY_MONSOON)}), sc AS (SELECT cell_id, sy
             f"sw AS (SELECT cell_id, yr, season, {XY}, {vote()} AS w FROM sc), "
             "fl AS (SELECT d.cell_id, d.yr, 'flood' AS season, d.x, d.y, m.w*(1-d.w) AS w FROM sw d JOIN sw m ON d.cell_id=m.cell_id AND d.yr=m.yr "
             "AND d.season='dry' AND m.season='monsoon')")
-EXTENTS = (SEASON_W + ", m0 AS (SELECT * FROM sw WHERE w IS NOT NULL UNION ALL SELECT * FROM fl WHERE w IS NOT NULL),"
-           + opening_sql("m0", "w", "yr, season") + ", ar AS (SELECT yr, "
-           + ", ".join(f"CAST(sum(w*900) FILTER (season='{s}') AS DOUBLE)/1e6 AS {s}" for s in ("dry", "monsoon", "flood"))
-           + " FROM op GROUP BY 1), ex AS (SELECT yr, dry AS dry_km2, CASE WHEN dry IS NOT NULL AND monsoon IS NOT NULL THEN greatest(dry,monsoon) END AS monsoon_km2, flood AS seasonal_mask_km2,"
-           " CASE WHEN dry IS NOT NULL AND monsoon IS NOT NULL THEN greatest(dry,monsoon) END-dry AS seasonal_km2, CAST(monsoon<dry AS INT) AS clamped FROM ar)")
+def extents_sql(masks):
+    """Areas per year from the CTEs sw (season masks) and fl (flood)."""
+    return (masks + ", m0 AS (SELECT * FROM sw WHERE w IS NOT NULL UNION ALL SELECT * FROM fl WHERE w IS NOT NULL),"
+            + opening_sql("m0", "w", "yr, season") + ", ar AS (SELECT yr, "
+            + ", ".join(f"CAST(sum(w*900) FILTER (season='{s}') AS DOUBLE)/1e6 AS {s}" for s in ("dry", "monsoon", "flood"))
+            + " FROM op GROUP BY 1), ex AS (SELECT yr, dry AS dry_km2, CASE WHEN dry IS NOT NULL AND monsoon IS NOT NULL THEN greatest(dry,monsoon) END AS monsoon_km2, flood AS seasonal_mask_km2,"
+            " CASE WHEN dry IS NOT NULL AND monsoon IS NOT NULL THEN greatest(dry,monsoon) END-dry AS seasonal_km2, CAST(monsoon<dry AS INT) AS clamped FROM ar)")
+
+
+EXTENTS = extents_sql(SEASON_W)
+#: The same masks with one Otsu threshold per index, year and season; ys is the key in one column.
+SEASON_OTSU = (f"sz AS ({seasonal('obs', DRY_MONSOON)}), sc AS (SELECT cell_id, sy AS yr, season, season || sy AS ys, {MEDIANS} FROM sz WHERE (qa&24)=0 GROUP BY 1,2,3), "
+               f"si AS (SELECT *, {nd('green','nir')} AS ndwi, {nd('green','swir1')} AS mndwi, {AWEI} AS awei FROM sc), "
+               + ",".join(otsu_sql("si", v, "ys", f"o_{v}") for v in ("ndwi", "mndwi", "awei"))
+               + f", sw AS (SELECT cell_id, yr, season, {XY}, CAST((CAST(ndwi>=coalesce(a.t,0) AS INT)+CAST(mndwi>=coalesce(b.t,0) AS INT)"
+               "+CAST(awei>=coalesce(d.t,0) AS INT))>=2 AS INT) AS w FROM si LEFT JOIN o_ndwi a USING (ys) LEFT JOIN o_mndwi b USING (ys) LEFT JOIN o_awei d USING (ys)), "
+               + SEASON_W[SEASON_W.index("fl AS"):])
 
 
 def win_sql(spans, name="wm"):
@@ -173,6 +185,8 @@ def register(q):
 
     # floods
     q.add("F01_annual_extents", lambda t: floods.annual_extents(t.obs, GRID), "obs", EXTENTS + " SELECT * FROM ex")
+    q.add("F01b_annual_extents_otsu", lambda t: floods.annual_extents(t.obs, GRID, method=floods.method_for("district:X")), "obs",
+          extents_sql(SEASON_OTSU) + " SELECT * FROM ex")
     q.add("F02_flood_series", lambda t: floods.time_series(t.obs, GRID, 1996, 2000, 2), "obs",
           EXTENTS + " SELECT * FROM ex WHERE yr IN (1996,1998,2000)")
     q.add("F03_extreme_anomaly", lambda t: floods.extreme_year_anomaly(floods.annual_extents(t.obs, GRID)).withColumns(
@@ -191,17 +205,22 @@ def register(q):
         wetlands.seasonal_water(t.obs, MONSOON), "water", t.zone_cells, GRID), "cells zones obs", ZONE_CELLS + "," + mon + "," + zshare)
     q.add("F06_flood_frequency", lambda t: floods.frequency(floods.seasonal_masks(t.obs)), "obs",
           SEASON_W + """ SELECT s.cell_id, count(fl.w) AS years, avg(fl.w) AS frequency FROM (SELECT DISTINCT cell_id, yr FROM sw) s
-          LEFT JOIN fl USING (cell_id, yr) GROUP BY 1""")
+          LEFT JOIN (SELECT * FROM sw WHERE season='monsoon') fl USING (cell_id, yr) GROUP BY 1""")
     q.add("F07_flood_trend", lambda t: floods.trend(floods.seasonal_masks(t.obs), 1996, 2001), "obs",
           SEASON_W + """, e AS (SELECT s.cell_id, avg(fl.w) FILTER (s.yr BETWEEN 1996 AND 1998) AS early,
           avg(fl.w) FILTER (s.yr BETWEEN 1999 AND 2001) AS late FROM (SELECT DISTINCT cell_id, yr FROM sw) s
-          LEFT JOIN fl USING (cell_id, yr) GROUP BY 1) SELECT cell_id, early, late, late-early AS trend FROM e""")
+          LEFT JOIN (SELECT * FROM sw WHERE season='monsoon') fl USING (cell_id, yr) GROUP BY 1) SELECT cell_id, early, late, late-early AS trend FROM e""")
 
     # rivers
     q.add("R01_river_corridor", lambda t: corridors(t).select("river", "cell_id"), "cells discs", CORRIDOR + " SELECT river, cell_id FROM cor")
     wm = win_sql(rivers.windows(RIVER_YEARS, reach=1))
     q.add("R02_decadal_masks", lambda t: rivers.long_masks(wide_masks(t), RIVER_YEARS).select("cell_id", "period", "water"), "cells obs",
           wm + " " + " UNION ALL ".join(f"SELECT cell_id, {y} AS period, w_{y} AS water FROM wm" for y in RIVER_YEARS))
+    empty_year = (1996, 2003)       # the test series has no scene around 2003: its window is widened
+    q.add("R02b_widened_window", lambda t: rivers.long_masks(rivers.window_masks(t.obs, t.cells, rivers.filled_windows(
+        t.obs, empty_year, reach=1)), empty_year).select("cell_id", "period", "water"), "cells obs",
+        win_sql([(1996, "1995-12-01", "1997-03-01"), (2003, "2000-03-01", "9999-12-31")], "ww") + " "
+        + " UNION ALL ".join(f"SELECT cell_id, {y} AS period, w_{y} AS water FROM ww" for y in empty_year))
     q.add("R03_centerline", lambda t: rivers.centerline(rivers.long_masks(wide_masks(t), RIVER_YEARS)).select(
         "cell_id", "period", "centerline"), "cells obs", wm + "," + centerline_sql())
     mv = wm + "," + pairs_sql(RIVER_YEARS)

@@ -2,6 +2,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlake.session import cut_lineage
+
 
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Statistics beside the rows: an equi join on the keys, or scalar subqueries without keys
@@ -42,49 +44,52 @@ def otsu(df: DataFrame, value: str, keys=(), buckets: int = 255, out: str = "thr
     return h.groupBy(*k).agg(F.max_by("mean", F.struct(F.col("_bss"), -F.col("bucket"))).alias(out))
 
 
-def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), accuracy: int = 10_000) -> DataFrame:
+def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), accuracy: int = 10_000,
+                splits: int = 1024) -> DataFrame:
     """Exact interpolated percentiles of a real-valued column per key, {output: p}.
 
     The built-in exact percentile keeps every distinct value of a group in one task, which fits
-    the few stored integers of a cell but not the cells of a country. Here a bounded sketch
-    brackets each percentile (its rank error is at most n / accuracy; groups up to
-    ``accuracy`` rows take their whole range), rows below the bracket are only counted, and
-    the exact rank is found among the distinct values inside it: a few n / accuracy rows per key."""
+    the few stored integers of a cell but not the cells of a country. Here, at every size:
+    a sketch brackets each percentile; rows are counted below, above and in ``splits`` equal
+    parts of the bracket, with the neighbouring values outside; only the rows of the parts that
+    hold a wanted rank are shuffled and ranked. A rank outside the bracket and its two
+    neighbours would break the sketch's promise and raises an error. Keys and values are
+    stored once (a Spark job that runs as the query is built)."""
     k = list(keys)
-    base = df.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    base = cut_lineage(df.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()))
     margin = 4.0 / accuracy
     edges = [q for p in points.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = base.groupBy(*k).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("_v").alias("_n"),
-                                  F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    small = F.col("_n") <= accuracy
-    low = [F.when(small, F.col("_lo")).otherwise(F.col("_b")[2 * i]) for i in range(len(points))]
-    high = [F.when(small, F.col("_hi")).otherwise(F.col("_b")[2 * i + 1]) for i in range(len(points))]
-    distinct = base.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    distinct = attach(distinct, sketch, k)
-    below = distinct.groupBy(*k).agg(*[F.sum(F.when(F.col("_v") < low[i], F.col("_c")).otherwise(0)).alias(f"_below{i}")
-                                       for i in range(len(points))])
-    inside = [F.when(F.col("_v").between(low[i], high[i]), F.struct(F.lit(i).alias("_i"), F.col("_v").alias("_x"), F.col("_c").alias("_m")))
-              for i in range(len(points))]
-    found = attach(distinct.select(*k, "_n", F.inline(F.array_compact(F.array(*inside)))), below, k)
-    first = F.when(F.col("_i") == 0, F.col("_below0"))
-    for i in range(1, len(points)):
-        first = first.when(F.col("_i") == i, F.col(f"_below{i}"))
-    w = Window.partitionBy(*k, "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("_rank", first + F.sum("_m").over(w))      # rows up to and including the value
-    aggs = []
-    for i, (name, p) in enumerate(points.items()):
-        at = F.lit(float(p)) * (F.col("_n") - 1)
-        here = F.col("_i") == i
-        lower = F.min(F.when(here & (F.col("_rank") >= F.floor(at) + 1), F.col("_x")))
-        upper = F.min(F.when(here & (F.col("_rank") >= F.ceil(at) + 1), F.col("_x")))
-        share = F.max(at - F.floor(at))
-        aggs.append((lower + (upper - lower) * share).alias(name))
-    return found.groupBy(*k).agg(*aggs)
+    sketch = base.groupBy(*k).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("_v").alias("_n"))
+    at, low, high = F.element_at(F.array([F.lit(float(p)) for p in points.values()]), F.col("_i") + 1) * (F.col("_n") - 1), \
+        F.element_at("_b", 2 * F.col("_i") + 1), F.element_at("_b", 2 * F.col("_i") + 2)
+    part = F.floor((F.col("_v") - low) / F.nullif(high - low, F.lit(0)) * F.lit(splits))
+    placed = (attach(base, sketch, k).withColumn("_i", F.explode(F.array([F.lit(i) for i in range(len(points))])))
+              .withColumn("_g", F.when(F.col("_v") < low, -1).when(F.col("_v") > high, splits)
+                          .otherwise(F.least(F.coalesce(part, F.lit(0)), F.lit(splits - 1))).cast("int")))
+    order = Window.partitionBy(*k, "_i").orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)     # splits + 2 rows at most
+    parts = placed.groupBy(*k, "_i", "_g", "_n").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    parts = parts.withColumn("_cum", F.sum("_c").over(order)).withColumns({"_r0": F.floor(at) + 1, "_r1": F.ceil(at) + 1})
+    holds = [(F.col(f"_r{e}") > F.col("_cum") - F.col("_c")) & (F.col(f"_r{e}") <= F.col("_cum")) for e in (0, 1)]
+    wanted = parts.filter(holds[0] | holds[1]).withColumns({f"_r{e}": F.when(holds[e], F.col(f"_r{e}")) for e in (0, 1)})
+    missed = F.raise_error(F.lit("percentile rank outside the sketch bracket")).cast("double")
+    def neighbour(rank):
+        known = (F.when((F.col("_g") < 0) & (rank == F.col("_cum")), F.col("_hi"))
+                 .when((F.col("_g") == splits) & (rank == F.col("_cum") - F.col("_c") + 1), F.col("_lo")).otherwise(missed))
+        return F.when(rank.isNotNull(), known)
+    inner = F.col("_g").between(0, splits - 1)
+    outside = wanted.filter(~inner).select(*k, "_i", neighbour(F.col("_r0")).alias("_x0"), neighbour(F.col("_r1")).alias("_x1"))
+    inside = placed.filter(inner).join(wanted.select(*k, "_i", "_g", "_r0", "_r1", (F.col("_cum") - F.col("_c")).alias("_before")), [*k, "_i", "_g"])
+    inside = inside.groupBy(*k, "_i", "_g", "_v", "_r0", "_r1", "_before").agg(F.count(F.lit(1)).alias("_c"))
+    rank = F.col("_before") + F.sum("_c").over(Window.partitionBy(*k, "_i", "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_rank", rank).groupBy(*k, "_i", "_g").agg(
+        *[F.min(F.when(F.col("_rank") >= F.col(f"_r{e}"), F.col("_v"))).alias(f"_x{e}") for e in (0, 1)]).drop("_g")
+    found = attach(found.unionByName(outside), sketch.select(*k, "_n"), k)
+    def interpolated(i):
+        lower, upper = (F.max(F.when(F.col("_i") == i, F.col(f"_x{e}"))) for e in (0, 1))
+        return lower + (upper - lower) * F.max(F.when(F.col("_i") == i, at - F.floor(at)))
+    return found.groupBy(*k).agg(*[interpolated(i).alias(name) for i, name in enumerate(points)])
 
 
-def percentile_threshold(df: DataFrame, value: str, p: float, keys=(), out: str = "threshold",
-                         digits: int = 9) -> DataFrame:
-    """Exact percentile per key, rounded so that an interpolated value equal to a data value
-    compares equal to it."""
-    found = percentiles(df, value, {out: p}, keys)
-    return found.withColumn(out, F.round(out, digits))
+def percentile_threshold(df: DataFrame, value: str, p: float, keys=(), out: str = "threshold") -> DataFrame:
+    """Exact percentile per key. Equal neighbours interpolate to themselves, bit by bit."""
+    return percentiles(df, value, {out: p}, keys)

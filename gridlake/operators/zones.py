@@ -114,8 +114,9 @@ def study_area(zones: DataFrame, scope: str, default_rect: tuple = (0, 63, 0, 34
     if scope.startswith("district:"):
         return zones.filter(F.col("zone") == F.lit(scope.split(":", 1)[1]))
     x0, x1, y0, y1 = default_rect
-    if scope.startswith("rect"):
-        return zones.limit(1).select(F.lit(-1).alias("zone_id"), F.lit(scope).alias("zone"),
-                                     F.lit("rectangle").alias("division"), F.lit(x0).alias("x0"),
-                                     F.lit(x1).alias("x1"), F.lit(y0).alias("y0"), F.lit(y1).alias("y1"))
-    return zones.filter(F.upper("division") == F.lit(scope.upper()))
+    named = zones.filter(F.upper("division") == F.lit(scope.upper()))
+    rectangle = zones.sparkSession.range(1).select(
+        F.lit(-1).alias("zone_id"), F.lit(scope).alias("zone"), F.lit("rectangle").alias("division"),
+        *[F.lit(v).alias(c) for c, v in zip(("x0", "x1", "y0", "y1"), (x0, x1, y0, y1))])
+    none = named.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() == 0
+    return named.select(*rectangle.columns).unionByName(rectangle.filter(none))

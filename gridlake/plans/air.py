@@ -1,4 +1,6 @@
 """Pollutant composites, statistics and hotspots."""
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -6,7 +8,7 @@ from gridlake.functions import algebra as A
 from gridlake.model import AIR_SEASONS, POLLUTANT_QA, POLLUTANT_START
 from gridlake.operators import histogram, temporal
 
-COLUMNS = {"no2": "no2_dn", "so2": "so2_dn", "co": "co_dn", "aerosol": "aai_dn"}
+COLUMNS = {"no2": "no2_dn", "so2": "so2_dn", "co": "co_dn", "aerosol": "aai_dn", "hcho": "hcho_dn"}
 
 
 def valid(pollutant: str, qa: Column, value: Column) -> Column:
@@ -17,9 +19,9 @@ def valid(pollutant: str, qa: Column, value: Column) -> Column:
     return F.when(qa >= bound, value)
 
 
-def clamped_start(start: str, first: str = POLLUTANT_START) -> str:
-    """Data before the first reliable month is not used."""
-    return max(start, first)
+def clamped_start(start: str, first: str | None = POLLUTANT_START) -> str:
+    """Data before the first reliable month is not used; None for a series without such a month."""
+    return start if first is None else max(start, first)
 
 
 def composites(df: DataFrame, qa: Column, keys=("cell_id", "yr"), pollutants=tuple(COLUMNS), scales=None) -> DataFrame:
@@ -29,7 +31,10 @@ def composites(df: DataFrame, qa: Column, keys=("cell_id", "yr"), pollutants=tup
         (F.avg(valid(p, qa, F.col(COLUMNS[p]))) * F.lit(float(scales.get(p, 1.0)))).alias(p) for p in pollutants])
 
 
-def yearly(df: DataFrame, qa: Column, pollutants=tuple(COLUMNS), first: int | None = None) -> DataFrame:
+def yearly(df: DataFrame, qa: Column, pollutants=tuple(COLUMNS), first: int | None = None, reliable: str | None = POLLUTANT_START) -> DataFrame:
+    """Yearly means; rows before the first reliable day are left out at the scan."""
+    if reliable is not None:
+        df = df.filter(F.col("t") >= F.lit(date.fromisoformat(reliable)))
     return composites(temporal.calendar_years(df, first), qa, ("cell_id", "yr"), pollutants)
 
 
@@ -53,12 +58,10 @@ def by_zone(cells: DataFrame, zone_cells: DataFrame, key: str, pollutant: str) -
 def hotspots(cells: DataFrame, pollutant: str, p: float = 0.9, keys=("yr",)) -> DataFrame:
     """1 where the composite reaches the exact percentile of its key; the threshold is kept."""
     k = list(keys)
-    value = cells.withColumn("_v", F.round(pollutant, 9))
-    bound = histogram.percentile_threshold(value, "_v", p, k)
-    return (histogram.attach(value, bound, k)
-            .withColumn("hotspot", A.flag(F.col("_v") >= F.col("threshold"))).drop("_v"))
+    bound = histogram.percentile_threshold(cells, pollutant, p, k)
+    return histogram.attach(cells, bound, k).withColumn("hotspot", A.flag(F.col(pollutant) >= F.col("threshold")))
 
 
-def stack(df: DataFrame, qa: Column, start: str, end: str) -> DataFrame:
-    """The pollutants side by side per cell for one date range."""
-    return composites(temporal.between(df, start, end), qa, ("cell_id",))
+def stack(df: DataFrame, qa: Column, start: str, end: str, reliable: str | None = POLLUTANT_START, keys=("cell_id",)) -> DataFrame:
+    """The pollutants side by side per key for one date range, which starts with the reliable data."""
+    return composites(temporal.between(df, clamped_start(start, reliable), end), qa, keys)

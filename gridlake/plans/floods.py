@@ -6,6 +6,7 @@ from gridlake.functions import algebra as A
 from gridlake.functions import indices as I
 from gridlake.model import DRY_MONSOON, EXTREME_FLOOD_YEARS, Grid
 from gridlake.operators import focal, temporal
+from gridlake.plans import water
 from gridlake.plans.water import WATER_BANDS
 
 
@@ -24,19 +25,31 @@ def conditional_masks(df: DataFrame, keys, labels: dict, bands=WATER_BANDS, thre
     return wide.select(*keys, *labels)
 
 
-def seasonal_masks(obs: DataFrame, years=None, seasons=DRY_MONSOON, bits: int = 24) -> DataFrame:
-    """(cell_id, yr, dry, monsoon, flood): flood = monsoon and not dry; a missing side masks it."""
+def method_for(scope: str) -> str:
+    """Fixed thresholds for the national scope, Otsu for all others."""
+    return "fixed" if scope == "national" else "otsu"
+
+
+def seasonal_masks(obs: DataFrame, years=None, seasons=DRY_MONSOON, bits: int = 24, method: str = "fixed",
+                   thresholds=(0.0, 0.0, 0.0)) -> DataFrame:
+    """(cell_id, yr, dry, monsoon, flood): flood = monsoon and not dry; a missing side masks it.
+
+    otsu finds a threshold per index, year and season, with the given ones where a band is masked."""
     tagged = temporal.assign_season(temporal.cloud_free(obs, bits), seasons, years)
-    masks = conditional_masks(tagged, ["cell_id", "yr"], {s.name: F.col("season") == s.name for s in seasons})
+    if method == "fixed":
+        masks = conditional_masks(tagged, ["cell_id", "yr"], {s.name: F.col("season") == s.name for s in seasons}, thresholds=thresholds)
+    else:
+        each = water.classify(temporal.composite(tagged, ["cell_id", "yr", "season"], bands=WATER_BANDS), ["yr", "season"], method, thresholds)
+        masks = each.groupBy("cell_id", "yr").agg(*[F.max(F.when(F.col("season") == s.name, F.col("water"))).alias(s.name) for s in seasons])
     return masks.withColumn("flood", A.mask_and(F.col("monsoon"), A.mask_not(F.col("dry"))))
 
 
-def annual_extents(obs: DataFrame, grid: Grid, years=None) -> DataFrame:
+def annual_extents(obs: DataFrame, grid: Grid, years=None, method: str = "fixed") -> DataFrame:
     """Despeckled dry, monsoon and seasonal areas per year.
 
     The monsoon area is raised to the dry area when smaller (clamped = 1); seasonal_km2
     is their difference, seasonal_mask_km2 the area of the flood mask itself."""
-    opened = focal.openings(grid.attach(seasonal_masks(obs, years)), {f"_{n}": n for n in ("dry", "monsoon", "flood")}, ["yr"])
+    opened = focal.openings(grid.attach(seasonal_masks(obs, years, method=method)), {f"_{n}": n for n in ("dry", "monsoon", "flood")}, ["yr"])
     areas = opened.groupBy("yr").agg(*[A.km2(F.col(f"_{n}"), F.col("area_m2")).alias(f"_{n}_km2")
                                        for n in ("dry", "monsoon", "flood")])
     dry, monsoon = F.col("_dry_km2"), F.col("_monsoon_km2")
@@ -45,11 +58,11 @@ def annual_extents(obs: DataFrame, grid: Grid, years=None) -> DataFrame:
                         (A.max2(monsoon, dry) - dry).alias("seasonal_km2"), A.flag(monsoon < dry).alias("clamped"))
 
 
-def time_series(obs: DataFrame, grid: Grid, start: int, end: int, step: int = 1) -> DataFrame:
+def time_series(obs: DataFrame, grid: Grid, start: int, end: int, step: int = 1, method: str = "fixed") -> DataFrame:
     """annual_extents for start, start+step, ...; other years never enter the shuffle."""
     wanted = list(range(start, end + 1, step))
     reach = obs.filter(F.year("t").isin(sorted({y + d for y in wanted for d in (-1, 0)})))
-    return annual_extents(reach, grid, (start, end)).filter(F.col("yr").isin(wanted))
+    return annual_extents(reach, grid, (start, end), method).filter(F.col("yr").isin(wanted))
 
 
 def extreme_year_anomaly(series: DataFrame, extreme=EXTREME_FLOOD_YEARS, reach: int = 5) -> DataFrame:
@@ -72,12 +85,12 @@ def share_by_zone(masks: DataFrame, value: str, zone_cells: DataFrame, grid: Gri
     return wet.join(total, "zone").withColumn("water_pct", A.ratio(F.col("water_km2"), F.col("zone_km2")) * F.lit(100.0))
 
 
-def frequency(masks: DataFrame, value: str = "flood") -> DataFrame:
-    """Share of observed years flooded per cell."""
+def frequency(masks: DataFrame, value: str = "monsoon") -> DataFrame:
+    """Share of observed years with water in the monsoon per cell; permanent water has 1."""
     return masks.groupBy("cell_id").agg(F.count(value).alias("years"), F.avg(value).alias("frequency"))
 
 
-def trend(masks: DataFrame, start: int, end: int, value: str = "flood") -> DataFrame:
+def trend(masks: DataFrame, start: int, end: int, value: str = "monsoon") -> DataFrame:
     """Frequency of the later half minus frequency of the earlier half."""
     mid = (start + end) // 2
     early = F.avg(F.when(F.col("yr").between(start, mid), F.col(value)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import algebra as A
 from gridlake.model import Grid
+from gridlake.model import POLLUTANT_START
 from gridlake.plans import (air, climate, coast, composite, crops, cyclones, landcover, lights, ponds, settlement, soil, transport,
                             vegetation)
 
@@ -88,14 +89,15 @@ def transport_report(raster: DataFrame, built: DataFrame, zone_cells: DataFrame,
             "market": raster_summary(market, "market_access", ()), "gradient": raster_summary(market, "light_gradient", ())}
 
 
-def air_report(df: DataFrame, qa: Column, zone_cells: DataFrame, key: str, span, pollutants=("no2", "so2", "co", "aerosol")) -> dict[str, DataFrame]:
-    """Series per pollutant, seasons, cities, hotspots and the stack of one span."""
-    yearly = air.yearly(df, qa)
+def air_report(df: DataFrame, qa: Column, zone_cells: DataFrame, key: str, span, pollutants=tuple(air.COLUMNS),
+               reliable: str | None = POLLUTANT_START) -> dict[str, DataFrame]:
+    """Series per pollutant, seasons, cities, hotspots and the yearly stack of one span."""
+    yearly = air.yearly(df, qa, reliable=reliable)
     out = {f"series_{p}": air.stats(yearly, p) for p in pollutants}
     out |= {f"seasons_{p}": air.seasonal(df, qa, p) for p in pollutants[:2]}
     out |= {f"cities_{p}": air.by_zone(yearly, zone_cells, key, p) for p in pollutants[:2]}
     out["hotspots"] = air.hotspots(yearly.select("cell_id", "yr", "no2"), "no2").groupBy("yr", "threshold").agg(F.sum("hotspot").alias("hotspot_cells"))
-    stack = air.stack(df, qa, *span)
+    stack = air.stack(df, qa, *span, reliable, ("cell_id", "yr"))
     out["stack"] = stack.agg(*[F.avg(p).alias(p) for p in pollutants])
     return out
 

@@ -26,6 +26,19 @@ def windows(years=DECADE_YEARS, reach: int = 2, early_reach: int = 5, last_day=(
     return out
 
 
+def filled_windows(obs: DataFrame, years=DECADE_YEARS, reach: int = 2, early_reach: int = 5, last_day=(3, 1), today: str | None = None):
+    """`windows`, where one without any scene starts two more years before and ends today.
+
+    Runs one small job over the scene dates: a number per window reaches the driver."""
+    spans = windows(years, reach, early_reach, last_day, today)
+    t = F.col("t")
+    counts = obs.agg(*[F.count(F.when((t >= F.lit(a)) & (t < F.lit(b)), 1)) for _, a, b in spans]).first()
+    last = date.fromisoformat(today) if today else date(9999, 12, 31)
+    def wide(y):
+        return y, date(max(y - (reach if y >= 1990 else max(reach, early_reach)) - 2, 1984), 3, 1), last
+    return [span if n else wide(span[0]) for span, n in zip(spans, counts)]
+
+
 def window_masks(obs: DataFrame, cells: DataFrame, spans) -> DataFrame:
     """One row per grid cell with a 0/1 column w_<year> per window; unseen cells are 0."""
     clear = temporal.cloud_free(obs)

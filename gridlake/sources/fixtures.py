@@ -50,7 +50,7 @@ FROM {lineitem}""",
   CAST(l_orderkey % 4 AS INT) AS qc_day, CAST(l_suppkey % 4 AS INT) AS qc_night,
   CAST((c * 3) % 10001 AS INT) AS ndvi_dn, CAST((c * 5) % 10001 AS INT) AS evi_dn,
   CAST((l_suppkey + l_orderkey) % 4 AS INT) AS summary_qa,
-  CAST((c * 7) % 1001 AS INT) AS no2_dn, CAST((c * 11) % 1001 AS INT) AS so2_dn, CAST((c * 13) % 1001 AS INT) AS co_dn,
+  CAST((c * 7) % 1001 AS INT) AS no2_dn, CAST((c * 11) % 1001 AS INT) AS so2_dn, CAST((c * 13) % 1001 AS INT) AS co_dn, CAST((c * 19) % 1001 AS INT) AS hcho_dn,
   CAST(c % 201 - 60 AS INT) AS aai_dn, CAST(l_orderkey % 101 AS INT) AS qa_pct, CAST((c * 17) % 64 AS INT) AS light_dn,
   CAST(c % 3 AS INT) AS water_month, CAST(c % 61 - 30 AS INT) AS tws_cm, CAST(c % 41 AS INT) AS sm1,
   CAST(c % 43 AS INT) AS sm2, CAST(c % 47 AS INT) AS sm3, CAST(c % 53 AS INT) AS sm4,

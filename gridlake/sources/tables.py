@@ -1,4 +1,6 @@
 """Readers for raster products and survey tables."""
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +22,18 @@ def product(spark: SparkSession, path: str, name: str, columns=None, years: tupl
 
 
 def box(cells: DataFrame, grid: Grid, west: float, south: float, east: float, north: float) -> DataFrame:
-    """Cells whose centre lies in a lon/lat box, as a range predicate on x and y."""
+    """Cells whose centre lies in a lon/lat box.
+
+    A range of whole x and y, one cell wider, reaches the scan; the exact test follows."""
+    x0, x1 = math.floor((west - grid.lon0) / grid.step) - 1, math.ceil((east - grid.lon0) / grid.step) + 1
+    y0, y1 = math.floor((grid.lat0 - north) / grid.step) - 1, math.ceil((grid.lat0 - south) / grid.step) + 1
+    cells = cells.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
     return (cells.filter((grid.lon() >= west) & (grid.lon() <= east) & (grid.lat() >= south) & (grid.lat() <= north))
             .withColumns({"lon": grid.lon(), "lat": grid.lat()}))
 
 
 def cell_km2(step_degrees: float, latitude: float = 23.7, km_per_degree: float = 111.32) -> float:
     """Area of a cell from its size in degrees at one reference latitude."""
-    import math
     return (step_degrees * km_per_degree) * (step_degrees * km_per_degree * math.cos(math.radians(latitude)))
 
 
@@ -39,7 +45,8 @@ def census(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     present = set(raw.columns)
     columns = [to_int(F.col(c), CENSUS_DEFAULTS.get(c, 0)).alias(c.lower()) for c in CENSUS_INTS if c in present]
-    columns += [to_float(F.col(c), 1.0).alias(c.lower()) for c in ("PERWT", "HHWT") if c in present]
+    # a blank or invalid weight counts nothing; a file without the column weighs every row alike
+    columns += [(to_float(F.col(c), 0.0) if c in present else F.lit(1.0)).alias(c.lower()) for c in ("PERWT", "HHWT")]
     columns += [F.nullif(F.trim(F.col(c)), F.lit("")).alias(c.lower()) for c in ("GEOLEV1", "GEOLEV2") if c in present]
     return raw.select(*columns)
 
