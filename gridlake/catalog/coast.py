@@ -5,7 +5,7 @@ from gridlake.catalog.base import (AWEI, BANDS, DISC_CELLS, MEDIANS, ZONE_CELLS,
 from gridlake.catalog.primitives import NEAR8, patches_sql
 from gridlake.catalog.water import win_sql
 from gridlake.functions import algebra as A
-from gridlake.model import DRY, LOW_WATER
+from gridlake.model import DRY, LOW_WATER, Grid
 from gridlake.plans import coast, cyclones, ponds, rivers
 from gridlake.sources.fixtures import GRID
 
@@ -14,6 +14,9 @@ XY = "CAST(cell_id % 64 AS INT) AS x, CAST(floor(cell_id/64) AS INT) AS y"
 LAND_YEARS = (1996, 1998, 2000)
 CALENDAR = "NOT (month(t)=12 AND day(t)=31)"
 
+#: The test grid laid out in degrees, for coordinates of patches.
+DEGREES = Grid(64, lon0=88.0, lat0=26.75, step=0.25)
+
 
 def round_all(df, *names):
     return df.withColumns({n: A.rounded(c(n)) for n in names})
@@ -94,9 +97,11 @@ def register(q):
           + " UNION ALL ".join(f"SELECT zone, {a} AS early, {b} AS late, CAST(sum(w_{a}*(1-w_{b})*900) AS DOUBLE)/1e6 AS k FROM lw JOIN zc USING (cell_id) GROUP BY 1"
                                for a, b in zip(LAND_YEARS, LAND_YEARS[1:])) + ")")
     islands = LAND_SQL + ", nl AS (SELECT cell_id, x, y, area_m2, w_1996*(1-w_2000) AS w FROM lw)," + patches_sql("nl")
-    q.add("C10_major_islands", lambda t: coast.major_islands(coast.new_land(land_wide(t), 1996, 2000), 2700), "cells obs",
+    q.add("C10_major_islands", lambda t: coast.major_islands(coast.new_land(land_wide(t), 1996, 2000), 2700, grid=DEGREES, period="1996-2000").withColumns(
+        {n: A.rounded(c(n)) for n in ("lon", "lat")}), "cells obs",
           islands + """ SELECT label, count(*) AS patch_cells, CAST(sum(area_m2) AS BIGINT) AS area_m2, CAST(sum(x) AS DOUBLE)/count(*) AS centroid_x,
-          CAST(sum(y) AS DOUBLE)/count(*) AS centroid_y, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max
+          CAST(sum(y) AS DOUBLE)/count(*) AS centroid_y, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max,
+          """ + f"{r(f'{DEGREES.lon0!r}+avg(x)*{DEGREES.step!r}')} AS lon, {r(f'{DEGREES.lat0!r}-avg(y)*{DEGREES.step!r}')} AS lat, '1996-2000' AS period" + """
           FROM lab GROUP BY 1 HAVING sum(area_m2)>=2700 ORDER BY area_m2 DESC, label""")
     q.add("C11_vulnerability", lambda t: round_all(coast.vulnerability(coast.new_land(land_wide(t), 1996, 2000).join(
         t.cells.select("cell_id", "occurrence"), "cell_id")), "mean_occurrence"), "cells obs",

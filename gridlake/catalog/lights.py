@@ -85,7 +85,7 @@ def register(q):
         SELECT k.cell_id, CAST(q.b-p.b>0.1e0 AS INT)*CAST(p.v-q.v>0.1e0 AS INT) AS construction FROM (SELECT DISTINCT cell_id FROM ix) k
         LEFT JOIN ix p ON p.cell_id=k.cell_id AND p.yr=1996 LEFT JOIN ix q ON q.cell_id=k.cell_id AND q.yr=2000""")
     q.add("J03_economic_zones", lambda t: settlement.growth_by_zone(t.settlement, t.disc_cells, "disc"), "cells discs settlement", city)
-    q.add("J04_buildup_density", lambda t: settlement.buildup_density(t.settlement, 10), "settlement",
+    q.add("J04_buildup_density", lambda t: settlement.buildup_density(t.settlement, 10, tile=16), "settlement",
           """SELECT a.epoch, a.cell_id, CAST(sum(b.built) AS DOUBLE)/1e6 AS density_km2 FROM settlement a JOIN settlement b ON a.epoch=b.epoch
           AND b.x BETWEEN a.x-10 AND a.x+10 AND b.y BETWEEN a.y-10 AND a.y+10 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=100 GROUP BY 1,2""")
     q.add("J05_connectivity", lambda t: round_all(transport.connectivity(raster(t), F.lit(2000), (), 1000.0, 9500.0).select(

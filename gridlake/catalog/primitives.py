@@ -242,13 +242,14 @@ def register(q):
           JOIN wet b ON b.x=a.x+o.dx AND b.y=a.y+o.dy GROUP BY 1)
         SELECT op.cell_id, op_er.w AS eroded, dil.w AS dilated, op.w AS opened FROM op JOIN op_er USING (cell_id) JOIN dil USING (cell_id)""")
 
-    q.add("P32_disc_kernel", lambda t: focal.disc_kernel(t.cells.select("cell_id", "x", "y", "occurrence"), "occurrence", 5).select(
+    q.add("P32_disc_kernel", lambda t: focal.disc_kernel(t.cells.select("cell_id", "x", "y", "occurrence"), "occurrence", 5, tile=16).select(      # several tiles even on the test grid
+
         "cell_id", c("disc_sum").cast("bigint").alias("disc_sum"), c("disc_count").cast("bigint").alias("disc_count")), "cells",
         """SELECT a.cell_id, CAST(sum(b.occurrence) AS BIGINT) AS disc_sum, count(*) AS disc_count FROM cells a
         JOIN cells b ON b.y BETWEEN a.y-5 AND a.y+5 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=25 GROUP BY 1""")
 
     q.add("P33_convolution", lambda t: focal.slope_degrees(focal.sobel_magnitude(focal.gaussian_mean(
-        t.cells.select("cell_id", "x", "y", "elevation"), "elevation", 3), "elevation"), "elevation", 30.0).select(
+        t.cells.select("cell_id", "x", "y", "elevation"), "elevation", 3, tile=16), "elevation"), "elevation", 30.0).select(
         "cell_id", *[A.rounded(c(n)).alias(n) for n in ("smooth", "gradient", "slope")]), "cells",
         f"""g AS (SELECT a.cell_id, sum(b.elevation*exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/4.5e0))/
           sum(exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/4.5e0)) AS smooth
@@ -283,7 +284,7 @@ def register(q):
           CAST(sum(x) AS DOUBLE)/count(*) AS centroid_x, CAST(sum(y) AS DOUBLE)/count(*) AS centroid_y,
           min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM lab GROUP BY 1""")
 
-    q.add("P38_texture", lambda t: focal.texture_entropy(t.cells.select("cell_id", "x", "y", "worldcover"), "worldcover").select(
+    q.add("P38_texture", lambda t: focal.texture_entropy(t.cells.select("cell_id", "x", "y", "worldcover"), "worldcover", tile=16).select(
         "cell_id", A.rounded(c("entropy")).alias("entropy")), "cells", "v AS (SELECT cell_id, x, y, worldcover AS v FROM cells),"
         + TEXTURE_SQL + f" SELECT cell_id, {r('entropy')} AS entropy FROM v LEFT JOIN ent USING (cell_id)")
 

@@ -117,7 +117,7 @@ def register(q):
 
     add("T07_transport_product", lambda t: products.transport_report(cl.raster(t), t.settlement, t.zone_cells, c("area_m2"), 50.0), [
         ("settlement", sql["T01_settlement_masks"], ["epoch"], ["urban_km2", "peri_urban_km2", "rural_cluster_km2", "low_density_km2"], None),
-        ("accessibility", summary(sql["T02_accessibility"], "accessibility", ()), [], MMM, True), ("underserved", sql["T03_underserved"], ["epoch"], ["threshold", "cells", "population_at_risk"], None),
+        ("accessibility", summary(sql["T02_accessibility"], "accessibility", ()), [], MMM, True), ("underserved", sql["T03_underserved"], ["epoch"], ["threshold", "cells", "population_at_risk"], True),
         ("gap", sql["T04_connectivity_gap"], ["division"], ["mean_gap", "p75_gap"], True), ("market", summary(sql["T05_market_access"], "market_access", ()), [], MMM, True),
         ("gradient", summary(sql["T05_market_access"], "light_gradient", ()), [], MMM, True)])
 

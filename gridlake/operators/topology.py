@@ -79,12 +79,35 @@ def keep_by_size(labelled: DataFrame, low: int, high: int, keys=()) -> DataFrame
     return labelled.join(sizes, k + ["label"])
 
 
-def patch_table(labelled: DataFrame, keys=()) -> DataFrame:
-    """Area, centroid and bounding box per patch."""
-    return labelled.groupBy(*keys, "label").agg(
+def patch_table(labelled: DataFrame, keys=(), grid=None) -> DataFrame:
+    """Area, centroid and bounding box per patch; with a grid also the centroid in degrees."""
+    table = labelled.groupBy(*keys, "label").agg(
         F.count(F.lit(1)).alias("patch_cells"), F.sum("area_m2").alias("area_m2"),
         (F.sum("x") / F.count(F.lit(1))).alias("centroid_x"), (F.sum("y") / F.count(F.lit(1))).alias("centroid_y"),
         F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    return table if grid is None else table.withColumns({"lon": grid.lon("centroid_x"), "lat": grid.lat("centroid_y")})
+
+
+def _row_distances(g2: np.ndarray) -> np.ndarray:
+    """min over j of g2[j] + (i - j)^2 for every i: the lower envelope of the parabolas, linear in the row."""
+    at = np.flatnonzero(np.isfinite(g2))
+    if not len(at):
+        return g2
+    height = (g2[at] + at.astype(float) ** 2).tolist()
+    at = at.tolist()
+    hull, begin = [0], [-np.inf]            # parabolas of the envelope and where each takes over
+    for k in range(1, len(at)):
+        while True:
+            cross = (height[k] - height[hull[-1]]) / (2.0 * (at[k] - at[hull[-1]]))
+            if cross > begin[-1]:
+                break
+            hull.pop()
+            begin.pop()
+        hull.append(k)
+        begin.append(cross)
+    i = np.arange(len(g2))
+    nearest = np.array(at)[np.array(hull)[np.searchsorted(begin, i, side="right") - 1]]
+    return g2[nearest] + np.square((i - nearest).astype(float))
 
 
 def distance_to_set(df: DataFrame, mask: str, keys=(), out: str = "distance", cap: int | None = None) -> DataFrame:
@@ -116,14 +139,7 @@ def distance_to_set(df: DataFrame, mask: str, keys=(), out: str = "distance", ca
         x = pdf["x"].to_numpy()
         g2 = np.full(int(x[-1] - x[0]) + 1, np.inf)
         g2[x - x[0]] = np.square(pdf["_g"].to_numpy(dtype=float, na_value=np.inf))
-        best, n = g2.copy(), len(g2)
-        if np.isfinite(g2).any():
-            step = 1
-            while step < n and step * step < best.max() and (cap is None or step <= cap):
-                best[step:] = np.minimum(best[step:], g2[:-step] + step * step)
-                best[:-step] = np.minimum(best[:-step], g2[step:] + step * step)
-                step += 1
-        distance = np.sqrt(best[x - x[0]])
+        distance = np.sqrt(_row_distances(g2)[x - x[0]])
         distance = np.where(np.isinf(distance), np.nan, distance) if cap is None else np.minimum(distance, cap)
         rows = pdf.assign(**{out: distance})
         return rows.loc[rows["_real"].notna() & (rows["_real"] == True), names + [out]]  # noqa: E712

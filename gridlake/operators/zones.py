@@ -98,6 +98,17 @@ def in_polygons(cells: DataFrame, edges: DataFrame, key: str = "zone_id") -> Dat
     return cells.join(inside, ["x", "y"]).select(key, "cell_id", "x", "y")
 
 
+def with_halo(zone_cells: DataFrame, grid, reach: int = 2) -> DataFrame:
+    """Ids of the cells of all zones and of their neighbours within ``reach`` steps, each once.
+
+    Rasters are semi-joined with these before composites are made; an opening reaches two cells."""
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    near = (zone_cells.select("cell_id").distinct().select((F.col("cell_id") % grid.width).alias("_x"), F.floor(F.col("cell_id") / grid.width).alias("_y"))
+            .withColumn("_x", F.explode(F.transform(steps, lambda d: F.col("_x") + d))).filter(F.col("_x").between(0, grid.width - 1))
+            .withColumn("_y", F.explode(F.transform(steps, lambda d: F.col("_y") + d))).filter(F.col("_y") >= 0))
+    return near.select((F.col("_y") * grid.width + F.col("_x")).alias("cell_id")).distinct()
+
+
 def lookup(zones: DataFrame, level: str | None = None, names=None) -> DataFrame:
     """Zones of an admin level filtered by name or list of names; None means all."""
     if names is None:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import algebra as A
 from gridlake.model import DRY
+from gridlake.model import Grid
 from gridlake.operators import temporal, topology
 from gridlake.plans.floods import conditional_masks
 
@@ -98,9 +99,13 @@ def zone_resolution(square_degrees: float) -> int:
     return 300 if square_degrees >= 2 else 100 if square_degrees >= 0.5 else 30
 
 
-def major_islands(land: DataFrame, min_area_m2: int = 500_000, neighbours: int = 4) -> DataFrame:
-    """Patches of new land of at least the given area with centroid, largest first."""
-    patches = topology.patch_table(topology.label_patches(land.filter(F.col("new_land") == 1), neighbours=neighbours))
+def major_islands(land: DataFrame, min_area_m2: int = 500_000, neighbours: int = 4, grid: Grid | None = None, period: str | None = None) -> DataFrame:
+    """Patches of new land of at least the given area with centroid, largest first.
+
+    A grid adds the centroid's lon and lat, ``period`` a label column."""
+    patches = topology.patch_table(topology.label_patches(land.filter(F.col("new_land") == 1), neighbours=neighbours), grid=grid)
+    if period is not None:
+        patches = patches.withColumn("period", F.lit(period))
     return patches.filter(F.col("area_m2") >= min_area_m2).orderBy(F.desc("area_m2"), "label")
 
 

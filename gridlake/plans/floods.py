@@ -1,4 +1,6 @@
 """Seasonal inundation."""
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def annual_extents(obs: DataFrame, grid: Grid, years=None, method: str = "fixed"
 def time_series(obs: DataFrame, grid: Grid, start: int, end: int, step: int = 1, method: str = "fixed") -> DataFrame:
     """annual_extents for start, start+step, ...; other years never enter the shuffle."""
     wanted = list(range(start, end + 1, step))
-    reach = obs.filter(F.year("t").isin(sorted({y + d for y in wanted for d in (-1, 0)})))
+    reach = temporal.between(obs, date(start - 1, 1, 1), date(end + 1, 1, 1))      # the range reaches the scan
+    reach = reach.filter(F.year("t").isin(sorted({y + d for y in wanted for d in (-1, 0)})))
     return annual_extents(reach, grid, (start, end), method).filter(F.col("yr").isin(wanted))
 
 

@@ -90,9 +90,9 @@ def spectral_construction(composites: DataFrame, year1: int, year2: int, rise: f
                                              A.flag(F.col("v1") - F.col("v2") > rise)).alias("construction"))
 
 
-def buildup_density(settlement: DataFrame, radius_cells: int, keys=("epoch",)) -> DataFrame:
+def buildup_density(settlement: DataFrame, radius_cells: int, keys=("epoch",), tile: int | None = None) -> DataFrame:
     """Built-up surface within a disc around every cell, in km2."""
-    k = focal.disc_kernel(settlement.select(*keys, "cell_id", "x", "y", "built"), "built", radius_cells, keys)
+    k = focal.disc_kernel(settlement.select(*keys, "cell_id", "x", "y", "built"), "built", radius_cells, keys, tile=tile)
     return k.select(*keys, "cell_id", (F.col("disc_sum") / F.lit(1e6)).alias("density_km2"))
 
 

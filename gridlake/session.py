@@ -12,6 +12,7 @@ def local_session(cores: int = 8, name: str = "gridlake") -> SparkSession:
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+             .config("spark.checkpoint.dir", os.environ.get("GRIDLAKE_SHARED") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
              .config("spark.driver.memory", os.environ.get("GRIDLAKE_DRIVER_MEMORY", "8g"))
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
