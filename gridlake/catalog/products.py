@@ -132,7 +132,7 @@ def register(q):
         [(f"series_{p}", ya(f" SELECT yr, avg({p}) AS mean, max({p}) AS max, quantile_cont({p},0.5) AS median FROM ya GROUP BY 1"), ["yr"], stats, True) for p in air.COLUMNS]
         + [(f"seasons_{p}", seasonal_sql(p), ["yr"], seasons, True) for p in ("no2", "so2")]
         + [(f"cities_{p}", ya(f" SELECT disc, yr, avg({p}) AS mean, max({p}) AS max, quantile_cont({p},0.5) AS median FROM ya JOIN dc USING (cell_id) GROUP BY 1,2"), ["disc", "yr"], stats, True) for p in ("no2", "so2")]
-        + [("hotspots", f"SELECT yr, threshold, sum(hotspot) AS hotspot_cells FROM ({sql['AQ05_pollution_hotspots']}) GROUP BY 1,2", ["yr"], ["threshold", "hotspot_cells"], None),
+        + [("hotspots", f"SELECT yr, threshold, sum(hotspot) AS hotspot_cells FROM ({sql['AQ05_pollution_hotspots']}) GROUP BY 1,2", ["yr"], ["threshold", "hotspot_cells"], True),
            ("stack", "SELECT " + ", ".join(f"avg({p}) AS {p}" for p in air.COLUMNS) + f" FROM ({sql['AQ06_pollutant_stack']})", [], list(air.COLUMNS), True)])
 
     add("K09_climate_product", lambda t: products.climate_report(t.signals, t.cells, t.discs, (c("r"), c("r") + 2, c("r") + 6), (1995, 2000, 1995)), [
