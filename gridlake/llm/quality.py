@@ -91,11 +91,14 @@ def quality_cascade(docs: DataFrame, rules=RULES, sample_rows: int = 512) -> Dat
     rule. rejected_by is 'base', the first rejecting rule in cascade order, or null. Columns
     of `docs` with the names of the results are replaced; repeated rows stay, each judged."""
     made = ["t", "words", "n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            "base_failed", "rejected_by", "kept"]
+            "base_failed", "rejected_by", "kept", "_row"]
     rows = measured(docs.drop(*made, "lines", "windows", "placed", "hits")).withColumn(
         "base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    verdict = F.when(F.col("base_failed"), F.lit("base"))
-    for rule in cascade_order(rows, rules, sample_rows):
+    order = cascade_order(rows, rules, sample_rows)
+    # a row number keeps filters on the verdict above the measures, which otherwise are copied into them many times over
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    verdict = F.when(F.col("base_failed") | (F.col("_row") < 0), F.lit("base"))
+    for rule in order:
         verdict = verdict.when(rule.condition(), F.lit(rule.name))
     return (rows.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
-            .drop("t", "words"))
+            .drop("t", "words", "_row"))
