@@ -37,8 +37,3 @@ def area_by_class(df: DataFrame, class_col: str, area: Column, classes: dict, ke
     rows = F.array(*[F.struct(F.lit(code).cast("int").alias("class"), F.lit(label).alias("class_name"),
                               F.col(f"_{code}").alias("area_km2")) for code, label in classes.items()])
     return wide.select(*keys, F.inline(rows))
-
-
-def with_group_stat(df: DataFrame, stat: DataFrame, keys) -> DataFrame:
-    """Attach per-group statistics (for thresholds) by an equi join on the group keys."""
-    return df.join(stat, list(keys))

@@ -107,7 +107,3 @@ def population_summary(population: DataFrame, area: Column, keys=()) -> DataFram
     some = population.filter(F.col("population") > 0).groupBy(*keys).agg(
         F.sum("population").alias("population"), (F.sum(area) / F.lit(1e6)).alias("_k"))
     return some.withColumn("density_km2", F.col("population") / F.col("_k")).drop("_k")
-
-
-def trailing(df: DataFrame, keys, order: str, years: int) -> Window:
-    return Window.partitionBy(*keys).orderBy(order).rangeBetween(-years, -1)

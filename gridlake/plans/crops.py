@@ -1,5 +1,4 @@
 """Rice phenology, crop types, yield proxy, stress and cropping intensity."""
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,7 +115,3 @@ def cropping_intensity(vegetation: DataFrame, cells: DataFrame, years=None, code
     masked = months.join(cells.select("cell_id", A.flag(F.col("worldcover") == code).alias("_c")), "cell_id")
     m = F.when(F.col("_c") == 1, F.col("m"))
     return masked.select("cell_id", "yr", A.where_chain(0, (m.between(3, 5), 1), (m.between(6, 8), 2), (m >= 9, 3)).alias("intensity"))
-
-
-def merge_rice(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
