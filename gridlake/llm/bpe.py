@@ -173,8 +173,8 @@ def encode_tree(enc: Encoder, text: str, leaf: int) -> bytes:
     return climb(enc, text, bounds, parts)[0].astype("<u4").tobytes()
 
 
-def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", leaf: int = LEAF // 2) -> DataFrame:
-    """Rows (id, ids): one per document, ids as little-endian unsigned 32-bit integers.
+def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", leaf: int = LEAF // 2, width: int = 4) -> DataFrame:
+    """Rows (id, ids): one per document, ids as little-endian unsigned integers of `width` bytes (4, or 2 for small vocabularies).
 
     Null text is empty and gives no ids; repeated rows give repeated results. Texts up to two
     leaves long are encoded where they are read. Longer ones become one row per leaf, dealt
@@ -183,11 +183,14 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty().alias("t"))
 
+    def narrow(ids: bytes) -> bytes:
+        return ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+
     def short(batches):
         enc = encoder(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([enc.ids(t) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "ids"])
+                [batch.column(0), pa.array([narrow(enc.ids(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "ids"])
 
     def cut(batches):
         for batch in batches:
@@ -214,7 +217,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
         parts = [tuple(np.frombuffer(x, "<i4").astype(np.int64) + shift for x, shift in zip(p, (0, at, at)))
                  for p, at in zip(zip(pdf["ids"], pdf["starts"], pdf["ends"]), bounds)]
         ids = climb(enc, "".join(pdf["piece"]), bounds, parts)[0]
-        return pd.DataFrame({"id": pdf["id"].iloc[:1], "ids": [ids.astype("<u4").tobytes()]})
+        return pd.DataFrame({"id": pdf["id"].iloc[:1], "ids": [ids.astype(f"<u{width}").tobytes()]})
 
     kind = docs.schema[id_column].dataType
     pieces = pa.schema([("row", pa.int64()), ("id", to_arrow_type(kind)), ("k", pa.int32()), ("n", pa.int32()), ("piece", pa.string())])

@@ -18,10 +18,9 @@ SHARD_TOKENS = 1_000_000
 #: Terms of a seed that query the index: those with the highest weight.
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-_IDS = np.dtype("<u4")
 
 
-def document_frequencies(tokens: DataFrame, vocabulary_size: int) -> tuple[np.ndarray, int, int]:
+def document_frequencies(tokens: DataFrame, vocabulary_size: int, kind: str = "<u4") -> tuple[np.ndarray, int, int]:
     """In how many documents each token id occurs, the number of documents and of tokens.
 
     A task sends one vector of the vocabulary's length, and Spark adds them up by ranges of
@@ -30,7 +29,7 @@ def document_frequencies(tokens: DataFrame, vocabulary_size: int) -> tuple[np.nd
         counts, docs, total = np.zeros(vocabulary_size, np.int64), 0, 0
         for batch in batches:
             for ids in batch.column(0):
-                ids = np.frombuffer(ids.as_buffer(), _IDS)
+                ids = np.frombuffer(ids.as_buffer(), kind)
                 counts[np.unique(ids)] += 1
                 docs, total = docs + 1, total + len(ids)
         found = np.flatnonzero(counts)
@@ -123,19 +122,21 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard
     path = path or vocabulary()
     from gridlake.llm.bpe import encoder
     size = max(len(encoder(path).strings), END_ID + 1)
-    tokens = encoded(docs, path)
+    width = 2 if size <= 1 << 16 else 4      # what is stored and shuffled
+    kind = f"<u{width}"
+    tokens = encoded(docs, path, width=width)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    tokens = stored(tokens.withColumn("ids", F.concat("ids", F.lit(np.array([END_ID], _IDS).tobytes()))), "tokens")
-    df, n, total = document_frequencies(tokens, size)
+    tokens = stored(tokens.withColumn("ids", F.concat("ids", F.lit(np.array([END_ID], kind).tobytes()))), "tokens")
+    df, n, total = document_frequencies(tokens, size, kind)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean_length, shards = total / max(n, 1), max(1, -(-total // shard_tokens))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "ids"], kind="stable")
-        own = [np.frombuffer(x, _IDS) for x in pdf["ids"]]
+        own = [np.frombuffer(x, kind) for x in pdf["ids"]]
         names, base, out = pdf["id"].tolist(), int(pdf["shard"].iloc[0]) << 32, []
         for k, start, length, sequence, offset in pack_shard(own, idf, mean_length, window):
-            piece = own[k][start:start + length].tobytes()
+            piece = own[k][start:start + length].astype("<u4").tobytes()
             out.append((names[k], start, length, zlib.crc32(piece), len(own[k]), base + sequence, offset, piece))
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
