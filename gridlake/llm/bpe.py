@@ -25,8 +25,12 @@ from gridlake.llm.shared import small_batches, text_or_empty
 #: Texts with more characters than this are cut; a leaf has at most half as many.
 LEAF = 1 << 15
 #: Words kept with their ids per Python worker before the older half is forgotten.
-KEPT_WORDS = 80_000
+KEPT_WORDS = 150_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Texts of these characters only are the same after NFC, and their pre-tokens (of the lower-cased text) are those of
+#: the second pattern; all other texts take the library's own normalizer and pre-tokenizer, word by word.
+_PLAIN = re.compile(r"[\x09-\x0D -~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0D a-z0-9ß-öø-ÿ]+")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -57,25 +61,47 @@ class Encoder:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size()
         self.strings = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        # the byte alphabet: printable bytes are themselves, the others follow from code point 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [x for x in range(256) if x not in printable]
+        self.byte_letters = {x: chr(x) for x in printable} | {x: chr(256 + k) for k, x in enumerate(others)}
+        self.plain = path.endswith("word_bpe_49k.json")     # whose patterns the fast way knows
+        self.spans: dict[str, list[tuple[int, int, int]]] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not kept, encoded in one call."""
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words by the whole tokenizer, in one call."""
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False))}
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens by the model alone; characters beyond ASCII are spelt as the byte alphabet spells them."""
+        tokenize, table = self.tokenizer.model.tokenize, self.byte_letters
         found = {}
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            found[w] = np.array(e.ids, "<u4").tobytes()
+        for p in pieces:
+            spelt = p if p.isascii() else "".join([table[x] for x in p.encode()])
+            found[p] = np.array([t.id for t in tokenize(spelt)], "<u4").tobytes()
         return found
 
-    def ids(self, text: str) -> bytes:
-        """Ids of the text as little-endian unsigned 32-bit integers."""
-        words = _WORD.findall(text)
+    def _spans(self, piece: str) -> list[tuple[int, int, int]]:
+        """(id, first character, past the last character) of a pre-token's tokens."""
+        if piece not in self.spans:
+            if len(self.spans) > KEPT_WORDS // 4:
+                self.spans.clear()
+            spelt = piece if piece.isascii() else "".join([self.byte_letters[x] for x in piece.encode()])
+            # the character of each byte of the spelling, in which the model counts
+            letter = [k for k, c in enumerate(piece) for x in c.encode() for _ in self.byte_letters[x].encode()]
+            self.spans[piece] = [(t.id, letter[t.offsets[0]], letter[t.offsets[1] - 1] + 1) for t in self.tokenizer.model.tokenize(spelt)]
+        return self.spans[piece]
+
+    def _kept(self, units: list[str], learn) -> bytes:
+        """The units' ids in order. Ids are kept; the store is renewed when full, what is used again moves over."""
         young, old = self.young, self.old
-        missing = [w for w in set(words) if w not in young]
+        missing = [w for w in set(units) if w not in young]
         if missing:
             if len(young) > KEPT_WORDS:
                 self.old, self.young = young, {}
-                young, old, missing = self.young, young, list(set(words))
+                young, old, missing = self.young, young, list(set(units))
             new = []
             for w in missing:
                 if w in old:
@@ -83,11 +109,26 @@ class Encoder:
                 else:
                     new.append(w)
             if new:
-                young.update(self._learn(new))
-        return b"".join([young[w] for w in words])
+                young.update(learn(new))
+        return b"".join([young[w] for w in units])
+
+    def ids(self, text: str) -> bytes:
+        """Ids of the text as little-endian unsigned 32-bit integers."""
+        if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+            return self._kept(_PIECE.findall(text.lower()), self._pieces)
+        return self._kept(_WORD.findall(text), self._words)
 
     def placed(self, text: str, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, starts and ends of the tokens; `at` is where the text begins."""
+        """Ids, starts and ends of the tokens; `at` is where the text begins. A token that ends inside a character covers it."""
+        if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+            ids, starts, ends = [], [], []
+            for m in _PIECE.finditer(text.lower()):
+                own, begin = self._spans(m[0]), at + m.start()
+                for i, a, b in own:
+                    ids.append(i)
+                    starts.append(begin + a)
+                    ends.append(begin + b)
+            return np.array(ids, np.int64), np.array(starts, np.int64), np.array(ends, np.int64)
         e = self.tokenizer.encode(text, add_special_tokens=False)
         spans = np.array(e.offsets, np.int64).reshape(-1, 2) + at
         return np.array(e.ids, np.int64), spans[:, 0], spans[:, 1]

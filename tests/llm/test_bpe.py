@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 from gridlake.llm import bpe
 
 TRICKY = ["", " ", "a", "It's we've I'll ...'s 'd''re", "Äö̈ ÉCOLE é ́x", "x<|endoftext|>y <|startoftext|>", "१२३ 漢字かな　全角  nb z",
-          "a\x1cb\x85c", "😀😀👩‍👩‍👧 ﬁ ẞ İI", "\t\n\x0b\x0c\r x"]
+          "a\x1cb\x85c", "😀😀👩‍👩‍👧 ﬁ ẞ İI", "\t\n\x0b\x0c\r x",
+          "ÀÖØÞß öøÿ÷×ªº¼½ naïve Ünder l'été'll 'RE can'T '''s''re ''m'd 12ab3é", "<| x <|end", "A_b-C/d{}[]~^`"]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,7 @@ def library():
 def texts():
     rng = random.Random(5)
     yield from TRICKY
-    for alphabet in ("ab", "abcdefgh ", "thein's.", "aÄß漢😀'1 ", "aaaaab", ".,!'s "):
+    for alphabet in ("ab", "abcdefgh ", "thein's.", "aÄß漢😀'1 ", "aaaaab", ".,!'s ", "aéßÖ'sdm.1 "):
         for n in (1, 7, 300, 3000):
             yield "".join(rng.choice(alphabet) for _ in range(n))
 
@@ -33,6 +34,14 @@ def test_ids_equal_the_library(library):
         assert enc.decode(ids) == library.decode(e.ids, skip_special_tokens=False)
 
 
+def test_places_equal_the_library(library):
+    enc = bpe.encoder(bpe.vocabulary())
+    for t in texts():
+        e = library.encode(t, add_special_tokens=False)
+        ids, starts, ends = enc.placed(t, 5)
+        assert ids.tolist() == e.ids and [(a - 5, b - 5) for a, b in zip(starts.tolist(), ends.tolist())] == e.offsets, t[:60]
+
+
 @pytest.mark.parametrize("leaf", [3, 17, 200])
 def test_tree_concatenation_equals_the_library(library, leaf):
     enc = bpe.encoder(bpe.vocabulary())
