@@ -114,11 +114,11 @@ def ordered(tokens: np.ndarray, frequent: Filter | None) -> tuple[np.ndarray, in
     return np.concatenate([tokens[~hot], tokens[hot]]), int((~hot).sum())
 
 
-def signatures(tokens: np.ndarray, frequent: Filter, shared: Filter | None, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """Single rare tokens and combinations of frequent ones that index a set; the number of frequent tokens in its prefix."""
+def signatures(tokens: np.ndarray, frequent: Filter, shared: Filter | None, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
+    """Single rare tokens and combinations of frequent ones that index a set; how many single ones; the frequent tokens in its prefix."""
     size = len(tokens)
     if not _has_partners(size, percent):
-        return np.empty(0, np.uint64), 0
+        return np.empty(0, np.uint64), 0, 0
     sequence, rare = ordered(tokens, frequent)
     classes = classes_of(size, percent)
     longest = prefix_length(size, max(groups_of(c) for c in classes) + 1, percent)
@@ -138,7 +138,7 @@ def signatures(tokens: np.ndarray, frequent: Filter, shared: Filter | None, perc
                 break
             a, b = hot[:-step][same], hot[step:][same]
             out.append(mixed(a * np.uint64(0x9E3779B97F4A7C15) + mixed(b + np.uint64(c))))
-    return np.concatenate(out), max(0, longest - rare)
+    return np.concatenate(out), len(out[0]), max(0, longest - rare)
 
 
 def _slices(batch: pa.RecordBatch, column: int, rows: int = 256):
@@ -167,7 +167,7 @@ def _prefix_tokens(docs: DataFrame, words: int, percent: int, hot=None) -> DataF
 
 
 def indexed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_shingles, digest, signatures, hot, text): the text only where there are signatures.
+    """(doc_id, n_shingles, digest, signatures, single, hot, text): the text only where there are signatures.
 
     Three passes over the texts: token counts in hash order find the frequent class, counts in
     the final order find the rare tokens that two documents share, the last makes signatures."""
@@ -186,12 +186,13 @@ def indexed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequen
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([m.view(np.int64) for m, _ in marks], pa.list_(pa.int64())), pa.array([h for _, h in marks], pa.int32()),
-                    pa.array([t if len(m) else None for t, (m, _) in zip(texts, marks)], pa.string())],
-                    ["doc_id", "n_shingles", "digest", "signatures", "hot", "text"])
+                    pa.array([m.view(np.int64) for m, _, _ in marks], pa.list_(pa.int64())),
+                    pa.array([x for _, x, _ in marks], pa.int32()), pa.array([x for _, _, x in marks], pa.int32()),
+                    pa.array([t if len(m) else None for t, (m, _, _) in zip(texts, marks)], pa.string())],
+                    ["doc_id", "n_shingles", "digest", "signatures", "single", "hot", "text"])
 
     return stored(docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_shingles long, digest binary, signatures array<long>, hot int, text string"), "index")
+        run, f"doc_id {id_type}, n_shingles long, digest binary, signatures array<long>, single int, hot int, text string"), "index")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -229,14 +230,18 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
                      .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     # one row of each class; repeated rows fall together in the exchange of the join
     key = ["doc_id", "n_shingles", "digest"]
-    own = (index.filter(F.size("signatures") > 0).select(*key, "signatures", "hot")
+    own = (index.filter(F.size("signatures") > 0).select(*key, "signatures", "single", "hot")
            .join(classes.withColumnRenamed("rep", "doc_id"), key).dropDuplicates(key))
     texts = index.filter(F.size("signatures") > 0).select(F.col("doc_id").alias("rep"), "text")
     buckets = own.select(F.explode(F.array_distinct("signatures")).alias("signature"), F.col("doc_id").alias("rep"),
-                         F.col("n_shingles").alias("n"), "hot", F.col("doc_id").alias("comp"))
-    # of sets as large as the smaller one: hash groups of frequent tokens, and K; the prefixes share K tokens
-    enough = F.expr("n_shared >= greatest(1, shiftright(shiftleft(1, length(bin(least(n, m))) - 1), 4)) + 1 - least(hot, other_hot)")
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+                         F.col("n_shingles").alias("n"), "single", "hot", F.col("doc_id").alias("comp"))
+    # tokens that the prefixes must share, less the frequent ones: see the module
+    k = "greatest(1, shiftright(shiftleft(1, length(bin(least(n, m))) - 1), 4)) + 1"
+    overlap = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
+    both = ", ".join(f"least({x}, {x} - ({percent} * {x} + 99) div 100 + {k}) - ({x} - {overlap})" for x in ("n", "m"))
+    need = f"(least({both}) - least(hot, other_hot))"
+    enough = F.expr(f"n_shared >= {need}")
+    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and {need} <= least(single, other_single)")
     links = tested = None
 
     def open_buckets(rows):
@@ -246,7 +251,7 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
 
     def check(pairs):
         nonlocal links, tested
-        """Verifies the pairs of a row per shared signature (a, b with sizes m, n and frequent tokens other_hot, hot)."""
+        """Verifies the pairs of a row per shared signature (a, b with sizes m, n, frequent tokens other_hot, hot)."""
         pairs = pairs.groupBy("a", "b", "n", "m", "hot", "other_hot").agg(F.count(F.lit(1)).alias("n_shared")).filter(enough)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
@@ -260,14 +265,15 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
     for turn in range(leader_rounds):
         if buckets.isEmpty():
             break
-        leaders = buckets.groupBy("signature").agg(F.min_by(F.struct("rep", "n", "hot", "comp"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("x"))
+        leaders = buckets.groupBy("signature").agg(F.min_by(F.struct("rep", "n", "single", "hot", "comp"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("x"))
         leaders = leaders.select("signature", F.col("x.rep").alias("a"), F.col("x.n").alias("m"),
-                                 F.col("x.hot").alias("other_hot"), F.col("x.comp").alias("other"))
+                                 F.col("x.hot").alias("other_hot"), F.col("x.single").alias("other_single"), F.col("x.comp").alias("other"))
         check(buckets.join(leaders, "signature").filter((F.col("comp") != F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
         label = stored(components(links), "components")
         buckets = open_buckets(buckets.drop("comp").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "signature", "rep", "n", "hot", F.coalesce("component", "rep").alias("comp")))
-    other = buckets.select("signature", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("hot").alias("other_hot"), F.col("comp").alias("other"))
+            "signature", "rep", "n", "single", "hot", F.coalesce("component", "rep").alias("comp")))
+    other = buckets.select("signature", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("hot").alias("other_hot"),
+                           F.col("single").alias("other_single"), F.col("comp").alias("other"))
     if not buckets.isEmpty():
         check(buckets.join(other, "signature").filter((F.col("comp") < F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
     if links is None:

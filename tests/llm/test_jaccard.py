@@ -63,9 +63,12 @@ def test_repeated_rows_and_empty_tables(spark):
 
 
 def _meet(x, y, hot):
-    (a, hot_x), (b, hot_y) = jaccard.signatures(x, hot, None), jaccard.signatures(y, hot, None)
-    k = jaccard.groups_of(jaccard.size_class(min(len(x), len(y)))) + 1
-    return np.intersect1d(a, b).size >= max(1, k - min(hot_x, hot_y))
+    (a, one_x, hot_x), (b, one_y, hot_y) = jaccard.signatures(x, hot, None), jaccard.signatures(y, hot, None)
+    n, m = len(x), len(y)
+    k = jaccard.groups_of(jaccard.size_class(min(n, m))) + 1
+    overlap = -(-80 * (n + m) // 180)
+    need = min(jaccard.prefix_length(s, k) - (s - overlap) for s in (n, m)) - min(hot_x, hot_y)
+    return np.intersect1d(a, b).size >= max(1, need) and need <= min(one_x, one_y)
 
 
 def test_similar_sets_share_a_signature():
