@@ -23,9 +23,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from gridlake.llm.shared import small_batches, text_or_empty
 
 #: Texts with more characters than this are cut; a leaf has at most half as many.
-LEAF = 1 << 15
+LEAF = 1 << 16
 #: Words kept with their ids per Python worker before the older half is forgotten.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Texts of these characters only are the same after NFC, and their pre-tokens (of the lower-cased text) are those of
 #: the second pattern; all other texts take the library's own normalizer and pre-tokenizer, word by word.
