@@ -24,8 +24,8 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8)), "gridlake-bench")
     queries = catalog.build().queries
-    queries["N03_light_series"](spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm the JVM and the Python workers
-    queries["P32_disc_kernel"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    queries["P05_map_collection"](spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm the JVM and the Python workers
+    queries["P33_convolution"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()
