@@ -15,8 +15,6 @@ from gridlake.llm.shared import stored
 WINDOW, END_ID = 4096, 2
 #: Tokens of an index shard, about; a constant, so that a shard fits a task at every size of the corpus.
 SHARD_TOKENS = 1_000_000
-#: Terms of a seed that query the index: those with the highest weight.
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 
 
@@ -59,11 +57,11 @@ class Index:
         self.docs, self.weights = doc[order].astype(np.int32), weight[order].astype(np.float32)
         self.begin = np.searchsorted(term[order], np.arange(len(idf) + 1))
         bounds = np.concatenate([[0], np.cumsum([len(c[0]) for c in counted])])
-        self.own = [term[a:b][np.argsort(-weight[a:b], kind="stable")[:QUERY_TERMS]] for a, b in zip(bounds, bounds[1:])]
+        self.own = [term[a:b] for a, b in zip(bounds, bounds[1:])]
         self.n = len(docs)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """All documents that share a query term with the seed, best first; ties by position."""
+        """All documents that share a term with the seed, best first by the sum over all its terms; ties by position."""
         spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.own[seed]]
         if not spans:
             return np.empty(0, np.int64)

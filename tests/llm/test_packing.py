@@ -50,3 +50,10 @@ def test_neighbours_share_a_window():
     for k, _, _, sequence, _ in packing.pack_shard([docs[k] for k in shuffled], np.ones(1000, np.float32), 200.0, 1024):
         found[sequence].add(int(shuffled[k]) // 4)
     assert sum(len(x) for x in found.values()) <= 16       # of 8 topics in 7 windows; mixed windows would have 5 topics each
+
+
+def test_every_term_of_a_seed_counts():
+    """Two documents share 200 middling terms and none of the first one's weightiest; a third shares one weighty term."""
+    seed = np.concatenate([np.repeat(np.arange(40), 3), np.arange(100, 300)]).astype("<u4")
+    docs = [seed, np.arange(100, 300, dtype="<u4"), np.concatenate([[0], np.arange(400, 599)]).astype("<u4")]
+    assert packing.Index(docs, np.ones(1000, np.float32), 200.0).neighbours(0).tolist() == [0, 1, 2]
