@@ -1,7 +1,12 @@
-"""Packing by lexical retrieval: a sharded BM25 inverted index names unused neighbours that fill each seed's window."""
+"""Packing by lexical retrieval: a sharded BM25 inverted index names unused neighbours that fill each seed's window.
+
+The longest documents, as many as there are windows to begin, are the seeds of the corpus. Every document
+queries the whole index of seeds, one part after the other, with all its terms, and is linked to the other seed
+that scores best. What links connect is packed by one task; only what exceeds a task is split."""
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,8 +18,12 @@ from gridlake.llm.bpe import encoded, vocabulary
 from gridlake.llm.shared import stored
 
 WINDOW, END_ID = 4096, 2
-#: Tokens of an index shard, about; a constant, so that a shard fits a task at every size of the corpus.
+#: Tokens of a packing shard, about; a constant, so that a shard fits a task at every size of the corpus.
 SHARD_TOKENS = 1_000_000
+#: Tokens and documents of a part of the index of seeds, which driver and tasks hold at once; constants.
+PART_TOKENS, PART_SEEDS = 6_000_000, 4096
+#: Terms of a part whose weights are kept as a matrix, at most, and steps of a weight.
+DENSE_TERMS, STEPS = 1024, 256
 K1, B = 1.2, 0.75
 
 
@@ -109,14 +118,166 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
             seed = None
 
 
+class Seeds:
+    """BM25 index of a part of the seeds; weights are whole steps, so that sums do not depend on their order."""
+
+    def __init__(self, keys: list[int], docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
+        self.keys, self.place = np.array(keys, np.int64), {key: at for at, key in enumerate(keys)}
+        index = Index(docs, idf, mean_length)
+        weights, df = np.rint(index.weights * STEPS).astype(np.float32), np.diff(index.begin)
+        dense = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+        dense = dense[df[dense] > len(docs) // 32]
+        self.row = np.full(len(df), -1, np.int32)        # of a term in the matrix
+        self.row[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((len(dense), len(docs)), np.float32)
+        term = np.repeat(np.arange(len(df)), df)
+        own = self.row[term] >= 0
+        self.matrix[self.row[term[own]], index.docs[own]] = weights[own]
+        self.docs, self.weights = index.docs[~own], weights[~own]
+        self.begin = np.concatenate([[0], np.cumsum(np.where(self.row >= 0, 0, df))])
+
+    def best(self, docs: list[np.ndarray], keys: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Place and score of the best seed of each document but itself, over all its terms; ties to the first."""
+        terms = [np.unique(d) for d in docs]
+        asked = np.zeros((len(docs), len(self.matrix)), np.float32)
+        for k, t in enumerate(terms):
+            rows = self.row[t]
+            asked[k, rows[rows >= 0]] = 1
+        scores = asked @ self.matrix
+        for k, t in enumerate(terms):
+            spans = [slice(a, b) for a, b in zip(self.begin[t], self.begin[t + 1]) if a < b]
+            if spans:
+                scores[k] += np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(self.keys))
+        for k, key in enumerate(keys or ()):
+            if key in self.place:
+                scores[k, self.place[key]] = 0
+        at = scores.argmax(axis=1)
+        return at, scores[np.arange(len(docs)), at]
+
+
+def best_seeds(queries: DataFrame, seeds: DataFrame, parts: int, idf: np.ndarray, mean_length: float, kind: str) -> DataFrame:
+    """Rows (key, seed): the other seed that scores best for each key of the queries; keys that share no weighty term with any are left out.
+
+    Every query meets every part of the index. A part is built by the driver from a bounded number of seeds and sent to
+    all tasks, so that the queries need not be shuffled."""
+    spark, found = queries.sparkSession, []
+
+    def searcher(shared):
+        def run(batches):
+            for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+                index = shared.value
+                at, score = index.best([np.frombuffer(x.as_buffer(), kind) for x in batch.column(1)], batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.keys[at]), pa.array(score.astype(np.float64))], ["key", "seed", "score"]).filter(pa.array(score > 0))
+        return run
+
+    for part in range(parts):
+        own = sorted({(r[0], bytes(r[1])) for r in seeds.filter(F.pmod("key", F.lit(parts)) == part).select("key", "ids").collect()}, reverse=True)
+        if own:
+            shared = spark.sparkContext.broadcast(Seeds([k for k, _ in own], [np.frombuffer(x, kind) for _, x in own], idf, mean_length))
+            found.append(stored(queries.select("key", "ids").mapInArrow(searcher(shared), "key long, seed long, score double"), "found"))
+            shared.unpersist()
+    if not found:
+        return spark.createDataFrame([], "key long, seed long")
+    # equal scores go to the greatest key, as in a part
+    return reduce(DataFrame.unionByName, found).groupBy("key").agg(F.max_by("seed", F.struct("score", "seed")).alias("seed"))
+
+
+def seed_bounds(lengths: list[tuple[int, int]], window: int) -> tuple[int, float]:
+    """(length, share): documents longer than `length` and this share of those of it are seeds.
+
+    `lengths` are lengths and their counts. The windows that the seeds begin hold the whole corpus, about."""
+    left = sum(n * count for n, count in lengths)
+    for n, count in sorted(lengths, reverse=True):
+        need = -(-n // window) * window
+        if need * count > left:
+            return n, left / (need * count)
+        left -= need * count
+    return 0, 1.0
+
+
+def shards_of(keys: np.ndarray, sizes: np.ndarray, links: np.ndarray, shard_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each group and the number of pieces it is cut into, from the link of its seed to the seed nearest to it.
+
+    Links make trees, which are gathered from the leaves up to two shards each. A seed that has more
+    near ones than that keeps the smallest, and the others stay together as far as they fit. Trees fill
+    shards in turn. Only a group that is itself larger is cut."""
+    n, cap = len(keys), 2 * shard_tokens
+    order = np.argsort(keys, kind="stable")
+    at = order[np.minimum(np.searchsorted(keys[order], links), max(n - 1, 0))]
+    parent = np.where((keys[at] == links) & (at != np.arange(n)), at, -1).tolist()
+    waits = np.bincount([x for x in parent if x >= 0], minlength=n).tolist()
+    ready, done, walk, rest = [k for k in order.tolist() if not waits[k]], [False] * n, [], iter(order.tolist())
+    while len(walk) < n:
+        if not ready:       # only rings are left: one is opened
+            k = next(k for k in rest if not done[k] and parent[k] >= 0)
+            top, parent[k] = parent[k], -1
+        else:
+            k = ready.pop()
+            done[k] = True
+            walk.append(k)
+            top = parent[k]
+        if top >= 0:
+            waits[top] -= 1
+            if not waits[top]:
+                ready.append(top)
+    head, size, near = list(range(n)), sizes.tolist(), [[] for _ in range(n)]
+    for k in walk:
+        bin_head, bin_size = None, 0
+        for child in sorted(near[k], key=lambda c: (size[c], keys[c])):
+            if size[k] + size[child] <= cap:
+                head[child], size[k] = k, size[k] + size[child]
+            elif bin_head is not None and size[bin_head] + size[child] <= cap:
+                head[child], size[bin_head] = bin_head, size[bin_head] + size[child]
+            else:
+                bin_head = child
+        near[k] = None
+        if parent[k] >= 0 and size[k] <= cap:
+            near[parent[k]].append(k)
+    shard, number, filled = [-1] * n, 0, 0
+    for k in order.tolist():
+        if head[k] == k:
+            if filled and filled + size[k] > shard_tokens:
+                number, filled = number + 1, 0
+            shard[k], filled = number, filled + size[k]
+    for k in range(n):
+        top = k
+        while head[top] != top:
+            top = head[top]
+        shard[k] = shard[top]
+    return np.array(shard, np.int64), np.where(sizes > cap, -(-sizes // shard_tokens), 1)
+
+
+def grouped(tokens: DataFrame, idf: np.ndarray, mean_length: float, total: int, window: int, shard_tokens: int, kind: str) -> DataFrame:
+    """Adds the packing group, `shard` and `part`, to rows (id, ids).
+
+    A document goes where its best seed goes, and seeds are gathered by shards_of on the driver,
+    which holds three numbers per seed and so per window, about."""
+    size = (F.octet_length("ids") / int(kind[2:])).cast("long")
+    if total <= shard_tokens:
+        return tokens.withColumn("shard", F.lit(0).cast("long")).withColumn("part", F.lit(0).cast("long"))
+    least, share = seed_bounds([tuple(r) for r in tokens.groupBy(size.alias("n")).count().collect()], window)
+    tokens = tokens.withColumn("key", F.xxhash64("id", "ids"))
+    is_seed = (size > least) | ((size == least) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))))
+    seeds = tokens.filter(is_seed)
+    n, n_tokens = seeds.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    links = best_seeds(tokens, seeds, max(1, -(-n_tokens // PART_TOKENS), -(-n // PART_SEEDS)), idf, mean_length, kind)
+    # a seed is of its own group, and so is a document that shares no weighty term with any seed
+    placed = tokens.select("key", is_seed.alias("is_seed"), size.alias("n")).groupBy("key").agg(F.first("is_seed").alias("is_seed"), F.sum("n").alias("n"))
+    placed = stored(placed.join(links, "key", "left").withColumn("group", F.when(F.col("is_seed"), F.col("key")).otherwise(F.coalesce("seed", "key"))), "placed")
+    found = placed.groupBy("group").agg(F.sum("n").alias("n"), F.coalesce(F.max(F.when(F.col("key") == F.col("group"), F.col("seed"))), F.col("group")).alias("link")).toPandas()
+    shard, pieces = shards_of(found["group"].to_numpy(np.int64), found["n"].to_numpy(np.int64), found["link"].to_numpy(np.int64), shard_tokens)
+    homes = tokens.sparkSession.createDataFrame(pd.DataFrame({"group": found["group"].astype(np.int64), "shard": shard, "pieces": pieces}), "group long, shard long, pieces long")
+    homes = placed.join(homes, "group").select("key", "shard", "pieces")
+    return tokens.join(homes, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("pieces")))
+
+
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids), one per piece.
 
     `window` is a power of two. A document is its ids and the end id; null and empty texts
     are the end id alone. Repeated rows are packed each. Document frequencies cover the whole
-    corpus. Documents are dealt to shards by a hash of id and length, so a common source spreads over
-    all; each shard is indexed and packed by one task. Which documents share a shard depends on
-    the number of tokens in the corpus and on nothing else."""
+    corpus. Documents share a shard with the seed, of the whole corpus, that is nearest to
+    them; each shard is indexed once more and packed by one task."""
     path = path or vocabulary()
     from gridlake.llm.bpe import encoder
     size = max(len(encoder(path).strings), END_ID + 1)
@@ -127,17 +288,17 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard
     tokens = stored(tokens.withColumn("ids", F.concat("ids", F.lit(np.array([END_ID], kind).tobytes()))), "tokens")
     df, n, total = document_frequencies(tokens, size, kind)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    mean_length, shards = total / max(n, 1), max(1, -(-total // shard_tokens))
+    mean_length = total / max(n, 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "ids"], kind="stable")
         own = [np.frombuffer(x, kind) for x in pdf["ids"]]
-        names, base, out = pdf["id"].tolist(), int(pdf["shard"].iloc[0]) << 32, []
+        names, base, out = pdf["id"].tolist(), (int(pdf["shard"].iloc[0]) << 20 | int(pdf["part"].iloc[0])) << 20, []
         for k, start, length, sequence, offset in pack_shard(own, idf, mean_length, window):
             piece = own[k][start:start + length].astype("<u4").tobytes()
             out.append((names[k], start, length, zlib.crc32(piece), len(own[k]), base + sequence, offset, piece))
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    shard = F.pmod(F.xxhash64("id", F.octet_length("ids")), F.lit(shards))
-    return tokens.withColumn("shard", shard).groupBy("shard").applyInPandas(
+    rows = grouped(tokens, idf, mean_length, total, window, shard_tokens, kind).select("id", "ids", "shard", "part")
+    return rows.groupBy("shard", "part").applyInPandas(
         run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

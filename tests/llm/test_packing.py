@@ -57,3 +57,44 @@ def test_every_term_of_a_seed_counts():
     seed = np.concatenate([np.repeat(np.arange(40), 3), np.arange(100, 300)]).astype("<u4")
     docs = [seed, np.arange(100, 300, dtype="<u4"), np.concatenate([[0], np.arange(400, 599)]).astype("<u4")]
     assert packing.Index(docs, np.ones(1000, np.float32), 200.0).neighbours(0).tolist() == [0, 1, 2]
+
+
+def test_seeds_name_the_best_of_all_terms():
+    rng = np.random.default_rng(3)
+    docs = [np.minimum(rng.zipf(1.3, rng.integers(5, 300)), 1999).astype("<u2") for _ in range(200)]
+    idf = rng.uniform(0.1, 8, 2000).astype(np.float32)
+    index, seeds = packing.Index(docs[:90], idf, 150.0), packing.Seeds(list(range(90)), docs[:90], idf, 150.0)
+    weight = np.zeros((2000, 90))
+    weight[np.repeat(np.arange(2000), np.diff(index.begin)), index.docs] = np.rint(index.weights * packing.STEPS)
+    want = np.array([weight[np.unique(d)].sum(axis=0) for d in docs[90:]])
+    at, score = seeds.best(docs[90:])
+    assert 0 < len(seeds.matrix) < 2000 and (score == want.max(axis=1)).all() and (at == want.argmax(axis=1)).all()
+
+
+def test_neighbours_come_from_the_whole_corpus(spark):
+    """Copies with other ids meet in one shard, of which there are many; one by id hash would part most."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for topic in range(60):
+        text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(60 + topic))
+        rows += [(topic * 4 + k, f"{text} and {k}") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.packed(docs, window=1024, shard_tokens=8000).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r["doc_id"] // 4].add(r["sequence_id"] >> 20)
+    assert len(set().union(*shards.values())) > 5
+    assert sum(len(x) > 1 for x in shards.values()) <= 6, shards
+
+
+def test_shards_keep_links_and_their_size():
+    rng = np.random.default_rng(2)
+    keys, sizes = rng.permutation(500) * 7 - 900, rng.integers(1, 60, 500)
+    sizes[3] = 900
+    links = keys[np.where(rng.random(500) < 0.3, 5, rng.integers(0, 500, 500))]
+    shard, pieces = packing.shards_of(keys, sizes, links, 200)
+    load = np.bincount(shard, sizes)
+    assert pieces.tolist() == [5 if k == 3 else 1 for k in range(500)] and load[np.arange(len(load)) != shard[3]].max() <= 400
+    pairs = np.arange(100) ^ 1
+    shard, _ = packing.shards_of(np.arange(100), np.full(100, 9), pairs, 45)
+    assert (shard == shard[pairs]).all() and len(set(shard)) == 25
