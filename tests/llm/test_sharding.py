@@ -33,3 +33,17 @@ def test_sharded_rows(spark):
     assert sum(len(g) > 1 for g in groups.values()) == 1       # the hot one alone is split
     assert sorted(map(tuple, sharded(docs.repartition(2), 8, lot_rows=640).collect())) == sorted(map(tuple, got))
     assert sharded(docs.limit(0)).count() == 0
+
+
+def test_groups_below_a_shard_stay_whole(spark):
+    """Groups far above a lot's 64th, of which every one fits a shard of 500 rows, and one long text."""
+    rows = [(i, f"group {i % 6} of copies" if i < 1200 else "long " * 600 if i == 1200 else f"text {i} " * (1 + i % 7)) for i in range(4000)]
+    got = sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8, lot_rows=640).collect()
+    groups, size, count = defaultdict(set), Counter(), Counter()
+    for r in got:
+        groups[bytes(r["group"])].add(r["shard"])
+        size[r["shard"]] += r["size"]
+        count[r["shard"]] += 1
+    assert len(got) == 4000 and all(len(g) == 1 for g in groups.values())
+    for c in (size, count):
+        assert max(c.values()) <= 1.05 * min(c.values()), c
