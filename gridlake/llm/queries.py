@@ -75,12 +75,21 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every document by the byte-level vocabulary, as digests."""
+    from pyspark.sql import functions as F
+    from gridlake.llm.byte_bpe import decoded, encoded
+    rows = decoded(encoded(_read(spark, sf_dir, "documents")))
+    return rows.select(F.col("id").alias("doc_id"), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op9_pitman_yor_scores, op10_warc_salvage, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op9_pitman_yor_scores, op10_warc_salvage, op13_byte_bpe, pipeline)}
 
 _WORDS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
