@@ -33,7 +33,7 @@ class Codes(dict):
 
 def block_number(k: int) -> int:
     """A number for the k-th block of this task; what a repeated task writes replaces what the lost one wrote."""
-    return (TaskContext.get().partitionId() << 32) | k
+    return (TaskContext.get().partitionId() << 16) | k
 
 
 def packed_codes(codes: np.ndarray) -> bytes:

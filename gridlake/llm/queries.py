@@ -75,6 +75,12 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's highest-scoring phrases of two to five words over all documents."""
+    from gridlake.llm.phrases import collocations
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document by the byte-level vocabulary, as digests."""
     from pyspark.sql import functions as F
@@ -89,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op9_pitman_yor_scores, op10_warc_salvage, op13_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op9_pitman_yor_scores, op10_warc_salvage, op11_phrase_collocations, op13_byte_bpe, pipeline)}
 
 _WORDS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -123,4 +129,24 @@ SELECT f.page_id, strlen(h) AS payload_bytes, d AS payload_digest,
        CASE WHEN f.page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN f.page_id <> first THEN first END AS refers_to
 FROM f JOIN b USING (page_id)""",
+    "op11_phrase_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) AS s(m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING m = 1 OR count(*) >= 100),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+covered AS (
+  SELECT DISTINCT s.lang, s.phrase FROM (
+    SELECT lang, a, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, m, a, ws, k, unnest(range(1, m - k + 2)) AS i FROM c, range(2, 5) AS s(k) WHERE k < m)) AS b
+  JOIN c AS s USING (lang, phrase) WHERE 100 * b.a >= 100 * s.a),
+x AS (SELECT lang, phrase, a, unnest(range(1, m)) AS k, ws, m FROM c),
+y AS (SELECT x.lang, x.phrase, x.a, k, l.a AS l, r.a AS r, n, (CAST(1000 AS HUGEINT) * x.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+      FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+      JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(ws[k + 1:], ' ') JOIN n ON n.lang = x.lang),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z ANTI JOIN covered USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000""",
 }
