@@ -110,7 +110,7 @@ def _unpacked(data: bytes) -> tuple[bytes, list[int]]:
 _NUMBERS, _DOCUMENT = -1, -2        # rows of a block that hold no part of its words
 
 
-def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows (id, ids): one per row of docs, ids as little-endian unsigned 32-bit integers.
 
     Null text is empty and gives no ids; a null or repeated id gives a row for each of its rows;
@@ -125,7 +125,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
     schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("id", to_arrow_type(kind)), ("data", pa.binary())])
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty().alias("t"))
     size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
 
     def explode(batches):
         words, ids, codes, n, k = Codes(), [], [], 0, 0

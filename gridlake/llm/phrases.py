@@ -39,37 +39,39 @@ class _Words(dict):
         return code
 
 
-def _explode(batches):
+def _explode(block: int):
     """Rows of words (block, k, lang, word, n) and one row of codes in text order per block; a zero ends a piece."""
-    names, langs, codes, n, k = [None], {}, [], 0, 0
-    schema = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("codes", pa.binary())])
-
-    def flush():
-        every, number = np.concatenate(codes), block_number(k)
-        counts = np.bincount(every, minlength=len(names))
-        for a in range(1, len(names), 50_000):
-            part = names[a:a + 50_000]
-            size = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * size, pa.int64()), pa.array(range(a, a + size), pa.int32()), pa.array([x for x, _ in part], pa.string()),
-                 pa.array([x for _, x in part], pa.binary()), pa.array(counts[a:a + size], pa.int64()), pa.nulls(size, pa.binary())], schema=schema)
-        yield pa.RecordBatch.from_pylist([{"block": number, "codes": packed_codes(every)}], schema=schema)
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = langs.get(lang)
-            if words is None:
-                words = langs[lang] = _Words(lang, names)
-            tokens = text.encode().translate(_TO_TOKENS).replace(_BREAK, b" \n ").split(b" ")
-            own = np.array(list(map(words.__getitem__, tokens)), np.int32)
-            own = own[own >= 0]
-            codes.append(np.append(own, 0).astype(np.int32))
-            n += len(own) + 1
-            if n > BLOCK:
-                yield from flush()
-                names, langs, codes, n, k = [None], {}, [], 0, k + 1
-    if codes:
-        yield from flush()
+    def run(batches):
+        names, langs, codes, n, k = [None], {}, [], 0, 0
+        schema = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("codes", pa.binary())])
+
+        def flush():
+            every, number = np.concatenate(codes), block_number(k)
+            counts = np.bincount(every, minlength=len(names))
+            for a in range(1, len(names), 50_000):
+                part = names[a:a + 50_000]
+                size = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * size, pa.int64()), pa.array(range(a, a + size), pa.int32()), pa.array([x for x, _ in part], pa.string()),
+                     pa.array([x for _, x in part], pa.binary()), pa.array(counts[a:a + size], pa.int64()), pa.nulls(size, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"block": number, "codes": packed_codes(every)}], schema=schema)
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = langs.get(lang)
+                if words is None:
+                    words = langs[lang] = _Words(lang, names)
+                tokens = text.encode().translate(_TO_TOKENS).replace(_BREAK, b" \n ").split(b" ")
+                own = np.array(list(map(words.__getitem__, tokens)), np.int32)
+                own = own[own >= 0]
+                codes.append(np.append(own, 0).astype(np.int32))
+                n += len(own) + 1
+                if n > block:
+                    yield from flush()
+                    names, langs, codes, n, k = [None], {}, [], 0, k + 1
+        if codes:
+            yield from flush()
+    return run
 
 
 def _frequent(found: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -149,7 +151,7 @@ def _cut(m: int) -> F.Column:
     return cuts[0] if m == 2 else F.array_min(F.array(*cuts))
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, block: int = BLOCK) -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): each language's first phrases of 2 to `longest` words.
 
     Words are lower-cased (A-Z) and lie between spaces or tabs of a piece; `.,;:!?` and line
@@ -161,7 +163,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     written once to the shared folder, so calling it runs Spark jobs. A task holds a block."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty().alias("t"))
-    parts = bucketed(rows.mapInArrow(_explode, "block long, k int, lang string, word binary, n long, codes binary"), "occurrences")
+    parts = bucketed(rows.mapInArrow(_explode(block), "block long, k int, lang string, word binary, n long, codes binary"), "occurrences")
     words = parts.filter("word is not null").drop("codes")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
 

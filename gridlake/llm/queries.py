@@ -81,6 +81,12 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_read(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt on the heads of their families of twenty."""
+    from gridlake.llm.prefix_trie import prefix_trie
+    return prefix_trie(_read(spark, sf_dir, "conversations")).drop("key")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document by the byte-level vocabulary, as digests."""
     from pyspark.sql import functions as F
@@ -95,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op9_pitman_yor_scores, op10_warc_salvage, op11_phrase_collocations, op13_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_suffix_deduplication, op3_language_spans, op4_multiset_fingerprints, op5_quality_cascade, op6_bpe_round_trip, op7_jaccard_components, op8_vector_sharding, op9_pitman_yor_scores, op10_warc_salvage, op11_phrase_collocations, op12_conversation_trie, op13_byte_bpe, pipeline)}
 
 _WORDS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -149,4 +155,26 @@ y AS (SELECT x.lang, x.phrase, x.a, k, l.a AS l, r.a AS r, n, (CAST(1000 AS HUGE
 z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z ANTI JOIN covered USING (lang, phrase))
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000""",
+    "op12_conversation_trie": r"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, turn, text, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS x FROM t),
+o AS (SELECT c, x, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, x) - 1 AS i FROM s),
+crc AS (SELECT c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+              d -> [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+              (a, b) -> CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT crc.c, 0 AS part, i, x, text FROM crc JOIN o ON o.c = crc.c - crc.c % 20 WHERE i < h
+      UNION ALL SELECT o.c, 1, i, x, text FROM o JOIN crc USING (c) WHERE i >= h),
+l AS (SELECT crc.c, coalesce(list(x ORDER BY part, i) FILTER (WHERE x IS NOT NULL), []) AS xs, list(text ORDER BY part, i) AS ts FROM crc LEFT JOIN r USING (c) GROUP BY crc.c),
+p AS (SELECT c, len(xs) AS len, unnest(range(0, len(xs) + 1)) AS d, xs, ts FROM l),
+m AS (SELECT c, d, len = d AS ends, array_to_string(xs[1:d], '') AS key,
+             CASE WHEN d > 0 THEN len(regexp_extract_all(ts[d], '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM p),
+n AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY key, d),
+k AS (SELECT substr(key, 1, 64 * (d - 1)) AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+b AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (key)),
+u AS (SELECT substr(key, 1, 64 * a) AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+      FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM b) GROUP BY ALL)
+SELECT b.conv_id, b.d AS depth, f.conv_id AS parent_conv_id, b.n_convs, b.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, b.ends_sha256
+FROM b JOIN u USING (key) LEFT JOIN n AS f ON b.d > 0 AND f.key = substr(b.key, 1, 64 * (b.d - 1))""",
 }

@@ -37,11 +37,10 @@ def test_classes_follow_the_library(library):
 
 
 @pytest.mark.parametrize("block", [1, 50, byte_bpe.BLOCK])
-def test_spark_rows(spark, monkeypatch, library, block):
-    monkeypatch.setattr(byte_bpe, "PART_BYTES", 50_000)
+def test_spark_rows(spark, library, block):
     rows = [(i, t, "x", 1) for i, t in enumerate([*texts(), "word " * 3000, "ab" * 50000])] + [(500, None, "x", 2), (1, " ", "x", 3), (1, " ", "x", 3), (None, "no id", "x", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, block long")
-    got = sorted(((r["id"] or -1, np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in byte_bpe.decoded(byte_bpe.encoded(docs, block=block)).collect()))
+    got = sorted(((r["id"] or -1, np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in byte_bpe.decoded(byte_bpe.encoded(docs, block=block, part_bytes=50_000)).collect()))
     want = sorted((i or -1, library.encode_ordinary(t or ""), (t or "").encode()) for i, t, _, _ in rows)
     assert got == want
 

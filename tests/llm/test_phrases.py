@@ -41,11 +41,10 @@ def corpus():
 
 
 @pytest.mark.parametrize("block, least, longest, top", [(phrases.BLOCK, 20, 5, 2000), (50, 20, 5, 7), (400, 5, 3, 2000), (50, 10 ** 6, 5, 5)])
-def test_equals_plain_counting(spark, monkeypatch, block, least, longest, top):
-    monkeypatch.setattr(phrases, "BLOCK", block)
+def test_equals_plain_counting(spark, block, least, longest, top):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, x, 0, "w") for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, block int, word string")
-    got = sorted(map(tuple, phrases.collocations(docs.repartition(5), least, longest, top).collect()))
+    got = sorted(map(tuple, phrases.collocations(docs.repartition(5), least, longest, top, block).collect()))
     assert got == brute(rows, least, longest, top)
 
 

@@ -13,6 +13,8 @@ COLUMNS = {
     "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op6": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op7": "doc_id n_shingles component_id", "op8": "doc_id size text_crc32 law shard slot grown_shard",
     "op9": "doc_id held_out n_tokens n_known train_tokens base_score score", "op10": "page_id payload_bytes payload_digest record_type refers_to",
+    "op11": "lang rank phrase a l r n score", "op12": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op13": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
@@ -26,10 +28,10 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op3_language_spans", "op8_vector_sharding", "op6_bpe_round_trip"])
+@pytest.mark.parametrize("name", ["op3_language_spans", "op8_vector_sharding", "op6_bpe_round_trip", "op13_byte_bpe"])
 def test_contract_columns(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns == COLUMNS[name.split("_")[0]].split() and df.count() == 200
