@@ -266,10 +266,10 @@ def register(q):
     def forest(t):
         return t.cells.filter(c("treecover") >= 45).select("cell_id", "x", "y", "area_m2")
     forest_sql = "f AS (SELECT cell_id, x, y, area_m2, CAST(treecover>=45 AS INT) AS w FROM cells),"
-    q.add("P34_connected_components", lambda t: topology.label_patches(forest(t)).select("cell_id", "label"), "cells",
+    q.add("P34_connected_components", lambda t: topology.label_patches(forest(t), tile=16).select("cell_id", "label"), "cells",
           forest_sql + patches_sql("f") + " SELECT cell_id, label FROM lab")
 
-    q.add("P35_component_size", lambda t: topology.keep_by_size(topology.label_patches(forest(t), neighbours=8), 5, 5000).select(
+    q.add("P35_component_size", lambda t: topology.keep_by_size(topology.label_patches(forest(t), neighbours=8, tile=16), 5, 5000).select(
         "cell_id", "label", "patch_cells"), "cells",
         forest_sql + patches_sql("f", NEAR8) + """ SELECT cell_id, label, patch_cells FROM lab JOIN
         (SELECT label, count(*) AS patch_cells FROM lab GROUP BY 1 HAVING count(*) BETWEEN 5 AND 5000) USING (label)""")
@@ -279,7 +279,7 @@ def register(q):
         "cells", "m AS (SELECT cell_id, x, y, CAST(clay>=88 AS INT) AS w FROM cells) "
         f"SELECT a.cell_id, {r(nearest_sql('m'))} AS distance FROM m a")
 
-    q.add("P37_patch_table", lambda t: topology.patch_table(topology.label_patches(forest(t))), "cells",
+    q.add("P37_patch_table", lambda t: topology.patch_table(topology.label_patches(forest(t), tile=16)), "cells",
           forest_sql + patches_sql("f") + """ SELECT label, count(*) AS patch_cells, CAST(sum(area_m2) AS BIGINT) AS area_m2,
           CAST(sum(x) AS DOUBLE)/count(*) AS centroid_x, CAST(sum(y) AS DOUBLE)/count(*) AS centroid_y,
           min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM lab GROUP BY 1""")

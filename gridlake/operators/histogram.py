@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.session import cut_lineage
+from gridlake.session import stored
 
 
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
@@ -56,7 +56,7 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), ac
     neighbours would break the sketch's promise and raises an error. Keys and values are
     stored once (a Spark job that runs as the query is built)."""
     k = list(keys)
-    base = cut_lineage(df.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()))
+    base = stored(df.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()), "values")
     margin = 4.0 / accuracy
     edges = [q for p in points.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = base.groupBy(*k).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("_v").alias("_n"))

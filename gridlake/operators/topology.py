@@ -1,69 +1,106 @@
-"""Connected patches and distances."""
+"""Connected patches and distances.
+
+Both cut the raster into tiles: a tile is one bounded task, and only what tiles must know of
+each other, touching pairs of patches or outlines of set cells, is joined between them."""
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.session import cut_lineage
+from gridlake.session import stored_with
+
+#: Cells along the side of a tile.
+TILE = 256
 
 
-def _runs(cells: DataFrame, keys) -> DataFrame:
-    """Horizontal runs of set cells; ``run`` is the cell_id of the first cell of the run."""
-    row = Window.partitionBy(*keys, "y").orderBy("x")
-    island = cells.withColumn("_g", F.col("x") - F.row_number().over(row))
-    return island.withColumn("run", F.min("cell_id").over(Window.partitionBy(*keys, "y", "_g"))).drop("_g")
+def _tiled(df: DataFrame, tile: int) -> DataFrame:
+    return df.withColumns({"_tx": F.floor(F.col("x") / F.lit(tile)).cast("long"), "_ty": F.floor(F.col("y") / F.lit(tile)).cast("long")})
 
 
-def _fingerprint(edges: DataFrame, keys):
-    row = edges.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _state(key_columns) -> dict:
+    """Figures that tell one edge set from another."""
+    return {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64(*key_columns, "a", "b").cast("decimal(38,0)"))}
 
 
 def _star_contraction(edges: DataFrame, keys) -> DataFrame:
     """Alternate large-star and small-star (Kiveris et al. 2014) until the edge set is stable.
 
     The minimum per node is a partial aggregate joined back on the node, so a giant
-    component's centre is one skewed join key, which adaptive execution splits. Each
-    round ends in a reliable checkpoint; the driver sees a count and a hash."""
+    component's centre is one skewed join key, which adaptive execution splits. A round is
+    one job: its edges are stored, and their number and hash are observed on the way."""
     k = list(keys)
-    edges = cut_lineage(edges.select(*k, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _fingerprint(edges, k)
-    while True:
+    edges, state = stored_with(edges.select(*k, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "touching", **_state(k))
+    while state["n"]:
         both = edges.unionByName(edges.select(*k, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*k, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(low, k + ["a"]).filter(F.col("b") > F.col("a"))
                  .select(*k, F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = large.groupBy(*k, "a").agg(F.min("b").alias("m"))
         small = large.join(low, k + ["a"])
-        edges = cut_lineage(small.select(*k, "a", F.col("m").alias("b"))
-                            .unionByName(small.filter(F.col("b") != F.col("m"))
-                                         .select(*k, F.col("b").alias("a"), F.col("m").alias("b")))
-                            .distinct())
-        new_state = _fingerprint(edges, k)
-        if new_state == state:
-            return edges
-        state = new_state
+        edges, after = stored_with(small.select(*k, "a", F.col("m").alias("b")).unionByName(
+            small.filter(F.col("b") != F.col("m")).select(*k, F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "touching", **_state(k))
+        if after == state:
+            break
+        state = after
+    return edges
+
+
+def _united(cell_id: np.ndarray, x: np.ndarray, y: np.ndarray, neighbours: int) -> np.ndarray:
+    """The smallest cell_id of each cell's patch within one tile: hooking of roots and pointer jumping over arrays."""
+    x, y = x - x.min(), y - y.min()
+    at = np.full((int(y.max()) + 1, int(x.max()) + 1), -1)
+    order = np.argsort(cell_id, kind="stable")      # the smaller the position, the smaller the cell_id
+    at[y[order], x[order]] = np.arange(len(order))
+    pairs = [(at[:, 1:], at[:, :-1]), (at[1:], at[:-1])]
+    if neighbours == 8:
+        pairs += [(at[1:, 1:], at[:-1, :-1]), (at[1:, :-1], at[:-1, 1:])]
+    both = [(p >= 0) & (q >= 0) for p, q in pairs]
+    a = np.concatenate([p[m] for (p, _), m in zip(pairs, both)])
+    b = np.concatenate([q[m] for (_, q), m in zip(pairs, both)])
+    root = np.arange(len(order))
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return cell_id[order][root[at[y, x]]]
 
 
-def label_patches(cells: DataFrame, keys=(), neighbours: int = 4) -> DataFrame:
+def label_patches(cells: DataFrame, keys=(), neighbours: int = 4, tile: int = TILE) -> DataFrame:
     """Connected components of set cells. Adds ``label`` = smallest cell_id of the patch.
 
-    Runs are found with row windows first, so the iteration works on runs and the
-    touching pairs between rows, not on cells. No size cap."""
+    First every tile labels its own patches, then patches that touch across a border are
+    contracted: the iteration works on pairs of patches at borders, not on cells, and a
+    raster of one tile needs none. Cells that stand twice get one label; no size cap.
+    Storing the touching pairs makes this a Spark job."""
     if neighbours not in (4, 8):
         raise ValueError("neighbours must be 4 or 8")
     k = list(keys)
-    runs = _runs(cells, k)
-    below = runs.select(*k, F.col("x").alias("_x"), (F.col("y") - 1).alias("_y"), F.col("run").alias("b"))
-    if neighbours == 8:
-        below = below.withColumn("_x", F.explode(F.array(F.col("_x") - 1, F.col("_x"), F.col("_x") + 1)))
-    above = runs.select(*k, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("run").alias("a"))
-    edges = above.join(below, k + ["_x", "_y"]).select(*k, "a", "b").distinct()
-    stars = _star_contraction(edges, k).select(*k, F.col("a").alias("run"), F.col("b").alias("_root"))
-    return (runs.join(stars, k + ["run"], "left")
-            .withColumn("label", F.coalesce("_root", "run")).drop("_root", "run"))
+    fields = [f for f in cells.schema.fields if f.name != "label"]
+    names = [f.name for f in fields]
+    local = T.StructType(fields + [T.StructField("_patch", T.LongType())])
+
+    def within(table: pa.Table) -> pa.Table:
+        own = _united(*(table[c].to_numpy().astype(np.int64) for c in ("cell_id", "x", "y")), neighbours)
+        return table.select(names).append_column("_patch", pa.array(own))
+
+    patches = _tiled(cells.select(*names), tile).groupBy(*k, "_tx", "_ty").applyInArrow(within, local)
+    rest = {c: F.pmod(F.col(c), F.lit(tile)) for c in "xy"}
+    border = [c == F.lit(v) for c in rest.values() for v in (0, tile - 1)]
+    edge = patches.filter(border[0] | border[1] | border[2] | border[3]).select(*k, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_patch").alias("a"))
+    steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if neighbours == 8 else [])
+    shifted = edge.withColumn("_d", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])))
+    shifted = shifted.select(*k, (F.col("_x") + F.col("_d.dx")).cast(cells.schema["x"].dataType).alias("_x"),
+                             (F.col("_y") + F.col("_d.dy")).cast(cells.schema["y"].dataType).alias("_y"), F.col("a").alias("b"))
+    touching = edge.join(shifted, k + ["_x", "_y"]).filter("a <> b").select(*k, "a", "b")
+    roots = _star_contraction(touching, k).select(*k, F.col("a").alias("_patch"), F.col("b").alias("_root"))
+    return patches.join(roots, k + ["_patch"], "left").withColumn("label", F.coalesce("_root", "_patch")).drop("_root", "_patch")
 
 
 def patch_sizes(labelled: DataFrame, keys=()) -> DataFrame:

@@ -8,7 +8,7 @@ from gridlake.functions import algebra as A
 from gridlake.model import DECADE_YEARS, Grid
 from gridlake.operators import focal, temporal, zones
 from gridlake.plans.floods import conditional_masks
-from gridlake.session import cut_lineage
+from gridlake.session import stored
 
 
 def corridor(cells: DataFrame, waypoints: DataFrame, key: str, order: str, buffer) -> DataFrame:
@@ -82,9 +82,9 @@ def centerline(masks: DataFrame, keys=("period",), rounds: int = 5) -> DataFrame
     """Erode up to ``rounds`` times per key, stopping a key before it would vanish; the
     centerline is what one more erosion removes."""
     k = list(keys)
-    state = cut_lineage(masks.withColumn("_s", F.col("water")))
+    state = stored(masks.withColumn("_s", F.col("water")), "eroded")
     for _ in range(rounds):
-        eroded = cut_lineage(focal.focal_min(state, "_s", k, "_n"))
+        eroded = stored(focal.focal_min(state, "_s", k, "_n"), "eroded")
         alive = eroded.groupBy(*k).agg(F.sum("_n").alias("_alive"))
         if alive.filter(F.col("_alive") > 0).isEmpty():
             break

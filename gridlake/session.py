@@ -1,8 +1,9 @@
 """Session helpers."""
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int = 8, name: str = "gridlake") -> SparkSession:
@@ -21,18 +22,32 @@ def local_session(cores: int = 8, name: str = "gridlake") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by spark.checkpoint.dir.
-
-    Iterative operators call this once per round; the files survive the loss of
-    executors. Only a local master without the setting gets a scratch folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a scratch folder on a local master without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def _write(df: DataFrame, name: str, plain: DataFrame) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read from there, which also cuts the lineage;
+    the files survive the loss of executors."""
+    return _write(df, name, df)
+
+
+def stored_with(df: DataFrame, name: str, **figures) -> tuple[DataFrame, dict]:
+    """The same, with aggregates that are observed while the rows are written: an iterative
+    operator needs no second job to see whether to go on."""
+    seen = Observation()
+    back = _write(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), name, df)
+    return back, seen.get

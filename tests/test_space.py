@@ -76,8 +76,8 @@ def test_texture_entropy(grid):
             assert out[p] == pytest.approx(sum(parts) / len(parts), abs=1e-12)
 
 
-@pytest.mark.parametrize("neighbours", [4, 8])
-def test_patches(grid, neighbours):
+@pytest.mark.parametrize("neighbours, tile", [(4, 256), (8, 256), (4, 5), (8, 4), (4, 1), (8, 1)])
+def test_patches(grid, neighbours, tile):
     step = (lambda dx, dy: abs(dx) + abs(dy) == 1) if neighbours == 4 else (lambda dx, dy: max(abs(dx), abs(dy)) == 1)
     left, expected = set(SET), {}
     while left:
@@ -90,7 +90,7 @@ def test_patches(grid, neighbours):
                 stack.append(q)
         label = min(y * 23 + x for x, y in patch)
         expected |= {p: label for p in patch}
-    labelled = topology.label_patches(grid.filter("w = 1"), neighbours=neighbours)
+    labelled = topology.label_patches(grid.filter("w = 1"), neighbours=neighbours, tile=tile)
     assert by_cell(labelled, "label") == expected
     sizes = {r.label: r.patch_cells for r in topology.patch_sizes(labelled).collect()}
     assert sum(sizes.values()) == len(SET)
@@ -102,7 +102,43 @@ def test_long_snake_is_one_patch(spark):
     """A patch that winds through the grid needs many merges."""
     path = [(x, y) for y in range(0, 31, 2) for x in range(31)] + [(30 if y % 4 == 1 else 0, y) for y in range(1, 30, 2)]
     df = spark.createDataFrame([(y * 31 + x, x, y) for x, y in path], "cell_id long, x int, y int").withColumn("area_m2", F.lit(900))
-    assert topology.label_patches(df).select("label").distinct().count() == 1
+    for tile in (256, 3):
+        assert topology.label_patches(df, tile=tile).select("label").distinct().count() == 1
+
+
+def test_spiral_over_many_tiles_takes_few_rounds(spark, monkeypatch):
+    """Only pairs at borders are contracted, in far fewer rounds than the spiral has tiles on its way."""
+    x = y = 64
+    path, length, (dx, dy) = [(x, y)], 2, (1, 0)
+    while length < 60:
+        for _ in range(2):
+            for _ in range(length):
+                x, y = x + dx, y + dy
+                path.append((x, y))
+            dx, dy = -dy, dx
+        length += 2
+    df = spark.createDataFrame([(y * 128 + x, x, y) for x, y in path], "cell_id long, x int, y int")
+    rounds, stored_with = [], topology.stored_with
+
+    def counted(edges, name, **figures):
+        back, seen = stored_with(edges, name, **figures)
+        rounds.append(seen["n"])
+        return back, seen
+    monkeypatch.setattr(topology, "stored_with", counted)
+    labels = {r.label for r in topology.label_patches(df, tile=8).select("label").distinct().collect()}
+    assert labels == {min(y * 128 + x for x, y in path)}
+    assert len(rounds) <= 10 and max(rounds) < len(path) / 3
+    rounds.clear()
+    topology.label_patches(df)
+    assert rounds == [0]        # one tile: no pairs, no rounds
+
+
+def test_patches_keep_columns_and_twins(spark):
+    df = spark.createDataFrame([(5, 1, 1, "a", 7), (5, 1, 1, "b", 8), (9, 2, 1, None, 9), (40, 8, 1, "c", 1)], "cell_id long, x int, y int, label string, _d int")
+    rows = topology.label_patches(df, tile=2).orderBy("_d")
+    assert rows.columns == ["cell_id", "x", "y", "_d", "label"]
+    assert [(r._d, r.label) for r in rows.collect()] == [(1, 40), (7, 5), (8, 5), (9, 5)]
+    assert topology.label_patches(df.limit(0)).count() == 0
 
 
 def test_patches_per_key_do_not_mix(spark):
