@@ -19,7 +19,7 @@ from gridlake.llm.blocks import block_number, bucketed, packed_codes, unpacked_c
 from gridlake.llm.shared import small_batches, stored, text_or_empty
 
 #: Words per block; a longer document is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Bits for the number of a group within its block, below the bits of the block.
 GROUP_BITS = 27
 _BREAK = b"\n"
@@ -109,32 +109,35 @@ def _singles(codes: pa.Table, frequent: pa.Table) -> pa.Table:
     return _kept(np.arange(len(every)), every, int(every.max()) + 1, frequent)
 
 
-def _merged(places: bytes, groups: bytes, gids: bytes):
-    """Merge-join of a block's relation with itself at adjacent positions of a piece: where, which pair, and its two groups."""
-    places, groups, gids = np.frombuffer(places, "<i4"), np.frombuffer(groups, "<i4").astype(np.int64), np.frombuffer(gids, "<i8")
-    at = np.flatnonzero(places[1:] - places[:-1] == 1)      # a break between pieces takes a position of its own
-    pairs, local, counts = np.unique(groups[at] * max(len(gids), 1) + groups[at + 1], return_inverse=True, return_counts=True)
-    return places[at], local, gids[pairs // max(len(gids), 1)], gids[pairs % max(len(gids), 1)], counts
+def _merged(relation: pa.RecordBatch | pa.Table, row: int):
+    """Merge-join of a block's relation with itself at adjacent positions of a piece: where, the pairs in order, and all gids.
+
+    A pair stands for two groups that overlap in all but one word each, a * (number of groups) + b."""
+    places, groups, gids = (np.frombuffer(relation[c][row].as_buffer(), t) for c, t in (("places", "<i4"), ("groups", "<i4"), ("gids", "<i8")))
+    at = np.flatnonzero(np.diff(places) == 1)       # a break between pieces takes a position of its own
+    return places[at], groups[at].astype(np.int64) * max(len(gids), 1) + groups[at + 1], gids
 
 
 def _extend(batches):
     """Rows (block, k, first, last, n): the groups of one word more, as the groups of all but the last and all but the first word."""
     for batch in batches:
-        for row in batch.to_pylist():
-            _, _, first, last, counts = _merged(row["places"], row["groups"], row["gids"])
-            for a in range(0, len(counts), 50_000):
-                size = len(counts[a:a + 50_000])
+        for row in range(batch.num_rows):
+            _, pairs, gids = _merged(batch, row)
+            pairs, counts = np.unique(pairs, return_counts=True)
+            block = batch["block"][row].as_py()
+            for a in range(0, len(pairs), 50_000):
+                some = pairs[a:a + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, row["block"]), pa.int64()), pa.array(np.arange(a, a + size), pa.int32()), pa.array(first[a:a + size], pa.int64()),
-                     pa.array(last[a:a + size], pa.int64()), pa.array(counts[a:a + size], pa.int64())], ["block", "k", "first", "last", "n"])
+                    [pa.array(np.full(len(some), block), pa.int64()), pa.array(np.arange(a, a + len(some)), pa.int32()), pa.array(gids[some // len(gids)], pa.int64()),
+                     pa.array(gids[some % len(gids)], pa.int64()), pa.array(counts[a:a + 50_000], pa.int64())], ["block", "k", "first", "last", "n"])
 
 
 def _longer(relation: pa.Table, frequent: pa.Table) -> pa.Table:
-    row = relation.to_pylist()[0]
     if not frequent.num_rows:
-        return _relation(*[np.empty(0, np.int64)] * 3, block=row["block"])
-    places, local, first, _, _ = _merged(row["places"], row["groups"], row["gids"])
-    return _kept(places, local, len(first), frequent)
+        return _relation(*[np.empty(0, np.int64)] * 3, block=relation["block"][0].as_py())
+    places, pairs, _ = _merged(relation, 0)
+    pairs, local = np.unique(pairs, return_inverse=True)
+    return _kept(places, local, len(pairs), frequent)
 
 
 def _exact(column) -> F.Column:
