@@ -24,6 +24,7 @@ from gridlake.llm.shared import small_batches, stored
 BLOCK, BLOCK_TURNS = 50_000, 1_000_000
 #: Ids joined in one row for a digest, and blocks peeled together in a round (a power of two's exponent).
 CHUNK, ROUND_BITS = 50_000, 4
+SALTS = 64
 _KEY = 16
 _NONE = np.iinfo(np.int64).max
 _SCHEMA = ("kind string, block long, key binary, parent binary, depth long, conv_id long, parent_conv_id long, n_convs long, n_children long, "
@@ -274,8 +275,10 @@ def prefix_trie(conversations: DataFrame, family: int = 20, block: int = BLOCK,
     digests = pieces.select("key", "ids").mapInArrow(_digests, "key binary, ends_sha256 string")
     upper = upper.drop("ends_sha256").join(digests, "key", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(_NO_ENDS)))
     nodes = found.filter("kind = 'node'").unionByName(upper)
-    known = upper.select(F.col("key").alias("parent"), F.col("conv_id").alias("_parent"))
+    # very many nodes may hang on one open parent: they are dealt over copies of it
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    known = upper.select(F.col("key").alias("parent"), F.col("conv_id").alias("_parent"), salts.cast("long").alias("_salt"))
     columns = ["key", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     whole = nodes.filter("parent_conv_id is not null or depth = 0").select(*columns)
-    lacking = nodes.filter("parent_conv_id is null and depth > 0").join(known, "parent").withColumn("parent_conv_id", F.col("_parent"))
+    lacking = nodes.filter("parent_conv_id is null and depth > 0").withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(known, ["parent", "_salt"]).withColumn("parent_conv_id", F.col("_parent"))
     return whole.unionByName(lacking.select(*columns))
