@@ -275,7 +275,7 @@ def register(q):
         (SELECT label, count(*) AS patch_cells FROM lab GROUP BY 1 HAVING count(*) BETWEEN 5 AND 5000) USING (label)""")
 
     q.add("P36_distance", lambda t: topology.distance_to_set(t.cells.select(
-        "cell_id", "x", "y", A.flag(c("clay") >= 88).alias("w")), "w").select("cell_id", A.rounded(c("distance")).alias("distance")),
+        "cell_id", "x", "y", A.flag(c("clay") >= 88).alias("w")), "w", tile=8).select("cell_id", A.rounded(c("distance")).alias("distance")),
         "cells", "m AS (SELECT cell_id, x, y, CAST(clay>=88 AS INT) AS w FROM cells) "
         f"SELECT a.cell_id, {r(nearest_sql('m'))} AS distance FROM m a")
 

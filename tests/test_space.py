@@ -148,17 +148,36 @@ def test_patches_per_key_do_not_mix(spark):
     assert labels == {(1, 0), (2, 0), (2, 2)}
 
 
-@pytest.mark.parametrize("cap", [None, 2])
-def test_distance(grid, cap):
+@pytest.mark.parametrize("cap, tile", [(None, 64), (2, 64), (None, 3), (2, 3), (None, 1), (7, 5)])
+def test_distance(grid, cap, tile):
     seeds = {p for p in SET if CELLS[p] > 40}
     marked = grid.withColumn("s", ((F.col("w") == 1) & (F.col("v") > 40)).cast("int"))
     expected = {p: min(math.dist(p, q) for q in seeds) for p in CELLS}
-    out = by_cell(topology.distance_to_set(marked, "s", cap=cap), "distance")
+    out = by_cell(topology.distance_to_set(marked, "s", cap=cap, tile=tile), "distance")
     for p in CELLS:
         assert out[p] == pytest.approx(expected[p] if cap is None else min(cap, expected[p]))
         assert (out[p] == 0) == (p in seeds)
 
 
+@pytest.mark.parametrize("tile", [8, 64])
+def test_distance_over_empty_space(spark, tile):
+    """Few cells, far apart and on both sides of the origin, several keys of which one has no set cell."""
+    rng = random.Random(11)
+    cells = [(k, n, rng.randrange(-3000, 3000) if n % 3 else rng.randrange(40), rng.randrange(-2000, 2000) if n % 3 else rng.randrange(40),
+              rng.choice([0, 0, 0, 1, None]) if k < 3 else 0) for k in range(4) for n in range(150)]
+    df = spark.createDataFrame(cells, "k int, cell_id long, x int, y long, s int")
+    result = topology.distance_to_set(df, "s", ["k"], tile=tile)
+    got = {(r.k, r.cell_id): r.distance for r in result.collect()}
+    for k, n, x, y, _ in cells:
+        near = [math.dist((x, y), (p, q)) for j, _, p, q, s in cells if j == k and s == 1]
+        assert got[k, n] == (pytest.approx(min(near)) if near else None)
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "sequence" not in plan        # empty space is not filled
+    capped = {(r.k, r.cell_id): r.distance for r in topology.distance_to_set(df, "s", ["k"], cap=25, tile=tile).collect()}
+    assert capped == {c: pytest.approx(25 if d is None else min(d, 25)) for c, d in got.items()}
+    assert topology.distance_to_set(df.limit(0), "s").count() == 0
+
+
 def test_zones_against_brute_force(spark, grid):
     cells = grid.select("cell_id", "x", "y")
     discs = spark.createDataFrame([(1, 5, 5, 4), (2, 20, 15, 30), (3, -9, 4, 2)], "disc_id int, cx int, cy int, r int")
