@@ -5,8 +5,9 @@ from gridlake.catalog.base import AWEI, BANDS, MEDIANS, ZONE_CELLS, nd, r, seaso
 from gridlake.functions import algebra as A
 from gridlake.functions import indices as I
 from gridlake.model import BUILT_EPOCHS, DRY_MONSOON, SMOD_EPOCHS
-from gridlake.operators import temporal, zones
+from gridlake.operators import ranges, temporal, zones
 from gridlake.plans import acquisition as acq
+from gridlake.sources.fixtures import GRID
 
 c = F.col
 
@@ -53,7 +54,9 @@ def register(q):
         max(nir*2.75e-05+(-0.2e0)) AS nir FROM obs GROUP BY 1""")
 
     def a05(t):
-        frames = {s: t.obs.filter(c("sensor_no") == i) for i, s in enumerate(("L5", "L7", "L8", "L9"))}
+        shapes = ranges.shapes_of(zones.lookup(t.zones, "division", "AMERICA"), ranges.Rectangle, ["x0", "x1", "y0", "y1"])
+        obs = ranges.near_zones(t.obs, shapes, GRID.width)
+        frames = {s: obs.filter(c("sensor_no") == i) for i, s in enumerate(("L5", "L7", "L8", "L9"))}
         area = zones.lookup(t.zone_cells, "division", "AMERICA")
         return acq.multi_sensor(frames, "1997-01-01", "2000-01-01", area).groupBy("sensor", "yr").agg(
             F.count(F.lit(1)).alias("n"), F.count("red").alias("clear"), F.max("red").alias("red"))

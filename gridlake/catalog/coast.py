@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from gridlake.catalog.base import (AWEI, BANDS, DISC_CELLS, MEDIANS, ZONE_CELLS, km2, nd, r, seasonal, vote)
 from gridlake.catalog.primitives import NEAR8, patches_sql
-from gridlake.catalog.water import win_sql
+from gridlake.catalog.water import REPORT_YEARS, region_win_sql, win_sql
 from gridlake.functions import algebra as A
 from gridlake.model import DRY, LOW_WATER, Grid
 from gridlake.plans import coast, cyclones, ponds, rivers
@@ -23,7 +23,7 @@ def round_all(df, *names):
 
 
 def land_wide(t):
-    spans = rivers.windows(LAND_YEARS, reach=1, last_day=(2, 28))
+    spans = rivers.filled_windows(t.obs, LAND_YEARS, reach=1, last_day=(2, 28))
     return GRID.attach(rivers.window_masks(t.obs, t.cells.select("cell_id"), spans))
 
 
@@ -96,6 +96,16 @@ def register(q):
           ZONE_CELLS + "," + LAND_SQL + " SELECT zone, early, late, k AS accretion_km2, k/(late-early) AS km2_per_year FROM ("
           + " UNION ALL ".join(f"SELECT zone, {a} AS early, {b} AS late, CAST(sum(w_{a}*(1-w_{b})*900) AS DOUBLE)/1e6 AS k FROM lw JOIN zc USING (cell_id) GROUP BY 1"
                                for a, b in zip(LAND_YEARS, LAND_YEARS[1:])) + ")")
+    def filled(t):
+        return rivers.window_masks(t.obs, t.cells.select("cell_id"), rivers.filled_windows(t.obs, (1996, 2003), reach=1, last_day=(2, 28)))
+    q.add("C08b_new_land_widened", lambda t: coast.new_land(filled(t), 1996, 2003).select("cell_id", "new_land"), "cells obs",
+          win_sql([(1996, "1995-12-01", "1997-02-28"), (2003, "2000-03-01", "9999-12-31")], "lf") + " SELECT cell_id, w_1996*(1-w_2003) AS new_land FROM lf")
+    # discs of 0.25 to 2.25 square degrees, so that all three resolutions occur
+    q.add("C09b_accretion_report", lambda t: coast.accretion_report(t.obs, t.disc_cells, "r", GRID, F.pow((2 * c("r") + 1) * 0.1, 2), REPORT_YEARS, reach=1), "cells discs obs",
+          DISC_CELLS + "," + region_win_sql("r", "dc", REPORT_YEARS, "(CASE WHEN pow((2*r+1)*0.1e0,2)>=2 THEN 10 WHEN pow((2*r+1)*0.1e0,2)>=0.5 THEN 3 ELSE 1 END)", "zw", (2, 28))
+          + " SELECT r, early, late, k AS accretion_km2, k/(late-early) AS km2_per_year FROM (" + " UNION ALL ".join(
+              f"SELECT r, {a} AS early, {b} AS late, CAST(sum(w_{a}*(1-w_{b})*area_m2) AS DOUBLE)/1e6 AS k FROM zw GROUP BY 1"
+              for a, b in zip(REPORT_YEARS, REPORT_YEARS[1:])) + ")")
     islands = LAND_SQL + ", nl AS (SELECT cell_id, x, y, area_m2, w_1996*(1-w_2000) AS w FROM lw)," + patches_sql("nl")
     q.add("C10_major_islands", lambda t: coast.major_islands(coast.new_land(land_wide(t), 1996, 2000), 2700, grid=DEGREES, period="1996-2000").withColumns(
         {n: A.rounded(c(n)) for n in ("lon", "lat")}), "cells obs",
@@ -136,6 +146,12 @@ def register(q):
     def truth(t):
         return (t.cells.filter(c("occurrence") >= 50).join(t.zone_cells.select("cell_id", "zone"), "cell_id").groupBy("zone")
                 .agg((F.sum("area_m2") / F.lit(1e6)).alias("census_km2")))
+    def yearly_ponds(t):
+        return pond_cells(t).join(t.zone_cells.select("zone", "cell_id"), "cell_id").groupBy("zone", "yr").agg((F.sum("area_m2") / F.lit(1e6)).alias("pond_km2"))
+    q.add("Y06b_errors", lambda t: ponds.errors(yearly_ponds(t), truth(t), "zone", "pond_km2", "census_km2", ("yr",)), "cells zones obs",
+          ZONE_CELLS + "," + POND_SQL + """, tr AS (SELECT zone, CAST(count(*)*900 AS DOUBLE)/1e6 AS census_km2 FROM cells JOIN zc USING (cell_id) WHERE occurrence>=50 GROUP BY 1),
+          zy AS (SELECT zone, yr, CAST(sum(area_m2) AS DOUBLE)/1e6 AS k FROM pond JOIN zc USING (cell_id) GROUP BY 1,2)
+          SELECT zone, yr, k AS satellite, census_km2 AS reference, k-census_km2 AS error FROM zy JOIN tr USING (zone)""")
     q.add("Y06_accuracy", lambda t: round_all(ponds.accuracy(ponds.area_by_zone(pond_cells(t).filter(c("yr") == 1998), t.zone_cells, t.zones), truth(t), "zone", "pond_km2", "census_km2"),
                                               "r_squared", "rmse", "mae"), "cells zones obs",
           zp + """, tr AS (SELECT zone, CAST(count(*)*900 AS DOUBLE)/1e6 AS census_km2 FROM cells JOIN zc USING (cell_id) WHERE occurrence>=50 GROUP BY 1),

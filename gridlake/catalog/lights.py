@@ -6,13 +6,14 @@ from gridlake.catalog.coast import CALENDAR, round_all
 from gridlake.catalog.crops import MODE_SQL
 from gridlake.catalog.primitives import nearest_sql
 from gridlake.functions import algebra as A
-from gridlake.model import SMOD_CLASSES
-from gridlake.operators import temporal
+from gridlake.model import ECONOMIC_ZONES, SMOD_CLASSES, Grid, zone_table
+from gridlake.operators import temporal, zones
 from gridlake.plans import acquisition as acq
 from gridlake.plans import landcover, lights, settlement, transport
 from gridlake.sources.fixtures import EPOCHS, GRID
 
 c = F.col
+ZONE_GRID = Grid(64, lon0=88.0, lat0=26.7, step=0.2)
 LAST_A = 1998   # the test series spans 1995 to 2001, so both sensors occur
 LIGHT_SQL = (f"li AS (SELECT cell_id, yr, CASE WHEN yr<={LAST_A} THEN quantile_cont(light_dn,0.5) ELSE avg(light_dn) END AS light FROM signals WHERE {CALENDAR} GROUP BY 1,2)")
 SENSOR = f"CASE WHEN yr<={LAST_A} THEN 'A' ELSE 'B' END"
@@ -84,7 +85,16 @@ def register(q):
         ix AS (SELECT cell_id, yr, {nd('swir1','nir')} AS b, {nd('nir','red')} AS v FROM comp)
         SELECT k.cell_id, CAST(q.b-p.b>0.1e0 AS INT)*CAST(p.v-q.v>0.1e0 AS INT) AS construction FROM (SELECT DISTINCT cell_id FROM ix) k
         LEFT JOIN ix p ON p.cell_id=k.cell_id AND p.yr=1996 LEFT JOIN ix q ON q.cell_id=k.cell_id AND q.yr=2000""")
-    q.add("J03_economic_zones", lambda t: settlement.growth_by_zone(t.settlement, t.disc_cells, "disc"), "cells discs settlement", city)
+    # the named zones on a grid of 0.2 degrees laid over the test cells; a zone has at least the cells next to its centre
+    def economic(t):
+        discs = zones.named_discs(zone_table(t.spark, ECONOMIC_ZONES, "disc"), ZONE_GRID, least=1)
+        return settlement.growth_by_zone(t.settlement, zones.in_discs(t.cells.select("cell_id", "x", "y"), discs), "zone")
+    listed = [[p.strip() for p in line.split("|")] for line in ECONOMIC_ZONES.strip().splitlines()]
+    values = ", ".join(f"('{n}', {lat}, {lon}, {radius})" for n, lat, lon, radius in listed)
+    q.add("J03_economic_zones", economic, "cells settlement", f"""ez AS (SELECT zone, round((lon-88.0)/0.2) AS cx, round((26.7-lat)/0.2) AS cy,
+        greatest(round(radius/111320.0/0.2),1) AS r FROM (VALUES {values}) v(zone, lat, lon, radius))
+        SELECT zone, epoch, CAST(sum(built) AS DOUBLE)/1e6 AS built_km2 FROM settlement s JOIN ez
+        ON (s.x-cx)*(s.x-cx)+(s.y-cy)*(s.y-cy)<=r*r GROUP BY 1,2""")
     q.add("J04_buildup_density", lambda t: settlement.buildup_density(t.settlement, 10, tile=16), "settlement",
           """SELECT a.epoch, a.cell_id, CAST(sum(b.built) AS DOUBLE)/1e6 AS density_km2 FROM settlement a JOIN settlement b ON a.epoch=b.epoch
           AND b.x BETWEEN a.x-10 AND a.x+10 AND b.y BETWEEN a.y-10 AND a.y+10 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=100 GROUP BY 1,2""")

@@ -1,4 +1,6 @@
 """Primitive operators (P-01 to P-41)."""
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -6,7 +8,8 @@ from gridlake.catalog.base import (DISC_CELLS, ZONE_CELLS, clamp as clamp_sql, n
                                    opening_sql, r)
 from gridlake.functions import algebra as A
 from gridlake.functions import indices as I
-from gridlake.operators import focal, histogram, temporal, topology, zonal, zones
+from gridlake.operators import focal, histogram, ranges, temporal, topology, zonal, zones
+from gridlake.session import shared_folder
 from gridlake.sources.fixtures import GRID
 
 c = F.col
@@ -57,11 +60,22 @@ def register(q):
         """SELECT mo, count(*) AS n, CAST(sum(red) AS BIGINT) AS red FROM obs
         WHERE t>=DATE '1996-01-01' AND t<DATE '1996-12-31' GROUP BY 1""")
 
-    q.add("P02_spatial_filter", lambda t: t.obs.join(
-        zones.lookup(t.zone_cells, "division", "ASIA").select("cell_id"), "cell_id", "left_semi").groupBy("yr").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("nir").alias("nir")), "cells zones obs",
-        ZONE_CELLS + """ SELECT yr, count(*) AS n, CAST(sum(nir) AS BIGINT) AS nir FROM obs
-        WHERE cell_id IN (SELECT cell_id FROM zc WHERE division='ASIA') GROUP BY 1""")
+    def p02(t, obs):
+        asia = zones.lookup(t.zone_cells, "division", "ASIA").select("cell_id")
+        return obs.join(asia, "cell_id", "left_semi").groupBy("yr").agg(F.count(F.lit(1)).alias("n"), F.sum("nir").alias("nir"))
+    p02_sql = ZONE_CELLS + """ SELECT yr, count(*) AS n, CAST(sum(nir) AS BIGINT) AS nir FROM obs
+        WHERE cell_id IN (SELECT cell_id FROM zc WHERE division='ASIA') GROUP BY 1"""
+
+    def asia_shapes(t):
+        return ranges.shapes_of(zones.lookup(t.zones, "division", "ASIA"), ranges.Rectangle, ["x0", "x1", "y0", "y1"])
+    q.add("P02_spatial_filter", lambda t: p02(t, ranges.near_zones(t.obs, asia_shapes(t), GRID.width)), "cells zones obs", p02_sql)
+
+    def in_key_order(t):
+        path = f"{shared_folder(t.spark)}/obs-{uuid.uuid4().hex}"
+        ranges.write_in_key_order(GRID.attach(t.obs).drop("area_m2"), path)
+        return t.spark.read.parquet(path)
+    q.add("P02b_key_order", lambda t: p02(t, in_key_order(t).filter(ranges.in_ranges("zkey", ranges.morton_ranges(asia_shapes(t))))),
+          "cells zones obs", p02_sql)
 
     q.add("P03_property_filter", lambda t: t.obs.filter(
         (c("scene_cloud_pct") < 30) & c("mo").between(7, 9) & c("sensor_no").isin(1, 2)).groupBy("sensor_no", "yr").agg(

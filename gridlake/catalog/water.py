@@ -76,7 +76,28 @@ def win_sql(spans, name="wm"):
     return ",\n".join(ctes)
 
 
+def region_win_sql(key, cells, years, factor, name, last_day=(3, 1), reach=1):
+    """Blocks of ``factor`` cells with 0/1 columns w_<year> for the regions of the CTE ``cells``; windows widened per region."""
+    def within(a, b):
+        return f"t>=DATE '{a}' AND t<DATE '{b}'"
+    spans = rivers.windows(years, reach=reach, last_day=last_day)
+    ctes = [f"{name}_o AS (SELECT z.{key}, o.* FROM (SELECT DISTINCT {key}, cell_id FROM {cells}) z JOIN obs o ON o.cell_id=z.cell_id)",
+            f"{name}_n AS (SELECT {key}, " + ", ".join(f"count(*) FILTER ({within(a, b)}) AS n_{y}" for y, a, b in spans) + f" FROM {name}_o GROUP BY 1)"]
+    for y, a, b in spans:
+        wide = within(*rivers.wide_window(y, reach)[1:])
+        ctes.append(f"{name}_{y} AS (SELECT {key}, cell_id, {vote()} AS w FROM (SELECT {key}, cell_id, {MEDIANS} FROM {name}_o JOIN {name}_n USING ({key}) "
+                    f"WHERE (qa&24)=0 AND CASE WHEN n_{y}>0 THEN {within(a, b)} ELSE {wide} END GROUP BY 1,2))")
+    cols = ", ".join(f"coalesce(m{y}.w,0) AS w_{y}" for y, _, _ in spans)
+    joins = " ".join(f"LEFT JOIN {name}_{y} m{y} ON m{y}.{key}=c.{key} AND m{y}.cell_id=c.cell_id" for y, _, _ in spans)
+    ctes.append(f"{name}_c AS (SELECT c.{key}, c.cell_id, c.cell_id%64 AS x, floor(c.cell_id/64) AS y, {cols} FROM (SELECT DISTINCT {key}, cell_id FROM {cells}) c {joins})")
+    blocks = ", ".join(f"CAST(2*sum(w_{y})>count(*) AS INT) AS w_{y}" for y, _, _ in spans)
+    ctes.append(f"{name} AS (SELECT {key}, count(*)*900 AS area_m2, {blocks} FROM {name}_c GROUP BY {key}, floor(x/{factor}), floor(y/{factor}))")
+    return ",\n".join(ctes)
+
+
 RIVER_YEARS = (1996, 1998, 2000)
+#: The test series has no scene around 2003, so this window is widened in every report.
+REPORT_YEARS = (1996, 1998, 2003)
 
 
 def spans():
@@ -135,9 +156,18 @@ def register(q):
         +CAST(mndwi>=o_mndwi.t AS INT)+CAST(awei>=o_awei.t AS INT))>=2 AS INT) AS w FROM idx JOIN o_ndwi USING (yr)
         JOIN o_mndwi USING (yr) JOIN o_awei USING (yr)) GROUP BY 1""")
 
-    q.add("W05_classifier_dispatch", lambda t: water.classify(
-        acq.yearly_composite(t.obs, bands=water.WATER_BANDS), ["yr"], "fixed", (0.1, 0.0, -0.1)).select("cell_id", "yr", "water"), "obs",
-        COMP + f" SELECT cell_id, yr, {vote('0.1', '0', '-0.1')} AS water FROM comp")
+    def w05(t):
+        yearly = acq.yearly_composite(t.obs, bands=water.WATER_BANDS)
+        out = None
+        for scope, region in (("national", True), ("district", True), ("rectangle", False)):
+            df = water.classify_for(yearly, scope, ["yr"] if region else None, (0.1, 0.0, -0.1)).select(F.lit(scope).alias("scope"), "cell_id", "yr", "water")
+            out = df if out is None else out.unionByName(df)
+        return out
+    fixed = f"SELECT '{{0}}' AS scope, cell_id, yr, {vote('0.1', '0', '-0.1')} AS water FROM comp"
+    q.add("W05_classifier_dispatch", w05, "obs", COMP + "," + IDX + "," + ",".join(otsu_sql("idx", v, "yr", f"o_{v}") for v in ("ndwi", "mndwi", "awei"))
+          + " " + fixed.format("national") + " UNION ALL " + fixed.format("rectangle") + """ UNION ALL SELECT 'district', cell_id, yr,
+          CAST((CAST(ndwi>=o_ndwi.t AS INT)+CAST(mndwi>=o_mndwi.t AS INT)+CAST(awei>=o_awei.t AS INT))>=2 AS INT)
+          FROM idx JOIN o_ndwi USING (yr) JOIN o_mndwi USING (yr) JOIN o_awei USING (yr)""")
 
     q.add("W06_despeckled_area", lambda t: water.water_area(yearly_water(t), ["yr"], GRID), "obs",
           COMP + "," + WAT + ", m0 AS (SELECT * FROM wat WHERE w IS NOT NULL)," + opening_sql("m0", "w")
@@ -185,7 +215,7 @@ def register(q):
 
     # floods
     q.add("F01_annual_extents", lambda t: floods.annual_extents(t.obs, GRID), "obs", EXTENTS + " SELECT * FROM ex")
-    q.add("F01b_annual_extents_otsu", lambda t: floods.annual_extents(t.obs, GRID, method=floods.method_for("district:X")), "obs",
+    q.add("F01b_annual_extents_otsu", lambda t: floods.annual_extents(t.obs, GRID, method=water.method_for("district:X")), "obs",
           extents_sql(SEASON_OTSU) + " SELECT * FROM ex")
     q.add("F02_flood_series", lambda t: floods.time_series(t.obs, GRID, 1996, 2000, 2), "obs",
           EXTENTS + " SELECT * FROM ex WHERE yr IN (1996,1998,2000)")
@@ -232,9 +262,12 @@ def register(q):
           SELECT early, late, erosion_ha, erosion_ha/(late-early) AS erosion_ha_per_year FROM e""")
     q.add("R06_erosion_hotspots", lambda t: rivers.hotspots(rivers.migration(wide_masks(t), RIVER_YEARS)), "cells obs",
           mv + " SELECT cell_id, CAST(sum(bank_erosion) AS BIGINT) AS erosion_periods FROM mv GROUP BY 1")
-    q.add("R07_river_report", lambda t: rivers.river_report(t.obs, t.cells, corridors(t), "river", GRID, spans()), "cells discs obs",
-          CORRIDOR + "," + mv + """, e AS (SELECT river, early, late, CAST(coalesce(sum(bank_erosion*area_m2),0) AS DOUBLE)/1e4 AS erosion_ha
-          FROM mv JOIN cor USING (cell_id) GROUP BY 1,2,3) SELECT river, early, late, erosion_ha, erosion_ha/(late-early) AS erosion_ha_per_year FROM e""")
+    # corridors of 3 to 10.5 km, so that all three resolutions occur
+    factor = "(CASE WHEN river*1500>=8000 THEN 10 WHEN river*1500>=5000 THEN 3 ELSE 1 END)"
+    q.add("R07_river_report", lambda t: rivers.river_report(t.obs, corridors(t), "river", GRID, c("river") * 1500, REPORT_YEARS, reach=1), "cells discs obs",
+          CORRIDOR + "," + region_win_sql("river", "cor", REPORT_YEARS, factor, "rw") + ", e AS (" + " UNION ALL ".join(
+              f"SELECT river, {a} AS early, {b} AS late, CAST(coalesce(sum(w_{b}*(1-w_{a})*area_m2),0) AS DOUBLE)/1e4 AS erosion_ha FROM rw GROUP BY 1"
+              for a, b in zip(REPORT_YEARS, REPORT_YEARS[1:])) + ") SELECT river, early, late, erosion_ha, erosion_ha/(late-early) AS erosion_ha_per_year FROM e")
 
     # wetlands
     q.add("H01_disc_zone", lambda t: t.disc_cells.select("disc", "cell_id"), "cells discs", DISC_CELLS + " SELECT disc, cell_id FROM dc")

@@ -41,6 +41,14 @@ def in_discs(cells: DataFrame, discs: DataFrame, tile: int = TILE) -> DataFrame:
             .filter(squared_distance() <= c("r") * c("r")))
 
 
+def named_discs(places: DataFrame, grid, least: int = 0) -> DataFrame:
+    """Named places (lat, lon, radius_m) as discs (cx, cy, r) in cells of a grid; r is at least ``least``."""
+    cx = F.round((F.col("lon") - F.lit(grid.lon0)) / F.lit(grid.step)).cast("int")
+    cy = F.round((F.lit(grid.lat0) - F.col("lat")) / F.lit(grid.step)).cast("int")
+    r = F.round(F.col("radius_m") / F.lit(grid.km_per_degree * 1000.0) / F.lit(grid.step)).cast("int")
+    return places.withColumns({"cx": cx, "cy": cy, "r": F.greatest(r, F.lit(least))})
+
+
 def in_rings(cells: DataFrame, discs: DataFrame, inner: Column, outer: Column, tile: int = TILE) -> DataFrame:
     """Cells with inner < distance <= outer."""
     d = discs.withColumns({"_in": inner, "_out": outer})

@@ -3,9 +3,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import algebra as A
-from gridlake.model import DRY
-from gridlake.model import Grid
+from gridlake.model import DECADE_YEARS, DRY, Grid
 from gridlake.operators import temporal, topology
+from gridlake.plans import rivers
 from gridlake.plans.floods import conditional_masks
 
 
@@ -83,20 +83,34 @@ def new_land(wide: DataFrame, early: int, late: int) -> DataFrame:
     return wide.withColumn("new_land", A.unmask(A.mask_and(F.col(f"w_{early}"), A.mask_not(F.col(f"w_{late}")))))
 
 
-def accretion_series(wide: DataFrame, years, zone_cells: DataFrame, key: str = "zone") -> DataFrame:
-    """New land km2 and km2 per year for every (zone, neighbouring pair)."""
+def _accretion(wide: DataFrame, years, key: str) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(a).alias("early"), F.lit(b).alias("late"),
                                A.unmask(A.mask_and(F.col(f"w_{a}"), A.mask_not(F.col(f"w_{b}")))).alias("_n"))
                       for a, b in zip(years, years[1:])])
-    long = wide.select("cell_id", "area_m2", F.inline(pairs)).join(zone_cells.select(key, "cell_id"), "cell_id")
     km2 = F.coalesce(A.km2(F.col("_n"), F.col("area_m2")), F.lit(0.0))
-    return (long.groupBy(key, "early", "late").agg(km2.alias("accretion_km2"))
+    return (wide.select(key, "area_m2", F.inline(pairs)).groupBy(key, "early", "late").agg(km2.alias("accretion_km2"))
             .withColumn("km2_per_year", F.col("accretion_km2") / (F.col("late") - F.col("early"))))
 
 
-def zone_resolution(square_degrees: float) -> int:
-    """Working cell size in metres by zone extent."""
-    return 300 if square_degrees >= 2 else 100 if square_degrees >= 0.5 else 30
+def accretion_series(wide: DataFrame, years, zone_cells: DataFrame, key: str = "zone") -> DataFrame:
+    """New land km2 and km2 per year for every (zone, neighbouring pair)."""
+    return _accretion(wide.join(zone_cells.select(key, "cell_id"), "cell_id"), years, key)
+
+
+def zone_resolution(square_degrees):
+    """Working cell size in metres by zone extent; a number or a column."""
+    if isinstance(square_degrees, (int, float)):
+        return 300 if square_degrees >= 2 else 100 if square_degrees >= 0.5 else 30
+    return F.when(square_degrees >= 2, 300).when(square_degrees >= 0.5, 100).otherwise(30)
+
+
+def accretion_report(obs: DataFrame, zone_cells: DataFrame, key: str, grid: Grid, square_degrees, years=DECADE_YEARS, cell_m: int = 30, **windows_of) -> DataFrame:
+    """New land per (zone, neighbouring pair) in one job: windows widened per zone, each zone at the
+    resolution of its extent; ``square_degrees`` is a column of the zones' cells."""
+    factor = zone_cells.select(key, F.floor(zone_resolution(square_degrees) / F.lit(cell_m)).alias("_factor")).distinct()
+    masks = grid.attach(rivers.region_masks(obs, zone_cells, key, years, last_day=(2, 28), **windows_of)).join(factor, key)
+    wide = rivers.at_resolution(masks, years, [key], F.col("_factor"))
+    return _accretion(wide, years, key)
 
 
 def major_islands(land: DataFrame, min_area_m2: int = 500_000, neighbours: int = 4, grid: Grid | None = None, period: str | None = None) -> DataFrame:

@@ -27,11 +27,6 @@ def conditional_masks(df: DataFrame, keys, labels: dict, bands=WATER_BANDS, thre
     return wide.select(*keys, *labels)
 
 
-def method_for(scope: str) -> str:
-    """Fixed thresholds for the national scope, Otsu for all others."""
-    return "fixed" if scope == "national" else "otsu"
-
-
 def seasonal_masks(obs: DataFrame, years=None, seasons=DRY_MONSOON, bits: int = 24, method: str = "fixed",
                    thresholds=(0.0, 0.0, 0.0)) -> DataFrame:
     """(cell_id, yr, dry, monsoon, flood): flood = monsoon and not dry; a missing side masks it.

@@ -72,7 +72,8 @@ def accuracy(measured: DataFrame, reference: DataFrame, key: str, value: str, tr
                     F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
-def errors(measured: DataFrame, reference: DataFrame, key: str, value: str, truth: str) -> DataFrame:
-    return (measured.select(key, F.col(value).alias("satellite"))
+def errors(measured: DataFrame, reference: DataFrame, key: str, value: str, truth: str, keep=()) -> DataFrame:
+    """One row per name present in both, with its error; ``keep`` are further keys of the measured side, such as years."""
+    return (measured.select(key, *keep, F.col(value).alias("satellite"))
             .join(reference.select(key, F.col(truth).alias("reference")), key)
             .withColumn("error", F.col("satellite") - F.col("reference")))

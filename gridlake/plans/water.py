@@ -32,6 +32,18 @@ def classify(composite: DataFrame, keys=(), method: str = "fixed", thresholds=(0
     return joined.withColumn(out, I.water_vote(*bounds)).drop(*[f"_{n}_t" for n in names])
 
 
+def method_for(scope: str) -> str:
+    """Fixed thresholds for the national scope, Otsu for all others."""
+    return "fixed" if scope == "national" else "otsu"
+
+
+def classify_for(composite: DataFrame, scope: str, region_keys=None, thresholds=(0.0, 0.0, 0.0), out: str = "water") -> DataFrame:
+    """`classify` by the scope's method; without a region, whose keys group the histograms, thresholds are fixed."""
+    if region_keys is None:
+        return classify(composite, (), "fixed", thresholds, out)
+    return classify(composite, region_keys, method_for(scope), thresholds, out)
+
+
 def otsu_or_default(df: DataFrame, value: str, keys, default: float = 0.0, out: str = "threshold") -> DataFrame:
     """One threshold per key of ``df``; the default where the band is entirely masked."""
     k = list(keys)

@@ -40,14 +40,15 @@ def cell_km2(step_degrees: float, latitude: float = 23.7, km_per_degree: float =
 def census(spark: SparkSession, path: str) -> DataFrame:
     """Census microdata CSV (plain or gzip) with tolerant number parsing; names in lower case.
 
-    Every column is read as text and parsed with a default, as files mix blanks and codes.
+    Every column is read as text and parsed with a default, as files mix blanks and codes; a
+    column that the file lacks has its default in every row, a region it lacks is NULL.
     A gzip file is one task: convert it once with ``sinks.write_table`` before analysis."""
     raw = spark.read.option("header", True).csv(path)
     present = set(raw.columns)
-    columns = [to_int(F.col(c), CENSUS_DEFAULTS.get(c, 0)).alias(c.lower()) for c in CENSUS_INTS if c in present]
+    columns = [to_int(F.col(c) if c in present else F.lit(None).cast("string"), CENSUS_DEFAULTS.get(c, 0)).alias(c.lower()) for c in CENSUS_INTS]
     # a blank or invalid weight counts nothing; a file without the column weighs every row alike
     columns += [(to_float(F.col(c), 0.0) if c in present else F.lit(1.0)).alias(c.lower()) for c in ("PERWT", "HHWT")]
-    columns += [F.nullif(F.trim(F.col(c)), F.lit("")).alias(c.lower()) for c in ("GEOLEV1", "GEOLEV2") if c in present]
+    columns += [(F.nullif(F.trim(F.col(c)), F.lit("")) if c in present else F.lit(None).cast("string")).alias(c.lower()) for c in ("GEOLEV1", "GEOLEV2")]
     return raw.select(*columns)
 
 

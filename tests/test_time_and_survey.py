@@ -127,7 +127,8 @@ def test_readers_and_sinks(spark, tmp_path):
     with gzip.open(csv, "wt") as f:
         f.write("YEAR,SERIAL,PERNUM,GEOLEV1,GEOLEV2,PERWT,AGE,YRSCHOOL\n1991,1,1,5,51,2.5,x,\n2001,2,1,5,,bad,40,7\n")
     rows = tables.census(spark, str(csv)).orderBy("year").collect()
-    assert [(r.age, r.yrschool, r.perwt, r.geolev2) for r in rows] == [(0, 99, 2.5, "51"), (40, 7, 1.0, None)]
+    assert [(r.age, r.yrschool, r.perwt, r.geolev2) for r in rows] == [(0, 99, 2.5, "51"), (40, 7, 0.0, None)]     # an invalid weight counts nothing
+    assert [(r.sex, r.electric, r.marst, r.hhwt) for r in rows] == [(0, 0, 0, 1.0)] * 2       # columns that the file lacks
     df = spark.createDataFrame([("ndvi", 2000, 0, 5), ("ndvi", 2001, 1, 6), ("rain", 2000, 0, 7)], "product string, year int, cell_id long, v int")
     path = str(tmp_path / "store")
     sinks.write_table(df, path)
