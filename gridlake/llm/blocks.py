@@ -6,8 +6,10 @@ stored bucketed by their number, so that what comes back to a block joins withou
 from __future__ import annotations
 
 import uuid
+from zlib import crc32
 
 import numpy as np
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -51,3 +53,44 @@ def gathered(flat: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> tuple[n
     bounds = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(lengths, out=bounds[1:])
     return flat[np.repeat(starts[codes] - bounds[:-1], lengths) + np.arange(bounds[-1])], bounds
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit integers as eight planes of bytes, of which small values leave most empty."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def joined(items: list[bytes]) -> bytes:
+    """Byte strings in a row: how many, their lengths, their bytes."""
+    return len(items).to_bytes(4, "little") + packed_codes(np.array([len(x) for x in items], np.uint32)) + b"".join(items)
+
+
+def split(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    bounds = np.zeros(n + 1, np.int64)
+    np.cumsum(unpacked_codes(data[4:4 + 4 * n]), out=bounds[1:])
+    bounds += 4 + 4 * n
+    return [data[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def compressed(*sections: bytes) -> bytes:
+    return zstandard.compress(joined(list(sections)))
+
+
+def sections(data: bytes) -> list[bytes]:
+    return split(zstandard.decompress(data))
+
+
+def part_of_word(word: bytes, n_parts: int) -> int:
+    return crc32(word) % n_parts
+
+
+def by_part(part: np.ndarray) -> list[np.ndarray]:
+    """Positions of each part that occurs, in order within the part."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    return np.split(order, cuts[1:]) if len(part) else []

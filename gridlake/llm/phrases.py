@@ -4,7 +4,8 @@ The occurrences of the groups of m words form a relation, sorted by piece and po
 stored, one row per block of texts. Merge-joining it with itself on the same piece and the
 adjacent position gives the occurrences of the groups of m + 1 words, whose counts are summed
 over all blocks; a semi-join with the frequent groups gives the next relation. Counts are
-summed in each block first, so a group has at most one row per block, however frequent."""
+summed in each block first and travel in parts by a hash of the group, packed together, so a
+group has at most one entry per block, however frequent."""
 from __future__ import annotations
 
 import string
@@ -15,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.blocks import block_number, bucketed, packed_codes, unpacked_codes
-from gridlake.llm.shared import small_batches, stored, text_or_empty
+from gridlake.llm.blocks import Codes, block_number, bucketed, by_part, compressed, from_planes, joined, part_of_word, planes, sections, split
+from gridlake.llm.shared import mixed, small_batches, stored, text_or_empty
 
 #: Words per block; a longer document is a block of its own.
 BLOCK = 1 << 20
-#: Bits for the number of a group within its block, below the bits of the block.
-GROUP_BITS = 27
+#: Bytes of text per part; a part holds at most the groups that about so much text has.
+PART_BYTES = 1 << 24
 _BREAK = b"\n"
 _TO_TOKENS = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\n\x0b\x0c\r\t", string.ascii_lowercase.encode() + _BREAK * 10 + b" ")
 
@@ -39,22 +40,28 @@ class _Words(dict):
         return code
 
 
-def _explode(block: int):
-    """Rows of words (block, k, lang, word, n) and one row of codes in text order per block; a zero ends a piece."""
+def _explode(block: int, n_parts: int):
+    """A row of codes in text order per block, where a zero ends a piece, and its words with their counts in parts."""
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+
     def run(batches):
-        names, langs, codes, n, k = [None], {}, [], 0, 0
-        schema = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("codes", pa.binary())])
+        names, langs, codes, n, k = [(None, b"")], {}, [], 0, 0
 
         def flush():
             every, number = np.concatenate(codes), block_number(k)
             counts = np.bincount(every, minlength=len(names))
-            for a in range(1, len(names), 50_000):
-                part = names[a:a + 50_000]
-                size = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * size, pa.int64()), pa.array(range(a, a + size), pa.int32()), pa.array([x for x, _ in part], pa.string()),
-                     pa.array([x for _, x in part], pa.binary()), pa.array(counts[a:a + size], pa.int64()), pa.nulls(size, pa.binary())], schema=schema)
-            yield pa.RecordBatch.from_pylist([{"block": number, "codes": packed_codes(every)}], schema=schema)
+            known = list(langs)
+            spelt = joined([x.encode() for x in known])
+            code_of = {x: i for i, x in enumerate(known)}
+            lang = np.array([code_of.get(x, 0) for x, _ in names])
+            part = np.array([part_of_word(w, n_parts) for _, w in names[1:]], np.int64)
+            rows = [{"block": number, "part": -1, "data": compressed(planes(every))}]
+            for own in by_part(part):
+                ks = own + 1
+                rows.append({"block": number, "part": int(part[own[0]]), "data": compressed(
+                    planes(np.diff(ks, prepend=0)), planes(counts[ks]), planes(lang[ks]), spelt, joined([names[i][1] for i in ks.tolist()]))})
+            for a in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_pylist(rows[a:a + 1000], schema=schema)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -68,76 +75,131 @@ def _explode(block: int):
                 n += len(own) + 1
                 if n > block:
                     yield from flush()
-                    names, langs, codes, n, k = [None], {}, [], 0, k + 1
+                    names, langs, codes, n, k = [(None, b"")], {}, [], 0, k + 1
         if codes:
             yield from flush()
     return run
 
 
-def _frequent(found: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows of groups found at least so often in all blocks together, with that count `a` and the group's number.
-
-    A group's number is its least (block, k), so it needs no numbering of its own and is the
-    same in every run over the same blocks; the row that it is taken from is marked `own`."""
-    group = Window.partitionBy(*keys)
-    place = F.shiftleft("block", GROUP_BITS).bitwiseOR(F.col("k").cast("long"))
-    rows = found.withColumns({"a": F.sum("n").over(group), "gid": F.min(place).over(group), "own": place == F.min(place).over(group)})
-    return stored(rows.filter(F.col("a") >= least), "groups")
-
-
-def _relation(places: np.ndarray, groups: np.ndarray, gids: np.ndarray, block: int) -> pa.Table:
-    return pa.table({"block": pa.array([block], pa.int64()), "places": pa.array([places.astype("<i4").tobytes()], pa.binary()),
-                     "groups": pa.array([groups.astype("<i4").tobytes()], pa.binary()), "gids": pa.array([gids.astype("<i8").tobytes()], pa.binary())})
+#: What counting a part gives: `group` rows of frequent groups, `total` rows of words per language, and a row per block
+#: that names its own groups (k) which are frequent.
+_COUNTED = "kind string, block long, data binary, gid long, first long, last long, a long, lang string, word binary"
+_COUNTED_ARROW = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in _COUNTED.split(", ")])
+
+
+def _counted(**columns) -> pa.Table:
+    size = len(columns["kind"])
+    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _COUNTED_ARROW], schema=_COUNTED_ARROW)
+
+
+def _numbered(part: int, n_parts: int, totals: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent groups of a part, the most frequent first, and a number for every group (-1: not frequent)."""
+    often = np.flatnonzero(totals >= least)
+    often = often[np.argsort(-totals[often], kind="stable")]
+    gid = np.full(len(totals), -1)
+    gid[often] = part + n_parts * np.arange(len(often))
+    return often, gid
+
+
+def _back(blocks: list[int], ks: list[np.ndarray], gids: list[np.ndarray]) -> pa.Table:
+    rows = [(b, compressed(planes(np.diff(k[g >= 0], prepend=0)), planes(g[g >= 0]))) for b, k, g in zip(blocks, ks, gids) if (g >= 0).any()]
+    return _counted(kind=["back"] * len(rows), block=[b for b, _ in rows], data=[d for _, d in rows])
+
+
+def _count_words(n_parts: int, least: int):
+    def run(rows: pa.Table) -> pa.Table:
+        number, ks, own, counts = Codes(), [], [], []
+        for data in rows["data"].to_pylist():
+            k, n, lang, spelt, words = sections(data)
+            langs = split(spelt)
+            ks.append(np.cumsum(from_planes(k)))
+            counts.append(from_planes(n))
+            own.append(np.fromiter((number[langs[x], w] for x, w in zip(from_planes(lang).tolist(), split(words))), np.int64, len(ks[-1])))
+        totals = np.zeros(len(number), np.int64)
+        np.add.at(totals, np.concatenate(own), np.concatenate(counts))
+        often, gid = _numbered(rows["part"][0].as_py(), n_parts, totals, least)
+        names, per_lang = list(number), {}
+        for (lang, _), n in zip(names, totals.tolist()):
+            per_lang[lang] = per_lang.get(lang, 0) + n
+        return pa.concat_tables([
+            _counted(kind=["group"] * len(often), gid=gid[often], a=totals[often], lang=[names[i][0].decode() for i in often], word=[names[i][1] for i in often]),
+            _counted(kind=["total"] * len(per_lang), lang=[x.decode() for x in per_lang], a=list(per_lang.values())),
+            _back(rows["block"].to_pylist(), ks, [gid[x] for x in own])])
+    return run
 
 
-_RELATION = "block long, places binary, groups binary, gids binary"
+def _count_pairs(n_parts: int, least: int):
+    def run(rows: pa.Table) -> pa.Table:
+        blobs = [[from_planes(x) for x in sections(data)] for data in rows["data"].to_pylist()]
+        ks = [np.cumsum(b[0]) for b in blobs]
+        first, last, counts = (np.concatenate(x) for x in ([np.cumsum(b[1]) for b in blobs], [b[2] for b in blobs], [b[3] for b in blobs]))
+        bounds = np.cumsum([len(k) for k in ks])[:-1]
+        del blobs
+        order = np.lexsort((last, first))
+        first, last = first[order], last[order]
+        new = np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])])
+        starts = np.flatnonzero(new)
+        totals = np.add.reduceat(counts[order], starts)
+        often, gid = _numbered(rows["part"][0].as_py(), n_parts, totals, least)
+        own = np.empty(len(order), np.int64)
+        own[order] = gid[np.cumsum(new) - 1]
+        return pa.concat_tables([
+            _counted(kind=["group"] * len(often), gid=gid[often], a=totals[often], first=first[starts[often]], last=last[starts[often]]),
+            _back(rows["block"].to_pylist(), ks, np.split(own, bounds))])
+    return run
 
 
-def _kept(places: np.ndarray, local: np.ndarray, size: int, frequent: pa.Table) -> pa.Table:
-    """The semi-join within a block: occurrences of frequent groups, which are renumbered."""
+def _kept(block: int, places: np.ndarray, local: np.ndarray, size: int, frequent: pa.Table) -> pa.Table:
+    """The semi-join within a block: occurrences of frequent groups, renumbered in the order of the groups' numbers."""
+    parts = [sections(data) for data in frequent["data"].to_pylist()]
+    ks = np.concatenate([np.empty(0, np.int64), *(np.cumsum(from_planes(k)) for k, _ in parts)])
+    gids = np.concatenate([np.empty(0, np.int64), *(from_planes(g) for _, g in parts)])
+    order = np.argsort(gids)
     number = np.full(size, -1, np.int64)
-    number[frequent["k"].to_numpy()] = np.arange(frequent.num_rows)
+    number[ks[order]] = np.arange(len(order))
     groups = number[local]
     inside = groups >= 0
-    return _relation(places[inside], groups[inside], frequent["gid"].to_numpy(), frequent["block"][0].as_py())
+    data = compressed(planes(np.diff(places[inside], prepend=0)), planes(groups[inside]), planes(gids[order]))
+    return pa.table({"block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
 
 
 def _singles(codes: pa.Table, frequent: pa.Table) -> pa.Table:
-    if not frequent.num_rows:
-        return _relation(*[np.empty(0, np.int64)] * 3, block=codes["block"][0].as_py())
-    every = unpacked_codes(codes["codes"][0].as_py())
-    return _kept(np.arange(len(every)), every, int(every.max()) + 1, frequent)
+    every = from_planes(sections(codes["data"][0].as_py())[0])
+    return _kept(codes["block"][0].as_py(), np.arange(len(every)), every, int(every.max()) + 1, frequent)
 
 
-def _merged(relation: pa.RecordBatch | pa.Table, row: int):
-    """Merge-join of a block's relation with itself at adjacent positions of a piece: where, the pairs in order, and all gids.
+def _merged(data: bytes):
+    """Merge-join of a block's relation with itself at adjacent positions of a piece: where, the pairs, and all groups' numbers.
 
-    A pair stands for two groups that overlap in all but one word each, a * (number of groups) + b."""
-    places, groups, gids = (np.frombuffer(relation[c][row].as_buffer(), t) for c, t in (("places", "<i4"), ("groups", "<i4"), ("gids", "<i8")))
-    at = np.flatnonzero(np.diff(places) == 1)       # a break between pieces takes a position of its own
-    return places[at], groups[at].astype(np.int64) * max(len(gids), 1) + groups[at + 1], gids
+    A pair stands for two groups that overlap in all but one word each, as first * (number of groups) + second."""
+    places, groups, gids = map(from_planes, sections(data))
+    at = np.flatnonzero(np.diff(np.cumsum(places)) == 1)        # a break between pieces takes a position of its own
+    return np.cumsum(places)[at], groups[at] * max(len(gids), 1) + groups[at + 1], gids
 
 
-def _extend(batches):
-    """Rows (block, k, first, last, n): the groups of one word more, as the groups of all but the last and all but the first word."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            _, pairs, gids = _merged(batch, row)
-            pairs, counts = np.unique(pairs, return_counts=True)
-            block = batch["block"][row].as_py()
-            for a in range(0, len(pairs), 50_000):
-                some = pairs[a:a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), block), pa.int64()), pa.array(np.arange(a, a + len(some)), pa.int32()), pa.array(gids[some // len(gids)], pa.int64()),
-                     pa.array(gids[some % len(gids)], pa.int64()), pa.array(counts[a:a + 50_000], pa.int64())], ["block", "k", "first", "last", "n"])
+def _extend(n_parts: int):
+    """A block's groups of one word more with their counts, as the groups of all but the last and all but the first word, in parts."""
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                _, pairs, gids = _merged(batch["data"][row].as_py())
+                pairs, counts = np.unique(pairs, return_counts=True)
+                block = batch["block"][row].as_py()
+                first, last = gids[pairs // max(len(gids), 1)], gids[pairs % max(len(gids), 1)]
+                part = (mixed(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+                rows = [(int(part[own[0]]), compressed(planes(np.diff(own, prepend=0)), planes(np.diff(first[own], prepend=0)), planes(last[own]), planes(counts[own])))
+                        for own in by_part(part)]
+                for a in range(0, len(rows), 1000):
+                    some = rows[a:a + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([p for p, _ in some], pa.int32()),
+                                                      pa.array([d for _, d in some], pa.binary())], ["block", "part", "data"])
+    return run
 
 
 def _longer(relation: pa.Table, frequent: pa.Table) -> pa.Table:
-    if not frequent.num_rows:
-        return _relation(*[np.empty(0, np.int64)] * 3, block=relation["block"][0].as_py())
-    places, pairs, _ = _merged(relation, 0)
+    places, pairs, _ = _merged(relation["data"][0].as_py())
     pairs, local = np.unique(pairs, return_inverse=True)
-    return _kept(places, local, len(pairs), frequent)
+    return _kept(relation["block"][0].as_py(), places, local, len(pairs), frequent)
 
 
 def _exact(column) -> F.Column:
@@ -154,7 +216,7 @@ def _cut(m: int) -> F.Column:
     return cuts[0] if m == 2 else F.array_min(F.array(*cuts))
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): each language's first phrases of 2 to `longest` words.
 
     Words are lower-cased (A-Z) and lie between spaces or tabs of a piece; `.,;:!?` and line
@@ -163,25 +225,30 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     times are none; one that lies in a longer one of the same count is dropped. Order: score and
     a descending, then the phrase in byte order. Null text is empty, null lang is `und`, repeated
     rows count again, other columns are not read; empty tables give no rows. Each relation is
-    written once to the shared folder, so calling it runs Spark jobs. A task holds a block."""
+    written once to the shared folder, so calling it runs Spark jobs. A task holds a block, or
+    a part: the groups whose hash falls there, of all blocks, packed. The number of parts follows
+    the bytes of all texts."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty().alias("t"))
-    parts = bucketed(rows.mapInArrow(_explode(block), "block long, k int, lang string, word binary, n long, codes binary"), "occurrences")
-    words = parts.filter("word is not null").drop("codes")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-
-    found = _frequent(words, ["lang", "word"], least)
+    size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    packed = "block long, part int, data binary"
+    parts = bucketed(rows.mapInArrow(_explode(block, n_parts), packed), "occurrences")
+    found = stored(parts.filter("part >= 0").groupBy("part").applyInArrow(_count_words(n_parts, least), _COUNTED), "groups")
+    totals = found.filter("kind = 'total'").groupBy("lang").agg(F.sum("a").alias("n"))
     text = F.col("word").cast("string")
-    groups = stored(found.filter("own").select("gid", "lang", "a", text.alias("phrase"), text.alias("tail"), F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
-    relation, apply = parts.filter("codes is not null").select("block", "codes"), _singles
+    groups = stored(found.filter("kind = 'group'").select(
+        "gid", "lang", "a", text.alias("phrase"), text.alias("tail"), F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
+    relation, apply = parts.filter("part < 0").select("block", "data"), _singles
     results = []
     for m in range(2, longest + 1):
-        relation = bucketed(relation.groupBy("block").cogroup(found.select("block", "k", "gid").groupBy("block")).applyInArrow(apply, _RELATION), "relation")
+        back = found.filter("kind = 'back'").select("block", "data")
+        relation = bucketed(relation.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(apply, "block long, data binary"), "relation")
         apply = _longer
-        found = _frequent(relation.mapInArrow(_extend, "block long, k int, first long, last long, n long"), ["first", "last"], least)
+        found = stored(relation.mapInArrow(_extend(n_parts), packed).groupBy("part").applyInArrow(_count_pairs(n_parts, least), _COUNTED), "groups")
         head = groups.select(F.col("gid").alias("first"), "lang", F.col("phrase").alias("start"), "heads")
         last = groups.select(F.col("gid").alias("last"), "tail", "tails")
-        longer = stored(found.filter("own").select("gid", "first", "last", "a").join(head, "first").join(last, "last").select(
+        longer = stored(found.filter("kind = 'group'").select("gid", "first", "last", "a").join(head, "first").join(last, "last").select(
             "gid", "first", "last", "lang", "a", F.concat_ws(" ", "start", "tail").alias("phrase"), "tail",
             F.concat("heads", F.array("a")).alias("heads"), F.concat("tails", F.array("a")).alias("tails")), "phrases")
         if m > 2:       # what is as frequent one word longer adds nothing; any longer cover implies one of a single word more

@@ -44,7 +44,7 @@ def corpus():
 def test_equals_plain_counting(spark, block, least, longest, top):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, x, 0, "w") for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, block int, word string")
-    got = sorted(map(tuple, phrases.collocations(docs.repartition(5), least, longest, top, block).collect()))
+    got = sorted(map(tuple, phrases.collocations(docs.repartition(5), least, longest, top, block, part_bytes=300).collect()))
     assert got == brute(rows, least, longest, top)
 
 
