@@ -276,8 +276,8 @@ def prefix_trie(conversations: DataFrame, family: int = 20, block: int = BLOCK,
     upper = upper.drop("ends_sha256").join(digests, "key", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(_NO_ENDS)))
     nodes = found.filter("kind = 'node'").unionByName(upper)
     # very many nodes may hang on one open parent: they are dealt over copies of it
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    known = upper.select(F.col("key").alias("parent"), F.col("conv_id").alias("_parent"), salts.cast("long").alias("_salt"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    known = upper.select(F.col("key").alias("parent"), F.col("conv_id").alias("_parent"), salts.alias("_salt"))
     columns = ["key", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     whole = nodes.filter("parent_conv_id is not null or depth = 0").select(*columns)
     lacking = nodes.filter("parent_conv_id is null and depth > 0").withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(known, ["parent", "_salt"]).withColumn("parent_conv_id", F.col("_parent"))
