@@ -7,6 +7,7 @@ from gridlake.functions import indices as I
 from gridlake.model import BUILT_EPOCHS, DRY_MONSOON, SMOD_EPOCHS
 from gridlake.operators import ranges, temporal, zones
 from gridlake.plans import acquisition as acq
+from gridlake.plans import incremental
 from gridlake.sources.fixtures import GRID
 
 c = F.col
@@ -81,6 +82,17 @@ def register(q):
     q.add("A07_composite", a07, "obs", f"""SELECT cell_id, yr, {MEDIANS}, avg(red) AS red_mean, min(red) AS red_min,
         max(red) AS red_max FROM obs WHERE (qa&24)=0 GROUP BY 1,2""")
 
+    def a07b(t):
+        # history up to June 1998 is a state; the later scenes come in two batches, the second with a late one of 1996
+        late = (c("yr") == 1996) & (c("mo") == 12)
+        old = (c("t") < F.lit("1998-07-01").cast("date")) & ~late
+        batches = [t.obs.filter(old), t.obs.filter(~old & ~late & (c("yr") <= 1998)), t.obs.filter(~old & (late | (c("yr") > 1998)))]
+        state = incremental.state_of(batches[0])
+        for batch in batches[1:]:
+            state = incremental.merged(state, incremental.state_of(batch))
+        return incremental.composites(state)
+    q.add("A07b_incremental_composite", a07b, "obs", f"SELECT cell_id, yr, {MEDIANS} FROM obs WHERE (qa&24)=0 GROUP BY 1,2")
+
     q.add("A08_seasonal_composite", lambda t: acq.seasonal_composite(t.obs), "obs",
           f"s AS ({seasonal('obs', DRY_MONSOON)}) SELECT cell_id, sy AS yr, season, {MEDIANS} FROM s WHERE (qa&24)=0 GROUP BY 1,2,3")
 
