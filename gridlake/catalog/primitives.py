@@ -8,7 +8,10 @@ from gridlake.catalog.base import (DISC_CELLS, ZONE_CELLS, clamp as clamp_sql, n
                                    opening_sql, r)
 from gridlake.functions import algebra as A
 from gridlake.functions import indices as I
+from gridlake.functions import projection
+from gridlake.model import Grid
 from gridlake.operators import focal, histogram, ranges, temporal, topology, zonal, zones
+from gridlake.operators.reproject import TargetGrid, reproject
 from gridlake.session import shared_folder
 from gridlake.sources.fixtures import GRID
 
@@ -54,6 +57,24 @@ def patches_sql(src, near=NEAR4, key=""):
         on3=f"reach.{key}=l.{key} AND " if key else "")
 
 
+#: The test grid laid out in degrees, and a metric grid over it.
+DEGREES = Grid(64, lon0=88.0, lat0=26.75, step=0.25)
+UTM_TARGET = TargetGrid(projection.UTM(46), 100_000.0, 2_900_000.0, 25_000.0, 60, 30)
+
+
+def spots_sql(target):
+    """Where the cells of a UTM grid lie in the test grid, by the inverse series."""
+    def series(name, f, g, coefficients):
+        return "+".join(f"{k!r}*{f}({2 * j}*{name}){g.format(2 * j)}" for j, k in enumerate(coefficients, 1))
+    scale = f"{projection.SCALE * projection.RECTIFIED!r}"
+    back, up = projection.FROM_GRID, projection.TO_LATITUDE
+    return f"""g AS (SELECT i AS cell_id, ({target.y0!r}-floor(i/{target.width})*{target.step!r})/{scale} AS xi,
+        ({target.x0!r}+(i%{target.width})*{target.step!r}-500000e0)/{scale} AS eta FROM range({target.width * target.height}) q(i)),
+        h AS (SELECT cell_id, xi-({series('xi', 'sin', '*cosh({}*eta)', back)}) AS p, eta-({series('xi', 'cos', '*sinh({}*eta)', back)}) AS q FROM g),
+        k AS (SELECT cell_id, asin(sin(p)/cosh(q)) AS chi, degrees(atan2(sinh(q),cos(p)))+{target.projection.meridian!r} AS lon FROM h),
+        spot AS (SELECT cell_id, (lon-{DEGREES.lon0!r})/{DEGREES.step!r} AS fx, ({DEGREES.lat0!r}-degrees(chi+{series('chi', 'sin', '', up)}))/{DEGREES.step!r} AS fy FROM k)"""
+
+
 def register(q):
     q.add("P01_date_range", lambda t: temporal.between(t.obs, "1996-01-01", "1996-12-31").groupBy("mo").agg(
         F.count(F.lit(1)).alias("n"), F.sum("red").alias("red")), "obs",
@@ -249,6 +270,14 @@ def register(q):
         """SELECT CAST(floor(x/4) AS INT) AS cx, CAST(floor(y/4) AS INT) AS cy, count(*) AS n, avg(elevation) AS elevation
         FROM cells GROUP BY 1,2""")
 
+    utm_sql = spots_sql(UTM_TARGET)
+    q.add("P30b_reproject_nearest", lambda t: reproject(t.cells, ["elevation", "worldcover"], DEGREES, UTM_TARGET), "cells",
+          utm_sql + """ SELECT s.cell_id, elevation, worldcover FROM spot s JOIN cells c ON c.x=floor(fx+0.5e0) AND c.y=floor(fy+0.5e0)""")
+    q.add("P30c_reproject_bilinear", lambda t: reproject(t.cells, "elevation", DEGREES, UTM_TARGET, method="bilinear").withColumn(
+        "elevation", A.rounded(c("elevation"))), "cells", utm_sql + f""", n AS (SELECT s.cell_id, elevation, (1-abs(c.x-fx))*(1-abs(c.y-fy)) AS w
+        FROM spot s JOIN cells c ON c.x IN (floor(fx),floor(fx)+1) AND c.y IN (floor(fy),floor(fy)+1))
+        SELECT cell_id, {r('sum(w*elevation)/sum(w)')} AS elevation FROM n WHERE w>0 GROUP BY 1""")
+
     q.add("P31_focal_min_max", lambda t: focal.opening(focal.focal_max(focal.focal_min(wet_cells(t), "w"), "w"), "w").select(
         "cell_id", "eroded", "dilated", "opened"), "cells",
         WET + "," + opening_sql("wet", "w", "") + """,
