@@ -226,6 +226,18 @@ def register(q):
         ZONE_CELLS + """ SELECT zone, yr, CAST(sum(ndvi_dn) AS BIGINT) AS total, count(ndvi_dn) AS n,
         count(DISTINCT cell_id) AS cells FROM signals JOIN zc USING (cell_id) GROUP BY 1,2""")
 
+    # slanted zones: the triangle (x0,y0), (x1,y0), (x0,y1) of every zone; the integral of the clamped width over the height in closed form
+    def clamped(u):
+        return f"(CASE WHEN {u}<=0 THEN 0 WHEN {u}<l THEN {u}*{u}/2 ELSE l*l/2+l*({u}-l) END)"
+    q.add("P23b_covered_zones", lambda t: zonal.weighted_stats(t.cells, "elevation", zones.coverage(t.cells.select("cell_id", "x", "y"), zone_edges(t))).withColumns(
+        {n: A.rounded(c(n)) for n in ("covered_m2", "total", "mean")}), "cells zones", f"""
+        b AS (SELECT zone_id, elevation, greatest(x-0.5e0,x0) AS xa, x+0.5e0 AS xb, greatest(y-0.5e0,y0) AS ya, least(y+0.5e0,y1) AS yb,
+          x1, y0, CAST(x1-x0 AS DOUBLE)/(y1-y0) AS s FROM cells JOIN zones ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1),
+        d AS (SELECT zone_id, elevation, xb-xa AS l, s, x1-(ya-y0)*s-xa AS u, x1-(yb-y0)*s-xa AS v FROM b WHERE yb>ya),
+        w AS (SELECT zone_id, elevation, ({clamped('u')}-{clamped('v')})/s AS w FROM d)
+        SELECT zone_id, count(elevation) AS cells, {r('sum(w*900)')} AS covered_m2, {r('sum(w*elevation)')} AS total, {r('sum(w*elevation)/sum(w)')} AS mean,
+        min(elevation) AS min, max(elevation) AS max FROM w WHERE w>1e-12 GROUP BY 1""")
+
     q.add("P24_histogram", lambda t: histogram.histogram(t.signals.withColumn("v", c("ndvi_dn")), "v", ["yr"], 255).select(
         "yr", "bucket", "n", "mean"), "signals",
         """b AS (SELECT yr, min(ndvi_dn) AS lo, max(ndvi_dn) AS hi FROM signals GROUP BY 1)

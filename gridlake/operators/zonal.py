@@ -37,3 +37,15 @@ def area_by_class(df: DataFrame, class_col: str, area: Column, classes: dict, ke
     rows = F.array(*[F.struct(F.lit(code).cast("int").alias("class"), F.lit(label).alias("class_name"),
                               F.col(f"_{code}").alias("area_km2")) for code, label in classes.items()])
     return wide.select(*keys, F.inline(rows))
+
+
+def weighted_stats(df: DataFrame, value: str, zone_weights: DataFrame, keys=("zone_id",), area: str = "area_m2") -> DataFrame:
+    """Statistics of border cells by their covered share: (keys, cells, covered_m2, total, mean, min, max).
+
+    ``zone_weights`` is what ``zones.coverage`` gives. A cell adds its share of its area, of its
+    value to the total and of its weight to the mean; masked cells add nothing to the last two."""
+    w, v = F.col("weight"), F.col(value)
+    rows = df.select("cell_id", value, area).join(zone_weights.drop("x", "y"), "cell_id")
+    return rows.groupBy(*keys).agg(
+        F.count(v).alias("cells"), F.sum(w * F.col(area)).alias("covered_m2"), F.sum(w * v).alias("total"),
+        (F.sum(w * v) / F.nullif(F.sum(F.when(v.isNotNull(), w)), F.lit(0.0))).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))

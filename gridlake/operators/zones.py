@@ -106,6 +106,42 @@ def in_polygons(cells: DataFrame, edges: DataFrame, key: str = "zone_id") -> Dat
     return cells.join(inside, ["x", "y"]).select(key, "cell_id", "x", "y")
 
 
+def coverage(cells: DataFrame, edges: DataFrame, key: str = "zone_id") -> DataFrame:
+    """Cells that a polygon covers, each with the share that it covers: (key, cell_id, x, y, weight).
+
+    edges(key, ax, ay, bx, by) are directed and close each ring; a hole runs against its outer
+    ring. A cell is the unit square around its centre. Every edge is cut at the borders of rows,
+    then of columns; a piece adds the area to its right within its cell, and its height to all
+    cells further right of the row. Sums along the row give border cells their exact share and
+    the runs between them a whole one, so the work follows the perimeter and the inside cells;
+    a window holds the border cells of one row."""
+    from pyspark.sql import Window
+    c = F.col
+    e = edges.filter(c("ay") != c("by")).select(key, *[(c(n).cast("double") + 0.5).alias(n) for n in ("ax", "ay", "bx", "by")])
+    turn = e.groupBy(key).agg(F.negative(F.signum(F.sum((c("ax") + c("bx")) * (c("by") - c("ay"))))).alias("_turn"))
+    slope = (c("bx") - c("ax")) / (c("by") - c("ay"))
+    rows = e.withColumn("y", F.explode(F.sequence(F.floor(F.least("ay", "by")).cast("int"), (F.ceil(F.greatest("ay", "by")) - 1).cast("int"))))
+    low, high = F.greatest(F.least("ay", "by"), c("y").cast("double")), F.least(F.greatest("ay", "by"), c("y") + 1.0)
+    up = c("by") > c("ay")
+    rows = rows.withColumns({"_y0": F.when(up, low).otherwise(high), "_y1": F.when(up, high).otherwise(low)})
+    at = {f"_x{n}": F.when(c(f"_y{n}") == c("ay"), c("ax")).when(c(f"_y{n}") == c("by"), c("bx")).otherwise(c("ax") + (c(f"_y{n}") - c("ay")) * slope) for n in (0, 1)}
+    rows = rows.withColumns(at)
+    left, right = F.least("_x0", "_x1"), F.greatest("_x0", "_x1")
+    parts = rows.withColumn("x", F.explode(F.sequence(F.floor(left).cast("int"), F.greatest(F.ceil(right) - 1, F.floor(left)).cast("int"))))
+    # the piece within column x: its share of the height is its share of the width
+    a, b = F.greatest(left, c("x").cast("double")), F.least(right, c("x") + 1.0)
+    height = (c("_y1") - c("_y0")) * F.when(right > left, (b - a) / (right - left)).otherwise(1.0)
+    parts = parts.select(key, "x", "y", height.alias("_h"), (height * (c("x") + 1.0 - (a + b) / 2)).alias("_a"))
+    border = parts.groupBy(key, "y", "x").agg(F.sum("_h").alias("_h"), F.sum("_a").alias("_a"))
+    along = Window.partitionBy(key, "y").orderBy("x")
+    border = border.withColumns({"_sum": F.sum("_h").over(along), "_next": F.lead("x").over(along)})
+    shares = F.array(F.struct(c("x").alias("_from"), c("x").alias("_to"), (c("_sum") - c("_h") + c("_a")).alias("_w")),
+                     F.struct((c("x") + 1).alias("_from"), (c("_next") - 1).alias("_to"), c("_sum").alias("_w")))
+    runs = border.select(key, "y", F.inline(shares)).filter((c("_from") <= c("_to")) & (F.abs("_w") > 1e-12))
+    inside = runs.select(key, "y", F.explode(F.sequence("_from", "_to")).alias("x"), "_w").join(turn, key)
+    return cells.join(inside, ["x", "y"]).select(key, "cell_id", "x", "y", F.least(c("_w") * c("_turn"), F.lit(1.0)).alias("weight"))
+
+
 def with_halo(zone_cells: DataFrame, grid, reach: int = 2) -> DataFrame:
     """Ids of the cells of all zones and of their neighbours within ``reach`` steps, each once.
 

@@ -248,3 +248,43 @@ def test_zone_tables_and_cell_area(spark):
     g = Grid(width=10, lon0=88.0, lat0=24.0, step=0.01)
     area = spark.createDataFrame([(0,), (990,)], "cell_id long").select(g.area()).collect()
     assert area[0][0] == round((0.01 * 111320.0) ** 2 * math.cos(math.radians(24.0))) and area[1][0] > area[0][0]
+
+
+def clipped_area(ring, x, y):
+    """Area of a simple polygon within the unit square around (x, y), by clipping at its four sides."""
+    for axis, bound, keep_below in ((0, x - 0.5, False), (0, x + 0.5, True), (1, y - 0.5, False), (1, y + 0.5, True)):
+        out = []
+        for p, q in zip(ring, ring[1:] + ring[:1]):
+            inside = [(v[axis] <= bound) if keep_below else (v[axis] >= bound) for v in (p, q)]
+            if inside[0]:
+                out.append(p)
+            if inside[0] != inside[1]:
+                s = (bound - p[axis]) / (q[axis] - p[axis])
+                out.append(tuple(bound if k == axis else p[k] + s * (q[k] - p[k]) for k in (0, 1)))
+        ring = out
+    return abs(sum(a * d - c * b for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]))) / 2
+
+
+def test_coverage_of_slanted_polygons(spark):
+    cells = spark.range(40 * 40).select(F.col("id").alias("cell_id"), (F.col("id") % 40).cast("int").alias("x"), F.floor(F.col("id") / 40).cast("int").alias("y"))
+    rings = {1: [(2.25, 3.5), (30.1, 7.9), (25.0, 30.0), (9.3, 21.7)], 2: [(5.0, 5.0), (5.0, 9.0), (12.0, 9.0), (12.0, 5.0)],     # clockwise and not
+             3: [(20.2, 20.2), (20.4, 20.3), (20.3, 20.4)], 4: [(1.5, 1.5), (3.5, 1.5), (3.5, 3.5), (1.5, 3.5)], 5: [(3.0, 33.3), (35.5, 33.4), (20.0, 38.0), (19.0, 34.0)]}
+    edges = [(k, *p, *q) for k, ring in rings.items() for p, q in zip(ring, ring[1:] + ring[:1])]
+    hole = [(15.0, 12.0), (15.0, 16.5), (18.2, 14.0)]       # in polygon 1 as a zone of its own ring direction
+    got = {}
+    for r in zones.coverage(cells, spark.createDataFrame(edges, "zone_id int, ax double, ay double, bx double, by double")).collect():
+        assert (r.zone_id, r.x, r.y) not in got
+        got[r.zone_id, r.x, r.y] = r.weight
+    want = {(k, x, y): clipped_area(ring, x, y) for k, ring in rings.items() for x in range(40) for y in range(40)}
+    for place, share in want.items():
+        assert got.get(place, 0.0) == pytest.approx(share, abs=1e-9), place
+    for k, ring in rings.items():
+        closed = abs(sum(a * d - c * b for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]))) / 2
+        assert sum(w for (z, _, _), w in got.items() if z == k) == pytest.approx(closed, rel=1e-6)
+    holed = [(1, *p, *q) for r in (rings[1], hole) for p, q in zip(r, r[1:] + r[:1])]
+    turned = sum(r.weight for r in zones.coverage(cells, spark.createDataFrame(holed, "zone_id int, ax double, ay double, bx double, by double")).collect())
+    area = [abs(sum(a * d - c * b for (a, b), (c, d) in zip(r, r[1:] + r[:1]))) / 2 for r in (rings[1], hole)]
+    assert turned == pytest.approx(area[0] - area[1], rel=1e-9)
+    values = cells.withColumns({"v": F.when(F.col("x") > 6, F.col("x")), "area_m2": F.lit(100)})
+    row = zonal.weighted_stats(values, "v", zones.coverage(cells, spark.createDataFrame(edges[4:8], "zone_id int, ax double, ay double, bx double, by double"))).first()
+    assert row.covered_m2 == pytest.approx(2800.0) and row["mean"] == pytest.approx((6 * 0 + sum(x * (0.5 if x == 12 else 1) for x in range(7, 13))) / 5.5)
