@@ -20,7 +20,7 @@ from gridlake.llm.blocks import Codes, block_number, bucketed, by_part, compress
 from gridlake.llm.shared import mixed, small_batches, stored, text_or_empty
 
 #: Words per block; a longer document is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Bytes of text per part; a part holds at most the groups that about so much text has.
 PART_BYTES = 1 << 24
 _BREAK = b"\n"
@@ -55,11 +55,11 @@ def _explode(block: int, n_parts: int):
             code_of = {x: i for i, x in enumerate(known)}
             lang = np.array([code_of.get(x, 0) for x, _ in names])
             part = np.array([part_of_word(w, n_parts) for _, w in names[1:]], np.int64)
-            rows = [{"block": number, "part": -1, "data": compressed(planes(every))}]
+            rows = [{"block": number, "part": -1, "data": compressed(planes(every), planes(part))}]
             for own in by_part(part):
                 ks = own + 1
                 rows.append({"block": number, "part": int(part[own[0]]), "data": compressed(
-                    planes(np.diff(ks, prepend=0)), planes(counts[ks]), planes(lang[ks]), spelt, joined([names[i][1] for i in ks.tolist()]))})
+                    planes(counts[ks]), planes(lang[ks]), spelt, joined([names[i][1] for i in ks.tolist()]))})
             for a in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_pylist(rows[a:a + 1000], schema=schema)
 
@@ -81,9 +81,9 @@ def _explode(block: int, n_parts: int):
     return run
 
 
-#: What counting a part gives: `group` rows of frequent groups, `total` rows of words per language, and a row per block
-#: that names its own groups (k) which are frequent.
-_COUNTED = "kind string, block long, data binary, gid long, first long, last long, a long, lang string, word binary"
+#: What counting a part gives: `group` rows of frequent groups, `total` rows of words per language, and a `back` row per
+#: block that tells which of its groups are frequent, in the order in which it sent them, and their numbers.
+_COUNTED = "kind string, block long, part long, data binary, gid long, first long, last long, a long, lang string, word binary"
 _COUNTED_ARROW = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in _COUNTED.split(", ")])
 
 
@@ -101,59 +101,81 @@ def _numbered(part: int, n_parts: int, totals: np.ndarray, least: int) -> tuple[
     return often, gid
 
 
-def _back(blocks: list[int], ks: list[np.ndarray], gids: list[np.ndarray]) -> pa.Table:
-    rows = [(b, compressed(planes(np.diff(k[g >= 0], prepend=0)), planes(g[g >= 0]))) for b, k, g in zip(blocks, ks, gids) if (g >= 0).any()]
-    return _counted(kind=["back"] * len(rows), block=[b for b, _ in rows], data=[d for _, d in rows])
+def _back(part: int, blocks: list[int], gids: list[np.ndarray]) -> pa.Table:
+    rows = [(b, compressed(np.packbits(g >= 0).tobytes(), planes(g[g >= 0]))) for b, g in zip(blocks, gids) if (g >= 0).any()]
+    return _counted(kind=["back"] * len(rows), block=[b for b, _ in rows], part=[part] * len(rows), data=[d for _, d in rows])
 
 
 def _count_words(n_parts: int, least: int):
     def run(rows: pa.Table) -> pa.Table:
-        number, ks, own, counts = Codes(), [], [], []
+        number, own, counts = Codes(), [], []
         for data in rows["data"].to_pylist():
-            k, n, lang, spelt, words = sections(data)
+            n, lang, spelt, words = sections(data)
             langs = split(spelt)
-            ks.append(np.cumsum(from_planes(k)))
             counts.append(from_planes(n))
-            own.append(np.fromiter((number[langs[x], w] for x, w in zip(from_planes(lang).tolist(), split(words))), np.int64, len(ks[-1])))
+            own.append(np.fromiter((number[langs[x], w] for x, w in zip(from_planes(lang).tolist(), split(words))), np.int64, len(counts[-1])))
         totals = np.zeros(len(number), np.int64)
         np.add.at(totals, np.concatenate(own), np.concatenate(counts))
-        often, gid = _numbered(rows["part"][0].as_py(), n_parts, totals, least)
+        part = rows["part"][0].as_py()
+        often, gid = _numbered(part, n_parts, totals, least)
         names, per_lang = list(number), {}
         for (lang, _), n in zip(names, totals.tolist()):
             per_lang[lang] = per_lang.get(lang, 0) + n
         return pa.concat_tables([
             _counted(kind=["group"] * len(often), gid=gid[often], a=totals[often], lang=[names[i][0].decode() for i in often], word=[names[i][1] for i in often]),
             _counted(kind=["total"] * len(per_lang), lang=[x.decode() for x in per_lang], a=list(per_lang.values())),
-            _back(rows["block"].to_pylist(), ks, [gid[x] for x in own])])
+            _back(part, rows["block"].to_pylist(), [gid[x] for x in own])])
     return run
 
 
+def _sent_pairs(first: np.ndarray, last: np.ndarray, counts: np.ndarray) -> bytes:
+    """Pairs in ascending order: steps of the first group, and of the last one within pairs of the same first."""
+    step = np.diff(last, prepend=0)
+    begins = np.diff(first, prepend=-1) != 0
+    step[begins] = last[begins]
+    return compressed(planes(np.diff(first, prepend=0)), planes(step), planes(counts))
+
+
+def _received_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, step, counts = map(from_planes, sections(data))
+    first = np.cumsum(first)
+    begins = np.flatnonzero(np.diff(first, prepend=-1) != 0)
+    total = np.cumsum(step)
+    last = total - np.repeat(total[begins] - step[begins], np.diff(np.append(begins, len(first))))
+    return first, last, counts
+
+
 def _count_pairs(n_parts: int, least: int):
     def run(rows: pa.Table) -> pa.Table:
-        blobs = [[from_planes(x) for x in sections(data)] for data in rows["data"].to_pylist()]
-        ks = [np.cumsum(b[0]) for b in blobs]
-        first, last, counts = (np.concatenate(x) for x in ([np.cumsum(b[1]) for b in blobs], [b[2] for b in blobs], [b[3] for b in blobs]))
-        bounds = np.cumsum([len(k) for k in ks])[:-1]
-        del blobs
+        part, sent = rows["part"][0].as_py(), [_received_pairs(data) for data in rows["data"].to_pylist()]
+        bounds = np.cumsum([len(x[0]) for x in sent])[:-1]
+        first, last, counts = (np.concatenate(x) for x in zip(*sent))
+        del sent
         order = np.lexsort((last, first))
         first, last = first[order], last[order]
         new = np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])])
         starts = np.flatnonzero(new)
         totals = np.add.reduceat(counts[order], starts)
-        often, gid = _numbered(rows["part"][0].as_py(), n_parts, totals, least)
+        often, gid = _numbered(part, n_parts, totals, least)
         own = np.empty(len(order), np.int64)
         own[order] = gid[np.cumsum(new) - 1]
         return pa.concat_tables([
             _counted(kind=["group"] * len(often), gid=gid[often], a=totals[often], first=first[starts[often]], last=last[starts[often]]),
-            _back(rows["block"].to_pylist(), ks, np.split(own, bounds))])
+            _back(part, rows["block"].to_pylist(), np.split(own, bounds))])
     return run
 
 
-def _kept(block: int, places: np.ndarray, local: np.ndarray, size: int, frequent: pa.Table) -> pa.Table:
-    """The semi-join within a block: occurrences of frequent groups, renumbered in the order of the groups' numbers."""
-    parts = [sections(data) for data in frequent["data"].to_pylist()]
-    ks = np.concatenate([np.empty(0, np.int64), *(np.cumsum(from_planes(k)) for k, _ in parts)])
-    gids = np.concatenate([np.empty(0, np.int64), *(from_planes(g) for _, g in parts)])
+def _kept(block: int, places: np.ndarray, local: np.ndarray, size: int, parts: dict[int, np.ndarray], frequent: pa.Table) -> pa.Table:
+    """The semi-join within a block: occurrences of frequent groups, renumbered in the order of the groups' numbers.
+
+    ``parts`` holds a block's groups in the order in which it sent them to each part."""
+    ks, gids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for part, data in zip(frequent["part"].to_pylist(), frequent["data"].to_pylist()):
+        mask, numbers = sections(data)
+        sent = parts[part]
+        ks.append(sent[np.unpackbits(np.frombuffer(mask, np.uint8), count=len(sent)).astype(bool)])
+        gids.append(from_planes(numbers))
+    ks, gids = np.concatenate(ks), np.concatenate(gids)
     order = np.argsort(gids)
     number = np.full(size, -1, np.int64)
     number[ks[order]] = np.arange(len(order))
@@ -164,17 +186,26 @@ def _kept(block: int, places: np.ndarray, local: np.ndarray, size: int, frequent
 
 
 def _singles(codes: pa.Table, frequent: pa.Table) -> pa.Table:
-    every = from_planes(sections(codes["data"][0].as_py())[0])
-    return _kept(codes["block"][0].as_py(), np.arange(len(every)), every, int(every.max()) + 1, frequent)
+    every, part = map(from_planes, sections(codes["data"][0].as_py()))
+    parts = {int(part[own[0]]): own + 1 for own in by_part(part)}
+    return _kept(codes["block"][0].as_py(), np.arange(len(every)), every, len(part) + 1, parts, frequent)
 
 
 def _merged(data: bytes):
     """Merge-join of a block's relation with itself at adjacent positions of a piece: where, the pairs, and all groups' numbers.
 
     A pair stands for two groups that overlap in all but one word each, as first * (number of groups) + second."""
-    places, groups, gids = map(from_planes, sections(data))
-    at = np.flatnonzero(np.diff(np.cumsum(places)) == 1)        # a break between pieces takes a position of its own
-    return np.cumsum(places)[at], groups[at] * max(len(gids), 1) + groups[at + 1], gids
+    steps, groups, gids = map(from_planes, sections(data))
+    places = np.cumsum(steps)
+    at = np.flatnonzero(steps[1:] == 1)      # a break between pieces takes a position of its own
+    return places[at], groups[at] * max(len(gids), 1) + groups[at + 1], gids
+
+
+def _parts_of(pairs: np.ndarray, gids: np.ndarray, n_parts: int):
+    """First and last groups of distinct pairs in ascending order, and where each part's pairs stand."""
+    first, last = gids[pairs // max(len(gids), 1)], gids[pairs % max(len(gids), 1)]
+    part = (mixed(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+    return first, last, {int(part[own[0]]): own for own in by_part(part)}
 
 
 def _extend(n_parts: int):
@@ -184,11 +215,8 @@ def _extend(n_parts: int):
             for row in range(batch.num_rows):
                 _, pairs, gids = _merged(batch["data"][row].as_py())
                 pairs, counts = np.unique(pairs, return_counts=True)
-                block = batch["block"][row].as_py()
-                first, last = gids[pairs // max(len(gids), 1)], gids[pairs % max(len(gids), 1)]
-                part = (mixed(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
-                rows = [(int(part[own[0]]), compressed(planes(np.diff(own, prepend=0)), planes(np.diff(first[own], prepend=0)), planes(last[own]), planes(counts[own])))
-                        for own in by_part(part)]
+                first, last, parts = _parts_of(pairs, gids, n_parts)
+                block, rows = batch["block"][row].as_py(), [(p, _sent_pairs(first[own], last[own], counts[own])) for p, own in parts.items()]
                 for a in range(0, len(rows), 1000):
                     some = rows[a:a + 1000]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([p for p, _ in some], pa.int32()),
@@ -196,10 +224,12 @@ def _extend(n_parts: int):
     return run
 
 
-def _longer(relation: pa.Table, frequent: pa.Table) -> pa.Table:
-    places, pairs, _ = _merged(relation["data"][0].as_py())
-    pairs, local = np.unique(pairs, return_inverse=True)
-    return _kept(relation["block"][0].as_py(), places, local, len(pairs), frequent)
+def _longer(n_parts: int):
+    def run(relation: pa.Table, frequent: pa.Table) -> pa.Table:
+        places, pairs, gids = _merged(relation["data"][0].as_py())
+        pairs, local = np.unique(pairs, return_inverse=True)
+        return _kept(relation["block"][0].as_py(), places, local, len(pairs), _parts_of(pairs, gids, n_parts)[2], frequent)
+    return run
 
 
 def _exact(column) -> F.Column:
@@ -242,9 +272,9 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     relation, apply = parts.filter("part < 0").select("block", "data"), _singles
     results = []
     for m in range(2, longest + 1):
-        back = found.filter("kind = 'back'").select("block", "data")
+        back = found.filter("kind = 'back'").select("block", "part", "data")
         relation = bucketed(relation.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(apply, "block long, data binary"), "relation")
-        apply = _longer
+        apply = _longer(n_parts)
         found = stored(relation.mapInArrow(_extend(n_parts), packed).groupBy("part").applyInArrow(_count_pairs(n_parts, least), _COUNTED), "groups")
         head = groups.select(F.col("gid").alias("first"), "lang", F.col("phrase").alias("start"), "heads")
         last = groups.select(F.col("gid").alias("last"), "tail", "tails")
