@@ -33,7 +33,22 @@ def otsu_sql(source, value, key, out):
     return f"""
 {p}_b AS (SELECT {key}, min({value}) AS lo, max({value}) AS hi FROM {source} GROUP BY 1),
 {p}_h AS (SELECT {key}, CAST(least(coalesce(floor(({value}-lo)/nullif(hi-lo,0)*255),0),254) AS INT) AS bucket, count(*) AS n, avg({value}) AS mean
-  FROM {source} JOIN {p}_b USING ({key}) WHERE {value} IS NOT NULL GROUP BY 1,2),
+  FROM {source} JOIN {p}_b USING ({key}) WHERE {value} IS NOT NULL GROUP BY 1,2),""" + split_sql(key, p)
+
+
+def one_pass_sql(source, value, key, out, buckets):
+    """The histogram of buckets 2**e wide at its multiples, e the least that holds the range in so many."""
+    p = out
+    return f"""
+{p}_b AS (SELECT {key}, min({value}) AS lo, max({value}) AS hi FROM {source} GROUP BY 1),
+{p}_e AS (SELECT {key}, min(e) AS e FROM {p}_b, range(-40,64) q(e) WHERE floor(hi/pow(2,e))-floor(lo/pow(2,e))<{buckets} GROUP BY 1),
+{p}_h AS (SELECT {key}, e, CAST(floor({value}/pow(2,e)) AS BIGINT) AS bucket, count(*) AS n, avg({value}) AS mean
+  FROM {source} JOIN {p}_e USING ({key}) WHERE {value} IS NOT NULL GROUP BY 1,2,3)"""
+
+
+def split_sql(key, p):
+    """The best split of the histogram {p}_h."""
+    return f"""
 {p}_c AS (SELECT *, coalesce(sum(n) OVER w,0) AS an, coalesce(sum(n*mean) OVER w,0) AS asum, sum(n) OVER (PARTITION BY {key}) AS tn,
   sum(n*mean) OVER (PARTITION BY {key}) AS ts FROM {p}_h WINDOW w AS (PARTITION BY {key} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 {p}_s AS (SELECT *, coalesce(an*pow(asum/nullif(an,0)-ts/tn,2),0)+coalesce((tn-an)*pow((ts-asum)/nullif(tn-an,0)-ts/tn,2),0) AS bss FROM {p}_c),
@@ -139,6 +154,14 @@ def register(q):
         "yr", A.rounded(c("threshold")).alias("threshold")), "obs",
         COMP + "," + IDX + "," + otsu_sql("idx", "ndwi", "yr", "o1") + f" SELECT yr, {r('t')} AS threshold FROM o1")
 
+    def indices(t):
+        return I.with_water_indices(acq.yearly_composite(t.obs, bands=water.WATER_BANDS))
+    q.add("W01b_otsu_one_pass", lambda t: histogram.otsu(indices(t), "mndwi", ["yr"], 1024, one_pass=True).select(
+        "yr", A.rounded(c("threshold")).alias("threshold")), "obs",
+        COMP + "," + IDX + "," + one_pass_sql("idx", "mndwi", "yr", "o1", 1024) + "," + split_sql("yr", "o1") + f" SELECT yr, {r('t')} AS threshold FROM o1")
+    q.add("P24b_histogram_one_pass", lambda t: histogram.one_pass_histogram(indices(t), "awei", ["yr"], 256).withColumn("mean", A.rounded(c("mean"))), "obs",
+          COMP + "," + IDX + "," + one_pass_sql("idx", "awei", "yr", "o2", 256) + f" SELECT yr, bucket, n, {r('mean')} AS mean, pow(2,e) AS width FROM o2_h")
+
     q.add("W02_otsu_default", lambda t: water.otsu_or_default(
         I.with_water_indices(acq.yearly_composite(t.obs, bands=water.WATER_BANDS)).withColumn(
             "mndwi", F.when(c("yr") != 1998, c("mndwi"))), "mndwi", ["yr"], 0.0).select("yr", A.rounded(c("threshold")).alias("threshold")),

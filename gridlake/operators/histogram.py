@@ -1,6 +1,12 @@
 """Histograms and automatic thresholds."""
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridlake.session import stored
 
@@ -23,12 +29,104 @@ def histogram(df: DataFrame, value: str, keys=(), buckets: int = 255) -> DataFra
     return binned.groupBy(*k, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
 
 
-def otsu(df: DataFrame, value: str, keys=(), buckets: int = 255, out: str = "threshold") -> DataFrame:
+#: The narrowest bucket of a one-pass histogram is 2**NARROWEST wide.
+NARROWEST = -40
+#: Keys whose histograms a task holds before it passes them on and begins anew.
+HELD_KEYS = 1000
+
+
+def _exponent(low: float, high: float, buckets: int) -> int:
+    """The smallest e at which buckets of width 2**e, aligned at its multiples, hold low to high in at most ``buckets``."""
+    def fits(e):
+        return math.floor(math.ldexp(high, -e)) - math.floor(math.ldexp(low, -e)) < buckets
+    least = max(NARROWEST, math.frexp(max(-low, high))[1] - 52)      # no narrower than the values are exact
+    e = least if high <= low else max(least, math.frexp((high - low) / buckets)[1] - 2)
+    while not fits(e):
+        e += 1
+    return e
+
+
+def _coarser(part, exponent: int):
+    """Buckets of one histogram at a greater width: (exponent, bucket, n, total)."""
+    e, bucket, n, total = part
+    bucket, at = np.unique(bucket >> (exponent - e), return_inverse=True)
+    return exponent, bucket, np.bincount(at, n, len(bucket)).astype(np.int64), np.bincount(at, total, len(bucket))
+
+
+def one_pass_histogram(df: DataFrame, value: str, keys=(), buckets: int = 1024) -> DataFrame:
+    """Histogram per key in a single scan: bucket, n, mean, width.
+
+    Buckets are as wide as a power of two and lie at its multiples, so a histogram is made
+    coarser by merging neighbours, and any two are merged at the wider width. Tasks double the
+    width as their values spread; at the end a key has the narrowest buckets that hold its range
+    in at most ``buckets``, between half and all of them where values differ by more than rounding,
+    whatever the order and partitions of the rows. Only the tasks' histograms are stored and
+    shuffled, which makes this a Spark job; masked and infinite values are left out."""
+    k = list(keys)
+    fields = [df.schema[c] for c in k]
+    schema = T.StructType(fields + [T.StructField("_e", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType()),
+                                    T.StructField("_total", T.DoubleType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
+
+    def partial(batches):
+        held = {}
+
+        def flush():
+            for key, (low, high, (e, bucket, n, total)) in held.items():
+                size = len(bucket)
+                yield pa.RecordBatch.from_pydict({**{f.name: [v] * size for f, v in zip(fields, key)}, "_e": [e] * size, "bucket": bucket, "n": n,
+                                                  "_total": total, "_lo": [low] * size, "_hi": [high] * size}, schema=to_arrow_schema(schema))
+            held.clear()
+
+        for batch in batches:
+            v = batch.column(len(k)).to_numpy(zero_copy_only=False).astype(float)
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(len(k))))) if k else [()] * len(v)
+            number = {}
+            at = np.array([number.setdefault(r, len(number)) for r in rows])
+            order = np.argsort(at, kind="stable") if len(v) else np.empty(0, int)
+            cuts = np.searchsorted(at[order], np.arange(1, len(number))) if len(v) else []
+            for key, own in zip(number, np.split(v[order], cuts)):
+                own = own[np.isfinite(own)]
+                if not len(own):
+                    continue
+                low, high, parts = float(own.min()), float(own.max()), []
+                if key in held:
+                    low, high, parts = min(low, held[key][0]), max(high, held[key][1]), [held[key][2]]
+                e = _exponent(low, high, buckets)
+                parts = [_coarser(p, e) for p in parts] + [(e, np.floor(np.ldexp(own, -e)).astype(np.int64), np.ones(len(own), np.int64), own)]
+                held[key] = low, high, _coarser((e, *(np.concatenate(x) for x in zip(*(p[1:] for p in parts)))), e)
+            if len(held) > HELD_KEYS:
+                yield from flush()
+        yield from flush()
+
+    values = df.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    parts = stored(values.mapInArrow(partial, schema), "histograms")
+    bounds = parts.groupBy(*k).agg(F.min("_lo").alias("_min"), F.max("_hi").alias("_max"))
+
+    def fits(e):
+        step = F.pow(F.lit(2.0), -e)
+        return F.floor(F.col("_max") * step) - F.floor(F.col("_min") * step) < buckets
+    def log2(v):
+        return F.coalesce(F.floor(F.log2(F.nullif(v, F.lit(0.0)))), F.lit(NARROWEST))
+    exact = log2(F.greatest(-F.col("_min"), F.col("_max"))) - 50        # at least as wide as in any task
+    guess = F.greatest(F.lit(NARROWEST), exact, log2((F.col("_max") - F.col("_min")) / F.lit(float(buckets))) - 1).cast("int")
+    bounds = bounds.withColumn("_g", guess)
+    exponent = F.coalesce(*[F.when(fits(F.col("_g") + i), F.col("_g") + i) for i in range(5)])
+    bounds = bounds.select(*k, exponent.alias("_f"))
+    joined = attach(parts, bounds, k).withColumn("bucket", F.expr("shiftright(bucket, _f - _e)"))
+    return joined.groupBy(*k, "_f", "bucket").agg(F.sum("n").alias("n"), (F.sum("_total") / F.sum("n")).alias("mean")).select(
+        *k, "bucket", "n", "mean", F.pow(F.lit(2.0), F.col("_f")).alias("width"))
+
+
+def otsu(df: DataFrame, value: str, keys=(), buckets: int = 255, out: str = "threshold", one_pass: bool = False) -> DataFrame:
     """Otsu threshold per key: the bucket mean at the split with the largest
     between-class variance, where the lower class holds the buckets before the split.
-    The first of equal splits wins. Windows run over at most ``buckets`` rows per key."""
+    The first of equal splits wins. Windows run over at most ``buckets`` rows per key.
+
+    With ``one_pass`` the buckets are those of ``one_pass_histogram``: the values are read once
+    instead of twice, and where one split is clearly the best the threshold moves by no more
+    than one bucket of either kind, (max - min) / buckets or the width of two."""
     k = list(keys)
-    h = histogram(df, value, k, buckets)
+    h = one_pass_histogram(df, value, k, buckets) if one_pass else histogram(df, value, k, buckets)
     before = Window.partitionBy(*k).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*k)
     s = F.col("n") * F.col("mean")

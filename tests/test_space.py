@@ -288,3 +288,29 @@ def test_coverage_of_slanted_polygons(spark):
     values = cells.withColumns({"v": F.when(F.col("x") > 6, F.col("x")), "area_m2": F.lit(100)})
     row = zonal.weighted_stats(values, "v", zones.coverage(cells, spark.createDataFrame(edges[4:8], "zone_id int, ax double, ay double, bx double, by double"))).first()
     assert row.covered_m2 == pytest.approx(2800.0) and row["mean"] == pytest.approx((6 * 0 + sum(x * (0.5 if x == 12 else 1) for x in range(7, 13))) / 5.5)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_one_pass_histogram_does_not_depend_on_the_order(spark, parts):
+    rng = random.Random(parts)
+    data = {1: [rng.gauss(0.2, 0.1) if rng.random() < 0.6 else rng.gauss(0.8, 0.05) for _ in range(3000)], 2: [5.0] * 9, 3: [-1e6, 1e-3, 3e7, 3e7 + 1],
+            4: [float(rng.randrange(-9, 9)) for _ in range(500)], 5: [2.0 ** -30 * rng.randrange(3000) for _ in range(400)]}
+    rows = [(k, v) for k, vs in data.items() for v in vs] + [(1, None), (6, None), (1, math.inf), (1, math.nan)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, v double").repartition(parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    got = {(r.k, r.bucket): r for r in histogram.one_pass_histogram(df, "v", ["k"], 64).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    for k, vs in data.items():
+        width = {r.width for (q, _), r in got.items() if q == k}
+        assert len(width) == 1
+        width = width.pop()
+        spread = [math.floor(max(vs) / w) - math.floor(min(vs) / w) for w in (width, width / 2)]
+        assert spread[0] < 64 and (spread[1] >= 64 or width == 2.0 ** histogram.NARROWEST)       # the narrowest that fits
+        for b in {math.floor(v / width) for v in vs}:
+            own = [v for v in vs if math.floor(v / width) == b]
+            assert got[k, b].n == len(own) and got[k, b]["mean"] == pytest.approx(math.fsum(own) / len(own))
+    assert {k for k, _ in got} == set(data)
+    two, one = (histogram.otsu(df.filter("k = 1 and v < 9"), "v", ["k"], n, one_pass=p).first().threshold for n, p in ((255, False), (1024, True)))
+    assert abs(two - one) <= (max(data[1]) - min(data[1])) / 255 + 2 * (max(data[1]) - min(data[1])) / 512
+    assert histogram.otsu(df.filter("k = 1 and v < 9"), "v", one_pass=True).count() == 1 and histogram.one_pass_histogram(df.limit(0), "v", ["k"]).count() == 0
