@@ -20,7 +20,7 @@ from gridlake.llm.blocks import Codes, block_number, bucketed, by_part, compress
 from gridlake.llm.shared import mixed, small_batches, stored, text_or_empty
 
 #: Words per block; a longer document is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 #: Bytes of text per part; a part holds at most the groups that about so much text has.
 PART_BYTES = 1 << 24
 _BREAK = b"\n"
