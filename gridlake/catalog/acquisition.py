@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 from gridlake.catalog.base import AWEI, BANDS, MEDIANS, ZONE_CELLS, nd, r, seasonal
 from gridlake.functions import algebra as A
 from gridlake.functions import indices as I
-from gridlake.model import BUILT_EPOCHS, DRY_MONSOON, SMOD_EPOCHS
+from gridlake.model import BUILT_EPOCHS, DRY_MONSOON, SMOD_EPOCHS, Grid
 from gridlake.operators import ranges, temporal, zones
 from gridlake.plans import acquisition as acq
 from gridlake.plans import incremental
 from gridlake.sources.fixtures import GRID
 
 c = F.col
+#: The test grid as a part of the study area, a tenth of a degree per cell.
+STUDY_GRID = Grid(64, lon0=87.5, lat0=26.95, step=0.1)
 
 
 def register(q):
@@ -30,8 +32,8 @@ def register(q):
 
     def a02(t):
         out = None
-        for scope in ("national", "district:FRANCE", "Europe", "rectangle", "somewhere"):
-            area = zones.study_area(t.zones, scope, (10, 40, 5, 25))
+        for scope in ("national", "district:FRANCE", "Europe", "sylhet", "somewhere"):
+            area = zones.study_area(t.zones, scope, STUDY_GRID)
             cells = zones.in_rectangles(t.cells.select("cell_id", "x", "y"), area).select("cell_id").distinct()
             df = t.obs.join(cells, "cell_id", "left_semi").groupBy("yr").agg(F.count(F.lit(1)).alias("n")).withColumn(
                 "scope", F.lit(scope))
@@ -41,7 +43,8 @@ def register(q):
     q.add("A02_study_area", a02, "cells zones obs", ZONE_CELLS + " " + " UNION ALL ".join([
         sel.format("national", "zc"), sel.format("district:FRANCE", "zc WHERE zone='FRANCE'"),
         sel.format("Europe", "zc WHERE division='EUROPE'"),
-        *[sel.format(scope, "cells WHERE x BETWEEN 10 AND 40 AND y BETWEEN 5 AND 25") for scope in ("rectangle", "somewhere")]]))
+        *[sel.format(scope, f"cells WHERE 87.5e0+x*0.1e0 BETWEEN {w - 1e-9} AND {e + 1e-9} AND 26.95e0-y*0.1e0 BETWEEN {s - 1e-9} AND {n + 1e-9}")
+          for scope, w, s, e, n in (("sylhet", 90.5, 24.0, 92.2, 25.2), ("somewhere", 88.0, 20.5, 92.7, 26.7))]]))
 
     q.add("A03_cloud_mask", lambda t: acq.mask_clouds(t.obs, "L5").groupBy("cell_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count("red").alias("clear"), F.sum("red").alias("red")).join(

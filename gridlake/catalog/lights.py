@@ -33,6 +33,12 @@ def raster(t):
     return t.settlement.filter(c("epoch") == 2000).drop("area_m2").join(light, "cell_id", "left")
 
 
+def economic_cells(t):
+    """The named zones on a grid of 0.2 degrees laid over the test cells; a zone has at least the cells next to its centre."""
+    discs = zones.named_discs(zone_table(t.spark, ECONOMIC_ZONES, "disc"), ZONE_GRID, least=1)
+    return zones.in_discs(t.cells.select("cell_id", "x", "y"), discs)
+
+
 def modes(t):
     return landcover.yearly_mode(t.classes)
 
@@ -85,10 +91,8 @@ def register(q):
         ix AS (SELECT cell_id, yr, {nd('swir1','nir')} AS b, {nd('nir','red')} AS v FROM comp)
         SELECT k.cell_id, CAST(q.b-p.b>0.1e0 AS INT)*CAST(p.v-q.v>0.1e0 AS INT) AS construction FROM (SELECT DISTINCT cell_id FROM ix) k
         LEFT JOIN ix p ON p.cell_id=k.cell_id AND p.yr=1996 LEFT JOIN ix q ON q.cell_id=k.cell_id AND q.yr=2000""")
-    # the named zones on a grid of 0.2 degrees laid over the test cells; a zone has at least the cells next to its centre
     def economic(t):
-        discs = zones.named_discs(zone_table(t.spark, ECONOMIC_ZONES, "disc"), ZONE_GRID, least=1)
-        return settlement.growth_by_zone(t.settlement, zones.in_discs(t.cells.select("cell_id", "x", "y"), discs), "zone")
+        return settlement.growth_by_zone(t.settlement, economic_cells(t), "zone")
     listed = [[p.strip() for p in line.split("|")] for line in ECONOMIC_ZONES.strip().splitlines()]
     values = ", ".join(f"('{n}', {lat}, {lon}, {radius})" for n, lat, lon, radius in listed)
     q.add("J03_economic_zones", economic, "cells settlement", f"""ez AS (SELECT zone, round((lon-88.0)/0.2) AS cx, round((26.7-lat)/0.2) AS cy,

@@ -107,11 +107,11 @@ def register(q):
 
     connect = dict(year=2000, cell_m=1000.0, built_min=9500.0)
     add("J07_infrastructure_product", lambda t: products.infrastructure_report(
-        cl.modes(t), t.settlement, cl.raster(t), t.disc_cells, "disc", GRID, (1996, 2000), 10, 6, connect | {"year": F.lit(2000)}), [
+        cl.modes(t), t.settlement, cl.raster(t), cl.economic_cells(t), "zone", GRID, (1996, 2000), 10, 6, connect | {"year": F.lit(2000)}), [
         ("between", with_views("classes", cl.MODE_SQL + """ SELECT CAST(sum(CAST(c1<>6 AS INT)*CAST(c2=6 AS INT)*900) AS DOUBLE)/1e6 AS new_construction_km2, CAST(sum(CAST(c1=6 AS INT)*CAST(c2<>6 AS INT)*900) AS DOUBLE)/1e6 AS demolished_km2
             FROM (SELECT max(label) FILTER (yr=1996) AS c1, max(label) FILTER (yr=2000) AS c2 FROM md WHERE yr IN (1996,2000) GROUP BY cell_id)"""), [], ["new_construction_km2", "demolished_km2"], None),
         ("series", sql["J01_construction_series"], ["year1", "year2"], ["new_construction_km2", "demolished_km2"], None),
-        ("zones", sql["J03_economic_zones"], ["disc", "epoch"], ["built_km2"], None), ("density", summary(sql["J04_buildup_density"], "density_km2", ("epoch",)), ["epoch"], MMM, True),
+        ("zones", sql["J03_economic_zones"], ["zone", "epoch"], ["built_km2"], None), ("density", summary(sql["J04_buildup_density"], "density_km2", ("epoch",)), ["epoch"], MMM, True),
         ("connectivity", summary(sql["J05_connectivity"], "connectivity", ()), [], MMM, True),
         ("hotspots", f"SELECT threshold, sum(hotspot) AS hotspot_cells FROM ({sql['J06_construction_hotspots']}) GROUP BY 1", [], ["threshold", "hotspot_cells"], None)])
 

@@ -153,8 +153,23 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), ac
     hold a wanted rank are shuffled and ranked. A rank outside the bracket and its two
     neighbours would break the sketch's promise and raises an error. Keys and values are
     stored once (a Spark job that runs as the query is built)."""
+    return _percentiles_of(stored(_values(df, value, keys), "values"), points, keys, accuracy, splits)
+
+
+def with_percentiles(df: DataFrame, value: str, points: dict[str, float], aggs, keys=(), columns=()) -> DataFrame:
+    """Aggregates of a group beside exact percentiles of one of its columns. What they need, ``value``
+    and the other ``columns``, is stored once, so that what made it is not evaluated for each of them."""
+    k = list(keys)
+    base = stored(df.select(*k, value, *columns), "values")
+    return base.groupBy(*k).agg(*aggs).join(_percentiles_of(_values(base, value, k), points, k), k, "left")
+
+
+def _values(df: DataFrame, value: str, keys) -> DataFrame:
+    return df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+
+
+def _percentiles_of(base: DataFrame, points: dict[str, float], keys=(), accuracy: int = 10_000, splits: int = 1024) -> DataFrame:
     k = list(keys)
-    base = stored(df.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()), "values")
     margin = 4.0 / accuracy
     edges = [q for p in points.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = base.groupBy(*k).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("_v").alias("_n"))

@@ -5,9 +5,13 @@ cells on that tile (an equi join) and applies the exact predicate to the
 candidates. No cross join is involved and the work per tile is bounded by the
 tile area times the zones that really overlap it.
 """
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.model import RECTANGLES
+
 TILE = 32
 
 
@@ -161,14 +165,23 @@ def lookup(zones: DataFrame, level: str | None = None, names=None) -> DataFrame:
     return zones.filter(F.col(level).isin(names))
 
 
-def study_area(zones: DataFrame, scope: str, default_rect: tuple = (0, 63, 0, 34)) -> DataFrame:
+def study_rectangle(scope: str, grid) -> tuple[int, int, int, int]:
+    """The study area's bounds in degrees as cells (x0, x1, y0, y1) whose centres lie inside: those of the scope if it has any, else the country's."""
+    named = {n.strip(): tuple(map(float, (w, s, e, h))) for n, w, s, e, h in (line.split("|") for line in RECTANGLES.strip().splitlines())}
+    west, south, east, north = named.get(scope, named["national"])
+    close = 1e-9        # a centre on the bound is inside
+    return (math.ceil((west - grid.lon0) / grid.step - close), math.floor((east - grid.lon0) / grid.step + close),
+            math.ceil((grid.lat0 - north) / grid.step - close), math.floor((grid.lat0 - south) / grid.step + close))
+
+
+def study_area(zones: DataFrame, scope: str, grid) -> DataFrame:
     """Scope to zone rows: national = all zones, district:X = second level,
-    a first-level name = its zones, anything else = one rectangle."""
+    a first-level name = its zones, anything else = the rectangle of the study area."""
     if scope == "national":
         return zones
     if scope.startswith("district:"):
         return zones.filter(F.col("zone") == F.lit(scope.split(":", 1)[1]))
-    x0, x1, y0, y1 = default_rect
+    x0, x1, y0, y1 = study_rectangle(scope, grid)
     named = zones.filter(F.upper("division") == F.lit(scope.upper()))
     rectangle = zones.sparkSession.range(1).select(
         F.lit(-1).alias("zone_id"), F.lit(scope).alias("zone"), F.lit("rectangle").alias("division"),

@@ -39,8 +39,7 @@ def yearly(df: DataFrame, qa: Column, pollutants=tuple(COLUMNS), first: int | No
 
 
 def stats(cells: DataFrame, pollutant: str, keys=("yr",)) -> DataFrame:
-    means = cells.groupBy(*keys).agg(F.avg(pollutant).alias("mean"), F.max(pollutant).alias("max"))
-    return means.join(histogram.percentiles(cells, pollutant, {"median": 0.5}, keys), list(keys), "left")
+    return histogram.with_percentiles(cells, pollutant, {"median": 0.5}, [F.avg(pollutant).alias("mean"), F.max(pollutant).alias("max")], keys)
 
 
 def seasonal(df: DataFrame, qa: Column, pollutant: str, years=None) -> DataFrame:

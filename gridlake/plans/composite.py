@@ -42,8 +42,7 @@ def stats_by_zone(index: DataFrame, value: str, zone_cells: DataFrame, key: str)
 
 
 def mean_median(df: DataFrame, value: str, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(
-        histogram.percentiles(df, value, {"median": 0.5}, keys), list(keys), "left")
+    return histogram.with_percentiles(df, value, {"median": 0.5}, [F.avg(value).alias("mean")], keys)
 
 
 def index_change(index: DataFrame, value: str, year1: int, year2: int) -> DataFrame:

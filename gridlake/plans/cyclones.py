@@ -44,9 +44,8 @@ def with_damage(composites: DataFrame) -> DataFrame:
 
 
 def vegetation_damage(damage: DataFrame) -> DataFrame:
-    means = damage.groupBy("disc").agg(F.avg("ndvi_drop").alias("mean_drop"), F.max("ndvi_drop").alias("max_drop"),
-                                       F.avg("ndvi_pre").alias("mean_pre"), F.avg("ndvi_post").alias("mean_post"))
-    return means.join(histogram.percentiles(damage, "ndvi_drop", {"p25_drop": 0.25, "p75_drop": 0.75}, ("disc",)), "disc", "left")
+    means = [F.avg("ndvi_drop").alias("mean_drop"), F.max("ndvi_drop").alias("max_drop"), F.avg("ndvi_pre").alias("mean_pre"), F.avg("ndvi_post").alias("mean_post")]
+    return histogram.with_percentiles(damage, "ndvi_drop", {"p25_drop": 0.25, "p75_drop": 0.75}, means, ("disc",), ("ndvi_pre", "ndvi_post"))
 
 
 def flood_extent(damage: DataFrame, area: Column) -> DataFrame:

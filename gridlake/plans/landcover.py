@@ -1,4 +1,6 @@
 """Land-cover products: yearly classes, areas, transitions and static summaries."""
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,8 @@ def transitions(classes: DataFrame, year1: int, year2: int, source: str = "mode"
     per_year = {"mode": yearly_mode, "first": first_of_year}
     if source not in per_year:
         raise ValueError(f"unknown land-cover source: {source}")
-    yearly = per_year[source](classes.filter(F.year("t").isin(year1, year2)))
+    in_year = [(F.col("t") >= F.lit(date(y, 1, 1))) & (F.col("t") < F.lit(date(y + 1, 1, 1))) for y in (year1, year2)]
+    yearly = per_year[source](classes.filter(in_year[0] | in_year[1]))      # ranges of dates reach the scan
     wide = yearly.groupBy("cell_id").agg(F.max(F.when(F.col("yr") == year1, F.col("label"))).alias("c1"),
                                          F.max(F.when(F.col("yr") == year2, F.col("label"))).alias("c2"))
     changed = A.flag(F.col("c1") != F.col("c2"))

@@ -53,8 +53,7 @@ def underserved_population(index: DataFrame, p: float = 0.6, keys=("epoch",)) ->
 
 def gap_by_zone(index: DataFrame, zone_cells: DataFrame, keys=("division",)) -> DataFrame:
     zoned = index.select("cell_id", "underserved_index").join(zone_cells.select("division", "cell_id"), "cell_id")
-    return zoned.groupBy(*keys).agg(F.avg("underserved_index").alias("mean_gap")).join(
-        histogram.percentiles(zoned, "underserved_index", {"p75_gap": 0.75}, keys), list(keys), "left")
+    return histogram.with_percentiles(zoned, "underserved_index", {"p75_gap": 0.75}, [F.avg("underserved_index").alias("mean_gap")], keys)
 
 
 def market_access(raster: DataFrame, keys=(), radius_cells: int = 3, cell_m: float = 1000.0, bright: float = 5.0) -> DataFrame:
