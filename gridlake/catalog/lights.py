@@ -18,9 +18,10 @@ LAST_A = 1998   # the test series spans 1995 to 2001, so both sensors occur
 LIGHT_SQL = (f"li AS (SELECT cell_id, yr, CASE WHEN yr<={LAST_A} THEN quantile_cont(light_dn,0.5) ELSE avg(light_dn) END AS light FROM signals WHERE {CALENDAR} GROUP BY 1,2)")
 SENSOR = f"CASE WHEN yr<={LAST_A} THEN 'A' ELSE 'B' END"
 SNAP_SQL = "CASE WHEN yr*2<=3985 THEN 1990 WHEN yr*2<=3995 THEN 1995 ELSE 2000 END"
-# light of the year 2000 (median) beside the settlement layers of the same epoch, for all grid cells
-RASTER_SQL = f"""lm AS (SELECT cell_id, quantile_cont(light_dn,0.5) AS light FROM signals WHERE {CALENDAR} AND yr=2000 GROUP BY 1),
-ra AS (SELECT s.cell_id, s.x, s.y, s.epoch, built, population, smod, light FROM settlement s LEFT JOIN lm USING (cell_id) WHERE epoch=2000)"""
+# light of every year (median) beside the settlement layers of the nearest epoch, for all grid cells
+RASTER_SQL = f"""lm AS (SELECT cell_id, yr, quantile_cont(light_dn,0.5) AS light FROM signals WHERE {CALENDAR} GROUP BY 1,2),
+ra AS (SELECT s.cell_id, s.x, s.y, y.yr, built, population, smod, light FROM settlement s
+  JOIN (SELECT DISTINCT yr FROM lm) y ON s.epoch={SNAP_SQL} LEFT JOIN lm ON lm.cell_id=s.cell_id AND lm.yr=y.yr)"""
 
 
 def annual(t):
@@ -28,9 +29,9 @@ def annual(t):
 
 
 def raster(t):
-    light = (temporal.calendar_years(t.signals, 2000, 2000).groupBy("cell_id")
-             .agg(F.percentile("light_dn", F.lit(0.5)).alias("light")))
-    return t.settlement.filter(c("epoch") == 2000).drop("area_m2").join(light, "cell_id", "left")
+    light = temporal.calendar_years(t.signals).groupBy("cell_id", "yr").agg(F.percentile("light_dn", F.lit(0.5)).alias("light"))
+    years = temporal.calendar_years(t.signals).select("yr").distinct().withColumn("epoch", temporal.snap_year(c("yr"), EPOCHS))
+    return t.settlement.drop("area_m2").join(years, "epoch").drop("epoch").join(light, ["cell_id", "yr"], "left")
 
 
 def economic_cells(t):
@@ -102,10 +103,10 @@ def register(q):
     q.add("J04_buildup_density", lambda t: settlement.buildup_density(t.settlement, 10, tile=16), "settlement",
           """SELECT a.epoch, a.cell_id, CAST(sum(b.built) AS DOUBLE)/1e6 AS density_km2 FROM settlement a JOIN settlement b ON a.epoch=b.epoch
           AND b.x BETWEEN a.x-10 AND a.x+10 AND b.y BETWEEN a.y-10 AND a.y+10 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=100 GROUP BY 1,2""")
-    q.add("J05_connectivity", lambda t: round_all(transport.connectivity(raster(t), F.lit(2000), (), 1000.0, 9500.0).select(
-        "cell_id", "connectivity"), "connectivity"), "settlement signals",
-        RASTER_SQL + ", m AS (SELECT cell_id, x, y, CAST(built>9500 AS INT) AS w FROM ra), "
-        f"dd AS (SELECT a.cell_id, {nearest_sql('m', '1e9')} AS d FROM m a) SELECT cell_id, CAST(CAST(round({clamp('((1-' + norm('d*1000e0', 0, 50000) + ')*(' + norm('light', 0, 63) + '+0.1e0))', 0, 1)},10) AS FLOAT) AS DOUBLE)+0e0 AS connectivity FROM ra JOIN dd USING (cell_id)")
+    q.add("J05_connectivity", lambda t: round_all(transport.connectivity(raster(t), c("yr"), ["yr"], 1000.0, 9500.0).select(
+        "cell_id", "yr", "connectivity"), "connectivity"), "settlement signals",
+        RASTER_SQL + ", m AS (SELECT cell_id, yr, x, y, CAST(built>9500 AS INT) AS w FROM ra), "
+        f"dd AS (SELECT a.cell_id, a.yr, {nearest_sql('m', '1e9', 'yr')} AS d FROM m a) SELECT cell_id, yr, CAST(CAST(round({clamp('((1-' + norm('d*1000e0', 0, 50000) + ')*(' + norm('light', 0, 63) + '+0.1e0))', 0, 1)},10) AS FLOAT) AS DOUBLE)+0e0 AS connectivity FROM ra JOIN dd USING (cell_id, yr)")
     q.add("J06_construction_hotspots", lambda t: settlement.hotspots(
         GRID.attach(settlement.construction_between(modes(t), 1996, 2000)), 6), "classes",
         MODE_SQL + """, co AS (SELECT p.cell_id, CAST(p.cell_id%64 AS INT) AS x, CAST(floor(p.cell_id/64) AS INT) AS y, CAST(p.c1<>6 AS INT)*CAST(p.c2=6 AS INT) AS w FROM
@@ -117,25 +118,25 @@ def register(q):
 
     q.add("T01_settlement_masks", lambda t: transport.settlement_areas(t.settlement, c("area_m2")), "settlement",
           f"SELECT epoch, {km2('smod>=22')} AS urban_km2, {km2('smod=21')} AS peri_urban_km2, {km2('smod=13')} AS rural_cluster_km2, {km2('smod IN (11,12)')} AS low_density_km2 FROM settlement GROUP BY 1")
-    q.add("T02_accessibility", lambda t: round_all(transport.accessibility(raster(t)).select("cell_id", "accessibility"), "accessibility"),
-          "settlement signals", RASTER_SQL + ", m AS (SELECT cell_id, x, y, CAST(smod>=22 AS INT) AS w FROM ra), "
-          f"dd AS (SELECT a.cell_id, {nearest_sql('m', '1e9')} AS d FROM m a) SELECT cell_id, CAST(CAST(round({clamp('(' + norm('light', 0, 50) + '*0.4e0+' + norm('population', 0, 5000) + '*0.4e0+(1-' + norm('d*1000e0', 0, 100000) + ')*0.2e0)', 0, 1)},10) AS FLOAT) AS DOUBLE)+0e0 AS accessibility FROM ra JOIN dd USING (cell_id)")
+    q.add("T02_accessibility", lambda t: round_all(transport.accessibility(raster(t), ["yr"]).select("cell_id", "yr", "accessibility"), "accessibility"),
+          "settlement signals", RASTER_SQL + ", m AS (SELECT cell_id, yr, x, y, CAST(smod>=22 AS INT) AS w FROM ra), "
+          f"dd AS (SELECT a.cell_id, a.yr, {nearest_sql('m', '1e9', 'yr')} AS d FROM m a) SELECT cell_id, yr, CAST(CAST(round({clamp('(' + norm('light', 0, 50) + '*0.4e0+' + norm('population', 0, 5000) + '*0.4e0+(1-' + norm('d*1000e0', 0, 100000) + ')*0.2e0)', 0, 1)},10) AS FLOAT) AS DOUBLE)+0e0 AS accessibility FROM ra JOIN dd USING (cell_id, yr)")
     under = RASTER_SQL + f", un AS (SELECT *, {clamp('(' + norm('population', 0, 5000) + '*(1-' + norm('light', 0, 50) + '))', 0, 1)} AS ui FROM ra)"
-    q.add("T03_underserved", lambda t: round_all(transport.underserved_population(transport.underserved(raster(t))), "threshold"), "settlement signals",
-          under + """, th AS (SELECT epoch, quantile_cont(ui,0.6) AS threshold FROM un GROUP BY 1), hit AS (SELECT * FROM un JOIN th USING (epoch) WHERE ui>=threshold)
-          SELECT epoch, CAST(CAST(round(max(threshold),10) AS FLOAT) AS DOUBLE)+0e0 AS threshold, count(*) AS cells, CAST(sum(population) AS BIGINT) AS population_at_risk FROM hit GROUP BY epoch""")
-    q.add("T04_connectivity_gap", lambda t: round_all(transport.gap_by_zone(transport.underserved(raster(t)), t.zone_cells), "mean_gap", "p75_gap"),
+    q.add("T03_underserved", lambda t: round_all(transport.underserved_population(transport.underserved(raster(t)), keys=["yr"]), "threshold"), "settlement signals",
+          under + """, th AS (SELECT yr, quantile_cont(ui,0.6) AS threshold FROM un GROUP BY 1), hit AS (SELECT * FROM un JOIN th USING (yr) WHERE ui>=threshold)
+          SELECT yr, CAST(CAST(round(max(threshold),10) AS FLOAT) AS DOUBLE)+0e0 AS threshold, count(*) AS cells, CAST(sum(population) AS BIGINT) AS population_at_risk FROM hit GROUP BY yr""")
+    q.add("T04_connectivity_gap", lambda t: round_all(transport.gap_by_zone(transport.underserved(raster(t)), t.zone_cells, ["division", "yr"]), "mean_gap", "p75_gap"),
           "cells zones settlement signals", ZONE_CELLS + "," + under
-          + " SELECT division, CAST(CAST(round(avg(ui),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_gap, CAST(CAST(round(quantile_cont(ui,0.75),10) AS FLOAT) AS DOUBLE)+0e0 AS p75_gap FROM un JOIN zc USING (cell_id) GROUP BY 1")
-    q.add("T05_market_access", lambda t: round_all(transport.market_access(raster(t), bright=50.0).select("cell_id", "light_gradient", "market_access"),
+          + " SELECT division, yr, CAST(CAST(round(avg(ui),10) AS FLOAT) AS DOUBLE)+0e0 AS mean_gap, CAST(CAST(round(quantile_cont(ui,0.75),10) AS FLOAT) AS DOUBLE)+0e0 AS p75_gap FROM un JOIN zc USING (cell_id) GROUP BY 1,2")
+    q.add("T05_market_access", lambda t: round_all(transport.market_access(raster(t), ["yr"], bright=50.0).select("cell_id", "yr", "light_gradient", "market_access"),
                                                    "light_gradient", "market_access"), "settlement signals",
-          RASTER_SQL + f""", m AS (SELECT cell_id, x, y, CAST(light>50 AS INT) AS w FROM ra), dd AS (SELECT a.cell_id, {nearest_sql('m', '1e9')} AS d FROM m a),
-          g AS (SELECT a.cell_id, a.x, a.y, sum(b.light*exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/4.5e0))/
-            sum(exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/4.5e0)) AS s FROM ra a JOIN ra b ON b.light IS NOT NULL AND b.x BETWEEN a.x-3 AND a.x+3 AND b.y BETWEEN a.y-3 AND a.y+3 GROUP BY 1,2,3),
-          sb AS (SELECT a.cell_id, count(*) AS n, sum(b.s*(b.x-a.x)*(2-abs(b.y-a.y))) AS gx, sum(b.s*(a.y-b.y)*(2-abs(b.x-a.x))) AS gy FROM g a
-            JOIN g b ON b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 GROUP BY 1)
-          SELECT ra.cell_id, CASE WHEN n=9 THEN CAST(CAST(round(sqrt(gx*gx+gy*gy),10) AS FLOAT) AS DOUBLE)+0e0 END AS light_gradient, CAST(CAST(round(1-{norm('d*1000e0', 0, 80000)},10) AS FLOAT) AS DOUBLE)+0e0 AS market_access
-          FROM ra JOIN dd USING (cell_id) LEFT JOIN sb USING (cell_id)""")
+          RASTER_SQL + f""", m AS (SELECT cell_id, yr, x, y, CAST(light>50 AS INT) AS w FROM ra), dd AS (SELECT a.cell_id, a.yr, {nearest_sql('m', '1e9', 'yr')} AS d FROM m a),
+          g AS (SELECT a.cell_id, a.yr, a.x, a.y, sum(b.light*exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/4.5e0))/
+            sum(exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/4.5e0)) AS s FROM ra a JOIN ra b ON b.yr=a.yr AND b.light IS NOT NULL AND b.x BETWEEN a.x-3 AND a.x+3 AND b.y BETWEEN a.y-3 AND a.y+3 GROUP BY 1,2,3,4),
+          sb AS (SELECT a.cell_id, a.yr, count(*) AS n, sum(b.s*(b.x-a.x)*(2-abs(b.y-a.y))) AS gx, sum(b.s*(a.y-b.y)*(2-abs(b.x-a.x))) AS gy FROM g a
+            JOIN g b ON b.yr=a.yr AND b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 GROUP BY 1,2)
+          SELECT ra.cell_id, ra.yr, CASE WHEN n=9 THEN CAST(CAST(round(sqrt(gx*gx+gy*gy),10) AS FLOAT) AS DOUBLE)+0e0 END AS light_gradient, CAST(CAST(round(1-{norm('d*1000e0', 0, 80000)},10) AS FLOAT) AS DOUBLE)+0e0 AS market_access
+          FROM ra JOIN dd USING (cell_id, yr) LEFT JOIN sb USING (cell_id, yr)""")
     q.add("T06_clamped_inputs", lambda t: transport.annual_light(t.signals, t.spark.range(1993, 2004).select(c("id").cast("int").alias("yr")), 1996, 2000).groupBy("yr").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("light").alias("light")), "signals",
         f"""l AS (SELECT cell_id, yr AS y, quantile_cont(light_dn,0.5) AS light FROM signals WHERE {CALENDAR} AND yr BETWEEN 1996 AND 2000 GROUP BY 1,2),

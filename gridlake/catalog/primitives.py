@@ -32,9 +32,10 @@ def wet_cells(t):
 WET = "wet AS (SELECT cell_id, x, y, area_m2, CAST(occurrence>=50 AS INT) AS w FROM cells)"
 
 
-def nearest_sql(mask, far=None):
-    """Brute-force distance to the nearest set cell; ``far`` stands for "no set cell anywhere"."""
-    found = f"(SELECT sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) FROM {mask} b WHERE b.w=1)"
+def nearest_sql(mask, far=None, key=None):
+    """Brute-force distance to the nearest set cell (of the same key); ``far`` stands for "no set cell anywhere"."""
+    same = f" AND b.{key}=a.{key}" if key else ""
+    found = f"(SELECT sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) FROM {mask} b WHERE b.w=1{same})"
     return found if far is None else f"coalesce({found},{far})"
 
 

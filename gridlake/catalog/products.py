@@ -105,21 +105,21 @@ def register(q):
         (f"change_{a}_{b}", with_views("signals", cl.LIGHT_SQL + f""" SELECT avg(d) AS mean, min(d) AS min, max(d) AS max FROM (SELECT max(light) FILTER (yr={b})-max(light) FILTER (yr={a}) AS d
             FROM li WHERE yr IN ({a},{b}) GROUP BY cell_id)"""), [], MMM, True) for a, b in pairs])
 
-    connect = dict(year=2000, cell_m=1000.0, built_min=9500.0)
+    connect = dict(cell_m=1000.0, built_min=9500.0)
     add("J07_infrastructure_product", lambda t: products.infrastructure_report(
-        cl.modes(t), t.settlement, cl.raster(t), cl.economic_cells(t), "zone", GRID, (1996, 2000), 10, 6, connect | {"year": F.lit(2000)}), [
+        cl.modes(t), t.settlement, cl.raster(t), cl.economic_cells(t), "zone", GRID, (1996, 2000), 10, 6, connect), [
         ("between", with_views("classes", cl.MODE_SQL + """ SELECT CAST(sum(CAST(c1<>6 AS INT)*CAST(c2=6 AS INT)*900) AS DOUBLE)/1e6 AS new_construction_km2, CAST(sum(CAST(c1=6 AS INT)*CAST(c2<>6 AS INT)*900) AS DOUBLE)/1e6 AS demolished_km2
             FROM (SELECT max(label) FILTER (yr=1996) AS c1, max(label) FILTER (yr=2000) AS c2 FROM md WHERE yr IN (1996,2000) GROUP BY cell_id)"""), [], ["new_construction_km2", "demolished_km2"], None),
         ("series", sql["J01_construction_series"], ["year1", "year2"], ["new_construction_km2", "demolished_km2"], None),
         ("zones", sql["J03_economic_zones"], ["zone", "epoch"], ["built_km2"], None), ("density", summary(sql["J04_buildup_density"], "density_km2", ("epoch",)), ["epoch"], MMM, True),
-        ("connectivity", summary(sql["J05_connectivity"], "connectivity", ()), [], MMM, True),
+        ("connectivity", summary(sql["J05_connectivity"], "connectivity"), ["yr"], MMM, True),
         ("hotspots", f"SELECT threshold, sum(hotspot) AS hotspot_cells FROM ({sql['J06_construction_hotspots']}) GROUP BY 1", [], ["threshold", "hotspot_cells"], None)])
 
     add("T07_transport_product", lambda t: products.transport_report(cl.raster(t), t.settlement, t.zone_cells, c("area_m2"), 50.0), [
         ("settlement", sql["T01_settlement_masks"], ["epoch"], ["urban_km2", "peri_urban_km2", "rural_cluster_km2", "low_density_km2"], None),
-        ("accessibility", summary(sql["T02_accessibility"], "accessibility", ()), [], MMM, True), ("underserved", sql["T03_underserved"], ["epoch"], ["threshold", "cells", "population_at_risk"], True),
-        ("gap", sql["T04_connectivity_gap"], ["division"], ["mean_gap", "p75_gap"], True), ("market", summary(sql["T05_market_access"], "market_access", ()), [], MMM, True),
-        ("gradient", summary(sql["T05_market_access"], "light_gradient", ()), [], MMM, True)])
+        ("accessibility", summary(sql["T02_accessibility"], "accessibility"), ["yr"], MMM, True), ("underserved", sql["T03_underserved"], ["yr"], ["threshold", "cells", "population_at_risk"], True),
+        ("gap", sql["T04_connectivity_gap"], ["division", "yr"], ["mean_gap", "p75_gap"], True), ("market", summary(sql["T05_market_access"], "market_access"), ["yr"], MMM, True),
+        ("gradient", summary(sql["T05_market_access"], "light_gradient"), ["yr"], MMM, True)])
 
     ya = lambda body: with_views("cells discs signals", cc.DISC_CELLS + "," + cc.YEARLY_AIR + body)
     stats = ["mean", "max", "median"]

@@ -77,16 +77,17 @@ def infrastructure_report(modes: DataFrame, built: DataFrame, raster: DataFrame,
     return {"between": settlement.construction_areas(between, area, ()), "series": settlement.construction_areas(settlement.construction(modes), area),
             "zones": settlement.growth_by_zone(built, zone_cells, key),
             "density": raster_summary(settlement.buildup_density(built, radius), "density_km2", ("epoch",)),
-            "connectivity": raster_summary(transport.connectivity(raster, **connect), "connectivity", ()),
+            "connectivity": raster_summary(transport.connectivity(raster, F.col("yr"), ["yr"], **connect), "connectivity"),
             "hotspots": settlement.hotspots(grid.attach(between), hotspot_radius).groupBy("threshold").agg(F.sum("hotspot").alias("hotspot_cells"))}
 
 
 def transport_report(raster: DataFrame, built: DataFrame, zone_cells: DataFrame, area: Column, bright: float = 5.0) -> dict[str, DataFrame]:
+    """Every year of the raster; its rows are keyed by yr."""
     index = transport.underserved(raster)
-    market = transport.market_access(raster, bright=bright)
-    return {"settlement": transport.settlement_areas(built, area), "accessibility": raster_summary(transport.accessibility(raster), "accessibility", ()),
-            "underserved": transport.underserved_population(index), "gap": transport.gap_by_zone(index, zone_cells),
-            "market": raster_summary(market, "market_access", ()), "gradient": raster_summary(market, "light_gradient", ())}
+    market = transport.market_access(raster, ["yr"], bright=bright)
+    return {"settlement": transport.settlement_areas(built, area), "accessibility": raster_summary(transport.accessibility(raster, ["yr"]), "accessibility"),
+            "underserved": transport.underserved_population(index, keys=["yr"]), "gap": transport.gap_by_zone(index, zone_cells, ["division", "yr"]),
+            "market": raster_summary(market, "market_access"), "gradient": raster_summary(market, "light_gradient")}
 
 
 def air_report(df: DataFrame, qa: Column, zone_cells: DataFrame, key: str, span, pollutants=tuple(air.COLUMNS),

@@ -52,7 +52,8 @@ def underserved_population(index: DataFrame, p: float = 0.6, keys=("epoch",)) ->
 
 
 def gap_by_zone(index: DataFrame, zone_cells: DataFrame, keys=("division",)) -> DataFrame:
-    zoned = index.select("cell_id", "underserved_index").join(zone_cells.select("division", "cell_id"), "cell_id")
+    own = [k for k in keys if k != "division"]
+    zoned = index.select("cell_id", *own, "underserved_index").join(zone_cells.select("division", "cell_id"), "cell_id")
     return histogram.with_percentiles(zoned, "underserved_index", {"p75_gap": 0.75}, [F.avg("underserved_index").alias("mean_gap")], keys)
 
 
