@@ -24,8 +24,9 @@ from gridlake.llm.shared import small_batches, text_or_empty
 
 #: Texts with more characters than this are cut; a leaf has at most half as many.
 LEAF = 1 << 16
-#: Words kept with their ids per Python worker before the older half is forgotten.
-KEPT_WORDS = 400_000
+#: Words kept with their ids per Python worker before the older half is forgotten; all are forgotten when a task ends,
+#: as an idle worker keeps its memory.
+KEPT_WORDS = 250_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Texts of these characters only are the same after NFC, and their pre-tokens (of the lower-cased text) are those of
 #: the second pattern; all other texts take the library's own normalizer and pre-tokenizer, word by word.
@@ -118,6 +119,10 @@ class Encoder:
             return self._kept(_PIECE.findall(text.lower()), self._pieces)
         return self._kept(_WORD.findall(text), self._words)
 
+    def forget(self) -> None:
+        for store in (self.young, self.old, self.spans):
+            store.clear()
+
     def placed(self, text: str, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and ends of the tokens; `at` is where the text begins. A token that ends inside a character covers it."""
         if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
@@ -232,6 +237,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([narrow(enc.ids(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "ids"])
+        enc.forget()
 
     def cut(batches):
         for batch in batches:
@@ -250,6 +256,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array([m[c].astype("<i4").tobytes() for m in made], pa.binary()) for c in range(3))],
                 schema=encoded_pieces)
+        enc.forget()
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(path)
