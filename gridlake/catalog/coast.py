@@ -63,6 +63,10 @@ def pond_cells(t):
     return ponds.detect(t.obs, t.cells, GRID, POND_YEARS, min_cells=3, **POND_RULES)
 
 
+def ponds_of(t):
+    return ponds.area_by_zone(pond_cells(t), t.zone_cells, t.zones, years=range(POND_YEARS[0], POND_YEARS[1] + 1))
+
+
 def event_damage(t):
     return cyclones.with_damage(cyclones.window_composites(t.obs, t.disc_cells))
 
@@ -140,8 +144,8 @@ def register(q):
     q.add("Y04_mangrove_conversion", lambda t: ponds.mangrove_conversion(pond_cells(t), t.cells, 20), "cells obs",
           POND_SQL + """ SELECT yr, CAST(sum(p.area_m2) AS DOUBLE)/1e6 AS conversion_km2 FROM pond p JOIN cells USING (cell_id)
           WHERE (treecover>30 OR (lossyear>0 AND lossyear<=20)) AND elevation BETWEEN 0 AND 10 GROUP BY 1""")
-    zp = ZONE_CELLS + "," + POND_SQL + ", zp AS (SELECT z.zone, coalesce(CAST(sum(area_m2) AS DOUBLE)/1e6,0) AS pond_km2 FROM zones z LEFT JOIN (SELECT zone, area_m2 FROM pond JOIN zc USING (cell_id) WHERE yr=1998) p ON p.zone=z.zone GROUP BY 1)"
-    q.add("Y05_pond_by_zone", lambda t: ponds.area_by_zone(pond_cells(t).filter(c("yr") == 1998), t.zone_cells, t.zones), "cells zones obs", zp + " SELECT * FROM zp")
+    zp = ZONE_CELLS + "," + POND_SQL + ", zp AS (SELECT z.zone, z.yr, coalesce(CAST(sum(area_m2) AS DOUBLE)/1e6,0) AS pond_km2 FROM (SELECT zone, CAST(unnest(range(1994,2002)) AS INT) AS yr FROM zones) z LEFT JOIN (SELECT zone, yr, area_m2 FROM pond JOIN zc USING (cell_id)) p ON p.zone=z.zone AND p.yr=z.yr GROUP BY 1,2)"
+    q.add("Y05_pond_by_zone", lambda t: ponds_of(t), "cells zones obs", zp + " SELECT * FROM zp")
 
     def truth(t):
         return (t.cells.filter(c("occurrence") >= 50).join(t.zone_cells.select("cell_id", "zone"), "cell_id").groupBy("zone")
@@ -152,9 +156,9 @@ def register(q):
           ZONE_CELLS + "," + POND_SQL + """, tr AS (SELECT zone, CAST(count(*)*900 AS DOUBLE)/1e6 AS census_km2 FROM cells JOIN zc USING (cell_id) WHERE occurrence>=50 GROUP BY 1),
           zy AS (SELECT zone, yr, CAST(sum(area_m2) AS DOUBLE)/1e6 AS k FROM pond JOIN zc USING (cell_id) GROUP BY 1,2)
           SELECT zone, yr, k AS satellite, census_km2 AS reference, k-census_km2 AS error FROM zy JOIN tr USING (zone)""")
-    q.add("Y06_accuracy", lambda t: round_all(ponds.accuracy(ponds.area_by_zone(pond_cells(t).filter(c("yr") == 1998), t.zone_cells, t.zones), truth(t), "zone", "pond_km2", "census_km2"),
+    q.add("Y06_accuracy", lambda t: round_all(ponds.accuracy(ponds_of(t), truth(t), "zone", "pond_km2", "census_km2", ["yr"]),
                                               "r_squared", "rmse", "mae"), "cells zones obs",
           zp + """, tr AS (SELECT zone, CAST(count(*)*900 AS DOUBLE)/1e6 AS census_km2 FROM cells JOIN zc USING (cell_id) WHERE occurrence>=50 GROUP BY 1),
-          j AS (SELECT pond_km2-census_km2 AS e, census_km2 FROM zp JOIN tr USING (zone))
-          SELECT count(*) AS n, CAST(CAST(round(1e0-sum(e*e)/nullif(var_pop(census_km2)*count(*),0),10) AS FLOAT) AS DOUBLE)+0e0 AS r_squared, CAST(CAST(round(sqrt(avg(e*e)),10) AS FLOAT) AS DOUBLE)+0e0 AS rmse,
-          CAST(CAST(round(avg(abs(e)),10) AS FLOAT) AS DOUBLE)+0e0 AS mae FROM j""")
+          j AS (SELECT yr, pond_km2-census_km2 AS e, census_km2 FROM zp JOIN tr USING (zone))
+          SELECT yr, count(*) AS n, CAST(CAST(round(1e0-sum(e*e)/nullif(var_pop(census_km2)*count(*),0),10) AS FLOAT) AS DOUBLE)+0e0 AS r_squared, CAST(CAST(round(sqrt(avg(e*e)),10) AS FLOAT) AS DOUBLE)+0e0 AS rmse,
+          CAST(CAST(round(avg(abs(e)),10) AS FLOAT) AS DOUBLE)+0e0 AS mae FROM j GROUP BY yr""")

@@ -61,8 +61,8 @@ def register(q):
           + """ SELECT 'forest_current' AS category, forest_current_km2 AS area_km2, 2023 AS year FROM su UNION ALL SELECT 'built_area', built_km2, 2020 FROM su
           UNION ALL SELECT 'permanent_water', permanent_water_km2, 2020 FROM su UNION ALL SELECT 'seasonal_water', seasonal_water_km2, 2020 FROM su
           UNION ALL SELECT 'cropland_other', cropland_other_km2, 2020 FROM su""")
-    q.add("L11_density_distribution", lambda t: landcover.density_distribution(t.settlement.filter(c("epoch") == 2000)), "settlement",
-          "SELECT " + ", ".join(f"count(*) FILTER (population>={h}) AS cells_gte_{h}" for h in (1000, 2000, 5000, 10000, 20000))
-          + ", count(*) FILTER (population>=10000) AS slum_proxy_km2 FROM settlement WHERE epoch=2000")
+    q.add("L11_density_distribution", lambda t: landcover.density_distribution(t.settlement, keys=["epoch"]), "settlement",
+          "SELECT epoch, " + ", ".join(f"count(*) FILTER (population>={h}) AS cells_gte_{h}" for h in (1000, 2000, 5000, 10000, 20000))
+          + ", count(*) FILTER (population>=10000) AS slum_proxy_km2 FROM settlement GROUP BY 1")
     q.add("L12_occurrence_classes", lambda t: landcover.occurrence_classes(t.cells), "cells",
           f"SELECT {km2('occurrence>75')} AS permanent_km2, {km2('occurrence BETWEEN 25 AND 75')} AS seasonal_km2, {km2('occurrence>0 AND occurrence<25')} AS rare_km2 FROM cells")

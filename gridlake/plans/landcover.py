@@ -101,10 +101,10 @@ def summary_long(summary: DataFrame) -> DataFrame:
         F.struct(F.lit(n).alias("category"), F.col(k).alias("area_km2"), F.lit(y).alias("year")) for n, k, y in rows])))
 
 
-def density_distribution(population: DataFrame, thresholds=(1000, 2000, 5000, 10000, 20000), proxy: int = 10000) -> DataFrame:
-    """Number of cells at or above each density; the proxy counts cells of 1 km2."""
+def density_distribution(population: DataFrame, thresholds=(1000, 2000, 5000, 10000, 20000), proxy: int = 10000, keys=()) -> DataFrame:
+    """Number of cells at or above each density, per keys such as the epoch; the proxy counts cells of 1 km2."""
     aggs = [F.count_if(F.col("population") >= t).alias(f"cells_gte_{t}") for t in thresholds]
-    return population.agg(*aggs, F.count_if(F.col("population") >= proxy).alias("slum_proxy_km2"))
+    return population.groupBy(*keys).agg(*aggs, F.count_if(F.col("population") >= proxy).alias("slum_proxy_km2"))
 
 
 def occurrence_classes(cells: DataFrame, permanent: int = 75, seasonal: int = 25) -> DataFrame:

@@ -55,19 +55,21 @@ def mangrove_conversion(ponds: DataFrame, cells: DataFrame, years_since_2000: in
             .agg((F.sum("area_m2") / F.lit(1e6)).alias("conversion_km2")))
 
 
-def area_by_zone(ponds: DataFrame, zone_cells: DataFrame, zones: DataFrame, key: str = "zone") -> DataFrame:
-    """km2 per zone for the ponds of one year; zones without ponds give 0."""
-    area = (ponds.join(zone_cells.select(key, "cell_id"), "cell_id").groupBy(key)
+def area_by_zone(ponds: DataFrame, zone_cells: DataFrame, zones: DataFrame, key: str = "zone", years=()) -> DataFrame:
+    """km2 per zone, or per zone and listed year; zones without ponds give 0."""
+    keys = [key, "yr"] if years else [key]
+    area = (ponds.join(zone_cells.select(key, "cell_id"), "cell_id").groupBy(*keys)
             .agg((F.sum("area_m2") / F.lit(1e6)).alias("_k")))
-    return zones.select(key).join(area, key, "left").select(key, F.coalesce("_k", F.lit(0.0)).alias("pond_km2"))
+    wanted = zones.select(key, F.explode(F.array(*[F.lit(y) for y in years])).alias("yr")) if years else zones.select(key)
+    return wanted.join(area, keys, "left").select(*keys, F.coalesce("_k", F.lit(0.0)).alias("pond_km2"))
 
 
-def accuracy(measured: DataFrame, reference: DataFrame, key: str, value: str, truth: str) -> DataFrame:
-    """R2, RMSE and MAE over names present in both; all NULL without a match."""
-    both = measured.select(key, value).join(reference.select(key, truth), key)
+def accuracy(measured: DataFrame, reference: DataFrame, key: str, value: str, truth: str, keys=()) -> DataFrame:
+    """R2, RMSE and MAE over names present in both, per ``keys`` of the measured side such as a year; all NULL without a match."""
+    both = measured.select(key, *keys, value).join(reference.select(key, truth), key)
     e = F.col(value) - F.col(truth)
     total = F.var_pop(truth) * F.count(truth)
-    return both.agg(F.count(F.lit(1)).alias("n"),
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                     F.when(total > 0, F.lit(1.0) - F.sum(e * e) / F.nullif(total, F.lit(0.0))).alias("r_squared"),
                     F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
