@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,6 +233,25 @@ def _longer(n_parts: int):
     return run
 
 
+_PACKED = "block long, part int, data binary"
+_PACKED_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+
+
+def _first_pairs(n_parts: int):
+    """Pairs of adjacent frequent words: the semi-join of the single words is made on the way, not stored."""
+    def run(codes: pa.Table, frequent: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_extend(n_parts)(_singles(codes, frequent).to_batches()), schema=_PACKED_ARROW)
+    return run
+
+
+def _second(n_parts: int):
+    """The relation of frequent pairs from the codes of a block and what is frequent of its words and pairs."""
+    def run(codes: pa.Table, frequent: pa.Table) -> pa.Table:
+        words, pairs = (frequent.filter(pc.equal(frequent["level"], level)) for level in (1, 2))
+        return _longer(n_parts)(_singles(codes, words), pairs)
+    return run
+
+
 def _exact(column) -> F.Column:
     return F.col(column).cast("decimal(19,0)") if isinstance(column, str) else column.cast("decimal(19,0)")
 
@@ -262,20 +282,33 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty().alias("t"))
     size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
-    packed = "block long, part int, data binary"
-    parts = bucketed(rows.mapInArrow(_explode(block, n_parts), packed), "occurrences")
-    found = stored(parts.filter("part >= 0").groupBy("part").applyInArrow(_count_words(n_parts, least), _COUNTED), "groups")
-    totals = found.filter("kind = 'total'").groupBy("lang").agg(F.sum("a").alias("n"))
+    parts = bucketed(rows.mapInArrow(_explode(block, n_parts), _PACKED), "occurrences")
+    codes = parts.filter("part < 0").select("block", "data")
+
+    def frequent(found, level):
+        return found.filter("kind = 'back'").select("block", F.lit(level).alias("level"), "part", "data")
+
+    def together(left, right, function, schema):
+        return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(function, schema)
+
+    def counted(pairs):
+        return stored(pairs.groupBy("part").applyInArrow(_count_pairs(n_parts, least), _COUNTED), "groups")
+
+    words = stored(parts.filter("part >= 0").groupBy("part").applyInArrow(_count_words(n_parts, least), _COUNTED), "groups")
+    totals = words.filter("kind = 'total'").groupBy("lang").agg(F.sum("a").alias("n"))
     text = F.col("word").cast("string")
-    groups = stored(found.filter("kind = 'group'").select(
+    groups = stored(words.filter("kind = 'group'").select(
         "gid", "lang", "a", text.alias("phrase"), text.alias("tail"), F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
-    relation, apply = parts.filter("part < 0").select("block", "data"), _singles
     results = []
     for m in range(2, longest + 1):
-        back = found.filter("kind = 'back'").select("block", "part", "data")
-        relation = bucketed(relation.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(apply, "block long, data binary"), "relation")
-        apply = _longer(n_parts)
-        found = stored(relation.mapInArrow(_extend(n_parts), packed).groupBy("part").applyInArrow(_count_pairs(n_parts, least), _COUNTED), "groups")
+        if m == 2:
+            found = counted(together(codes, frequent(words, 1), _first_pairs(n_parts), _PACKED))
+            following = together(codes, frequent(words, 1).unionByName(frequent(found, 2)), _second(n_parts), "block long, data binary")
+        else:
+            found = counted(relation.mapInArrow(_extend(n_parts), _PACKED))
+            following = together(relation, frequent(found, m), _longer(n_parts), "block long, data binary")
+        if m < longest:
+            relation = bucketed(following, "relation")
         head = groups.select(F.col("gid").alias("first"), "lang", F.col("phrase").alias("start"), "heads")
         last = groups.select(F.col("gid").alias("last"), "tail", "tails")
         longer = stored(found.filter("kind = 'group'").select("gid", "first", "last", "a").join(head, "first").join(last, "last").select(
