@@ -54,6 +54,8 @@ def register(q):
     def summary(inner, value, keys=("yr",)):
         """SQL of raster_summary over another query's SQL, before that query's final rounding."""
         inner = inner.replace("CAST(CAST(round(", "(((").replace(",10) AS FLOAT) AS DOUBLE)+0e0", ")))")
+        if "AS FLOAT" in inner:
+            raise ValueError("a rounding of the inner query was not undone")
         k = ", ".join(keys) + ", " if keys else ""
         return f"SELECT {k}avg({value}) AS mean, min({value}) AS min, max({value}) AS max FROM ({inner})" + (f" GROUP BY {', '.join(keys)}" if keys else "")
 
