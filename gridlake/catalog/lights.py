@@ -13,7 +13,7 @@ from gridlake.plans import landcover, lights, settlement, transport
 from gridlake.sources.fixtures import EPOCHS, GRID
 
 c = F.col
-ZONE_GRID = Grid(64, lon0=88.0, lat0=26.7, step=0.2)
+ZONE_GRID = Grid(64, lon0=88.0, lat0=26.7, step=1.0)
 LAST_A = 1998   # the test series spans 1995 to 2001, so both sensors occur
 LIGHT_SQL = (f"li AS (SELECT cell_id, yr, CASE WHEN yr<={LAST_A} THEN quantile_cont(light_dn,0.5) ELSE avg(light_dn) END AS light FROM signals WHERE {CALENDAR} GROUP BY 1,2)")
 SENSOR = f"CASE WHEN yr<={LAST_A} THEN 'A' ELSE 'B' END"
@@ -35,7 +35,7 @@ def raster(t):
 
 
 def economic_cells(t):
-    """The named zones on a grid of 0.2 degrees laid over the test cells; a zone has at least the cells next to its centre."""
+    """The named zones on a grid of one degree laid over the test cells; a zone has at least the cells next to its centre."""
     discs = zones.named_discs(zone_table(t.spark, ECONOMIC_ZONES, "disc"), ZONE_GRID, least=1)
     return zones.in_discs(t.cells.select("cell_id", "x", "y"), discs)
 
@@ -96,8 +96,8 @@ def register(q):
         return settlement.growth_by_zone(t.settlement, economic_cells(t), "zone")
     listed = [[p.strip() for p in line.split("|")] for line in ECONOMIC_ZONES.strip().splitlines()]
     values = ", ".join(f"('{n}', {lat}, {lon}, {radius})" for n, lat, lon, radius in listed)
-    q.add("J03_economic_zones", economic, "cells settlement", f"""ez AS (SELECT zone, round((lon-88.0)/0.2) AS cx, round((26.7-lat)/0.2) AS cy,
-        greatest(round(radius/111320.0/0.2),1) AS r FROM (VALUES {values}) v(zone, lat, lon, radius))
+    q.add("J03_economic_zones", economic, "cells settlement", f"""ez AS (SELECT zone, round(lon-88.0) AS cx, round(26.7-lat) AS cy,
+        greatest(round(radius/111320.0),1) AS r FROM (VALUES {values}) v(zone, lat, lon, radius))
         SELECT zone, epoch, CAST(sum(built) AS DOUBLE)/1e6 AS built_km2 FROM settlement s JOIN ez
         ON (s.x-cx)*(s.x-cx)+(s.y-cy)*(s.y-cy)<=r*r GROUP BY 1,2""")
     q.add("J04_buildup_density", lambda t: settlement.buildup_density(t.settlement, 10, tile=16), "settlement",
