@@ -160,8 +160,8 @@ WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text,
 s AS (SELECT c, turn, text, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS x FROM t),
 o AS (SELECT c, x, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, x) - 1 AS i FROM s),
 crc AS (SELECT c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
-              d -> [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
-              (a, b) -> CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+              lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
 r AS (SELECT crc.c, 0 AS part, i, x, text FROM crc JOIN o ON o.c = crc.c - crc.c % 20 WHERE i < h
       UNION ALL SELECT o.c, 1, i, x, text FROM o JOIN crc USING (c) WHERE i >= h),
 l AS (SELECT crc.c, coalesce(list(x ORDER BY part, i) FILTER (WHERE x IS NOT NULL), []) AS xs, list(text ORDER BY part, i) AS ts FROM crc LEFT JOIN r USING (c) GROUP BY crc.c),
