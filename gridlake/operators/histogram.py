@@ -152,7 +152,7 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], keys=(), ac
     parts of the bracket, with the neighbouring values outside; only the rows of the parts that
     hold a wanted rank are shuffled and ranked. A rank outside the bracket and its two
     neighbours would break the sketch's promise and raises an error. Keys and values are
-    stored once (a Spark job that runs as the query is built)."""
+    stored once, and so are the brackets (Spark jobs that run as the query is built)."""
     return _percentiles_of(stored(_values(df, value, keys), "values"), points, keys, accuracy, splits)
 
 
@@ -172,7 +172,8 @@ def _percentiles_of(base: DataFrame, points: dict[str, float], keys=(), accuracy
     k = list(keys)
     margin = 4.0 / accuracy
     edges = [q for p in points.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = base.groupBy(*k).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("_v").alias("_n"))
+    # a sketch depends on the order in which its parts are merged; the rows are placed twice and must see the same bracket
+    sketch = stored(base.groupBy(*k).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("_v").alias("_n")), "brackets")
     at, low, high = F.element_at(F.array([F.lit(float(p)) for p in points.values()]), F.col("_i") + 1) * (F.col("_n") - 1), \
         F.element_at("_b", 2 * F.col("_i") + 1), F.element_at("_b", 2 * F.col("_i") + 2)
     part = F.floor((F.col("_v") - low) / F.nullif(high - low, F.lit(0)) * F.lit(splits))
