@@ -30,8 +30,8 @@ def annual(t):
 
 def raster(t):
     light = temporal.calendar_years(t.signals).groupBy("cell_id", "yr").agg(F.percentile("light_dn", F.lit(0.5)).alias("light"))
-    years = temporal.calendar_years(t.signals).select("yr").distinct().withColumn("epoch", temporal.snap_year(c("yr"), EPOCHS))
-    return t.settlement.drop("area_m2").join(years, "epoch").drop("epoch").join(light, ["cell_id", "yr"], "left")
+    layers = settlement.layer_at(t.settlement.drop("area_m2"), temporal.calendar_years(t.signals).select("yr").distinct(), EPOCHS)
+    return layers.drop("epoch").join(light, ["cell_id", "yr"], "left")
 
 
 def economic_cells(t):

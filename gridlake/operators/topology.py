@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.session import stored, stored_with
+from gridlake.session import stored, stored_with, tasks_for
 
 #: Cells along the side of a tile.
 TILE = 256
@@ -183,7 +183,7 @@ def distance_to_set(df: DataFrame, mask: str, keys=(), out: str = "distance", ca
     names = [f.name for f in df.schema.fields if f.name != out]
     cells = _tiled(df.select(*names), tile)
     key_fields = [df.schema[c] for c in k]
-    summary_schema = T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in ["_tx", "_ty", *_ALL, *_SET]]
+    summary_schema = T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in ["_tx", "_ty", *_ALL, *_SET, "_rows"]]
                                   + [T.StructField(c, T.BinaryType()) for c in _OUTLINES])
 
     def summary(table: pa.Table) -> pa.Table:
@@ -192,11 +192,11 @@ def distance_to_set(df: DataFrame, mask: str, keys=(), out: str = "distance", ca
         sx, sy = x[here], y[here]
         values = [table[c][0].as_py() for c in [*k, "_tx", "_ty"]] + [int(v) for c in (x, y) for v in (c.min(), c.max())]
         values += [int(v) for c in (sx, sy) for v in (c.min(), c.max())] if len(here) else [None] * 4
-        columns = dict(zip(summary_schema.names, values + _outlines(sx, sy)))
+        columns = dict(zip(summary_schema.names, values + [len(x)] + _outlines(sx, sy)))
         return pa.table({c: pa.array([v], table.schema.field(c).type if c in k else pa.binary() if c in _OUTLINES else pa.int64()) for c, v in columns.items()})
 
     marked = cells.select(*k, "_tx", "_ty", "x", "y", F.coalesce(F.col(mask) == 1, F.lit(False)).alias("_set"))
-    extent = {f"{side}_{c}": getattr(F, side)(f"_t{c}") for c in "xy" for side in ("min", "max")}
+    extent = {f"{side}_{c}": getattr(F, side)(f"_t{c}") for c in "xy" for side in ("min", "max")} | {"rows": F.sum("_rows")}
     tiles, seen = stored_with(marked.groupBy(*k, "_tx", "_ty").applyInArrow(summary, summary_schema), "tiles", **extent)
     left, top = seen["min_x"] or 0, seen["min_y"] or 0
     span = max((seen["max_x"] or 0) - left, (seen["max_y"] or 0) - top)
@@ -242,5 +242,6 @@ def distance_to_set(df: DataFrame, mask: str, keys=(), out: str = "distance", ca
         return table.select(names).append_column(out, distance)
 
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, T.DoubleType())])
-    whole = cells.withColumn("_set", F.coalesce(F.col(mask) == 1, F.lit(False)))
+    tasks = tasks_for(df.sparkSession, seen["rows"] or 0)
+    whole = cells.withColumn("_set", F.coalesce(F.col(mask) == 1, F.lit(False))).repartition(tasks, *tile_key)
     return whole.groupBy(*tile_key).cogroup(others.groupBy(*tile_key)).applyInArrow(nearest, schema)

@@ -22,6 +22,11 @@ def local_session(cores: int = 8, name: str = "gridlake") -> SparkSession:
     return spark
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
+    """Partitions for so many rows: those of the session, or more where a task would have to sort more than ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a scratch folder on a local master without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
