@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from gridlake.catalog.base import DISC_CELLS, MEDIANS, ZONE_CELLS, clamp, km2, nd, norm, r, seasonal
 from gridlake.catalog.climate import LST_SQL, NDVI_SQL, qa
 from gridlake.catalog.coast import round_all
-from gridlake.catalog.lights import LAST_A, LIGHT_SQL, SNAP_SQL, annual as annual_lights
+from gridlake.catalog.lights import LAST_A, LIGHT_SQL, SNAP_SQL
 from gridlake.catalog.primitives import TEXTURE_SQL
 from gridlake.catalog.water import SEASON_W
 from gridlake.functions import algebra as A
@@ -12,6 +12,7 @@ from gridlake.model import DRY, HEAT_SEASON, KILN_SPECTRAL, KILN_THERMAL, MONSOO
 from gridlake.operators import temporal
 from gridlake.plans import acquisition as acq
 from gridlake.plans import climate, composite, floods, kilns, settlement, vegetation
+from gridlake.session import tasks_for
 from gridlake.sources.fixtures import EPOCHS, GRID
 
 c = F.col
@@ -21,8 +22,7 @@ XY = "CAST(cell_id % 64 AS INT) AS x, CAST(floor(cell_id/64) AS INT) AS y"
 
 def inputs(t):
     """(cell, yr): light, settlement layers of the nearest epoch, greenness."""
-    base = settlement.at_year(annual_lights(t), t.settlement, ["built", "population", "smod"], EPOCHS)
-    return base.join(vegetation.annual_max(t.signals).select("cell_id", "yr", "ndvi"), ["cell_id", "yr"], "left")
+    return settlement.at_year(composite.yearly_inputs(t.signals, LAST_A), t.settlement, ["built", "population", "smod"], EPOCHS).drop("lst_day")
 
 
 INPUT_SQL = LIGHT_SQL + "," + NDVI_SQL + f""", inp AS (SELECT li.cell_id, li.yr, light, built, population, smod, ndvi FROM li
@@ -46,9 +46,10 @@ ANOM_SQL = LST_SQL + f""", lx AS (SELECT cell_id, yr, {XY}, lst_day FROM ls), la
 
 
 def slum(t):
-    df = inputs(t).withColumn("epoch", temporal.snap_year(c("yr"), EPOCHS))
-    df = df.join(composite.building_density(t.settlement, 5), ["epoch", "cell_id"])
-    df = df.join(composite.temperature_anomaly(lst(t), 5).select("cell_id", "yr", "lst_anomaly"), ["cell_id", "yr"], "left")
+    """The layers pass through the discs beside their values, so that years and epochs are joined once."""
+    layers = composite.building_density(t.settlement, 5, beside=["built", "population", "smod"], tasks=tasks_for(t.spark, t.settlement.count()))
+    yearly = GRID.attach(composite.yearly_inputs(t.signals, LAST_A)).drop("area_m2")
+    df = settlement.at_year(composite.temperature_anomaly(yearly, 5, tasks=tasks_for(t.spark, t.signals.count(), 2_000_000)), layers, ["built", "population", "smod", "building_density"], EPOCHS)
     return composite.settlement_index(df, LAST_A).select("cell_id", "yr", "slum_index")
 
 

@@ -92,8 +92,8 @@ def sobel_magnitude(df: DataFrame, value: str, keys=(), out: str = "gradient") -
 
 
 def apply_tiled(df: DataFrame, value: str, radius: int, outputs, kernel: Callable, keys=(),
-                tile: int | None = None) -> DataFrame:
-    """Run ``kernel(array) -> {output: array}`` on tiles with a halo.
+                tile: int | None = None, tasks: int | None = None) -> DataFrame:
+    """Run ``kernel(array) -> {output: array}`` on tiles with a halo, in ``tasks`` partitions if given.
 
     ``array`` is the (tile + 2 radius)^2 block with NaN for missing cells; outputs are
     tile x tile. Result: the input rows plus one DOUBLE column per output. A block is bounded by
@@ -123,6 +123,8 @@ def apply_tiled(df: DataFrame, value: str, radius: int, outputs, kernel: Callabl
         return rows
 
     spread = df.withColumn("_tx", reach("x")).withColumn("_ty", reach("y"))
+    if tasks is not None:
+        spread = spread.repartition(tasks, *keys, "_tx", "_ty")
     return spread.groupBy(*keys, "_tx", "_ty").applyInPandas(run, schema)
 
 
@@ -139,7 +141,7 @@ def _disc_sum(block: np.ndarray, radius: int) -> np.ndarray:
 
 
 def disc_kernel(df: DataFrame, value: str, radius: int, keys=(), sum_out="disc_sum", count_out="disc_count",
-                tile: int | None = None) -> DataFrame:
+                tile: int | None = None, tasks: int | None = None) -> DataFrame:
     """Sum and count of unmasked cells within ``radius`` cells of every cell. Integer
     inputs stay exact; the mean is sum / count. The block is shifted by a whole number
     near its mean, which keeps the prefix sums of real values small and precise."""
@@ -148,7 +150,7 @@ def disc_kernel(df: DataFrame, value: str, radius: int, keys=(), sum_out="disc_s
         shift = float(np.rint(block[seen].mean())) if seen.any() else 0.0
         count = _disc_sum(seen.astype(float), radius)
         return {sum_out: _disc_sum(np.where(seen, block - shift, 0.0), radius) + shift * count, count_out: count}
-    return apply_tiled(df, value, radius, [sum_out, count_out], kernel, keys, tile)
+    return apply_tiled(df, value, radius, [sum_out, count_out], kernel, keys, tile, tasks)
 
 
 def disc_mean(sum_col="disc_sum", count_col="disc_count") -> Column:

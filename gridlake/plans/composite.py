@@ -4,12 +4,23 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import algebra as A
 from gridlake.functions import indices as I
-from gridlake.operators import focal, histogram
+from gridlake.operators import focal, histogram, temporal
+from gridlake.plans import climate, vegetation
 from gridlake.plans import lights as L
 
 ONE = 1.0
 
 
+def yearly_inputs(signals: DataFrame, last_a: int = L.LAST_YEAR_A) -> DataFrame:
+    """Light, greenness and day temperature per (cell, year) in one pass; what a query leaves unused is pruned."""
+    found = temporal.calendar_years(signals).groupBy("cell_id", "yr").agg(
+        F.percentile("light_dn", F.lit(0.5)).alias("_m"), F.avg("light_dn").alias("_a"),
+        (F.max(vegetation.good_quality("ndvi_dn")) * F.lit(vegetation.SCALE)).alias("ndvi"),
+        climate.celsius(F.avg(climate.quality_lst("day"))).alias("lst_day"))
+    light = F.when(F.col("yr") <= last_a, F.col("_m")).otherwise(F.col("_a"))
+    return found.select("cell_id", "yr", light.alias("light"), "ndvi", "lst_day")
+
+
 def cropland_fraction(cells: DataFrame, radius_cells: int, code: int = 40) -> DataFrame:
     """Share of cropland cells in a disc around every cell."""
     mask = cells.select("cell_id", "x", "y", A.flag(F.col("worldcover") == code).alias("_c"))
@@ -75,9 +86,11 @@ def light_deficit(light_norm: Column, built: Column) -> Column:
     return F.lit(ONE) - A.clamp(light_norm / safe, 0.0, 1.0)
 
 
-def building_density(settlement: DataFrame, radius_cells: int, keys=("epoch",)) -> DataFrame:
-    k = focal.disc_kernel(settlement.select(*keys, "cell_id", "x", "y", "built"), "built", radius_cells, keys)
-    return k.select(*keys, "cell_id", focal.disc_mean().alias("building_density"))
+def building_density(settlement: DataFrame, radius_cells: int, keys=("epoch",), beside=(), tasks: int | None = None) -> DataFrame:
+    """Mean built-up surface of the disc around the cell; ``beside`` names columns that stay with the row."""
+    kept = [c for c in beside if c != "built"]
+    k = focal.disc_kernel(settlement.select(*keys, "cell_id", "x", "y", "built", *kept), "built", radius_cells, keys, tasks=tasks)
+    return k.select(*keys, "cell_id", *beside, focal.disc_mean().alias("building_density"))
 
 
 def texture(composites: DataFrame, keys=("yr",), scale: float = 1.0) -> DataFrame:
@@ -86,9 +99,9 @@ def texture(composites: DataFrame, keys=("yr",), scale: float = 1.0) -> DataFram
     return focal.texture_entropy(band.select(*keys, "cell_id", "x", "y", "_n"), "_n", keys).drop("_n")
 
 
-def temperature_anomaly(lst: DataFrame, radius_cells: int, keys=("yr",), value: str = "lst_day") -> DataFrame:
+def temperature_anomaly(lst: DataFrame, radius_cells: int, keys=("yr",), value: str = "lst_day", tasks: int | None = None) -> DataFrame:
     """Temperature minus the mean of the disc around the cell."""
-    k = focal.disc_kernel(lst, value, radius_cells, keys)
+    k = focal.disc_kernel(lst, value, radius_cells, keys, tasks=tasks)
     return k.withColumn("lst_anomaly", F.col(value) - focal.disc_mean()).drop("disc_sum", "disc_count")
 
 

@@ -1,11 +1,28 @@
 """Inputs that several parts of a query share are made once, and no task holds more as the table grows."""
-from gridlake.catalog import lights
+import re
+
+import pytest
+
+from gridlake.catalog import build, lights
 from gridlake.session import tasks_for
 from gridlake.sources.fixtures import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def scans(df):
+    return len(re.findall(r"Relation ?\[l_", plan(df)))
+
+
+@pytest.mark.parametrize("name, most", [("X14_settlement_index", 1), ("X02_deprivation_index", 1)])
+def test_observations_are_read_once_for_what_is_shared(spark, name, most):
+    assert scans(build().queries[name](spark, FOLDER)) <= most
+
+
 def test_years_are_broadcast_to_the_layers(spark):
     limit = "spark.sql.autoBroadcastJoinThreshold"
     spark.conf.set(limit, "-1")
