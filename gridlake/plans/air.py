@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import algebra as A
 from gridlake.model import AIR_SEASONS, POLLUTANT_QA, POLLUTANT_START
 from gridlake.operators import histogram, temporal
+from gridlake.session import stored
 
 COLUMNS = {"no2": "no2_dn", "so2": "so2_dn", "co": "co_dn", "aerosol": "aai_dn", "hcho": "hcho_dn"}
 
@@ -42,12 +43,30 @@ def stats(cells: DataFrame, pollutant: str, keys=("yr",)) -> DataFrame:
     return histogram.with_percentiles(cells, pollutant, {"median": 0.5}, [F.avg(pollutant).alias("mean"), F.max(pollutant).alias("max")], keys)
 
 
+def stats_of(cells: DataFrame, pollutants, keys=("yr",)) -> dict[str, DataFrame]:
+    """The statistics of several pollutants in one pass over the cells; only the result, a row per pollutant and key, is read again."""
+    k = list(keys)
+    each = F.array(*[F.struct(F.lit(p).alias("pollutant"), F.col(p).alias("value")) for p in pollutants])
+    found = stored(stats(cells.select(*k, F.inline(each)), "value", ["pollutant", *k]), "air-stats")
+    return {p: found.filter(F.col("pollutant") == p).drop("pollutant") for p in pollutants}
+
+
 def seasonal(df: DataFrame, qa: Column, pollutant: str, years=None) -> DataFrame:
     """Zone mean per season, one column each."""
+    return _seasons(df, qa, [pollutant], years).select("yr", *[F.col(f"{pollutant}_{s.name}").alias(s.name) for s in AIR_SEASONS])
+
+
+def seasonal_of(df: DataFrame, qa: Column, pollutants, years=None) -> dict[str, DataFrame]:
+    """The same of several pollutants in one pass over the observations."""
+    found = stored(_seasons(df, qa, pollutants, years), "air-seasons")
+    return {p: found.select("yr", *[F.col(f"{p}_{s.name}").alias(s.name) for s in AIR_SEASONS]) for p in pollutants}
+
+
+def _seasons(df: DataFrame, qa: Column, pollutants, years=None) -> DataFrame:
     tagged = temporal.assign_season(df, AIR_SEASONS, years)
-    v = valid(pollutant, qa, F.col(COLUMNS[pollutant]))
-    cell = tagged.groupBy("cell_id", "yr").agg(*[F.avg(F.when(F.col("season") == s.name, v)).alias(s.name) for s in AIR_SEASONS])
-    return cell.groupBy("yr").agg(*[F.avg(s.name).alias(s.name) for s in AIR_SEASONS])
+    values = {f"{p}_{s.name}": F.when(F.col("season") == s.name, valid(p, qa, F.col(COLUMNS[p]))) for p in pollutants for s in AIR_SEASONS}
+    cell = tagged.groupBy("cell_id", "yr").agg(*[F.avg(v).alias(n) for n, v in values.items()])
+    return cell.groupBy("yr").agg(*[F.avg(n).alias(n) for n in values])
 
 
 def by_zone(cells: DataFrame, zone_cells: DataFrame, key: str, pollutant: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Batch products: each returns the tables of one domain report as {name: DataFrame}.
 
-Nothing runs until a table is written. Inputs that several tables share (yearly masks,
-lights, vegetation) are ordinary DataFrames: persist them or write them once with
-``sinks.write_table`` when a product is run repeatedly."""
+Inputs that several tables of a report share (rice masks, the transport raster, yearly pollutants)
+are stored once, which runs Spark jobs as the report is built; the rest runs as a table is written."""
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import algebra as A
 from gridlake.model import Grid
 from gridlake.model import POLLUTANT_START
+from gridlake.session import stored
 from gridlake.plans import (air, climate, coast, composite, crops, cyclones, landcover, lights, ponds, settlement, soil, transport,
                             vegetation)
 
@@ -44,7 +44,7 @@ def pond_report(found: DataFrame, cells: DataFrame, zone_cells: DataFrame, key:
 
 
 def crop_report(obs: DataFrame, classes: DataFrame, vegetation_obs: DataFrame, cells: DataFrame, area: Column, profile_years, baseline) -> dict[str, DataFrame]:
-    rice = crops.rice_masks(obs)
+    rice = stored(crops.rice_masks(obs), "rice")
     types = crops.crop_types(landcover.yearly_mode(classes), rice)
     intensity = crops.cropping_intensity(vegetation_obs, cells)
     return {"rice": crops.rice_areas(rice, area), "types": crops.crop_areas(types, area),
@@ -83,8 +83,9 @@ def infrastructure_report(modes: DataFrame, built: DataFrame, raster: DataFrame,
 
 def transport_report(raster: DataFrame, built: DataFrame, zone_cells: DataFrame, area: Column, bright: float = 5.0) -> dict[str, DataFrame]:
     """Every year of the raster; its rows are keyed by yr."""
+    raster = stored(raster, "raster")
     index = transport.underserved(raster)
-    market = transport.market_access(raster, ["yr"], bright=bright)
+    market = stored(transport.market_access(raster, ["yr"], bright=bright).select("yr", "market_access", "light_gradient"), "market")
     return {"settlement": transport.settlement_areas(built, area), "accessibility": raster_summary(transport.accessibility(raster, ["yr"]), "accessibility"),
             "underserved": transport.underserved_population(index, keys=["yr"]), "gap": transport.gap_by_zone(index, zone_cells, ["division", "yr"]),
             "market": raster_summary(market, "market_access"), "gradient": raster_summary(market, "light_gradient")}
@@ -93,10 +94,11 @@ def transport_report(raster: DataFrame, built: DataFrame, zone_cells: DataFrame,
 def air_report(df: DataFrame, qa: Column, zone_cells: DataFrame, key: str, span, pollutants=tuple(air.COLUMNS),
                reliable: str | None = POLLUTANT_START) -> dict[str, DataFrame]:
     """Series per pollutant, seasons, cities, hotspots and the yearly stack of one span."""
-    yearly = air.yearly(df, qa, reliable=reliable)
-    out = {f"series_{p}": air.stats(yearly, p) for p in pollutants}
-    out |= {f"seasons_{p}": air.seasonal(df, qa, p) for p in pollutants[:2]}
-    out |= {f"cities_{p}": air.by_zone(yearly, zone_cells, key, p) for p in pollutants[:2]}
+    yearly = stored(air.yearly(df, qa, reliable=reliable), "air")
+    out = {f"series_{p}": t for p, t in air.stats_of(yearly, pollutants).items()}
+    out |= {f"seasons_{p}": t for p, t in air.seasonal_of(df, qa, pollutants[:2]).items()}
+    zoned = yearly.join(zone_cells.select(key, "cell_id"), "cell_id")
+    out |= {f"cities_{p}": t for p, t in air.stats_of(zoned, pollutants[:2], (key, "yr")).items()}
     out["hotspots"] = air.hotspots(yearly.select("cell_id", "yr", "no2"), "no2").groupBy("yr", "threshold").agg(F.sum("hotspot").alias("hotspot_cells"))
     stack = air.stack(df, qa, *span, reliable, ("cell_id", "yr"))
     out["stack"] = stack.agg(*[F.avg(p).alias(p) for p in pollutants])

@@ -18,7 +18,8 @@ def scans(df):
     return len(re.findall(r"Relation ?\[l_", plan(df)))
 
 
-@pytest.mark.parametrize("name, most", [("X14_settlement_index", 1), ("X02_deprivation_index", 1)])
+@pytest.mark.parametrize("name, most", [("X14_settlement_index", 1), ("X02_deprivation_index", 1), ("AQ07_air_product", 1), ("T07_transport_product", 0),
+                                        ("O09_crop_product", 5)])
 def test_observations_are_read_once_for_what_is_shared(spark, name, most):
     assert scans(build().queries[name](spark, FOLDER)) <= most
 
