@@ -1,10 +1,13 @@
 """Helpers shared by the corpus operators: the common folder, word spans and word hashes of byte texts."""
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text hashed at a time; a constant.
+SLICE = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -47,6 +52,36 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """What this worker has freed goes back to the system; where libc can't trim, Arrow's share does."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def given_back(f):
+    """A task's function over batches or groups that returns freed memory when it ends: idle Python
+    workers would keep it beside the executor's heap."""
+    if inspect.isgeneratorfunction(f):
+        def run(batches):
+            try:
+                yield from f(batches)
+            finally:
+                give_back()
+    elif len(inspect.signature(f).parameters) == 1:
+        def run(rows):
+            out = f(rows)
+            give_back()
+            return out
+    else:
+        def run(left, right):
+            out = f(left, right)
+            give_back()
+            return out
+    return run
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -116,9 +151,17 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 def joined_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of many texts, and where each text's words begin (one more bound at the end)."""
-    data = b"\n".join(texts)
-    starts, ends = word_spans(data)
-    bounds = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
-    return span_hashes(prefix_sums(data), starts, ends), np.searchsorted(starts, bounds)
+    """Hashes of the words of many texts, and where each text's words begin (one more bound at the end).
+
+    Texts are hashed about SLICE bytes at a time, as the sums take many times their room."""
+    hashes, counts, first = [], [], 0
+    cuts = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) // SLICE
+    for end in [*(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]:
+        own = texts[first:end]
+        data = b"\n".join(own)
+        starts, ends = word_spans(data)
+        hashes.append(span_hashes(prefix_sums(data), starts, ends))
+        bounds = np.cumsum([0] + [len(t) + 1 for t in own])
+        counts.append(np.diff(np.searchsorted(starts, bounds)))
+        first = end
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])

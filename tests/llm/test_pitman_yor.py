@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlake.llm import pitman_yor as py
+from gridlake.llm import shared
 
 
 def held(i, mod=10):
@@ -88,3 +89,25 @@ def test_scores(spark):
     assert py.scored(docs.limit(0), held_column()).count() == 0
     none = py.scored(docs.limit(3), F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in none)
+
+
+def test_every_preceding_word_is_a_context_of_its_own(spark):
+    texts = [f"w{i} v{i}" for i in range(1000)]
+    words, context, doc = py.token_stream(texts)
+    assert len(set(context.tolist())) == 2001 and (context[1:] == words[:-1]).all() and context[0] == py.END
+    # each of 1,000 words has one successor: with a few hundred contexts many would share a restaurant
+    docs = spark.createDataFrame([(i, f"{t} " * 5) for i, t in enumerate(texts * 2)], "doc_id long, text string").repartition(4)
+    got = py.scored(docs, F.col("doc_id") >= 1000, block_bytes=5_000, group_bytes=5_000).filter("held_out").agg(F.sum("score"), F.sum("n_tokens"), F.count("*")).first()
+    assert got[2] == 1000 and got[0] / got[1] > -0.75
+
+
+def test_words_of_many_texts_in_slices():
+    rng = np.random.default_rng(2)
+    texts = [b" ".join(b"%d" % x for x in rng.integers(0, 99, n)) for n in (0, 5, 0, 90, 3, 40, 1)]
+    want = [shared.joined_words([t])[0].tolist() for t in texts]
+    for size in (1, 64, 1 << 20):
+        before, shared.SLICE = shared.SLICE, size
+        hashes, bounds = shared.joined_words(texts)
+        shared.SLICE = before
+        assert [hashes[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert shared.joined_words([])[1].tolist() == [0]
