@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,6 +33,8 @@ def histogram(df: DataFrame, value: str, keys=(), buckets: int = 255) -> DataFra
 NARROWEST = -40
 #: Keys whose histograms a task holds before it passes them on and begins anew.
 HELD_KEYS = 1000
+#: Rows of a key that one task may sort by itself; longer keys take the brackets.
+SORTED_ROWS = 100_000
 
 
 def _exponent(low: float, high: float, buckets: int) -> int:
@@ -161,9 +163,26 @@ def with_percentiles(df: DataFrame, value: str, points: dict[str, float], aggs,
     and the other ``columns``, is stored once, so that what made it is not evaluated for each of them."""
     k = list(keys)
     base = stored(df.select(*k, value, *columns), "values")
+    if _are_small(base, k):
+        return base.groupBy(*k).agg(*aggs, *_sorted_percentiles(value, points))
     return base.groupBy(*k).agg(*aggs).join(_percentiles_of(_values(base, value, k), points, k), k, "left")
 
 
+def _are_small(base: DataFrame, keys) -> bool:
+    """Whether every key has few rows, as zones within a year have: then each is sorted by itself."""
+    return bool(keys) and (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= SORTED_ROWS
+
+
+def _sorted_percentiles(value: str, points: dict[str, float]) -> list[Column]:
+    """Exact percentiles in one aggregation that holds the values of a key; the same arithmetic as by brackets."""
+    values = F.sort_array(F.collect_list(F.col(value).cast("double")))
+    def at(p):
+        place = F.lit(float(p)) * (F.size(values) - 1)
+        lower, upper = (F.get(values, f(place).cast("int")) for f in (F.floor, F.ceil))
+        return lower + (upper - lower) * (place - F.floor(place))
+    return [at(p).alias(name) for name, p in points.items()]
+
+
 def _values(df: DataFrame, value: str, keys) -> DataFrame:
     return df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
 
