@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gridlake.llm.shared import small_batches, text_or_empty
+from gridlake.llm.shared import given_back, small_batches, text_or_empty
 
 #: Texts with more characters than this are cut; a leaf has at most half as many.
 LEAF = 1 << 16
@@ -232,6 +232,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
     def narrow(ids: bytes) -> bytes:
         return ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
 
+    @given_back
     def short(batches):
         enc = encoder(path)
         for batch in batches:
@@ -249,6 +250,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pieces)
 
+    @given_back
     def leaves(batches):
         enc = encoder(path)
         for batch in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
@@ -258,6 +260,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
                 schema=encoded_pieces)
         enc.forget()
 
+    @given_back
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(path)
         pdf = pdf.sort_values("k")
@@ -284,6 +287,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
     names = [c for c in rows.columns if c != "decoded"]
 
+    @given_back
     def run(batches):
         enc = encoder(path)
         for batch in batches:

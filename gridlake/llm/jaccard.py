@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.graph import components
-from gridlake.llm.shared import joined_words, lower_ascii, mixed, small_batches, stored
+from gridlake.llm.shared import given_back, joined_words, lower_ascii, mixed, small_batches, stored
 
 WORDS, PERCENT = 5, 80
 #: Tokens in more prefixes than this are of the frequent class.
@@ -149,6 +149,7 @@ def _slices(batch: pa.RecordBatch, column: int, rows: int = 256):
 
 def _prefix_tokens(docs: DataFrame, words: int, percent: int, hot=None) -> DataFrame:
     """Prefix tokens of every document, one a row."""
+    @given_back
     def run(batches):
         frequent = Filter(hot.value) if hot is not None else None
         for batch in batches:
@@ -177,6 +178,7 @@ def indexed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequen
     known = context.broadcast(_filter(_prefix_tokens(docs, words, percent, hot).filter(F.col("n") > 1), SHARED_BITS))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @given_back
     def run(batches):
         common, shared = Filter(hot.value), Filter(known.value)
         for batch in batches:
@@ -197,6 +199,7 @@ def indexed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequen
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
+    @given_back
     def run(batches):
         for batch in batches:
             kept = np.zeros(batch.num_rows, bool)

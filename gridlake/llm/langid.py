@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import small_batches
+from gridlake.llm.shared import given_back, small_batches
 
 #: Code point ranges of scripts (first, last, name); letters elsewhere are script 0.
 SCRIPT_RANGES = (
@@ -124,6 +124,7 @@ def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS) -> Model:
     for name, n in large.items():
         keep = keep & ((F.col("lang") != name) | (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n)))
 
+    @given_back
     def run(batches):
         counts = np.zeros((len(names), BUCKETS), np.int64)
         seen = np.zeros((len(names), len(SCRIPTS)), np.int64)
@@ -217,6 +218,7 @@ def identified(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -
     at = names.index("text")
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
+    @given_back
     def run(batches):
         model = pickle.loads(packed)
         for batch in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.bpe import encoded, vocabulary
-from gridlake.llm.shared import stored
+from gridlake.llm.shared import given_back, stored
 
 WINDOW, END_ID = 4096, 2
 #: Tokens of a packing shard, about; a constant, so that a shard fits a task at every size of the corpus.
@@ -32,6 +32,7 @@ def document_frequencies(tokens: DataFrame, vocabulary_size: int, kind: str = "<
 
     A task sends one vector of the vocabulary's length, and Spark adds them up by ranges of
     ids, so what reaches the driver is bounded by the vocabulary."""
+    @given_back
     def run(batches):
         counts, docs, total = np.zeros(vocabulary_size, np.int64), 0, 0
         for batch in batches:
@@ -163,6 +164,7 @@ def best_seeds(queries: DataFrame, seeds: DataFrame, parts: int, idf: np.ndarray
     spark, found = queries.sparkSession, []
 
     def searcher(shared):
+        @given_back
         def run(batches):
             for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
                 index = shared.value
@@ -290,6 +292,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean_length = total / max(n, 1)
 
+    @given_back
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "ids"], kind="stable")
         own = [np.frombuffer(x, kind) for x in pdf["ids"]]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import mixed, prefix_sums, small_batches, stored, text_or_empty, _POWERS
+from gridlake.llm.shared import _POWERS, given_back, mixed, prefix_sums, small_batches, stored, text_or_empty
 
 LENGTH, GRAM = 200, 40
 #: Suffixes that a task sorts into one run at most.
@@ -239,6 +239,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", text_or_empty()))
     texts = keyed.select("_key", text_or_empty().alias("t"))
 
+    @given_back
     def find(batches):
         for batch in batches:
             keys, places, hashes = [], [], []
@@ -255,6 +256,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     twice = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
     hits = stored(found.join(twice, "hash").groupBy("_key").agg(F.collect_set("place").alias("_places")), "hits")
 
+    @given_back
     def sort(batches):
         held, n = {}, 0
         for batch in batches:
@@ -271,6 +273,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         for g in sorted(held):
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([front_coded(held.pop(g))], pa.binary())], ["group", "run"])
 
+    @given_back
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         key, begin, end = merge_group(pdf["run"].tolist(), length, gram)
         return pd.DataFrame({"_key": key, "begin": begin.astype("int32"), "end": end.astype("int32")})
@@ -283,6 +286,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     at, last = names.index("text"), names.index("_ranges")
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
+    @given_back
     def cut(batches):
         for batch in batches:
             sizes, kept, removed = [], [], []
