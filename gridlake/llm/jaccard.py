@@ -9,14 +9,15 @@ of one group are indexed. K grows with the set size, so that pairs stay about as
 tokens. Candidates are verified on whole texts.
 
 A bucket of near copies must not emit all its pairs: first a few rounds link every member to one
-leader, then only pairs across components are left, which are all verified."""
+leader, then only pairs across components are left. A pair of a bucket is given out only if sketches
+of both sets allow the similarity; what is given out and shares enough tokens is verified."""
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm.graph import components
@@ -28,6 +29,9 @@ FREQUENT = 64
 #: Bits of the filters that tell the classes; their size is fixed, more tokens only make them less selective.
 FREQUENT_BITS, SHARED_BITS = 1 << 23, 1 << 26
 LEADER_ROUNDS = 3
+#: 64-bit words of a set's sketch.
+SKETCH_WORDS = 4
+SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -80,6 +84,13 @@ def _has_partners(size: int, percent: int) -> bool:
     return 100 * size >= percent * (size + 1)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of a set's tokens in 64 * SKETCH_WORDS places: sketches of two sets differ in no more bits than the sets in tokens."""
+    bits = 64 * SKETCH_WORDS
+    odd = np.bincount((tokens >> np.uint64(24)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 class Filter:
     """A fixed-size Bloom filter over 64-bit tokens, two bits each."""
 
@@ -168,7 +179,7 @@ def _prefix_tokens(docs: DataFrame, words: int, percent: int, hot=None) -> DataF
 
 
 def indexed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_shingles, digest, signatures, single, hot, text): the text only where there are signatures.
+    """(doc_id, n_shingles, digest, signatures, single, hot, s0.., text): the text only where there are signatures.
 
     Three passes over the texts: token counts in hash order find the frequent class, counts in
     the final order find the rare tokens that two documents share, the last makes signatures."""
@@ -185,16 +196,18 @@ def indexed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequen
             for part, texts in _slices(batch, 1):
                 sets = shingle_sets(texts, words)
                 marks = [signatures(s, common, shared, percent) for s in sets]
+                sketches = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH_WORDS)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([m.view(np.int64) for m, _, _ in marks], pa.list_(pa.int64())),
                     pa.array([x for _, x, _ in marks], pa.int32()), pa.array([x for _, _, x in marks], pa.int32()),
+                    *[pa.array(np.ascontiguousarray(x)) for x in sketches.T],
                     pa.array([t if len(m) else None for t, (m, _, _) in zip(texts, marks)], pa.string())],
-                    ["doc_id", "n_shingles", "digest", "signatures", "single", "hot", "text"])
+                    ["doc_id", "n_shingles", "digest", "signatures", "single", "hot", *SKETCH, "text"])
 
     return stored(docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_shingles long, digest binary, signatures array<long>, single int, hot int, text string"), "index")
+        run, f"doc_id {id_type}, n_shingles long, digest binary, signatures array<long>, single int, hot int, {', '.join(f'{c} long' for c in SKETCH)}, text string"), "index")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -213,6 +226,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                     at += 1
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
+    # the texts of the pairs only, so that not all texts are shuffled
+    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
     rows = (pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("right")), "b")
             .join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right"))
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
@@ -233,18 +248,19 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
                      .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     # one row of each class; repeated rows fall together in the exchange of the join
     key = ["doc_id", "n_shingles", "digest"]
-    own = (index.filter(F.size("signatures") > 0).select(*key, "signatures", "single", "hot")
+    own = (index.filter(F.size("signatures") > 0).select(*key, "signatures", "single", "hot", *SKETCH)
            .join(classes.withColumnRenamed("rep", "doc_id"), key).dropDuplicates(key))
     texts = index.filter(F.size("signatures") > 0).select(F.col("doc_id").alias("rep"), "text")
     buckets = own.select(F.explode(F.array_distinct("signatures")).alias("signature"), F.col("doc_id").alias("rep"),
-                         F.col("n_shingles").alias("n"), "single", "hot", F.col("doc_id").alias("comp"))
+                         F.col("n_shingles").alias("n"), "single", "hot", *SKETCH, F.col("doc_id").alias("comp"))
     # tokens that the prefixes must share, less the frequent ones: see the module
     k = "greatest(1, shiftright(shiftleft(1, length(bin(least(n, m))) - 1), 4)) + 1"
     overlap = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
     both = ", ".join(f"least({x}, {x} - ({percent} * {x} + 99) div 100 + {k}) - ({x} - {overlap})" for x in ("n", "m"))
     need = f"(least({both}) - least(hot, other_hot))"
     enough = F.expr(f"n_shared >= {need}")
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and {need} <= least(single, other_single)")
+    apart = " + ".join(f"bit_count({c} ^ other_{c})" for c in SKETCH)
+    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and {need} <= least(single, other_single) and {apart} <= n + m - 2 * {overlap}")
     links = tested = None
 
     def open_buckets(rows):
@@ -252,9 +268,14 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
         several = rows.groupBy("signature").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("signature")
         return stored(rows.join(several, "signature"), "buckets")
 
+    def named(rows):
+        """The rows of a bucket as the first of a pair."""
+        return rows.select("signature", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("hot").alias("other_hot"), F.col("single").alias("other_single"),
+                           *[F.col(c).alias(f"other_{c}") for c in SKETCH], F.col("comp").alias("other"))
+
     def check(pairs):
-        nonlocal links, tested
         """Verifies the pairs of a row per shared signature (a, b with sizes m, n, frequent tokens other_hot, hot)."""
+        nonlocal links, tested
         pairs = pairs.groupBy("a", "b", "n", "m", "hot", "other_hot").agg(F.count(F.lit(1)).alias("n_shared")).filter(enough)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
@@ -268,17 +289,14 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
     for turn in range(leader_rounds):
         if buckets.isEmpty():
             break
-        leaders = buckets.groupBy("signature").agg(F.min_by(F.struct("rep", "n", "single", "hot", "comp"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("x"))
-        leaders = leaders.select("signature", F.col("x.rep").alias("a"), F.col("x.n").alias("m"),
-                                 F.col("x.hot").alias("other_hot"), F.col("x.single").alias("other_single"), F.col("x.comp").alias("other"))
+        order = Window.partitionBy("signature").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
+        leaders = named(buckets.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1))
         check(buckets.join(leaders, "signature").filter((F.col("comp") != F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
         label = stored(components(links), "components")
         buckets = open_buckets(buckets.drop("comp").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "signature", "rep", "n", "single", "hot", F.coalesce("component", "rep").alias("comp")))
-    other = buckets.select("signature", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("hot").alias("other_hot"),
-                           F.col("single").alias("other_single"), F.col("comp").alias("other"))
+            "signature", "rep", "n", "single", "hot", *SKETCH, F.coalesce("component", "rep").alias("comp")))
     if not buckets.isEmpty():
-        check(buckets.join(other, "signature").filter((F.col("comp") < F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
+        check(buckets.join(named(buckets), "signature").filter((F.col("comp") < F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
     if links is None:
         return members.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     label = components(links).withColumnRenamed("node", "rep")

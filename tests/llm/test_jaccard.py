@@ -94,3 +94,19 @@ def test_similar_sets_share_a_signature():
                         bits[at >> 6] |= np.uint64(1 << (at & 63))
                 hot = jaccard.Filter(bits)
                 assert _meet(x, y, hot), (share, size)
+
+
+def test_sketches_part_the_unlike_and_never_the_similar():
+    """What a bucket of near copies gives out must not grow with all its pairs."""
+    rng = np.random.default_rng(11)
+    kept = {0.6: 0, 0.8: 0}
+    for share in kept:
+        for size in (40, 146, 400):
+            for _ in range(50):
+                tokens = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+                both = -int(-2 * size * share // (1 + share))
+                x, y = np.unique(tokens[:size]), np.unique(tokens[size - both:2 * size - both])
+                apart = int(np.bitwise_count((jaccard.sketch(x) ^ jaccard.sketch(y)).view("<u8")).sum())
+                assert apart <= len(np.setxor1d(x, y))
+                kept[share] += apart <= 2 * size - 2 * -(-80 * 2 * size // 180)
+    assert kept[0.8] == 150 and kept[0.6] < 20, kept
