@@ -8,9 +8,9 @@ tokens fall into K - 1 groups by hash, two of them share a group: pairs of frequ
 of one group are indexed. K grows with the set size, so that pairs stay about as many as the
 tokens. Candidates are verified on whole texts.
 
-A bucket of near copies must not emit all its pairs: first a few rounds link every member to one
-leader, then only pairs across components are left. A pair of a bucket is given out only if sketches
-of both sets allow the similarity; what is given out and shares enough tokens is verified."""
+A bucket of near copies must not emit all its pairs: first a few rounds link every member to some
+leaders, then only pairs across components are left. Of these a bucket gives out only those whose
+sketches allow the similarity; what is given out and shares enough tokens is verified."""
 from __future__ import annotations
 
 import hashlib
@@ -28,7 +28,7 @@ WORDS, PERCENT = 5, 80
 FREQUENT = 64
 #: Bits of the filters that tell the classes; their size is fixed, more tokens only make them less selective.
 FREQUENT_BITS, SHARED_BITS = 1 << 23, 1 << 26
-LEADER_ROUNDS = 3
+LEADER_ROUNDS, LEADERS = 3, 4
 #: 64-bit words of a set's sketch.
 SKETCH_WORDS = 4
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
@@ -248,11 +248,11 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
                      .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     # one row of each class; repeated rows fall together in the exchange of the join
     key = ["doc_id", "n_shingles", "digest"]
-    own = (index.filter(F.size("signatures") > 0).select(*key, "signatures", "single", "hot", *SKETCH)
+    own = (index.filter(F.size("signatures") > 0).select(*key, "signatures", "single", "hot")
            .join(classes.withColumnRenamed("rep", "doc_id"), key).dropDuplicates(key))
     texts = index.filter(F.size("signatures") > 0).select(F.col("doc_id").alias("rep"), "text")
     buckets = own.select(F.explode(F.array_distinct("signatures")).alias("signature"), F.col("doc_id").alias("rep"),
-                         F.col("n_shingles").alias("n"), "single", "hot", *SKETCH, F.col("doc_id").alias("comp"))
+                         F.col("n_shingles").alias("n"), "single", "hot", F.col("doc_id").alias("comp"))
     # tokens that the prefixes must share, less the frequent ones: see the module
     k = "greatest(1, shiftright(shiftleft(1, length(bin(least(n, m))) - 1), 4)) + 1"
     overlap = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
@@ -260,7 +260,8 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
     need = f"(least({both}) - least(hot, other_hot))"
     enough = F.expr(f"n_shared >= {need}")
     apart = " + ".join(f"bit_count({c} ^ other_{c})" for c in SKETCH)
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and {need} <= least(single, other_single) and {apart} <= n + m - 2 * {overlap}")
+    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and {need} <= least(single, other_single)")
+    alike = F.expr(f"{apart} <= n + m - 2 * {overlap}")
     links = tested = None
 
     def open_buckets(rows):
@@ -270,8 +271,7 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
 
     def named(rows):
         """The rows of a bucket as the first of a pair."""
-        return rows.select("signature", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("hot").alias("other_hot"), F.col("single").alias("other_single"),
-                           *[F.col(c).alias(f"other_{c}") for c in SKETCH], F.col("comp").alias("other"))
+        return rows.select(*[F.col(c).alias({"rep": "a", "n": "m", "comp": "other"}.get(c, c if c == "signature" else f"other_{c}")) for c in rows.columns])
 
     def check(pairs):
         """Verifies the pairs of a row per shared signature (a, b with sizes m, n, frequent tokens other_hot, hot)."""
@@ -290,13 +290,16 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
         if buckets.isEmpty():
             break
         order = Window.partitionBy("signature").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
-        leaders = named(buckets.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1))
+        leaders = named(buckets.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= LEADERS).drop("_place"))
         check(buckets.join(leaders, "signature").filter((F.col("comp") != F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
         label = stored(components(links), "components")
         buckets = open_buckets(buckets.drop("comp").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "signature", "rep", "n", "single", "hot", *SKETCH, F.coalesce("component", "rep").alias("comp")))
+            "signature", "rep", "n", "single", "hot", F.coalesce("component", "rep").alias("comp")))
     if not buckets.isEmpty():
-        check(buckets.join(named(buckets), "signature").filter((F.col("comp") < F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
+        # of rows that repeat an id each sketch meets the buckets; wrong pairs fail the verification
+        sketches = index.filter(F.size("signatures") > 0).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SKETCH).distinct()
+        buckets = buckets.join(sketches, ["rep", "n"])
+        check(buckets.join(named(buckets), "signature").filter((F.col("comp") < F.col("other")) & fits & alike).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
     if links is None:
         return members.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     label = components(links).withColumnRenamed("node", "rep")
