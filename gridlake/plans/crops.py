@@ -69,14 +69,27 @@ def crop_areas(types: DataFrame, area) -> DataFrame:
     return zonal.area_by_class(types, "crop_type", area, dict(enumerate(CROP_TYPES)), ["yr"])
 
 
+def monthly_means(vegetation: DataFrame) -> DataFrame:
+    """Mean stored NDVI, v, per (cell, year, month)."""
+    return vegetation.groupBy("cell_id", F.year("t").alias("yr"), F.month("t").alias("mo")).agg(F.avg("ndvi_dn").alias("v"))
+
+
 def monthly_profile(vegetation: DataFrame, cells: DataFrame, years, cropland_code: int = 40) -> DataFrame:
     """12 monthly cropland means per year (mean over cells of the per-cell monthly mean)."""
     crop = cells.filter(F.col("worldcover") == cropland_code).select("cell_id")
-    monthly = (temporal.between(vegetation, f"{years[0]}-01-01", f"{years[1] + 1}-01-01")
-               .join(crop, "cell_id", "left_semi")
-               .groupBy("cell_id", F.year("t").alias("yr"), F.month("t").alias("mo")).agg(F.avg("ndvi_dn").alias("v"))
-               .groupBy("yr", "mo").agg((F.avg("v") * F.lit(SCALE)).alias("mean_ndvi")))
-    calendar = (cells.sparkSession.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("yr"))
+    inside = temporal.between(vegetation, f"{years[0]}-01-01", f"{years[1] + 1}-01-01").join(crop, "cell_id", "left_semi")
+    return _zone_profile(monthly_means(inside), years)
+
+
+def profile_of(monthly: DataFrame, cells: DataFrame, years, cropland_code: int = 40) -> DataFrame:
+    """The same from the monthly means of all cells."""
+    crop = cells.filter(F.col("worldcover") == cropland_code).select("cell_id")
+    return _zone_profile(monthly.filter(F.col("yr").between(*years)).join(crop, "cell_id", "left_semi"), years)
+
+
+def _zone_profile(monthly: DataFrame, years) -> DataFrame:
+    monthly = (monthly.groupBy("yr", "mo").agg((F.avg("v") * F.lit(SCALE)).alias("mean_ndvi")))
+    calendar = (monthly.sparkSession.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("yr"))
                 .withColumn("mo", F.explode(F.sequence(F.lit(1), F.lit(12)))))
     return calendar.join(monthly, ["yr", "mo"], "left")
 
@@ -106,12 +119,14 @@ def crop_stress(vegetation: DataFrame, first: int = 2000, last: int = 2020) -> D
 def cropping_intensity(vegetation: DataFrame, cells: DataFrame, years=None, code: int = 40) -> DataFrame:
     """Harvests per (cell, year) from the number of months with mean NDVI above 0.4; cells
     outside cropland are 0."""
-    df = vegetation.withColumns({"yr": F.year("t"), "mo": F.month("t")})
     if years is not None:
-        df = temporal.between(vegetation, f"{years[0]}-01-01", f"{years[1] + 1}-01-01").withColumns(
-            {"yr": F.year("t"), "mo": F.month("t")})
-    months = (df.groupBy("cell_id", "yr", "mo").agg(F.avg("ndvi_dn").alias("v"))
-              .groupBy("cell_id", "yr").agg(F.sum(A.flag(F.col("v") * F.lit(SCALE) > 0.4)).alias("m")))
+        vegetation = temporal.between(vegetation, f"{years[0]}-01-01", f"{years[1] + 1}-01-01")
+    return intensity_of(monthly_means(vegetation), cells, code)
+
+
+def intensity_of(monthly: DataFrame, cells: DataFrame, code: int = 40) -> DataFrame:
+    """The same from the monthly means."""
+    months = monthly.groupBy("cell_id", "yr").agg(F.sum(A.flag(F.col("v") * F.lit(SCALE) > 0.4)).alias("m"))
     masked = months.join(cells.select("cell_id", A.flag(F.col("worldcover") == code).alias("_c")), "cell_id")
     m = F.when(F.col("_c") == 1, F.col("m"))
     return masked.select("cell_id", "yr", A.where_chain(0, (m.between(3, 5), 1), (m.between(6, 8), 2), (m >= 9, 3)).alias("intensity"))

@@ -1,6 +1,6 @@
 """Batch products: each returns the tables of one domain report as {name: DataFrame}.
 
-Inputs that several tables of a report share (rice masks, the transport raster, yearly pollutants)
+Inputs that several tables of a report share (rice masks, monthly NDVI, the transport raster, yearly pollutants)
 are stored once, which runs Spark jobs as the report is built; the rest runs as a table is written."""
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +46,10 @@ def pond_report(found: DataFrame, cells: DataFrame, zone_cells: DataFrame, key:
 def crop_report(obs: DataFrame, classes: DataFrame, vegetation_obs: DataFrame, cells: DataFrame, area: Column, profile_years, baseline) -> dict[str, DataFrame]:
     rice = stored(crops.rice_masks(obs), "rice")
     types = crops.crop_types(landcover.yearly_mode(classes), rice)
-    intensity = crops.cropping_intensity(vegetation_obs, cells)
+    monthly = stored(crops.monthly_means(vegetation_obs), "monthly")
+    intensity = crops.intensity_of(monthly, cells)
     return {"rice": crops.rice_areas(rice, area), "types": crops.crop_areas(types, area),
-            "profile": crops.monthly_profile(vegetation_obs, cells, profile_years), "yield": crops.yield_proxy(vegetation_obs),
+            "profile": crops.profile_of(monthly, cells, profile_years), "yield": crops.yield_proxy(vegetation_obs),
             "stress": raster_summary(crops.crop_stress(vegetation_obs, *baseline), "crop_stress"),
             "intensity": intensity.groupBy("yr", "intensity").agg(F.count(F.lit(1)).alias("cells"))}
 

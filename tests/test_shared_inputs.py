@@ -38,3 +38,7 @@ def test_years_are_broadcast_to_the_layers(spark):
 def test_more_rows_are_sorted_by_more_tasks(spark):
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert tasks_for(spark, 0) == own and tasks_for(spark, 500_000 * own + 1) == own + 1
+
+
+def test_monthly_means_of_the_crop_product_are_made_once(spark):
+    assert scans(build().queries["O09_crop_product"](spark, FOLDER)) <= 3
