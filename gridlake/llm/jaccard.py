@@ -8,7 +8,8 @@ tokens fall into K - 1 groups by hash, two of them share a group: pairs of frequ
 of one group are indexed. K grows with the set size, so that pairs stay about as many as the
 tokens. Candidates are verified on whole texts.
 
-A bucket of near copies must not emit all its pairs: first a few rounds link every member to some
+Signatures that stand in the same sets, as those of a common passage do, make one bucket with
+their number as its weight. A bucket of near copies must not emit all its pairs: first a few rounds link every member to some
 leaders, then only pairs across components are left. Of these a bucket gives out only those whose
 sketches allow the similarity; what is given out and shares enough tokens is verified."""
 from __future__ import annotations
@@ -30,7 +31,7 @@ FREQUENT = 64
 FREQUENT_BITS, SHARED_BITS = 1 << 23, 1 << 26
 LEADER_ROUNDS, LEADERS = 3, 4
 #: 64-bit words of a set's sketch.
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -269,14 +270,23 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
         several = rows.groupBy("signature").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("signature")
         return stored(rows.join(several, "signature"), "buckets")
 
+    def merged(rows):
+        """The same with one bucket for all that hold the same rows, which are told apart by their first, last, number and sums of
+        hashes; `weight` is how many it stands for."""
+        row = F.xxhash64("rep", "n", "single", "hot")
+        held = rows.groupBy("signature").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"),
+                                             F.sum(F.shiftright(row, 32)).alias("high"), F.sum(row.bitwiseAND(0xFFFFFFFF)).alias("low"))
+        alike = held.filter("x <> y").groupBy("x", "y", "size", "high", "low").agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("weight"))
+        return stored(rows.join(alike.select("signature", "weight"), "signature"), "buckets")
+
     def named(rows):
         """The rows of a bucket as the first of a pair."""
-        return rows.select(*[F.col(c).alias({"rep": "a", "n": "m", "comp": "other"}.get(c, c if c == "signature" else f"other_{c}")) for c in rows.columns])
+        return rows.select(*[F.col(c).alias({"rep": "a", "n": "m", "comp": "other"}.get(c, c if c == "signature" else f"other_{c}")) for c in rows.columns if c != "weight"])
 
     def check(pairs):
-        """Verifies the pairs of a row per shared signature (a, b with sizes m, n, frequent tokens other_hot, hot)."""
+        """Verifies the pairs of a row per shared bucket (a, b with sizes m, n, frequent tokens other_hot, hot, the bucket's weight)."""
         nonlocal links, tested
-        pairs = pairs.groupBy("a", "b", "n", "m", "hot", "other_hot").agg(F.count(F.lit(1)).alias("n_shared")).filter(enough)
+        pairs = pairs.groupBy("a", "b", "n", "m", "hot", "other_hot").agg(F.sum("weight").alias("n_shared")).filter(enough)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -285,21 +295,21 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
 
-    buckets = open_buckets(buckets)
+    buckets = merged(buckets)
     for turn in range(leader_rounds):
         if buckets.isEmpty():
             break
         order = Window.partitionBy("signature").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
         leaders = named(buckets.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= LEADERS).drop("_place"))
-        check(buckets.join(leaders, "signature").filter((F.col("comp") != F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
+        check(buckets.join(leaders, "signature").filter((F.col("comp") != F.col("other")) & fits).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot", "weight"))
         label = stored(components(links), "components")
         buckets = open_buckets(buckets.drop("comp").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "signature", "rep", "n", "single", "hot", F.coalesce("component", "rep").alias("comp")))
+            "signature", "weight", "rep", "n", "single", "hot", F.coalesce("component", "rep").alias("comp")))
     if not buckets.isEmpty():
         # of rows that repeat an id each sketch meets the buckets; wrong pairs fail the verification
         sketches = index.filter(F.size("signatures") > 0).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SKETCH).distinct()
         buckets = buckets.join(sketches, ["rep", "n"])
-        check(buckets.join(named(buckets), "signature").filter((F.col("comp") < F.col("other")) & fits & alike).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot"))
+        check(buckets.join(named(buckets), "signature").filter((F.col("comp") < F.col("other")) & fits & alike).select("a", F.col("rep").alias("b"), "n", "m", "hot", "other_hot", "weight"))
     if links is None:
         return members.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     label = components(links).withColumnRenamed("node", "rep")

@@ -110,3 +110,28 @@ def test_sketches_part_the_unlike_and_never_the_similar():
                 assert apart <= len(np.setxor1d(x, y))
                 kept[share] += apart <= 2 * size - 2 * -(-80 * 2 * size // 180)
     assert kept[0.8] == 150 and kept[0.6] < 20, kept
+
+
+def test_sketches_part_longer_texts():
+    rng = np.random.default_rng(13)
+    for _ in range(50):
+        tokens = rng.integers(0, 1 << 63, 1200, dtype=np.uint64)
+        x, y = np.unique(tokens[:600]), np.unique(tokens[150:750])
+        apart = int(np.bitwise_count((jaccard.sketch(x) ^ jaccard.sketch(y)).view("<u8")).sum())
+        assert 132 < apart <= len(np.setxor1d(x, y))
+
+
+def test_signatures_in_the_same_sets_make_one_bucket(spark, monkeypatch):
+    """Three near copies share many signatures, but there are only four sets of two or three of them."""
+    made, stored = [], jaccard.stored
+
+    def keep(df, name):
+        made.append((name, stored(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(jaccard, "stored", keep)
+    words = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(d, " ".join(words[:50 * d] + [f"own{d}"] + words[50 * d:])) for d in (1, 2, 3)], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard.similarity_components(docs).orderBy("doc_id").collect()] == [(d, 197, 1) for d in (1, 2, 3)]
+    first = next(df for name, df in made if name == "buckets")
+    assert first.count() <= 9 and first.agg({"weight": "max"}).first()[0] > 9
