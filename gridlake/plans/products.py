@@ -86,8 +86,9 @@ def transport_report(raster: DataFrame, built: DataFrame, zone_cells: DataFrame,
     """Every year of the raster; its rows are keyed by yr."""
     raster = stored(raster, "raster")
     index = transport.underserved(raster)
-    market = stored(transport.market_access(raster, ["yr"], bright=bright).select("yr", "market_access", "light_gradient"), "market")
-    return {"settlement": transport.settlement_areas(built, area), "accessibility": raster_summary(transport.accessibility(raster, ["yr"]), "accessibility"),
+    place = ["cell_id", "x", "y", "yr", "light"]
+    market = stored(transport.market_access(raster.select(*place), ["yr"], bright=bright).select("yr", "market_access", "light_gradient"), "market")
+    return {"settlement": transport.settlement_areas(built, area), "accessibility": raster_summary(transport.accessibility(raster.select(*place, "population", "smod"), ["yr"]), "accessibility"),
             "underserved": transport.underserved_population(index, keys=["yr"]), "gap": transport.gap_by_zone(index, zone_cells, ["division", "yr"]),
             "market": raster_summary(market, "market_access"), "gradient": raster_summary(market, "light_gradient")}
 

@@ -62,8 +62,7 @@ def market_access(raster: DataFrame, keys=(), radius_cells: int = 3, cell_m: flo
     # distances come from the raw cells, so that bounds and rows do not evaluate the smoothing
     far = topology.distance_to_set(raster.withColumn("_b", A.flag(F.col("light") > bright)), "_b", keys, "_d", cap=int(80000 // cell_m) + 1)
     near = far.withColumn("market_access", F.lit(1.0) - A.norm(F.col("_d") * F.lit(cell_m), 0, 80000)).drop("_b", "_d")
-    smooth = focal.gaussian_mean(near, "light", radius_cells, keys, "_s")
-    return focal.sobel_magnitude(smooth, "_s", keys, "light_gradient").drop("_s")
+    return focal.gaussian_gradient(near, "light", radius_cells, keys, "light_gradient")
 
 
 def connectivity(raster: DataFrame, year: Column, keys=(), cell_m: float = 100.0, built_min: float = 100.0,
