@@ -98,3 +98,49 @@ def test_shards_keep_links_and_their_size():
     pairs = np.arange(100) ^ 1
     shard, _ = packing.shards_of(np.arange(100), np.full(100, 9), pairs, 45)
     assert (shard == shard[pairs]).all() and len(set(shard)) == 25
+
+
+def topical(rng, topics, copies):
+    """Documents of frequent terms and some terms of a topic, and near copies of each."""
+    docs = []
+    for topic in range(topics):
+        base = np.concatenate([np.minimum(rng.zipf(1.3, 150), 499), rng.integers(500 + 20 * topic, 520 + 20 * topic, 30)])
+        docs += [np.where(rng.random(180) < 0.05, rng.integers(0, 500, 180), base).astype("<u2") for _ in range(copies)]
+    return docs
+
+
+def test_a_document_asks_few_blocks_and_finds_its_best_seed(monkeypatch):
+    """The blocks asked grow as the logarithm of their number; a search through all of them would grow with the corpus."""
+    monkeypatch.setattr(packing, "BLOCK_SEEDS", 16)
+    rng = np.random.default_rng(4)
+    docs = topical(rng, 300, 4)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=6500)
+    idf = np.log1p((1200 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    entries = [packing.weighed(d, idf, 180.0) for d in docs]
+    router = packing.Router(entries[::2], len(docs), df, idf)
+    n_blocks = len(router.cuts)
+    asked, own = router.blocks(*zip(*entries))
+    assert n_blocks > 40 and max(map(len, asked)) <= n_blocks.bit_length() + 2
+    sizes = np.bincount(own, minlength=n_blocks)
+    assert sum(sizes[b].sum() for b in asked) < 0.35 * len(docs) ** 2
+    at, score = packing.Seeds(list(range(1200)), docs, idf, 180.0).best(docs, list(range(1200)))
+    assert np.mean([own[best] in blocks for best, blocks in zip(at, asked)]) >= 0.95
+
+
+def test_pieces_of_a_block_miss_no_seed(spark, monkeypatch):
+    """One block, whose documents and seeds are dealt over many groups: the best of all seeds, copies included."""
+    monkeypatch.setattr(packing, "QUERY_PIECE", 60)
+    monkeypatch.setattr(packing, "SEED_PIECE", 40)
+    rng = np.random.default_rng(5)
+    docs = [d for d in topical(rng, 90, 2)] + topical(np.random.default_rng(8), 1, 1) * 3
+    coder = packing.Coder(np.concatenate(docs[:20]), 3000)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=3000)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    assert all((coder.decoded(coder.coded(d)) == d).all() for d in docs)
+    tokens = spark.createDataFrame([(k, k % 2 == 0 or k >= 180, coder.coded(d)) for k, d in enumerate(docs)], "key long, is_seed boolean, ids binary").repartition(5)
+    keys = [k for k in range(len(docs)) if k % 2 == 0 or k >= 180]
+    got = {r["key"]: r["seed"] for r in packing.best_seeds(tokens, len(keys), len(docs), df, idf, 180.0, coder).collect()}
+    at, score = packing.Seeds(keys[::-1], [docs[k] for k in keys[::-1]], idf, 180.0).best(docs, list(range(len(docs))))
+    want = {k: keys[::-1][a] for k, a in enumerate(at)}
+    assert {k: x for k, x in got.items() if k < 180} == {k: x for k, x in want.items() if k < 180}
+    assert got[182] in (180, 181) and got[180] == got[181] == 182
