@@ -56,3 +56,18 @@ def test_odd_tables(spark, name, stage):
     assert stage(spark, docs.limit(0), DIR).count() == 0
     if name != corpus_pipeline.STAGES[-1][0]:
         assert out.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_packing_sends_one_table_however_many_blocks(spark, monkeypatch):
+    """The driver once built and sent every part of the index of seeds, each for a pass over all documents."""
+    from gridlake.llm import packing
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(packing, "BLOCK_SEEDS", 4)
+    monkeypatch.setattr(corpus_pipeline, "packed", lambda docs: packing.packed(docs, window=256, shard_tokens=10_000))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    got = corpus_pipeline.packing(spark, docs, DIR).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    tables = [x for x in sent if isinstance(x, packing.Router)]
+    assert len(tables) == 1 and len(tables[0].cuts) > 20
+    assert not any(isinstance(x, packing.Seeds) for x in sent)
+    assert len(got) == docs.count() and all(r["sum(length)"] == r["max(doc_tokens)"] for r in got)
